@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from .boosting import op6_quality_classifier
 from .chat import OP2_SQL, op2_chat_format
 from .line_dedup import OP1_SQL, op1_line_dedup
+from .metric_join import op3_embedding_near_dedup
+from .packing import op5_best_fit_packing
 from .quality_rules import op4_quality_rules
+from .secrets import op10_secret_scan
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
