@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .boosting import op6_quality_classifier
 from .chat import OP2_SQL, op2_chat_format
+from .jaccard_join import op7_ngram_jaccard_join
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .metric_join import op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
