@@ -87,10 +87,9 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang"
         F.count(F.lit(1)).alias("n"), *[F.count_if(_over(r) > c).alias(f"k_{i}_{j}") for i, r in enumerate(rules) for j, c in enumerate(r.cutoffs)]
     )
     tests = [F.struct(F.lit(r.name).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{i}_{j}").alias("k")) for i, r in enumerate(rules) for j, c in enumerate(r.cutoffs)]
-    # One row beside the strata: no product of tables.
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    rows = counts.join(F.broadcast(strata)).select("stratum", "n", "strata", F.inline(F.array(*tests)))
-    passed = binomial_tail(F.col("k"), F.col("n"), F.lit(risk / len(rules))) <= F.lit(delta) / (F.col("strata") * len(tests))
+    counts = written(counts, "strata")
+    rows = counts.select("stratum", "n", F.inline(F.array(*tests)))
+    passed = binomial_tail(F.col("k"), F.col("n"), F.lit(risk / len(rules))) <= F.lit(delta / (max(counts.count(), 1) * len(tests)))
     return rows.withColumn("passed", passed).groupBy("stratum").agg(*[F.min(F.when(F.col("passed") & (F.col("rule") == r.name), F.col("cutoff"))).alias(r.name) for r in rules])
 
 

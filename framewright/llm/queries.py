@@ -10,6 +10,7 @@ from .metric_join import op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
 from .quality_rules import op4_quality_rules
 from .secrets import op10_secret_scan
+from .suffix_dedup import op8_suffix_array_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
