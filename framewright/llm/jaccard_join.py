@@ -265,6 +265,15 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return named.unionByName(_without_words(docs))
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are the first of their group, by doc_id, and all that belong to none. Rows that share
+    a doc_id stay or go together."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    others = near_texts(docs, threshold).where(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("of")).distinct()
+    first = rows.join(others, F.col("row.doc_id") == F.col("of"), "left_anti")
+    return first.select("row.*")
+
+
 def _without_words(docs: DataFrame) -> DataFrame:
     bare = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)[^\s\x1C-\x1F]")
     return docs.where(bare).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

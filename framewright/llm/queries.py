@@ -10,6 +10,7 @@ from .metric_join import op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
 from .quality_rules import op4_quality_rules
 from .secrets import op10_secret_scan
+from .sentence_pieces import op9_sentence_pieces
 from .suffix_dedup import op8_suffix_array_dedup
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL}
