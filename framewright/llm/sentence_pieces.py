@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,10 +96,10 @@ class Transducer:
         if any(BLANK in s.lstrip(BLANK) for s in self.ids):
             raise ValueError("a piece holds a blank after another character")
         self.chars = {s for s in self.ids if len(s) == 1}
-        lengths: dict[str, set[int]] = {}
+        self.arcs = ahocorasick.Automaton()
         for s in self.ids:
-            lengths.setdefault(s[-1], set()).add(len(s))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
+            self.arcs.add_word(s, (s, len(s)))
+        self.arcs.make_automaton()
         self.weights: dict[tuple[str, str], bool] = {}
         self.units: dict[str, tuple[int, ...]] = {}
 
@@ -116,25 +117,24 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _free(self, before: str, piece: str) -> bool:
-        """Whether the arc of piece has weight 0 after before."""
-        key = (before, piece)
-        got = self.weights.get(key)
-        if got is None:
-            if len(self.weights) >= KEPT:
-                self.weights.clear()
-            got = self.weights[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-        return got
-
     def _path(self, chars: str) -> list[str]:
+        """The shortest path through the arcs that the automaton finds, each with its weight after the piece before."""
         last: list[str | None] = [""] + [None] * len(chars)
-        for j in range(1, len(chars) + 1):
-            for n in self.lengths[chars[j - 1]]:
-                if n <= j and last[j - n] is not None:
-                    piece = chars[j - n : j]
-                    if piece in self.ids and self._free(last[j - n], piece):
-                        last[j] = piece
-                        break
+        weights = self.weights
+        for end, (piece, n) in self.arcs.iter(chars):
+            if last[end + 1] is not None:
+                continue
+            before = last[end + 1 - n]
+            if before is None:
+                continue
+            key = (before, piece)
+            free = weights.get(key)
+            if free is None:
+                if len(weights) >= KEPT:
+                    weights.clear()
+                free = weights[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            if free:
+                last[end + 1] = piece
         out, j = [], len(chars)
         while j:
             if last[j] is None:
@@ -147,6 +147,8 @@ class Transducer:
         out: list[int] = []
         known = ""
         tied = unit.startswith(BLANK * 2)
+        if not tied and self.chars.issuperset(unit):
+            return tuple([self.ids[p] for p in self._path(unit)])
         for c in [*unit, ""]:
             if c in self.chars:
                 known += c
