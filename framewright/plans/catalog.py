@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import frames
+from . import frames, segments
 
-_PARTS = (frames,)
+_PARTS = (frames, segments)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
