@@ -263,7 +263,7 @@ ORACLES = {
         SELECT l_orderkey, l_linenumber, round(x0, 6) AS x, round(y0, 6) AS y, round(greatest(x1 - x0, 0), 6) AS width, round(greatest(y1 - y0, 0), 6) AS height FROM e""",
     "iou_pairs": f"WITH {PAIRS} SELECT l_orderkey, line_a, line_b, iou FROM i WHERE line_a < line_b AND iou > 0",
     "iou_best_match": f"WITH {PAIRS} SELECT l_orderkey, line_a, line_b AS best_line, iou FROM i WHERE iou >= 0.05 QUALIFY row_number() OVER (PARTITION BY l_orderkey, line_a ORDER BY iou DESC, line_b) = 1",
-    "clip_remainder": f"""WITH {PAIRS}, s AS (SELECT *, [[aw, greatest(y0 - ay, 0)], [aw, greatest(ay + ah - y1, 0)], [greatest(x0 - ax, 0), ah], [greatest(ax + aw - x1, 0), ah]] AS strips FROM i WHERE x1 > x0 AND y1 > y0),
+    "clip_remainder": f"""WITH {PAIRS}, s AS (SELECT *, [[aw, greatest(y0 - ay, 0)], [aw, greatest(ay + ah - (y0 + (y1 - y0)), 0)], [greatest(x0 - ax, 0), ah], [greatest(ax + aw - (x0 + (x1 - x0)), 0), ah]] AS strips FROM i WHERE x1 > x0 AND y1 > y0),
         t AS (SELECT *, list_max(list_transform(list_filter(strips, lambda z: z[1] > 0 AND z[2] > 0), lambda z: z[1] * z[2])) AS area FROM s) SELECT l_orderkey, line_a, line_b, round(area, 9) AS area FROM t WHERE area IS NOT NULL""",
     "segment_islands": f"WITH {ISLANDS} SELECT * FROM seg",
     "valid_segments": f"WITH {ISLANDS} SELECT * FROM seg WHERE end_ns - start_ns >= 200000000",
