@@ -22,8 +22,8 @@ def bridged(mask: DataFrame, limit: int, along: str = "x") -> DataFrame:
     """Gaps of at most limit pixels between set ones are set, along rows (x) or columns (y)."""
     across = "y" if along == "x" else "x"
     before = F.lag(along).over(Window.partitionBy("image", across).orderBy(along))
-    first = F.when(F.col(along) - before - 1 <= limit, before + 1).otherwise(F.col(along))
-    filled = mask.withColumn("at", F.explode(F.sequence(first, F.col(along)))).select("image", across, F.col("at").alias(along))
+    first = F.when(F.col(along) - F.col("before") - 1 <= limit, F.col("before") + 1).otherwise(F.col(along))
+    filled = mask.withColumn("before", before).withColumn("at", F.explode(F.sequence(first, F.col(along)))).select("image", across, F.col("at").alias(along))
     return filled.select("image", "y", "x")
 
 
@@ -166,9 +166,9 @@ def merged_lines(boxes: DataFrame, group: str, near: int = 16, min_iou: float =
 
 def dilated(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
     """All pixels within radius rows and columns of a set one, inside the image."""
-    near = F.sequence(F.lit(-radius), F.lit(radius))
-    wide = mask.select("image", "y", (F.col("x") + F.explode(near)).alias("x")).where(F.col("x").between(0, width - 1)).distinct()
-    return wide.select("image", (F.col("y") + F.explode(near)).alias("y"), "x").where(F.col("y").between(0, height - 1)).distinct()
+    near = lambda c, n: F.explode(F.sequence(F.greatest(F.col(c) - radius, F.lit(0)), F.least(F.col(c) + radius, F.lit(n - 1)))).alias(c)
+    wide = mask.select("image", "y", near("x", width)).distinct()
+    return wide.select("image", near("y", height), "x").distinct()
 
 
 def cover_compare(pairs: DataFrame, mask: DataFrame, wide: DataFrame, threshold: float = 0.1) -> DataFrame:

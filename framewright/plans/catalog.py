@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import frames, segments
+from . import frames, pixels, segments
 
-_PARTS = (frames, segments)
+_PARTS = (frames, pixels, segments)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
