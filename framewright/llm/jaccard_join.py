@@ -32,7 +32,7 @@ from .components import components
 
 SHINGLE, THRESHOLD, RUNS, LEVELS = 5, 0.8, 12, 3
 #: Sets in a bucket that are compared by brute force, and in a block of the exact comparison.
-BUCKET, BLOCK = 1024, 512
+BUCKET, BLOCK = 4096, 512
 #: Bytes of a sketch, and how many must agree: at the threshold fewer do with probability 10^-5.
 SKETCH, AGREE = 48, 26
 
@@ -160,9 +160,11 @@ def _in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFram
 
 def _stars(near: np.ndarray) -> np.ndarray:
     """The component of each member, as the least index, from a symmetric matrix."""
-    label = np.arange(len(near))
+    label = np.arange(len(near), dtype=np.int32)
     while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        least = label.copy()
+        for i in range(0, len(near), 256):
+            least[i : i + 256] = np.minimum(label[i : i + 256], np.where(near[i : i + 256], label[None, :], len(near)).min(axis=1))
         least = least[least]
         if (least == label).all():
             return label
