@@ -3,9 +3,10 @@
 Each rule drops a document whose statistic passes a cutoff. For every stratum, rule and cutoff of a fixed grid, the
 labelled good documents tell how many it would reject falsely; the cutoff is certified when the exact binomial
 probability of so few or fewer, at a false-rejection rate equal to the rule's limit, is at most ``delta`` shared
-equally among all tests made (Bonferroni). The strictest certified cutoff of each rule and stratum applies; without
-one, the rule does not apply there. By the union bound the rules together reject falsely at most ``risk`` of a
-stratum, with confidence 1 - delta.
+equally among all pairs of stratum and rule (Bonferroni). The cutoffs of a pair are tested in a fixed sequence from
+the laxest, which needs no further share: a stricter one can only be certified if all laxer ones are, as it rejects
+at least as many. The strictest certified cutoff applies; without one, the rule does not apply in that stratum. By
+the union bound the rules together reject falsely at most ``risk`` of a stratum, with confidence 1 - delta.
 
 Everything is counted over all rows: one aggregation by stratum with map-side partials, then a join with the few
 certified cutoffs, which Spark broadcasts only where it has measured their size.
@@ -89,7 +90,7 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang"
     tests = [F.struct(F.lit(r.name).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{i}_{j}").alias("k")) for i, r in enumerate(rules) for j, c in enumerate(r.cutoffs)]
     counts = written(counts, "strata")
     rows = counts.select("stratum", "n", F.inline(F.array(*tests)))
-    passed = binomial_tail(F.col("k"), F.col("n"), F.lit(risk / len(rules))) <= F.lit(delta / (max(counts.count(), 1) * len(tests)))
+    passed = binomial_tail(F.col("k"), F.col("n"), F.lit(risk / len(rules))) <= F.lit(delta / (max(counts.count(), 1) * len(rules)))
     return rows.withColumn("passed", passed).groupBy("stratum").agg(*[F.min(F.when(F.col("passed") & (F.col("rule") == r.name), F.col("cutoff"))).alias(r.name) for r in rules])
 
 
