@@ -92,13 +92,15 @@ def test_classifier_scores_every_document(spark):
     docs, labels = planted(spark, 1200)
     docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, 1, None), (7, "", "en", "x", 1, True)], docs.schema))
     model = B.fit_quality(docs, labels)
-    out = B.score_documents(docs, model, "doc_id", "text").collect()
+    out = B.score_documents(docs, model, "doc_id").collect()
     assert len(out) == 1202 and all(0 <= r.score <= 1 for r in out)
-    assert all((r.score < 0.3) == ("###" in r.text) for r in out if r.text and r.doc_id is not None)
+    text = {r.doc_id: r.text for r in docs.collect() if r.text}
+    assert all((r.score < 0.3) == ("###" in text[r.doc_id]) for r in out if r.doc_id in text and r.doc_id != 7)
     assert B.score_documents(docs.limit(0), model, "doc_id").count() == 0
 
 
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
-    out = B.op6_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
-    assert out.where("predicted = quality").count() >= 0.93 * out.count()
+    out = B.op6_quality_classifier(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
+    held = out[out["held_out"]]
+    assert (held["predicted"] == held["quality"]).mean() > 0.93
