@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -23,15 +21,6 @@ def overlap(a: Box, b: Box) -> Box | None:
     return (x0, y0, x1 - x0, y1 - y0) if x1 > x0 and y1 > y0 else None
 
 
-def box_iou(a: Box, b: Box) -> np.float32:
-    common = overlap(a, b)
-    if common is None:
-        return np.float32(0)
-    part = box_area(common)
-    union = box_area(a) + box_area(b) - part
-    return part / union if union > 0 else np.float32(0)
-
-
 def remainder(old: Box, new: Box) -> Box | None:
     """The largest strip of old beside its overlap with new; the last of equal ones."""
     c = overlap(old, new)
@@ -48,34 +37,46 @@ def remainder(old: Box, new: Box) -> Box | None:
     return best
 
 
-@dataclass
 class Tracker:
     """Regions are kept for good, by id; of equal overlaps the least id wins."""
 
-    regions: dict[int, Box] = field(default_factory=dict)
-    used: set[int] = field(default_factory=set)
-    frame: int | None = None
+    def __init__(self, boxes=(), used=(), frame: int | None = None):
+        self.n, self.frame = len(boxes), frame
+        self.boxes = np.zeros((max(16, 2 * self.n), 4), np.float32)
+        self.used = np.zeros(len(self.boxes), bool)
+        if self.n:
+            self.boxes[: self.n] = boxes
+            self.used[list(used)] = True
 
     def _new(self, box: Box) -> int:
-        ident = len(self.regions)
-        self.regions[ident] = box
-        self.used.add(ident)
-        return ident
+        if self.n == len(self.boxes):
+            self.boxes, self.used = np.concatenate([self.boxes, np.zeros_like(self.boxes)]), np.concatenate([self.used, np.zeros_like(self.used)])
+        self.boxes[self.n], self.used[self.n] = box, True
+        self.n += 1
+        return self.n - 1
+
+    def _best(self, box: Box) -> int | None:
+        held = self.boxes[: self.n]
+        x, y, w, h = held.T
+        wide = np.minimum(x + w, box[0] + box[2]) - np.maximum(x, box[0])
+        high = np.minimum(y + h, box[1] + box[3]) - np.maximum(y, box[1])
+        common = np.where((wide > 0) & (high > 0), wide * high, np.float32(0))
+        union = np.maximum(w, 0) * np.maximum(h, 0) + box_area(box) - common
+        iou = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+        iou[self.used[: self.n]] = -1
+        best = int(iou.argmax()) if self.n else -1
+        return best if best >= 0 and iou[best] >= MIN_IOU else None
 
     def add(self, frame: int, box: Box) -> list[tuple[int, Box]]:
         """The regions that a detection gives: first what it leaves of a region that it has outgrown, then its own."""
         if frame != self.frame:
-            self.frame, self.used = frame, set()
-        best, best_iou = None, np.float32(0)
-        for ident, held in self.regions.items():
-            if ident not in self.used:
-                x = box_iou(box, held)
-                if x > best_iou and x >= MIN_IOU:
-                    best, best_iou = ident, x
+            self.frame = frame
+            self.used[:] = False
+        best = self._best(box)
         if best is None:
             return [(self._new(box), box)]
-        old, self.regions[best] = self.regions[best], box
-        self.used.add(best)
+        old = tuple(self.boxes[best])
+        self.boxes[best], self.used[best] = box, True
         out = []
         if box_area(box) > box_area(old) and (left := remainder(old, box)) is not None:
             out.append((self._new(left), left))

@@ -59,9 +59,9 @@ def tracked_stream(regions: DataFrame) -> DataFrame:
     """As operators.tracking.tracked, a video's regions kept in state."""
 
     def step(s: dict, row) -> list[tuple]:
-        t = Tracker({int(k): tuple(np.float32(x) for x in v) for k, v in s.get("regions", {}).items()}, set(s.get("used", ())), s.get("frame"))
+        t = Tracker(s.get("regions", ()), s.get("used", ()), s.get("frame"))
         found = t.add(int(row.frame_index), tuple(np.float32(getattr(row, c)) for c in ("x", "y", "width", "height")))
-        s.update(regions={k: [float(x) for x in v] for k, v in t.regions.items()}, used=sorted(t.used), frame=t.frame)
+        s.update(regions=t.boxes[: t.n].tolist(), used=np.flatnonzero(t.used[: t.n]).tolist(), frame=t.frame)
         return [(row.video_id, row.frame_index, row.ord, i, *map(float, b)) for i, b in found]
 
     return _keyed(regions, "video_id", ["frame_index", "ord"], step, "video_id bigint, frame_index bigint, ord int, region_id bigint, x float, y float, width float, height float")

@@ -153,6 +153,45 @@ def stream(spark, tmp_path, rows, schema, made):
     return spark.read.parquet(str(tmp_path / "out"))
 
 
+def test_tracker_against_a_plain_one():
+    r = np.random.default_rng(2)
+    t, held, used = R.Tracker(), [], set()
+    for frame in range(40):
+        used.clear()
+        for _ in range(3):
+            box = tuple(np.float32(x) for x in (*r.random(2) * 0.7, *(r.random(2) * 0.3 + 0.02)))
+            best, top = None, np.float32(0)
+            for i, h in enumerate(held):
+                c = R.overlap(box, h)
+                x = R.box_area(c) / (R.box_area(box) + R.box_area(h) - R.box_area(c)) if c else np.float32(0)
+                if i not in used and x > top and x >= np.float32(0.05):
+                    best, top = i, x
+            want = []
+            if best is None:
+                held.append(box)
+                best = len(held) - 1
+            else:
+                old, held[best] = held[best], box
+                left = R.remainder(old, box) if R.box_area(box) > R.box_area(old) else None
+                if left is not None:
+                    held.append(left)
+                    used.add(len(held) - 1)
+                    want.append((len(held) - 1, left))
+            used.add(best)
+            assert t.add(frame, box) == [*want, (best, box)]
+
+
+def test_stream_tracks_across_batches(spark, tmp_path):
+    from framewright.streaming import pipeline as P
+
+    r = random.Random(3)
+    rows = [(0, i, k, r.random() * 0.5, r.random() * 0.5, 0.3, 0.3 + r.random() / 9) for i in range(20) for k in range(2)]
+    schema = "video_id long, frame_index long, ord int, x float, y float, width float, height float"
+    got = stream(spark, tmp_path, [rows[:18], rows[18:]], schema, P.tracked_stream)
+    want = R.tracked(spark.createDataFrame(rows, schema)).drop("label")
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_streams_match_batches(spark, tmp_path):
     from framewright.streaming import pipeline as P
 
