@@ -34,8 +34,15 @@ def intersection(a: Column, b: Column) -> Column:
     return F.when((x1 > x0) & (y1 > y0), box(x0, y0, x1 - x0, y1 - y0))
 
 
-def iou(a: Column, b: Column) -> Column:
-    common = F.coalesce(area(intersection(a, b)), F.lit(0.0))
+def overlap_area(a: Column, b: Column) -> Column:
+    width = F.least(right(a), right(b)) - F.greatest(a["x"], b["x"])
+    height = F.least(bottom(a), bottom(b)) - F.greatest(a["y"], b["y"])
+    return F.when((width > 0) & (height > 0), width * height).otherwise(0.0)
+
+
+def iou(a: Column, b: Column, common: Column | None = None) -> Column:
+    """common: their overlap_area, if it is a column already; else it is computed in each place that needs it."""
+    common = overlap_area(a, b) if common is None else common
     union = area(a) + area(b) - common
     return F.when(union > 0, common / union).otherwise(0.0)
 

@@ -61,13 +61,17 @@ def _pairs(spark, d):
     return a.join(b.select("l_orderkey", F.col("l_linenumber").alias("line_b"), "b"), "l_orderkey").where("line_a <> line_b")
 
 
+def _overlaps(pairs):
+    return pairs.withColumn("common", G.overlap_area(F.col("a"), F.col("b")))
+
+
 def _iou(spark, d):
-    p = _pairs(spark, d).where("line_a < line_b").withColumn("iou", F.round(G.iou(F.col("a"), F.col("b")), 9))
-    return p.where("iou > 0").select("l_orderkey", "line_a", "line_b", "iou")
+    p = _overlaps(_pairs(spark, d).where("line_a < line_b")).where("common > 0")
+    return p.select("l_orderkey", "line_a", "line_b", F.round(G.iou(F.col("a"), F.col("b"), F.col("common")), 9).alias("iou")).where("iou > 0")
 
 
 def _best(spark, d):
-    p = _pairs(spark, d).withColumn("iou", F.round(G.iou(F.col("a"), F.col("b")), 9)).where("iou >= 0.05")
+    p = _overlaps(_pairs(spark, d)).where("common > 0").withColumn("iou", F.round(G.iou(F.col("a"), F.col("b"), F.col("common")), 9)).where("iou >= 0.05")
     return p.groupBy("l_orderkey", "line_a").agg(F.max(F.struct("iou", (-F.col("line_b")).alias("line"))).alias("m")).select("l_orderkey", "line_a", (-F.col("m.line")).alias("best_line"), F.col("m.iou").alias("iou"))
 
 
