@@ -17,7 +17,7 @@ def test_stages(spark):
     for name, stage in P.STAGES:
         was, held = held, written(stage(spark, held, sf), name)
         if name == "quality_rules":
-            failed = {r.doc_id for r in with_stats(was.select("doc_id", "text")).where(Q.base_failed()).collect()}
+            failed = {r.doc_id for r in written(with_stats(was.select("doc_id", "text")), "stats").where(Q.base_failed()).collect()}
             assert {r.doc_id for r in held.collect()} <= {r.doc_id for r in was.collect()} - failed
         if name == "line_dedup":
             lines = {i: n - lost for i, n, lost, _ in brute([(r.doc_id, r.text) for r in was.collect()])}
