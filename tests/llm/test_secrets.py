@@ -66,7 +66,8 @@ def test_operator_and_redaction(spark):
     assert S.find_secrets(docs.limit(0)).count() == 0
 
 
-def test_query_digest(spark, sf):
+def test_query_digest(spark):
+    sf = "/root/testdata/sf0.01"
     r = S.op10_secret_scan(spark, sf).where("n_assign > 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id = {r.doc_id}").first().text
     assert r.base_sha256 == hashlib.sha256(S._told(slow(text)).encode()).hexdigest()
