@@ -8,8 +8,9 @@ anchors. Equal windows have equal anchors at equal places, so only anchors need
    gram is unique drop out. Stretches that occur twice as a whole are done.
 2. The rest are sorted again by gram with the bytes of their stretches. Within each set of buckets all positions get
    the rank of their first 100 bytes; unique ones drop out; the pairs of ranks at offset 100 give those of 200 bytes,
-   and what is not unique then repeats. A bucket too large for one task is dealt out by the place of the window
-   relative to its anchor, as only windows at equal places can be equal.
+   and what is not unique then repeats. Buckets too large for one task have no task of their own: each of their
+   windows becomes a row with its pair of ranks, Spark counts the pairs with map-side partials, and a semi-join, whose
+   hot partitions Spark splits, finds the windows whose pair isn't unique.
 
 Sorting every position instead, round after round, needs about 16 times the text on disk for each round.
 
@@ -35,7 +36,7 @@ from .common import removed, table, text_or_empty, written
 LENGTH, GRAM = 200, 32
 #: Windows of a segment, and bytes that a task compares at once.
 SEGMENT, TOGETHER = 1 << 20, 1 << 21
-#: Stretches of one gram beyond which its bucket is dealt out by place.
+#: Stretches of one gram beyond which Spark counts its pairs of ranks.
 HOT = 20_000
 
 _U = np.uint64
@@ -194,13 +195,21 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, windows: np.ndarray,
     return of[left], place[left]
 
 
-def _opened(docs: DataFrame, left: DataFrame, length: int) -> DataFrame:
-    """The bytes of the stretches that are to be compared. deal: the bucket's part, by place, if it is hot."""
+def _to_compare(docs: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with the stretches that are to be compared: those in buckets of one task, and those in hot ones."""
     rows = left.where(F.col("state") != REPEATED)
-    hot = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT)
-    rows = rows.join(hot.select(F.col("gram").alias("of"), F.lit(True).alias("hot")), F.col("gram") == F.col("of"), "left").drop("of")
-    lists = rows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("gram", "first", "windows", "rel", "state", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("open"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    hot = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT).select(F.col("gram").alias("of"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        lists = some.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("gram", "first", "windows", (F.col("state") == PARTNER).alias("partner"))).alias("open"))
+        return docs.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open")
+
+    return joined(rows.join(hot, F.col("gram") == F.col("of"), "left_anti")), joined(rows.join(hot, F.col("gram") == F.col("of"), "left_semi"))
+
+
+def _opened(joined: DataFrame, length: int) -> DataFrame:
+    """The bytes of the stretches."""
+    id_type = joined.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -208,21 +217,50 @@ def _opened(docs: DataFrame, left: DataFrame, length: int) -> DataFrame:
             for doc, tag, text, opened in zip(b["doc_id"], b["tag"], b["text"], b["open"], strict=True):
                 raw = text.encode()
                 for x in opened:
-                    first, n, rel = x["first"], x["windows"], x["rel"]
-                    # A hot bucket: windows at equal places from the anchor go together, eight places at a time.
-                    step = 8 if x["hot"] else n
-                    at = 0
-                    while at < n:
-                        stop = min(n, at + (step if not x["hot"] else (rel - at) % 8 + 1))
-                        bucket = hash((x["gram"], (rel - at) // 8 if x["hot"] else -1))
-                        out.append((bucket, doc, tag, first + at, stop - at, x["state"] == PARTNER, raw[first + at : first + stop + length - 1]))
-                        at = stop
+                    first, n = x["first"], x["windows"]
+                    out.append((x["gram"], doc, tag, first, n, x["partner"], raw[first : first + n + length - 1]))
             yield pd.DataFrame(out, columns=["bucket", "doc_id", "tag", "first", "windows", "partner", "bytes"])
 
-    joined = docs.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open")
     return joined.mapInPandas(cut, f"bucket bigint, doc_id {id_type}, tag int, first int, windows int, partner boolean, bytes binary")
 
 
+def _hot_spans(joined: DataFrame, length: int) -> DataFrame:
+    """The repeated windows of hot buckets. No task holds a bucket, or all windows of one pair of ranks."""
+    half = length // 2
+    id_type = joined.schema["doc_id"].dataType.simpleString()
+
+    def ranked(held: list[tuple]) -> pd.DataFrame:
+        doc, tag, first, n, partner, raw = zip(*held, strict=True)
+        windows = np.array(n)
+        starts = np.cumsum([0, *map(len, raw)])[:-1]
+        of = np.repeat(np.arange(len(n)), windows)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = starts[of] + place
+        h = Hashes(np.frombuffer(b"".join(raw), np.uint8))
+        r1, r2 = h.of(at, at + half), h.of(at + half, at + length)
+        return pd.DataFrame({"r1": r1.view(np.int64), "r2": r2.view(np.int64), "doc_id": np.array(doc)[of], "tag": np.array(tag)[of], "start": np.array(first, np.int64)[of] + place, "partner": np.array(partner, bool)[of]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = [], 0
+        for b in batches:
+            for doc, tag, text, opened in zip(b["doc_id"], b["tag"], b["text"], b["open"], strict=True):
+                raw = text.encode()
+                for x in opened:
+                    first, n = x["first"], x["windows"]
+                    held.append((doc, tag, first, n, x["partner"], raw[first : first + n + length - 1]))
+                    total += len(held[-1][-1])
+                    if total >= TOGETHER:
+                        yield ranked(held)
+                        held, total = [], 0
+        if held:
+            yield ranked(held)
+
+    windows = joined.mapInPandas(run, f"r1 bigint, r2 bigint, doc_id {id_type}, tag int, start bigint, partner boolean")
+    again = windows.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("r1", "r2")
+    found = windows.where("not partner").join(again, ["r1", "r2"], "left_semi")
+    return found.select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
+
+
 def _spans_of(opened: DataFrame, length: int) -> DataFrame:
     id_type = opened.schema["doc_id"].dataType.simpleString()
 
@@ -271,7 +309,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     left = written(_reranked(anchors), "ranks")
     removed(anchors)
     whole = left.where(F.col("state") == REPEATED).select("doc_id", "tag", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).cast("long").alias("end"))
-    spans = whole.unionByName(_spans_of(_opened(named, left, length), length))
+    few, hot = _to_compare(named, left)
+    spans = whole.unionByName(_spans_of(_opened(few, length), length)).unionByName(_hot_spans(hot, length))
     return named, spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
