@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from .common import SPACES, table, text_or_empty, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Ways in which the lines of one hash are dealt out, by document. Few hashes fill them; the rest stay side by side.
+#: Least number of ways in which the lines of one hash are dealt out, by document. There are as many as shuffle
+#: partitions if those are more, so that a part of a hot hash is never above an even share of the rows.
 SALTS = 32
 
 
@@ -26,14 +27,19 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
+def _partitions(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2: 96 bits of the key. tag tells apart the texts of rows that share a doc_id."""
     lines = docs.where(F.col("doc_id").isNotNull()).select(
         "doc_id", F.xxhash64(text_or_empty()).alias("tag"), F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line")
     )
     bare = F.btrim("line", F.lit(SPACES))  # as long as its key
+    salts = max(SALTS, _partitions(docs))
     keys = lines.where(F.length(bare) >= min_chars).select("doc_id", "tag", "pos", line_key(F.col("line")).alias("key"))
-    return keys.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"), "doc_id", "tag", "pos")
+    return keys.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt"), "doc_id", "tag", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -46,8 +52,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     # One head row for each part of a heavy hash: it comes first in the sort and tells the stream what to keep.
     heads = by_part.select(*part).join(heavy.select(*group, "last_doc"), group).select(*part, F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("tag"), F.lit(-1).alias("pos"), "last_doc")
     rows = heads.unionByName(seen.withColumn("last_doc", F.lit(None).cast(seen.schema["doc_id"].dataType)))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *part)
+    dealt = rows.repartitionByRange(_partitions(docs), *part)
     stream = Window.partitionBy(*part).orderBy(F.col("pos") >= 0, F.desc("doc_id"), "pos").rowsBetween(Window.unboundedPreceding, 0)
     lost = dealt.withColumn("kept_in", F.first("last_doc", ignorenulls=True).over(stream)).where((F.col("pos") >= 0) & (F.col("doc_id") < F.col("kept_in")))
     words = lost.groupBy("doc_id", "tag", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("zeros"))
