@@ -250,12 +250,11 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
 
 
 def scan(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans and all spans, as (start, kind, end). A span of the field counts where no base span overlaps it."""
+    """The base spans and all spans, as (start, kind, end). Spans of the field stand beside the base ones, which they may overlap."""
     if not isinstance(text, str) or not text:
         return [], []
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in field_spans(text, field) if not any(a < e and s < b for s, _, e in base)]
-    return base, sorted(base + more)
+    return base, sorted(base + [(a, 3, b) for a, b in field_spans(text, field)])
 
 
 def _told(spans) -> str:

@@ -71,3 +71,16 @@ def test_query_digest(spark):
     r = S.op10_secret_scan(spark, sf).where("n_assign > 0").first()
     text = spark.read.parquet(f"{sf}/documents.parquet").where(f"doc_id = {r.doc_id}").first().text
     assert r.base_sha256 == hashlib.sha256(S._told(slow(text)).encode()).hexdigest()
+
+
+HELD = "0123456789abcdef0123456789abcdef.aB3dE6gH9jK2mN5q", "1234567890123456789-x7Kp2QmZ9vT4wLs8Rb3NcY6d"
+
+
+@pytest.mark.parametrize("key", HELD)
+def test_field_spans_stay_beside_base_spans(spark, field, key):
+    text = f"the key is {key} now"
+    base, spans = S.scan(text, field)
+    assert base == slow(text) and set(base) < set(spans)
+    assert {i for a, _, b in spans for i in range(a, b)} == set(range(11, 11 + len(key)))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert S.redacted(docs).first().text == "the key is [SECRET] now"
