@@ -1,12 +1,16 @@
-"""Secret scans: base patterns, and a linear-chain conditional random field over the pieces of long runs.
+"""Secret scans: base patterns, and a linear-chain conditional random field over all tokens of a text.
 
-A run is twelve or more of [A-Za-z0-9+/_.=-] with a digit in it; its pieces are its alphanumeric stretches and single
-other characters. Each piece is tagged secret-begin, inside or outside from its shape, its neighbours, the words
-before the run and features of the whole text, and the tags of a run are decoded by Viterbi. All other tokens are
-outside by the model's definition, so the chain falls apart at them and decoding run by run is decoding the text.
+A token is a stretch without white space; its pieces are its alphanumeric stretches and single other characters. Each
+piece is tagged secret-begin, inside or outside from its shape, its neighbours, the cue words before it and features of
+the whole text. No secret goes over white space, so each token is a chain of its own, decoded by Viterbi. No length,
+digit or alphabet is asked for: the field alone decides.
 
-The field is trained here, on the driver, by maximum likelihood on made-up runs (``training_runs``), which hold the
-common forms of keys and the usual look-alikes: addresses, hosts, dates, versions, numbers, names and paths.
+Most tokens are words without a cue before them. Those that stay outside under the most favourable features of a text
+are told by a memo (``Field.plain``), and only the others are decoded in their place; the result is the same.
+
+The field is trained here, on the driver, by maximum likelihood on made-up texts (``training_runs`` and
+``training_tokens``), which hold the common forms of keys and passwords and the usual look-alikes: words, identifiers,
+markup, addresses, hosts, dates, versions, numbers, names and paths.
 
 Defined results: null and empty texts have no spans; texts are scanned whole; each row is scanned, repeated or not,
 with its doc_id as given; an empty table gives an empty result; other columns, whatever their names, pass through
@@ -35,11 +39,23 @@ ASSIGN = re.compile("(" + "|".join(map(_either, ("password", "passwd", "secret",
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Words that count as features of what follows within 40 characters.
+CUES = frozenset(
+    (*KEYWORDS, "key", "pwd", "pass", "passphrase", "passcode", "pin", "psk", "bearer", "basic", "auth", "authorization", "credential", "credentials", "private", "access", "login")
+    + ("passwort", "kennwort", "passe", "clave", "secrets", "tokens", "passwords", "is", "ist", "est", "es", "of", "the", ":", "=")
+)
+#: Without one of these in reach a token has no cue; "is" and the like count beside them only.
+PARTS = (":", "=", "pass", "secret", "token", "key", "pwd", "kennwort", "pin", "psk", "bearer", "basic", "auth", "credential", "private", "access", "login", "clave")
+CUE = re.compile("[:=]|pass|secret|token|api_?key|key|pwd|kennwort|pin|psk|bearer|basic|auth|credential|private|access|login|clave", re.IGNORECASE | re.ASCII)
+_SAYS = re.compile("|".join(sorted(k for k in CUES if len(k) > 3 or k in ("key", "pwd"))))
+TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-PIECE = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
+PIECE = re.compile(r"[^\W_]+|[\W_]")
+HARD = re.compile("[b-df-hj-np-tv-xzß]+", re.IGNORECASE)
+REACH, MEMO, LONG = 40, 1 << 20, 80
 DIGIT = re.compile("[0-9]")
 BEFORE = re.compile(r"[A-Za-z_]+|[^\sA-Za-z_]")
-WEIGHTS = 1 << 13
+WEIGHTS = 1 << 15
 OUT, BEGIN, INSIDE = range(3)
 #: Inside follows begin or inside only.
 MOVES = np.array([[0.0, 0.0, -np.inf], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
@@ -65,8 +81,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _LONG_HEX = re.compile("[a-f]{16}")
 
 
+@lru_cache(maxsize=1 << 16)
 def _shape(piece: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", piece))))[:10]
+    return _AGAIN.sub(r"\1", piece.translate(_CLASS))[:10]
+
+
+_AGAIN = re.compile(r"(.)\1+")
+_CLASS = {ord(c): k for of, k in ((string.ascii_lowercase, "a"), (string.ascii_uppercase, "A"), (string.digits, "9")) for c in of}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -78,31 +99,130 @@ def _bucket(n: int) -> int:
     return n.bit_length() if n < 8 else 4 + n // 8 if n < 64 else 12
 
 
-def chain(text: str, start: int, end: int, file: tuple[str, ...]) -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """The pieces of a run as spans, and the features of each."""
-    run = text[start:end]
-    spans = [(start + m.start(), start + m.end()) for m in PIECE.finditer(run)]
-    said = BEFORE.findall(text[max(0, start - 40) : start])[-4:]
-    context = [f"w{k}:{w.lower()}" for k, w in enumerate(reversed(said))] + [f"has:{k}" for k in KEYWORDS if any(k in w.lower() for w in said)]
-    after = text[end : end + 1]
-    whole = [f"run:{_bucket(end - start)}", f"pieces:{min(len(spans), 8)}", f"after:{after if not after.isalpha() else 'a'}", *context, *file]
-    out = []
-    pieces = [text[a:b] for a, b in spans]
+@lru_cache(maxsize=1)
+def _pairs() -> np.ndarray:
+    """How common pairs of letters are in words, as logarithms; 26 stands for all but a to z."""
+    n, r = np.full((27, 27), 3.0), random.Random(5)
+    for k in range(6000):
+        w = WORDS[k % len(WORDS)] if k % 2 else "".join(r.choices(SYLLABLES, k=3))
+        x = _letters(w)
+        np.add.at(n, (x[:-1], x[1:]), 1)
+    return np.log(n / n.sum(axis=1, keepdims=True))
+
+
+def _letters(p: str) -> np.ndarray:
+    return np.array([ord(c) - 97 if "a" <= c <= "z" else 26 for c in p.lower()], int)
+
+
+@lru_cache(maxsize=1 << 16)
+def _odd(p: str) -> int:
+    """How unlike a word a stretch of letters is, from 0; -1 for those of fewer than four characters."""
+    if len(p) < 4:
+        return -1
+    x, of = [_LETTER.get(c, 26) for c in p.lower()], _pair_rows()
+    return int(-3 * sum(of[a][b] for a, b in zip(x, x[1:])) / (len(x) - 1))
+
+
+_LETTER = {c: i for i, c in enumerate(string.ascii_lowercase)}
+
+
+@lru_cache(maxsize=1)
+def _pair_rows() -> list[list[float]]:
+    return _pairs().tolist()
+
+
+@lru_cache(maxsize=1 << 16)
+def _kinds(p: str) -> str:
+    return f"{any(map(str.isdigit, p))}{any(map(str.islower, p))}{any(map(str.isupper, p))},{_bucket(len(p))},{_odd(p)}"
+
+
+def _stats(p: str) -> tuple:
+    """All that the features of a piece are made from."""
+    digits, lower, upper = (sum(map(f, p)) for f in (str.isdigit, str.islower, str.isupper))
+    n = len(p)
+    changes = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(p, p[1:])) if digits or upper else 0
+    turns = changes - (n > 1 and p[0].isupper() and p[1].islower())
+    hard = max(map(len, HARD.findall(p)), default=0)
+    low = p.lower()
+    return (
+        _bucket(n), _shape(p), f"{digits > 0}{lower > 0}{upper > 0}", 10 * digits // n, 10 * changes // n, n >= 8 and not p.strip("0123456789abcdef"), 10 * len(set(p)) // n, 10 * sum(map(low.count, "aeiou")) // n,
+        p[:4] if n <= 6 else "", min(turns, 9), min(hard, 12), _odd(p), low if low in CUES else "", p if n == 1 and not p.isalnum() else "",
+    )
+
+
+@lru_cache(maxsize=1 << 16)
+def _piece(p: str) -> tuple[int, ...]:
+    """The features of a piece by itself."""
+    size, shape, kinds, digits, changes, hexed, distinct, vowels, head, turns, hard, odd, cue, sign = _stats(p)
+    return tuple(
+        _hashed(f)
+        for f in (
+            "bias", f"len:{size}", f"shape:{shape}", f"kinds:{kinds}", f"digits:{digits}", f"changes:{changes}", f"hex:{hexed}", f"distinct:{distinct}", f"vowels:{vowels}", f"len,kinds:{size},{kinds}", f"head:{head}",
+            f"turns:{turns}", f"hard:{hard}", f"len,hard:{size},{hard}", f"len,turns:{size},{turns}", f"cue:{cue}", f"sign:{sign}", f"odd:{odd}", f"len,odd:{size},{odd}",
+        )
+    )
+
+
+_numbers: dict[tuple, int] = {}
+
+
+@lru_cache(maxsize=MEMO)
+def _kind(p: str) -> int:
+    """A number for all pieces that the field cannot tell apart; -1 for those that hold a cue."""
+    return -1 if _says(p) else _numbers.setdefault((p if len(p) == 1 else "", _stats(p)), len(_numbers))
+
+
+def _whole(token: str, pieces: list[str]) -> tuple[int, ...]:
+    return _hashed(f"run:{_bucket(len(token))}"), _hashed(f"pieces:{min(len(pieces), 8)}")
+
+
+def _beside(shapes: list[str], pieces: list[str], i: int) -> tuple[int, ...]:
+    """The features of piece i from those beside it. shapes has one more at either end."""
+    p = pieces[i]
+    f = [f"prev:{shapes[i]}", f"next:{shapes[i + 2]}", f"prev,shape:{shapes[i]},{shapes[i + 1]}"]
+    if len(p) == 1 and not p.isalnum():
+        f += [f"sign,before:{p},{_bucket(len(pieces[i - 1])) if i else '^'}", f"sign,next:{p},{shapes[i + 2]}", f"sign,place:{p},{i == 0},{i + 1 == len(pieces)}", f"sign,first:{p},{pieces[0] if len(pieces[0]) == 1 else ''}"]
+    return tuple(map(_hashed, f))
+
+
+def _says(token: str) -> bool:
+    return _SAYS.search(token.lower()) is not None
+
+
+def _token(token: str, pieces: list[str]) -> list[tuple[int, ...]]:
+    """The features of each piece from the token alone."""
+    shapes = ["^", *map(_shape, pieces), "$"]
+    whole, said = _whole(token, pieces), _says(token)
+    out, cue = [], ""
     for i, p in enumerate(pieces):
-        digits, lower, upper = (sum(map(f, p)) for f in (str.isdigit, str.islower, str.isupper))
-        n = len(p)
-        changes = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(p, p[1:]))
-        out.append(
-            [
-                _hashed(f)
-                for f in [
-                    "bias", f"len:{_bucket(n)}", f"shape:{_shape(p)}", f"kinds:{digits > 0}{lower > 0}{upper > 0}", f"digits:{10 * digits // n}", f"changes:{10 * changes // n}",
-                    f"hex:{n >= 8 and not p.strip('0123456789abcdef')}", f"distinct:{10 * len(set(p)) // n}", f"vowels:{10 * sum(c in 'aeiouAEIOU' for c in p) // n}", f"len,kinds:{_bucket(n)},{digits > 0}{lower > 0}{upper > 0}",
-                    f"prev:{_shape(pieces[i - 1]) if i else '^'}", f"next:{_shape(pieces[i + 1]) if i + 1 < len(pieces) else '$'}", f"head:{p[:4] if n <= 6 else ''}", *whole,
-                ]
-            ]
-        )
-    return spans, out
+        f = []
+        if said:
+            f = [f"after:{cue}", f"after,prev:{cue != ''},{shapes[i]}", f"after,kinds:{cue not in ('', 'used')},{_kinds(p)}", f"after,sign:{cue not in ('', 'used')},{p if len(p) == 1 else ''}"]
+        out.append(_piece(p) + whole + _beside(shapes, pieces, i) + tuple(map(_hashed, f)))
+        cue = next((k for k in KEYWORDS + ("key", "pwd", "pass") if p.lower().endswith(k)), cue if p in "_:=\"'@[](){}-" else "used" if cue else "")
+    return out
+
+
+def _context(text: str, start: int) -> tuple[str, ...]:
+    """The words before a token that count, the nearest first, then how the last cue is linked: none without one in reach."""
+    before = text[max(0, start - REACH) : start]
+    if not CUE.search(before):
+        return ()
+    low = [w.lower() for w in reversed(BEFORE.findall(before)[-4:])]
+    cues = [k for k in KEYWORDS + ("key", "pwd", "pass", "bearer", "login") if any(k in w for w in low)]
+    at = next((k for k, w in enumerate(low) if any(c in w for c in cues)), -1)
+    link = f"{at},{low[0] if at > 0 and low[0] in CUES else ''}" if at >= 0 else ""
+    return (*(f"w{k}:{w}" for k, w in enumerate(low) if w in CUES), *(f"has:{k}" for k in cues), f"link:{link}")
+
+
+def chain(text: str, start: int, end: int, file: tuple[str, ...]) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """The pieces of a token as spans, and the features of each."""
+    token = text[start:end]
+    spans = [(start + m.start(), start + m.end()) for m in PIECE.finditer(token)]
+    pieces, said = [text[a:b] for a, b in spans], _context(text, start)
+    rest = [_hashed(f) for f in (*said, *file)]
+    linked = [[_hashed(f"{said[-1]},{x}") for x in (_kinds(p), _shape(p), f"{i},{len(p) > 1}")] if said else [] for i, p in enumerate(pieces)]
+    return spans, [[*f, *rest, *x] for f, x in zip(_token(token, pieces), linked, strict=True)]
 
 
 def file_features(text: str) -> tuple[str, ...]:
@@ -110,23 +230,65 @@ def file_features(text: str) -> tuple[str, ...]:
     return (f"keys:{sum(k in low for k in KEYWORDS)}", f"lines:{_bucket(text.count(chr(10)))}")
 
 
+#: For each field, by its key: plain tokens, the first that were seen.
+_plain: dict[int, set[str]] = {}
+#: The same: whether tokens are plain, by the kinds of their pieces. It outlives a task of a worker.
+_memo: dict[int, dict[tuple, bool]] = {}
+
+
 class Field:
     """w: emission weights by feature and tag. t: transition weights."""
 
     def __init__(self, w: np.ndarray, t: np.ndarray):
         self.w, self.t = w, t + MOVES
-
-    def decode(self, features: list[list[int]]) -> list[int]:
-        best, back = FIRST + self.w[features[0]].sum(axis=0), []
-        for f in features[1:]:
-            paths = best[:, None] + self.t
-            back.append(paths.argmax(axis=0))
-            best = paths.max(axis=0) + self.w[f].sum(axis=0)
-        tags = [int(best.argmax())]
+        self.rows, self.moves = [tuple(r) for r in w.tolist()], self.t.tolist()
+        self.key = zlib.crc32(w.tobytes() + t.tobytes())
+        files = [w[[_hashed(f"keys:{k}"), _hashed(f"lines:{n}")]].sum(axis=0) for k in range(len(KEYWORDS) + 1) for n in range(13)]
+        #: The most that features of the whole text can add to begin and inside over outside.
+        self.most = [0.0, *np.max([f[1:] - f[0] for f in files], axis=0).tolist()]
+
+    def __reduce__(self):
+        return Field, (self.w, self.t)
+
+    def decode(self, features: list[list[int]], more: tuple | list = (0.0, 0.0, 0.0)) -> list[int]:
+        best, back = None, []
+        for f in features:
+            o, b, i = more
+            for x in f:
+                u, v, w = self.rows[x]
+                o, b, i = o + u, b + v, i + w
+            if best is None:
+                best = [o, b, -np.inf]
+                continue
+            step, last = [], []
+            for y, e in enumerate((o, b, i)):
+                paths = [best[x] + self.moves[x][y] for x in range(3)]
+                top = max(paths)
+                step.append(top + e)
+                last.append(paths.index(top))
+            back.append(last)
+            best = step
+        tags = [best.index(max(best))]
         for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
+            tags.append(b[tags[-1]])
         return tags[::-1]
 
+    def plain(self, token: str) -> bool:
+        """Whether a token without a cue before it is outside in any text."""
+        if len(_numbers) >= MEMO:
+            _numbers.clear(), _memo.clear(), _kind.cache_clear()
+        held = _memo.setdefault(self.key, {})
+        kinds = tuple(map(_kind, PIECE.findall(token)))
+        if -1 in kinds:
+            return not any(self.decode(_token(token, PIECE.findall(token)), self.most))
+        kinds = kinds, _bucket(len(token))
+        known = held.get(kinds)
+        if known is None:
+            if len(held) >= MEMO:
+                held.clear()
+            known = held[kinds] = not any(self.decode(_token(token, PIECE.findall(token)), self.most))
+        return known
+
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
@@ -134,35 +296,43 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(chains: list[list[list[int]]], tags: list[list[int]], rounds: int = 80, rate: float = 0.1, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam; forward and backward sums over all chains at once."""
-    n, width = len(chains), max(len(f) for c in chains for f in c)
-    ids = np.full((n, PAD, width), WEIGHTS)  # the last row of weights stays 0
-    gold, real = np.zeros((n, PAD), int), np.zeros((n, PAD), bool)
-    for i, (c, t) in enumerate(zip(chains, tags, strict=True)):
-        for j, f in enumerate(c[:PAD]):
-            ids[i, j, : len(f)] = f
-            gold[i, j], real[i, j] = t[j], True
+    """Maximum likelihood by Adam; forward and backward sums over all chains at once, the longest first."""
+    order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
+    chains, tags = [chains[i][:PAD] for i in order], [tags[i][:PAD] for i in order]
+    n, sizes = len(chains), np.array([len(c) for c in chains])
+    row, col = np.repeat(np.arange(n), sizes), np.concatenate([np.arange(k) for k in sizes])
+    pieces = [f for c in chains for f in c]
+    width = max(map(len, pieces))
+    ids = np.array([[*f, *[WEIGHTS] * (width - len(f))] for f in pieces])  # the last row of weights stays 0
+    gold = np.concatenate(tags)
+    deep = int(sizes.max())
+    live = [int((sizes > j).sum()) for j in range(deep)]
     w, t = np.zeros((WEIGHTS + 1, 3)), np.zeros((3, 3))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
     one = np.eye(3)
     low = -1e9
     moves, first = np.maximum(MOVES, low), np.maximum(FIRST, low)
+    both = np.nonzero(col > 0)[0]
+    seen = one[gold[both - 1]].T @ one[gold[both]]
     for k in range(1, rounds + 1):
-        e = w[ids].sum(axis=2)
-        a, b = np.zeros((n, PAD, 3)), np.zeros((n, PAD, 3))
+        e = np.zeros((n, deep, 3))
+        e[row, col] = w[ids].sum(axis=1)
+        a, b = np.zeros((n, deep, 3)), np.zeros((n, deep, 3))
         a[:, 0] = first + e[:, 0]
-        for j in range(1, PAD):
-            a[:, j] = np.where(real[:, j, None], _log_sum(a[:, j - 1, :, None] + t + moves, 1) + e[:, j], a[:, j - 1])
-        for j in range(PAD - 2, -1, -1):
-            b[:, j] = np.where(real[:, j + 1, None], _log_sum(t + moves + (e[:, j + 1] + b[:, j + 1])[:, None, :], 2), 0.0)
-        z = _log_sum(a[:, -1], 1)
-        post = np.exp(np.minimum(a + b - z[:, None, None], 0)) * real[:, :, None]
-        diff = (post - one[gold] * real[:, :, None]) / n
-        gw = np.stack([np.bincount(ids.ravel(), np.repeat(diff[:, :, y].ravel(), width), WEIGHTS + 1) for y in range(3)], 1) + ridge * w
+        for j in range(1, deep):
+            m = live[j]
+            a[:m, j] = _log_sum(a[:m, j - 1, :, None] + t + moves, 1) + e[:m, j]
+        for j in range(deep - 2, -1, -1):
+            m = live[j + 1]
+            b[:m, j] = _log_sum(t + moves + (e[:m, j + 1] + b[:m, j + 1])[:, None, :], 2)
+        z = _log_sum(a[np.arange(n), sizes - 1], 1)
+        post = np.exp(np.minimum(a[row, col] + b[row, col] - z[row, None], 0))
+        diff = (post - one[gold]) / n
+        gw = np.stack([np.bincount(ids.ravel(), np.repeat(diff[:, y], width), WEIGHTS + 1) for y in range(3)], 1) + ridge * w
         gw[-1] = 0
-        both = real[:, 1:, None, None]
-        pair = np.exp(np.minimum(a[:, :-1, :, None] + t + moves + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None], 0)) * both
-        gt = (pair - one[gold[:, :-1]][:, :, :, None] * one[gold[:, 1:]][:, :, None, :] * both).sum(axis=(0, 1)) / n + ridge * t
+        at, of = row[both], col[both]
+        pair = np.exp(np.minimum(a[at, of - 1][:, :, None] + t + moves + (e[at, of] + b[at, of])[:, None, :] - z[at, None, None], 0))
+        gt = (pair.sum(axis=0) - seen) / n + ridge * t
         for x, g, m, v in ((w, gw, *state[:2]), (t, gt, *state[2:])):
             m *= 0.9
             m += 0.1 * g
@@ -216,37 +386,182 @@ def training_runs(seed: int = 7, n: int = 1200) -> list[tuple[str, list[tuple[in
     return out
 
 
+SYLLABLES = (
+    "th er on an re he in ed nd ha en es ver ung ment que ción los st ou at or ti tion ing the that and wh ly ble hat his der die sch ein ich keit lich heit zu über ge be pf tz au ö ü ä le la les des eau aux "
+    "é è ê ç oi eur ai ez ado mente ña ía ó ra co bo ja ll ka mo su ni ta po li wa ro mi do ne fi gu ro str ck ght ph ous ism ist per con pro com de ex un dis ex ation ness ful less man land stein burg"
+).split()
+WORDS = (
+    "about after again against always another because before between brother building business called change children city close company computer could country course different does down each early earth enough even every "
+    "example family father feet figure first follow found friend from government great group grow hand head help high house important information interest international know language large learn letter light little live long "
+    "make many might money mother mountain move much must name nature never night nothing number often only order other over own paper part people picture place plant point power problem public question quick read really "
+    "right river room school science second sentence several should side simple small something song sound space special start state still story street strong study system table teacher their there these thing think though "
+    "thought through time together took travel tree under understand until usually very voice walk water week weight which while white whole without woman word work world would write year young abend arbeit aufgabe beispiel "
+    "bereich dabei deutsch dorf durch entwicklung erste fenster freund gegen gemeinde geschichte gesellschaft gesetz grund heute jahr jetzt kinder krankenhaus leben mensch möglich morgen nächste regierung schule schon sprache "
+    "straße stadt versicherung verschiedene wasser weg wichtig wirtschaft wohnung zeit zusammen alors année après aujourd autre avec beaucoup bonjour chaque chose comme deux donc enfant entre français gouvernement homme "
+    "jamais jour lorsque maintenant monde nouveau parce personne petit peut plusieurs pourquoi premier quelque toujours travail trois ville agua ahora algunos amigo antes aunque casa ciudad cuando desarrollo desde después "
+    "donde empresa entonces español estado fuerza gente gobierno grande hacer hasta hombre lugar mayor mejor mientras mujer mundo mucho noche nuestro nuevo parte porque primero pueblo siempre sociedad también tiempo "
+    "trabajo vida string value function return class import define include static void public private boolean integer index object request response server client config default database username"
+).split()
+
+
+def training_tokens(seed: int = 11, n: int = 4000) -> list[tuple[str, list[tuple[int, int]]]]:
+    """As training_runs, with keys of letters only, passwords with other signs and short ones, and more look-alikes."""
+    r = random.Random(seed)
+    some = lambda chars, k: "".join(r.choices(chars, k=k))
+    letters, digits, signs = string.ascii_letters, string.digits, "!@#$%^&*?+-_~"
+    base = lambda: "".join(r.choices(SYLLABLES, k=r.choice((1, 1, 2, 2, 3, 3, 4, 5, 7)))) if r.random() < 0.6 else "".join(r.choices(WORDS, k=r.choice((1, 1, 1, 1, 2, 3))))
+    word = lambda: r.choice((str, str, str, str.capitalize, str.upper))(base())
+    ascii_word = lambda: "".join(c for c in base() if c.isascii()) or "data"
+    num = lambda a, b: str(r.randint(a, b))
+
+    def shuffled(*parts):
+        out = list("".join(parts))
+        r.shuffle(out)
+        return "".join(out)
+
+    loose = (  # told by themselves
+        lambda: some(letters, r.randint(20, 44)),
+        lambda: some(letters, r.randint(20, 44)),
+        lambda: some(string.ascii_lowercase, r.randint(24, 44)),
+        lambda: some(string.ascii_lowercase, r.randint(20, 44)),
+        lambda: some(string.ascii_uppercase, r.randint(24, 44)),
+        lambda: some(letters + digits, r.randint(18, 40)),
+        lambda: some("gsprx", r.randint(2, 3)) + r.choice(("p_", "k_live_", "k-", "-")) + some(letters + digits, r.randint(20, 36)),
+        lambda: some(letters + digits + "+/", r.randint(24, 44)) + r.choice(("", "=", "==")),
+        lambda: shuffled(some(letters, r.randint(6, 10)), some(digits, r.randint(2, 5)), some(signs, r.randint(2, 4))),
+    )
+    bound = (  # told by the word before
+        *loose,
+        lambda: shuffled(some(letters, r.randint(3, 8)), some(digits, r.randint(1, 4)), some(signs, r.randint(1, 4))),
+        lambda: shuffled(some(letters, r.randint(3, 8)), some(digits, r.randint(1, 4)), some(signs, r.randint(1, 4))),
+        lambda: shuffled(some(letters, r.randint(6, 12)), some(signs, r.randint(2, 4))),
+        lambda: ascii_word().capitalize() + num(1, 2030) + some(signs, r.randint(1, 2)),
+        lambda: ascii_word()[: r.randint(4, 9)] + num(1, 999) + some(signs, r.randint(0, 2)),
+        lambda: ascii_word() + some("@#$_-", 1) + num(10, 9999) + some("!?*", r.randint(0, 1)),
+        lambda: shuffled(some(letters, r.randint(3, 6)), some(digits, r.randint(2, 5))),
+        lambda: shuffled(some(letters, r.randint(4, 6)), some(digits, r.randint(2, 5))),
+        lambda: some(letters, r.randint(12, 19)),
+    )
+    keys = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "API_KEY", "Password", "DB_PASSWORD", "access_token", "client_secret", "SECRET_KEY", "PASSWORD", "Passwort", "Token")
+
+    def intro() -> tuple[str, str]:
+        k = r.choice(keys)
+        return r.choice(((f"{k}: ", ""), (f"{k} = ", ""), (f"{k}=", ""), (f"{k}:", ""), (f'{k} = "', '"'), (f'{k} = "', r.choice(('",', '")', '");', '"###', '"!!', '".', '"***'))), (f"{k}='", "'"), (f'"{k}": "', '",'), (f'{{"{k}":"', '"}'), (f"{k} is ", ""), (f"{k} ", ""), (f"--{k}=", ""), (f"--{k} ", ""), (f"https://example.com/{base()}?{k}=", "&x=1"), ("Authorization: Bearer ", ""), ("Bearer ", ""), (f"the {k} for {base()} is ", ""), (f"the {k} is ", "."), (f"{k}: ", ","), (f"{k}={base()}; {k}=", ";"), (f"{k}: '", "'")))
+
+    safe = (
+        lambda: word(),
+        lambda: word() + r.choice((",", ".", "!", "?", ";", ":", "!!", "...", "%%%", "###", "***", "$$$", "&&&", ",###", ".%%%", ")", "”")),
+        lambda: r.choice(("(", '"', "'", "“", "«", "[", "###", "***", "--")) + word() + r.choice((")", '"', "'", "”", "»", "]", "###", "***", "")),
+        lambda: f"{word()}-{word()}" + r.choice(("", "", f"-{word()}")),
+        lambda: word() + r.choice(("'s", "n't", "'re", "'ll", "’s")),
+        lambda: "".join(ascii_word().capitalize() for _ in range(r.randint(2, 4))) + r.choice(("", "()", "();", ".java", "[]", "2")),
+        lambda: ascii_word() + "".join(ascii_word().capitalize() for _ in range(r.randint(1, 3))) + r.choice(("", "()", "(x)", ";")),
+        lambda: "_".join(ascii_word() for _ in range(r.randint(2, 5))) + r.choice(("", "()", "=1", "=None,", ":")),
+        lambda: f"{ascii_word()[:2]}{num(0, 99)}_{ascii_word()}_{ascii_word()}" + r.choice(("", "", "`", "()", ",")),
+        lambda: f"{ascii_word()[:3]}{num(1, 999)}" + r.choice(("", "p", "x", "b")),
+        lambda: "0x" + some("0123456789ABCDEF", r.choice((8, 16))),
+        lambda: "_".join(ascii_word().upper() for _ in range(r.randint(2, 4))),
+        lambda: f"<{ascii_word()}>{word()}</{ascii_word()}>",
+        lambda: f'class="{ascii_word()}-{ascii_word()}">{word()}',
+        lambda: f"https://www.{ascii_word()}.com/{ascii_word()}/{ascii_word()}-{ascii_word()}" + r.choice(("", "/", ".html", f"?id={num(1, 9999)}", f"?{ascii_word()}={ascii_word()}&page={num(1, 9)}")),
+        lambda: f"/{ascii_word()}/{ascii_word()}/{ascii_word()}.{r.choice(('py', 'txt', 'json', 'so'))}",
+        lambda: f"{ascii_word()}.{num(1, 99)}@mail{num(0, 9)}.{ascii_word()}.com",
+        lambda: f"{ascii_word()}@{ascii_word()}.org",
+        lambda: f"${num(1, 999)},{num(100, 999)}.{num(10, 99)}",
+        lambda: num(0, 10 ** r.randint(1, 16)) + r.choice(("", "", "%", ",", ".", "th", "km", "€")),
+        lambda: ".".join(num(0, 255) for _ in range(4)),
+        lambda: f"({num(200, 999)})",
+        lambda: f"{num(200, 999)}-{num(1000, 9999)}",
+        lambda: f"{num(1, 12)}/{num(1, 28)}/{num(1950, 2030)}",
+        lambda: f"{num(1990, 2030)}-{num(10, 12)}-{num(10, 28)}" + r.choice(("", f"T{num(10, 23)}:{num(10, 59)}:{num(10, 59)}Z")),
+        lambda: f"{num(0, 23)}:{num(10, 59)}",
+        lambda: f"v{num(0, 9)}.{num(0, 20)}.{num(0, 20)}",
+        lambda: f"{ascii_word()}({ascii_word()},{num(0, 99)});",
+        lambda: f"{ascii_word()}={ascii_word()}",
+        lambda: f"{ascii_word()}[{num(0, 9)}]+={num(0, 99)};",
+        lambda: r.choice(("==", "=>", "->", "{", "}", "//", "/*", "&&", "||", "---", "****", "#", "$", "&", "...", "=", ":", "i++", "#ff00aa", "0x1F", "=====", "__________", "I", "a", "A.", "U.S.", "e.g.,", "1st", "COVID-19", "H2O", "MP3", "x86_64", "UTF-8")),
+    )
+    prose = lambda: r.choice(safe[:5])()
+    #: After a cue, but no secret.
+    spoken = ("is required", "must be set", "of the house", "to success", "was lost", "and user", "field", "string", "None", "null", "true", "= None", ": str", "= getToken()", "= os.environ", "for the user", "= input()", "=", ": string,", "reset", "has expired", "in the garden", "= true", "*", "(optional)")
+    out = []
+    for k in range(n):
+        gap = lambda: r.choice((" ", " ", " ", " ", "\n", "\t"))
+        lead = "".join((prose() if r.random() < 0.8 else r.choice(safe)()) + gap() for _ in range(r.randint(0, 6)))
+        tail = "".join(gap() + prose() for _ in range(r.randint(0, 4))) + "\n" * r.choice((0, 0, 0, 1, 3, 9, 20, 40, 70))
+        if k % 4 == 1:
+            before, after = intro()
+            value = r.choice(bound)()
+        elif k % 8 == 3:
+            (before, after), value = r.choice((("", ""), ("", "."), ("", ","), ('"', '"'), ("(", ")"), ("key ", ""), ("id = ", ""))), r.choice(loose)()
+        else:
+            shown = r.choice(safe)() if k % 16 else r.choice(("", "the ", "a ", "his ")) + r.choice((*keys, "key", "tokens", "secrets")) + " " + r.choice(spoken)
+            out.append((lead + shown + tail, []))
+            continue
+        at = len(lead) + len(before)
+        out.append((lead + before + value + after + tail, [(at, at + len(value))]))
+    return out
+
+
+def _labelled(texts) -> tuple[list[list[list[int]]], list[list[int]]]:
+    """The chains of all tokens and their tags."""
+    chains, tags = [], []
+    for text, held in texts:
+        file = file_features(text)
+        for m in TOKEN.finditer(text):
+            spans, features = chain(text, m.start(), m.end(), file)
+            inside = [next((h for h in held if h[0] <= a and b <= h[1]), None) for a, b in spans]
+            chains.append(features)
+            tags.append([OUT if h is None else BEGIN if i == 0 or inside[i - 1] != h else INSIDE for i, h in enumerate(inside)])
+    return chains, tags
+
+
 @lru_cache(maxsize=1)
 def trained() -> Field:
-    chains, tags = [], []
-    for text, held in training_runs():
-        for run in RUN.finditer(text):
-            if DIGIT.search(run[0]):
-                spans, features = chain(text, run.start(), run.end(), file_features(text))
-                inside = [next((h for h in held if h[0] <= a and b <= h[1]), None) for a, b in spans]
-                chains.append(features)
-                tags.append([OUT if h is None else BEGIN if i == 0 or inside[i - 1] != h else INSIDE for i, h in enumerate(inside)])
-    return fit(chains, tags)
+    return fit(*_labelled([*training_runs(), *training_tokens()]))
+
+
+def _tagged(text: str, start: int, end: int, file: tuple[str, ...], field: Field) -> Iterator[tuple[int, int]]:
+    """The spans of a token."""
+    spans, features = chain(text, start, end, file)
+    begin = None
+    for (a, b), tag in zip([*spans, (end, end)], [*field.decode(features), OUT], strict=True):
+        if begin is not None and tag != INSIDE:
+            yield begin, last  # noqa: F821
+            begin = None
+        if tag == BEGIN:
+            begin = a
+        last = b  # noqa: F841
+
+
+def _in_reach(text: str) -> Iterator[tuple[int, int]]:
+    """The tokens that start within reach of a cue."""
+    at = 0
+    for m in CUE.finditer(text):
+        lo = max(m.end(), at)
+        if lo > 0 and not text[lo - 1].isspace():  # a token that begins before lo
+            lo = next((x for x in range(lo, len(text)) if text[x].isspace()), len(text))
+        for t in TOKEN.finditer(text, lo):
+            if t.start() - m.start() > REACH:
+                break
+            yield t.span()
+            at = t.end()
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
-    if not DIGIT.search(text):
-        return []
-    out, file = [], None
-    for run in RUN.finditer(text):
-        if not DIGIT.search(run[0]):
-            continue
-        file = file or file_features(text)
-        spans, features = chain(text, run.start(), run.end(), file)
-        begin = None
-        for (a, b), tag in zip([*spans, (run.end(), run.end())], [*field.decode(features), OUT], strict=True):
-            if begin is not None and tag != INSIDE:
-                out.append((begin, last))  # noqa: F821
-                begin = None
-            if tag == BEGIN:
-                begin = a
-            last = b  # noqa: F841
-    return [s for s in out if s[1] - s[0] >= 12]
+    file = file_features(text)
+    low = text.lower()
+    todo = set(_in_reach(text)) if any(k in low for k in PARTS) else set()
+    known = _plain.setdefault(field.key, set())
+    hot = set()
+    for t in set(text.split()) - known:
+        if len(t) > LONG or not field.plain(t):
+            hot.add(t)
+        elif len(known) < MEMO:
+            known.add(t)
+    if hot:
+        todo.update(m.span() for m in TOKEN.finditer(text) if m[0] in hot)
+    return [s for a, b in sorted(todo) for s in _tagged(text, a, b, file, field)]
 
 
 def scan(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

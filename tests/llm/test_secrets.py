@@ -84,3 +84,30 @@ def test_field_spans_stay_beside_base_spans(spark, field, key):
     assert {i for a, _, b in spans for i in range(a, b)} == set(range(11, 11 + len(key)))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert S.redacted(docs).first().text == "the key is [SECRET] now"
+
+
+def test_field_tags_all_tokens(field):
+    """Letters only, other signs than those of base64, and fewer than twelve characters; words beside them stay."""
+    for before, key in (
+        ("Authorization: Bearer ", "kQwZrTyPlMnBvCxSdFgHjKaEuIoLpWqRtYzXcVbN"),
+        ("we use ", "kQwZrTyPlMnBvCxSdFgHjKaEuIoLpWqRtYzXcVbN"),
+        ("pwd = ", "x7!kQ#9z"),
+        ("password: ", "Tr0ub4dor&3"),
+        ("my password is ", "P@ss!w0rd#9"),
+    ):
+        text = f"{before}{key} for this"
+        assert [text[a:b] for a, _, b in S.scan(text, field)[1]] == [key]
+    for t in ("Please enter your password: it must be long", "The token is required for access.", "don't use internationalization or Donaudampfschifffahrtsgesellschaft here", "x = foo(bar, 12); // comment"):
+        assert S.scan(t, field)[1] == []
+
+
+def test_held_out_tokens(field):
+    runs = S.training_tokens(seed=99, n=400)
+    assert sum(S.field_spans(text, field) == held for text, held in runs) / len(runs) > 0.95
+
+
+def test_memo_gives_what_decoding_all_tokens_gives(field, spark, sf):
+    texts = [t for t, _ in S.training_tokens(seed=5, n=200)] + TEXTS + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
+    for text in texts:
+        file = S.file_features(text)
+        assert S.field_spans(text, field) == [s for m in S.TOKEN.finditer(text) for s in S._tagged(text, *m.span(), file, field)]
