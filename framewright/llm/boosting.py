@@ -5,7 +5,8 @@ complete and flattened into arrays: a batch of rows walks down a tree with one c
 The model is fitted on the driver, from at most ``FIT_ROWS`` labelled rows; every document is scored.
 
 Defined results: null and empty texts have all statistics 0 and get a score; each row is scored, repeated or not;
-labels with a null doc_id or quality are not learned from, and a repeated label counts once (the largest quality);
+labels with a null doc_id or quality are not learned from, and a repeated label counts once (the largest quality), with
+the least of the texts of its doc_id; a null doc_id is not held out; texts are taken whole, whatever their length;
 without labels of both kinds each score is the share of good ones (0.5 without any); an empty table gives an empty
 result; labels, lang, source and doc_id are never inputs; other columns are ignored.
 """
@@ -113,8 +114,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Boo
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, 0.9 * rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows).select(F.col("doc_id").alias("of"), "quality")
-    # At most FIT_ROWS rows of two numbers: a proven bound for the broadcast.
-    held = _inputs(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")), "quality", "doc_id")
+    # At most FIT_ROWS rows of two numbers: a proven bound for the broadcast. One text for each keeps the bound.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    held = _inputs(texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text")), "quality", "doc_id")
     data = held.toPandas().sort_values("doc_id").drop(columns="doc_id")
     return fit(data.drop(columns="quality").to_numpy(float), (data["quality"].to_numpy() > 0).astype(float))
 
@@ -133,7 +135,7 @@ def score_documents(docs: DataFrame, model: Boosting, *others: str) -> DataFrame
 
 
 def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

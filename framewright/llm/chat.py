@@ -4,8 +4,10 @@ A conversation becomes segments (text, loss). Control strings inside texts are e
 formatted text can be read back: ``read_turns`` and ``loss_text`` invert the template.
 
 Defined results: turns are taken by (turn, role, text), so ties and repeated rows have one order; null texts and
-roles are empty; an unknown role gets a header of its own, is never under the loss mask and fails the machine; rows
-with a null conv_id form one conversation; empty tables give empty results; other columns are ignored.
+roles are empty; an unknown role, of any length, gets a header of its own, is never under the loss mask and fails the
+machine; rows with a null conv_id form one conversation; empty tables give empty results; other columns are ignored.
+A conversation is the unit of the result, one formatted text and its digests, so one task holds one conversation at a
+time; it may have up to 2^31 bytes, the limit of a string. Conversations are independent and dealt out by conv_id.
 """
 
 from __future__ import annotations
@@ -95,7 +97,8 @@ def read_turns(formatted: Column, template: ChatTemplate = DEFAULT) -> Column:
     control string always follows a backslash there and a space here."""
     parts = F.split(formatted, _literal(template.close_turn))
     parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    head = rf"(?s)^{_literal(template.open_turn)}((?:[^\\:]|\\.)*?){_literal(template.after_role)}(.*)$"
+    # Possessive, so that the engine loops instead of recursing: a role may be as long as a text.
+    head = rf"(?s)^{_literal(template.open_turn)}((?:[^\\:]++|\\.)*+){_literal(template.after_role)}(.*)$"
 
     def role(part: Column) -> Column:
         shown = F.regexp_extract(part, head, 1)

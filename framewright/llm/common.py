@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,16 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: The folders that written() has made and scratch() may delete.
+_made: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def removed(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
-    spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _deleted(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that written() made inside it. What is to stay must have been saved by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _deleted(spark, _made.pop())

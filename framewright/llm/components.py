@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round is two aggregations with map-side partials and a join that Spark can split where a node is hot; the edge
-table is written to the shared folder after each round, so a lost executor costs one round.
+table is written to the shared folder after each round, so a lost executor costs one round. Rounds end when every node
+is the centre of a star or hangs on one centre alone, which is counted, and then a star is a component.
 """
 
 from __future__ import annotations
@@ -25,20 +26,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node that has a smaller neighbour has one such, and no larger one."""
+    ends = F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))))
+    by_node = edges.select(ends).groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return by_node.where((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("up") == 1))).isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component: the least node that can be reached, for each node of an edge (a, b); loops are ignored."""
     pairs = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     nodes = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     now = nodes.where("u > v")
-    mark = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
+        if _are_stars(now):
+            break
         after = written(_star(_star(now, True), False), "stars")
-        if now is not nodes and mark is not None:
+        if turn:
             removed(now)
-        now, was = after, mark
-        mark = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if mark == was:
-            break
+        now = after
     else:
         raise RuntimeError("components did not settle")
     labelled = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -13,7 +13,7 @@ The field is trained here, on the driver, by maximum likelihood on made-up texts
 markup, addresses, hosts, dates, versions, numbers, names and paths.
 
 Defined results: null and empty texts have no spans; texts are scanned whole; each row is scanned, repeated or not,
-with its doc_id as given; an empty table gives an empty result; other columns, whatever their names, pass through
+with its doc_id as given, null or not; an empty table gives an empty result; other columns, whatever their names, pass through
 ``redacted``.
 """
 
@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import frames
 from .common import table
 
 KINDS = ("assign", "access", "hex", "field")
@@ -587,7 +588,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             found = [scan(t, field) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": [shown(x) for x, _ in found], "spans": [shown(y) for _, y in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {kind}, spans {kind}")
+    return frames(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {kind}, spans {kind}")
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:

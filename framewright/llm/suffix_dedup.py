@@ -311,7 +311,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     whole = left.where(F.col("state") == REPEATED).select("doc_id", "tag", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + (length - 1)).cast("long").alias("end"))
     few, hot = _to_compare(named, left)
     spans = whole.unionByName(_spans_of(_opened(few, length), length)).unionByName(_hot_spans(hot, length))
-    return named, spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # A set: equal rows of one doc_id find the same spans, each once.
+    return named, spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
