@@ -39,19 +39,19 @@ def vectors():
     base = r.normal(size=(120, 8))
     near = base[0] + r.normal(size=(60, 8)) * 0.15
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near, base[:20], base[:10] * 3.0]).astype(np.float32))]
-    odd = [None, [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0] * 7, [], [1e-30] * 8, [1e30] * 8]
+    other = [[1.0] * 3] * 2 + [[2.0] * 3, [-1.0, 0.0, 0.0], [5.0], [-5.0], [7.0]] + [(r.normal(size=5) + 3).tolist() for _ in range(20)]  # of other lengths
+    odd = other + [None, [0.0] * 8, [float("nan")] * 8, [float("inf")] + [1.0] * 7, [None] + [1.0] * 7, [1.0] * 7, [], [1e-30] * 8, [1e30] * 8]
     return [(i, [float(x) for x in v], 1) for i, v in rows] + [(1000 + k, v, 1) for k, v in enumerate(odd)]
 
 
-@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("block", [4096, 16, 3])
 def test_vectors_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "SAMPLE", 4096 if block > 16 else 12)
     rows = vectors()
-    good = {i: np.array(v) for i, v, _ in rows if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    good = {i: np.array(v) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     unit = {i: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for i, v in good.items()}
-    ids = sorted(unit)
-    near = np.stack([unit[i] for i in ids]) @ np.stack([unit[i] for i in ids]).T >= 0.9
-    edges = [(ids[a], ids[b]) for a, b in np.argwhere(near) if a != b]
+    edges = [(a, b) for a in unit for b in unit if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
     links, of = Counter(a for a, _ in edges), groups(edges, [i for i, _, _ in rows])
     out = M.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == {i: (links[i], of[i], of[i] == i) for i, _, _ in rows}
@@ -137,3 +137,24 @@ def test_suffixes_against_brute_force(spark, monkeypatch, small):
     got = sorted(((x.doc_id, x.n_bytes, sum(s.end - s.start for s in x.spans), len(x.spans), hashlib.sha256(x.kept).hexdigest()) for x in out), key=repr)
     assert got == lost(rows)
     assert S.without_repeats(docs.limit(0)).count() == 0
+
+
+def clusters():
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 16))
+    return np.concatenate([centres[r.integers(0, 40, 3000)] + r.normal(size=(3000, 16)) * 0.25, r.normal(size=(500, 16))])
+
+
+def test_bounds_prune_clusters_and_lose_nothing(spark):
+    x = clusters()
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    out = {r.vec_id: r.n_links for r in M.near_vectors(docs).collect()}
+    assert out == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+    from framewright.llm.common import written
+
+    reps = written(M.classes(docs)[1], "vectors")
+    plan = M.layouts(reps, len(x), 16)
+    dealt = M._dealt(reps, plan, float(np.arccos(0.9))).count()
+    assert dealt < 0.75 * len(x) * (plan[16].total + 1) / 2  # less than all pairs of blocks
