@@ -1,20 +1,22 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-The transducer is compiled from a model file: the normaliser (here identity: a leading blank, blanks shown as U+2581),
-an arc for each piece, and for each character without a piece the arcs of its UTF-8 bytes. The model is a byte-pair
-one, so the weight of an arc depends on the piece before it: 0 if merging the two pieces' characters gives these two
-pieces again, infinite otherwise. A segmentation is the model's own exactly if each neighbouring pair has weight 0;
-composed with an input, the shortest path in the tropical semiring is therefore the model's segmentation, and each
-prefix has one live state, the last piece. Pair weights are computed when first met and kept.
+The transducer is compiled from a model file: the normaliser; the pieces, a trie with failure arcs whose final states
+put out a piece's id; and, for each character that is no piece, arcs that put out the ids of its UTF-8 bytes. Composed
+with an input, that gives a lattice of arcs between the places of the input, of which the shortest path in the tropical
+semiring is taken: costs are relaxed by (min, +) from left to right.
 
-Inputs are composed unit by unit, a unit being a run of blanks and what follows up to the next blank: no piece holds
-a blank after another character, which compiling checks. Equal units share one result.
+Arc weights of a unigram model are its pieces' negative scores. In a byte-pair model an arc's weight depends on the
+state it leaves, which is the piece before: 0 if the model's own rule, given the two pieces' characters, gives these two
+pieces again, infinite otherwise. A segmentation is the model's own exactly if no neighbouring pair has infinite weight,
+so that a place has one state of finite cost at most. Pair weights are computed when first met and kept.
 
-Runs of blanks are the exception: their pieces tie in the model, and ties break the pair rule, so a unit that
-starts with two blanks or more is merged step by step as the model defines it.
+Inputs are composed unit by unit, a unit being a run of blanks and what follows up to the next blank: no piece holds
+a blank after another character, which compiling checks. Equal units share one result. Time grows in proportion to a
+unit's length, also for runs of blanks.
 
 Defined results: null and empty texts have no ids and decode to the empty text; each row is encoded, repeated or not,
-with its doc_id as given; texts are encoded whole; an empty table gives an empty result; other columns are ignored.
+with its doc_id as given, null or not; texts are encoded whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import merge
 
 import ahocorasick
 import numpy as np
@@ -30,12 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import frames
 from .common import table
 
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 #: Units and pairs that a worker keeps.
 KEPT = 300_000
+INFINITE = float("inf")
 
 
 def _fields(data: bytes):
@@ -64,47 +69,106 @@ def _fields(data: bytes):
             i += n
 
 
+class Normaliser:
+    """A transducer over characters, compiled from a model's normaliser: the longest rule of its character map that
+    matches is taken, other characters stay; then blanks are added, dropped and shown as the model asks."""
+
+    def __init__(self, spec: bytes = b""):
+        fields = dict(_fields(spec))
+        self.prefix, self.tidy, self.shown = (bool(fields.get(k, 1)) for k in (3, 4, 5))
+        blob = fields.get(2, b"")
+        size = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.texts = blob[4 + size :]
+
+    def _rule(self, raw: bytes, at: int) -> tuple[int, int]:
+        """Of the longest rule that matches at a place: its length, and the place of its output; length 0 for none."""
+        units, node, best = self.units, self.units[0], (0, 0)
+        node = (node >> 10) << ((node & 512) >> 6)
+        for i in range(at, len(raw)):
+            node ^= raw[i]
+            unit = units[node]
+            if unit & 0x800000FF != raw[i]:
+                break
+            node ^= (unit >> 10) << ((unit & 512) >> 6)
+            if unit & 256:
+                best = i + 1 - at, units[node] & 0x7FFFFFFF
+        return best
+
+    def mapped(self, text: str) -> str:
+        if not self.units:
+            return text
+        raw, out, at = text.encode(), [], 0
+        while at < len(raw):
+            n, to = self._rule(raw, at)
+            if n:
+                out.append(self.texts[to : self.texts.index(b"\0", to)])
+            else:
+                n = 1 if raw[at] < 128 else 2 if raw[at] < 224 else 3 if raw[at] < 240 else 4
+                out.append(raw[at : at + n])
+            at += n
+        return b"".join(out).decode()
+
+    def __call__(self, text: str) -> str:
+        text = self.mapped(text)
+        if self.tidy:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        text = (" " if self.prefix else "") + text
+        return text.replace(" ", BLANK) if self.shown else text
+
+
 class Transducer:
-    """Compiled from a model: pieces with scores, kinds 1 normal, 4 user-defined and 6 byte, and the normaliser."""
+    """Compiled from a model: the normaliser, an arc for each piece, and byte arcs. Kinds of pieces: 1 normal,
+    3 control, 4 user-defined, 5 unused, 6 byte; kinds of models: 1 unigram, 2 byte-pair."""
 
     def __init__(self, model: bytes):
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.text: list[str] = []
+        self.bytes = [0] * 256
         self.byte_of: dict[int, int] = {}
-        self.byte_ids = [0] * 256
-        self.unknown, self.dummy_prefix, self.hidden = 0, True, set()
+        self.unknown, self.pairs, self.normal = 0, False, Normaliser()
+        out: list[bytes] = []
         for field, value in _fields(model):
             if field == 1:
                 piece = {1: b"", 2: b"\0\0\0\0", 3: 1, **dict(_fields(value))}
                 i, s, kind = len(self.text), piece[1].decode(), piece[3]
                 self.text.append(s)
+                out.append(s.replace(BLANK, " ").encode())
                 if kind == 6:
                     self.byte_of[i] = int(s[3:5], 16)
-                    self.byte_ids[self.byte_of[i]] = i
+                    self.bytes[self.byte_of[i]] = i
+                    out[-1] = bytes([self.byte_of[i]])
                 elif kind == 2:
-                    self.unknown = i
+                    self.unknown, out[-1] = i, " ⁇ ".encode()
                 elif kind == 3:
-                    self.hidden.add(i)
-                else:
+                    out[-1] = b""
+                elif kind != 5:
                     self.ids[s], self.score[s] = i, float(np.frombuffer(piece[2], "<f4")[0])
+            elif field == 2:
+                kind = dict(_fields(value)).get(3, 1)
+                if kind not in (1, 2):
+                    raise ValueError("only unigram and byte-pair models are compiled")
+                self.pairs = kind == 2
             elif field == 3:
-                spec = dict(_fields(value))
-                self.dummy_prefix = bool(spec.get(3, 1))
-                if spec.get(2) or spec.get(4, 1):
-                    raise ValueError("only the identity normaliser that keeps all blanks is compiled here")
+                self.normal = Normaliser(value)
         if any(BLANK in s.lstrip(BLANK) for s in self.ids):
             raise ValueError("a piece holds a blank after another character")
+        self.out = out.__getitem__
         self.chars = {s for s in self.ids if len(s) == 1}
+        #: The weight of a character that is no piece.
+        self.odd = 10.0 - min(self.score.values(), default=0.0)
         self.arcs = ahocorasick.Automaton()
-        for s in self.ids:
-            self.arcs.add_word(s, (s, len(s)))
+        for s, i in self.ids.items():
+            self.arcs.add_word(s, (s, i, len(s), 0.0 if self.pairs else -self.score[s]))
         self.arcs.make_automaton()
-        self.weights: dict[tuple[str, str], bool] = {}
+        self.weights: dict[tuple[str, str], float] = {}
         self.units: dict[str, tuple[int, ...]] = {}
 
-    def merged(self, chars: str) -> list[str]:
-        """The model's definition: the best-scored neighbours merge first, the leftmost among equals."""
+    def _alone(self, chars: str) -> list[str]:
+        """A byte-pair model's own rule: the best-scored neighbours merge first, the leftmost among equals."""
         parts = list(chars)
         while len(parts) > 1:
             best, at = None, -1
@@ -117,55 +181,58 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _path(self, chars: str) -> list[str]:
-        """The shortest path through the arcs that the automaton finds, each with its weight after the piece before."""
-        last: list[str | None] = [""] + [None] * len(chars)
-        weights = self.weights
-        for end, (piece, n) in self.arcs.iter(chars):
-            if last[end + 1] is not None:
-                continue
-            before = last[end + 1 - n]
-            if before is None:
-                continue
-            key = (before, piece)
-            free = weights.get(key)
-            if free is None:
-                if len(weights) >= KEPT:
-                    weights.clear()
-                free = weights[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
-            if free:
-                last[end + 1] = piece
-        out, j = [], len(chars)
-        while j:
-            if last[j] is None:
-                return self.merged(chars)
-            out.append(last[j])
-            j -= len(last[j])
-        return out[::-1]
+    def _link(self, before: str, piece: str) -> float:
+        """The weight of a piece's arc out of the state that the piece before leads to: 0 if the model's rule gives
+        these two for the two together, else infinite."""
+        key = before, piece
+        w = self.weights.get(key)
+        if w is None:
+            if len(self.weights) >= KEPT:
+                self.weights.clear()
+            w = self.weights[key] = 0.0 if self._alone(before + piece) == ([before, piece] if before else [piece]) else INFINITE
+        return w
+
+    def _composed(self, unit: str) -> Iterator[tuple[int, tuple]]:
+        """The arcs of the transducer composed with a unit, by the place where they end."""
+        if self.chars.issuperset(unit):
+            return self.arcs.iter(unit)
+        odd = [(i, (c, None, 1, self.odd)) for i, c in enumerate(unit) if c not in self.chars]
+        return merge(self.arcs.iter(unit), odd, key=lambda arc: arc[0])
 
     def _unit(self, unit: str) -> tuple[int, ...]:
-        out: list[int] = []
-        known = ""
-        tied = unit.startswith(BLANK * 2)
-        if not tied and self.chars.issuperset(unit):
-            return tuple([self.ids[p] for p in self._path(unit)])
-        for c in [*unit, ""]:
-            if c in self.chars:
-                known += c
-                continue
-            if known:
-                out += [self.ids[p] for p in (self.merged(known) if tied else self._path(known))]
-                known = ""
-            out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_of else [self.unknown] * bool(c)
-        return tuple(out)
+        """The output of the shortest path: relaxed in (min, +) over the arcs, from left to right."""
+        n, pairs, link = len(unit), self.pairs, self._link
+        cost, back = [0.0] + [INFINITE] * n, [None] * (n + 1)
+        for end, arc in self._composed(unit):
+            piece, ident, size, weight = arc
+            start = end + 1 - size
+            weight += cost[start]
+            if pairs and weight < cost[end + 1] and ident is not None:
+                was = back[start]
+                weight += link(was[0] if was is not None and was[1] is not None else "", piece)
+            if weight < cost[end + 1]:
+                cost[end + 1], back[end + 1] = weight, arc
+        out: list[tuple] = []
+        while n:
+            arc = back[n]
+            if arc is None:
+                raise AssertionError(f"no path through {unit[:40]!r}")
+            out.append(arc)
+            n -= arc[2]
+        ids: list[int] = []
+        for piece, ident, _, _ in reversed(out):
+            if ident is not None:
+                ids.append(ident)
+            elif self.byte_of:
+                ids += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            elif not ids or ids[-1] != self.unknown:
+                ids.append(self.unknown)
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        shown = (BLANK if self.dummy_prefix else "") + text.replace(" ", BLANK)
         out: list[int] = []
         units = self.units
-        for u in UNIT.findall(shown):
+        for u in UNIT.findall(self.normal(text)):
             ids = units.get(u)
             if ids is None:
                 if len(units) >= KEPT:
@@ -177,14 +244,8 @@ class Transducer:
         return out
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        for i in map(int, ids):
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif i not in self.hidden:
-                out += (" ⁇ " if i == self.unknown else self.text[i]).encode()
-        text = out.decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        text = b"".join(map(self.out, ids)).decode("utf-8", "replace")
+        return text[1:] if self.normal.prefix and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -213,7 +274,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = Fa
             else:
                 yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, " + ("n_ids bigint, ids_crc32 bigint, round_trip boolean" if digest else "ids array<int>"))
+    return frames(docs.select("doc_id", "text"), run, f"doc_id {id_type}, " + ("n_ids bigint, ids_crc32 bigint, round_trip boolean" if digest else "ids array<int>"))
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -225,7 +286,7 @@ def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [t.decode(x) if x is not None else "" for x in b["ids"]]})
 
-    return rows.select("doc_id", "ids").mapInPandas(run, f"doc_id {id_type}, text string")
+    return frames(rows.select("doc_id", "ids"), run, f"doc_id {id_type}, text string")
 
 
 def op9_sentence_pieces(spark, sf_dir: str) -> DataFrame:
