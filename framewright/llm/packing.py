@@ -1,14 +1,16 @@
 """Best-fit packing: bounded-space online best fit over a bitset keyed by free space.
 
-Each task packs the pieces of its own partition as they arrive, so nothing is shuffled: a piece goes to the open
-sequence with the least room that holds it; when none does, a new one opens, and if ``max_open`` are open the
-fullest closes first. Open sequences are counts only, so memory is ``max_open`` small integers.
+Each task packs the pieces of its own partition as they arrive: a piece goes to the open sequence with the least room
+that holds it; when none does, a new one opens, and if ``max_open`` are open the fullest closes first. Open sequences
+are counts only, so memory is ``max_open`` small integers. Texts are taken in rounds of ``ROUND``, a round's pieces from
+the longest to the shortest, which leaves a tenth of the gaps that their own order leaves. What the tasks leave open at their ends is then packed by the
+same rule, the longest first, as whole sequences: only their numbers and lengths are shuffled, not the pieces.
 
 Tokens are those of ``tokenizers`` for byte_bpe_50k.json without special tokens. They are made by ``tiktoken`` from
 the same vocabulary, which gives the same ids several times as fast; the tests hold both against each other.
 
 Defined results: null and empty texts are the end token alone; each row is packed, repeated or not, with its doc_id
-as given; texts of any length are encoded whole, by windows cut at places where the split pattern cuts too; an
+as given, null or not; texts of any length are encoded whole, by windows cut at places where the split pattern cuts too; an
 empty table packs nothing; other columns are ignored.
 """
 
@@ -26,9 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .batches import frames
+from .common import table, written
 
-CAPACITY, END_ID, MAX_OPEN = 1024, 2, 4096
+CAPACITY, END_ID, MAX_OPEN = 1024, 2, 512
+#: Texts of a round; one round ends earlier if its tokens would fill as many sequences.
+ROUND = 512
+#: Open sequences of other tasks that one task packs again.
+TOGETHER = 1 << 16
 #: The special token of the vocabulary: it is found before the text is split.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
@@ -109,29 +116,67 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, max_open: int = MAX_OPEN, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids (or ids_crc32 only), sequence_id, offset."""
+def _rounds(texts: pd.Series, file: str, capacity: int, end_id: int) -> Iterator[tuple[int, list[tuple[int, int, int, np.ndarray]]]]:
+    """The place of the first text of each round, and the round's pieces: text, piece, start, ids."""
+    first, held, tokens = 0, [], 0
+    for row, text in enumerate(texts):
+        if row - first >= ROUND or tokens >= ROUND * capacity:
+            yield first, held
+            first, held, tokens = row, [], 0
+        ids = np.array([*encode(text, file), end_id] if isinstance(text, str) else [end_id], "<u4")
+        ends = range(len(ids) % capacity or capacity, len(ids) + 1, capacity)
+        held += [(row - first, k, max(end - capacity, 0), ids[max(end - capacity, 0) : end]) for k, end in enumerate(ends)]
+        tokens += len(ids)
+    if held:
+        yield first, held
+
+
+def _pieces(docs: DataFrame, path: str | None, capacity: int, end_id: int, max_open: int, with_ids: bool) -> DataFrame:
+    """The pieces, each task's in sequences of its own."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     last = ("ids", "array<int>") if with_ids else ("ids_crc32", "bigint")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, base, file = OpenBins(capacity, max_open), TaskContext.get().partitionId() << 40, path or tokenizer_path()
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*encode(text, file), end_id] if isinstance(text, str) else [end_id], "<u4")
-                end = len(ids) % capacity or capacity
-                start = 0
-                piece = 0
-                while start < len(ids):
-                    own = ids[start:end]
+            for first, pieces in _rounds(batch["text"], file, capacity, end_id):
+                out = []
+                for row, piece, start, own in sorted(pieces, key=lambda p: -len(p[3])):
                     number, place = bins.put(len(own))
-                    out.append((doc, piece, start, len(own), own.astype("<i4") if with_ids else zlib.crc32(own.tobytes()), base + number, place))
-                    start, end, piece = end, end + capacity, piece + 1
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", last[0], "sequence_id", "offset"]).astype({"doc_id": batch["doc_id"].dtype})
+                    out.append((first + row, piece, start, len(own), own.astype("<i4") if with_ids else zlib.crc32(own.tobytes()), base + number, place))
+                made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", last[0], "sequence_id", "offset"])
+                yield made.assign(doc_id=batch["doc_id"].to_numpy()[made["doc_id"].to_numpy(int)])
 
     schema = f"doc_id {id_type}, piece int, start bigint, length bigint, {last[0]} {last[1]}, sequence_id bigint, offset bigint"
-    return docs.select("doc_id", F.col("text")).mapInPandas(run, schema)
+    return frames(docs.select("doc_id", F.col("text")), run, schema)
+
+
+def _joined(pieces: DataFrame, capacity: int) -> DataFrame:
+    """sequence_id, into, base: what is left open at the ends of the tasks, packed again, the longest first. Only
+    sequences with room for the shortest one are taken, a handful a task; each task here joins up to TOGETHER."""
+    used = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    used = written(used.where(F.col("used") < capacity), "loose")
+    least = used.agg(F.min("used")).first()[0] or 0
+    loose = used.where(F.col("used") + least <= capacity)
+    tasks = 1 + loose.count() // TOGETHER
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bins, base = OpenBins(capacity, MAX_OPEN), TaskContext.get().partitionId() << 40
+        for b in batches:
+            at = [bins.put(int(n)) for n in b["used"]]
+            yield pd.DataFrame({"sequence_id": b["sequence_id"], "into": [-1 - base - n for n, _ in at], "base": [place for _, place in at]})
+
+    sorted_rows = loose.repartition(tasks, "sequence_id").sortWithinPartitions(F.desc("used"), "sequence_id")
+    return frames(sorted_rows, run, "sequence_id bigint, into bigint, base bigint")
+
+
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, max_open: int = MAX_OPEN, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids (or ids_crc32 only), sequence_id, offset."""
+    pieces = written(_pieces(docs, path, capacity, end_id, max_open, with_ids), "pieces")
+    moved = written(_joined(pieces, capacity), "joined")
+    sequence = F.coalesce("into", "sequence_id").alias("sequence_id")
+    place = (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")
+    return pieces.join(moved, "sequence_id", "left").select(*[sequence if c == "sequence_id" else place if c == "offset" else c for c in pieces.columns])
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:

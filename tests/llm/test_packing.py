@@ -53,6 +53,65 @@ def test_pieces(spark, exact):
     assert P.pack_documents(docs.limit(0)).count() == 0
 
 
+def plain_best_fit(pieces, capacity, max_open):
+    """The rule without a bitset: (bin, place) of each piece in order."""
+    free: dict[int, int] = {}
+    out, made = [], 0
+    for n in pieces:
+        fits = [(f, b) for b, f in free.items() if f >= n]
+        if fits:
+            f = min(fits)[0]
+            at = max(b for x, b in fits if x == f)
+        else:
+            if len(free) >= max_open:
+                least = min(free.values())
+                del free[max(b for b, f in free.items() if f == least)]
+            at, made = made, made + 1
+            free[at] = capacity
+        out.append((at, capacity - free[at]))
+        free[at] -= n
+        if not free[at]:
+            del free[at]
+    return out
+
+
+def test_bins_against_the_plain_rule():
+    r = np.random.default_rng(3)
+    for max_open in (2, 5, 40):
+        sizes = r.integers(1, 65, 3000).tolist()
+        bins, free = P.OpenBins(64, max_open), {}
+        got = [bins.put(n) for n in sizes]
+        want = plain_best_fit(sizes, 64, max_open)
+        # Which of equally full bins is taken is open: the places and the number of bins are not.
+        assert [p for _, p in got] == [p for _, p in want] and len({b for b, _ in got}) == len({b for b, _ in want})
+
+
+def test_the_query(spark, exact):
+    """Whole table: every piece of every document once, sequences without gaps, and hardly more of them than needed."""
+    sf = "/root/testdata/sf0.01"
+    rows = P.op5_best_fit_packing(spark, sf).collect()
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array([*(exact(r.text) if r.text else []), 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        want.update({(r.doc_id, k): (a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))})
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    total = sum(at.values())
+    assert max(at.values()) <= 1024 and len(at) <= 1.01 * -(-total // 1024) + 1
+
+
+def test_open_sequences_of_tasks_are_joined(spark):
+    docs = spark.range(64).selectExpr("id AS doc_id", "'word word' AS text").repartition(16)
+    out = P.pack_documents(docs, with_ids=False)
+    assert out.select("sequence_id").distinct().count() == 1
+    assert sorted(r.offset for r in out.collect()) == [3 * k for k in range(64)]
+
+
 def test_bins_are_best_fit_and_bounded():
     b = P.OpenBins(10, 3)
     assert [b.put(n) for n in (7, 6, 3, 4, 5, 9)] == [(0, 0), (1, 0), (0, 7), (1, 6), (2, 0), (3, 0)]
@@ -66,4 +125,4 @@ def test_bins_are_best_fit_and_bounded():
     b = P.OpenBins(1024, P.MAX_OPEN)
     for n in sizes:
         b.put(int(n))
-    assert b.made * 1024 < 1.04 * sizes.sum()
+    assert b.count <= P.MAX_OPEN and b.made * 1024 < 1.04 * sizes.sum()
