@@ -8,7 +8,7 @@ from .jaccard_join import op7_ngram_jaccard_join
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .metric_join import OP3_SQL, op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
-from .quality_rules import op4_quality_rules
+from .quality_rules import OP4_SQL, op4_quality_rules
 from .secrets import op10_secret_scan
 from .sentence_pieces import op9_sentence_pieces
 from .suffix_dedup import op8_suffix_array_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_embedding_near_dedup": OP3_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL}
