@@ -86,6 +86,20 @@ def recogniser_region(b: Column, width: float, height: float, inset: float = 1e-
     return box(x0, y0, F.greatest(x1 - x0, F.lit(1.0)), F.greatest(y1 - y0, F.lit(1.0)))
 
 
+def region_bounds(region: Column, width: int, height: int) -> Column:
+    """struct<left, top, right, bottom> of the whole pixels that a region in pixels touches; null if there are none."""
+    x0, y0 = clamp(F.floor(region["x"]), 0, width), clamp(F.floor(region["y"]), 0, height)
+    x1, y1 = clamp(F.ceil(right(region)), x0, width), clamp(F.ceil(bottom(region)), y0, height)
+    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("left"), y0.alias("top"), x1.alias("right"), y1.alias("bottom")))
+
+
+def union(boxes: Column) -> Column:
+    """The least box around an array of boxes; null for none."""
+    ends = lambda f: F.transform(boxes, f)
+    x0, y0 = F.array_min(ends(lambda b: b["x"])), F.array_min(ends(lambda b: b["y"]))
+    return F.when(F.size(boxes) > 0, box(x0, y0, F.array_max(ends(right)) - x0, F.array_max(ends(bottom)) - y0))
+
+
 def inflated(b: Column, width: float, height: float, margin: float = 5.0) -> Column:
     x0, y0 = F.greatest(b["x"] - margin, F.lit(0.0)), F.greatest(b["y"] - margin, F.lit(0.0))
     x1, y1 = F.least(right(b) + margin, F.lit(width)), F.least(bottom(b) + margin, F.lit(height))
@@ -95,18 +109,21 @@ def inflated(b: Column, width: float, height: float, margin: float = 5.0) -> Col
 def clip_remainder(old: Column, new: Column) -> Column:
     """Of what is left of old beside its overlap with new, the largest of the strips above, below, left and right;
     the last of equal ones. Null without overlap or remainder."""
-    common = intersection(old, new)
     zero = F.lit(0.0)
-    below, beside = F.least(bottom(common), bottom(old)), F.least(right(common), right(old))
-    strips = F.array(
-        box(old["x"], old["y"], old["width"], F.greatest(common["y"] - old["y"], zero)),
-        box(old["x"], below, old["width"], F.greatest(bottom(old) - bottom(common), zero)),
-        box(old["x"], old["y"], F.greatest(common["x"] - old["x"], zero), old["height"]),
-        box(beside, old["y"], F.greatest(right(old) - right(common), zero), old["height"]),
-    )
-    ranked = F.transform(strips, lambda s, i: F.struct(area(s).alias("area"), i.alias("i"), s.alias("box")))
-    best = F.array_max(F.filter(ranked, lambda r: (r["box"]["width"] > 0) & (r["box"]["height"] > 0)))
-    return F.when(common.isNotNull(), best["box"])
+
+    def largest(common: Column) -> Column:
+        below, beside = F.least(bottom(common), bottom(old)), F.least(right(common), right(old))
+        strips = F.array(
+            box(old["x"], old["y"], old["width"], F.greatest(common["y"] - old["y"], zero)),
+            box(old["x"], below, old["width"], F.greatest(bottom(old) - bottom(common), zero)),
+            box(old["x"], old["y"], F.greatest(common["x"] - old["x"], zero), old["height"]),
+            box(beside, old["y"], F.greatest(right(old) - right(common), zero), old["height"]),
+        )
+        ranked = F.transform(strips, lambda s, i: F.struct(area(s).alias("area"), i.alias("i"), s.alias("box")))
+        return F.when(common.isNotNull(), F.array_max(F.filter(ranked, lambda r: (r["box"]["width"] > 0) & (r["box"]["height"] > 0)))["box"])
+
+    # A variable for the overlap, which many places need.
+    return F.get(F.transform(F.array(intersection(old, new)), largest), F.lit(0))
 
 
 def valid_region(roi: Column, duration_ns: Column, width: int, height: int) -> Column:

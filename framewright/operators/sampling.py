@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,21 +46,50 @@ def first_of_each_second(frames: DataFrame, n: int = 7) -> DataFrame:
     return frames.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def new_estimate(fps: float | None, before: tuple | None, row) -> tuple[float | None, tuple | None]:
+    """The running frame rate, 0.8 of the last plus 0.2 of the new one, and the last frame with a time."""
+    if row.pts_ns is None:
+        return fps, before
+    if before and row.frame_index > before[0] and row.pts_ns > before[1]:
+        x = (row.frame_index - before[0]) / ((row.pts_ns - before[1]) / 1e9)
+        fps = x if fps is None else 0.8 * fps + 0.2 * x
+    return fps, (row.frame_index, row.pts_ns)
+
+
+def capacity(fps: float | None) -> int:
+    """The frames of a history: about a second."""
+    return DEFAULT_HISTORY if fps is None else min(max(math.ceil(fps), 1), MAX_HISTORY)
+
+
 def fps_estimates(frames: DataFrame) -> DataFrame:
-    """video_id, frame_index, fps: the running estimate, 0.8 of the last plus 0.2 of the new one."""
+    """video_id, frame_index, fps: the running estimate at each frame."""
+
+    def step(state: list, row) -> list[tuple]:
+        if row is None:
+            return []
+        state[:] = new_estimate(*state, row)
+        return [(row.video_id, row.frame_index, state[0])]
+
+    return fold_sorted(frames.select("video_id", "frame_index", "pts_ns"), ["video_id"], ["frame_index"], lambda: [None, None], step, "video_id bigint, frame_index bigint, fps double")
+
+
+def histories(frames: DataFrame, only_sampled: bool = False) -> DataFrame:
+    """video_id, frame_index, n_history, first_index, first_pts_ns: the history of each frame (or each with sampled
+    set), itself included, in one pass that holds no more than it."""
 
-    def step(state: dict, row) -> list[tuple]:
+    def step(state: list, row) -> list[tuple]:
         if row is None:
             return []
-        if row.pts_ns is not None and row.pts_ns == row.pts_ns:
-            last = state.get("last")
-            if last and row.frame_index > last[0] and row.pts_ns > last[1]:
-                x = (row.frame_index - last[0]) / ((row.pts_ns - last[1]) / 1e9)
-                state["fps"] = x if state.get("fps") is None else 0.8 * state["fps"] + 0.2 * x
-            state["last"] = (row.frame_index, row.pts_ns)
-        return [(row.video_id, row.frame_index, state.get("fps"))]
-
-    return fold_sorted(frames.select("video_id", "frame_index", "pts_ns"), ["video_id"], ["frame_index"], dict, step, "video_id bigint, frame_index bigint, fps double")
+        fps, before, held = state
+        fps, before = new_estimate(fps, before, row)
+        held.append((row.frame_index, row.pts_ns))
+        while len(held) > capacity(fps):
+            held.popleft()
+        state[:] = fps, before, held
+        return [(row.video_id, row.frame_index, len(held), held[0][0], min((t for _, t in held if t is not None), default=None))] if row.sampled else []
+
+    rows = frames.select("video_id", "frame_index", "pts_ns", F.col("sampled") if only_sampled else F.lit(True).alias("sampled"))
+    return fold_sorted(rows, ["video_id"], ["frame_index"], lambda: [None, None, deque()], step, "video_id bigint, frame_index bigint, n_history bigint, first_index bigint, first_pts_ns bigint")
 
 
 def history_lengths(estimates: DataFrame) -> DataFrame:

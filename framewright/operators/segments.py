@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import fold_sorted
+
 #: Cues merge when they overlap, or hold the same text and lie no more than this apart.
 MERGE_GAP_NS = 120_000_000
 
@@ -22,53 +24,39 @@ def presence_runs(samples: DataFrame, group: str, item: str, order: str) -> Data
     ).drop("island")
 
 
-def refined_start(candidates: DataFrame, keys: list[str], same: Column) -> DataFrame:
-    """The earliest frame of a segment's history that matches. The reference is the segment's own features until the
-    nearest match, and that match from then on: ``same`` compares past with the nearest match where near is not
-    null. candidates: keys, past_index, past_pts_ns, first_same (past against the segment) and what same needs."""
-    nearest = candidates.where("first_same").groupBy(*keys).agg(F.max("past_index").alias("near"))
-    joined = candidates.join(nearest, keys)
-    hit = (F.col("past_index") == F.col("near")) | ((F.col("past_index") < F.col("near")) & same)
-    return joined.where(hit).groupBy(*keys).agg(F.min("past_index").alias("start_frame"), F.min_by("past_pts_ns", "past_index").alias("start_ns"))
-
-
-def refined_end(later: Column, same) -> Column:
-    """Fold over later, an array of frames in order: each match becomes the frame that the next is compared with.
-    same(anchor, frame) tells whether two match. later's first element is the segment's last frame."""
-    return F.aggregate(F.slice(later, F.lit(2), F.greatest(F.size(later) - 1, F.lit(0))), F.get(later, F.lit(0)), lambda anchor, x: F.when(same(anchor, x), x).otherwise(anchor))
-
-
 def merged_cues(cues: DataFrame, group: str = "video_id", changelog: bool = False) -> DataFrame:
     """cues: group, ord (their order of arrival), start_ns, end_ns, start_frame, center, text.
 
     A cue joins the latest subtitle if it starts before that ends, or no later than MERGE_GAP_NS after it and with a
-    text it holds. The fold is an expression over the ordered cues of a group; nothing leaves the JVM. With changelog,
-    one row for each cue: kind new or updated, and the subtitle as it is then.
+    text it holds. The fold runs over a group's cues in order and holds the latest subtitle only. With changelog, one row
+    for each cue: kind new or updated, and the subtitle as it is then; else one row for each subtitle.
     """
-    cue = F.struct("ord", "start_ns", "end_ns", "start_frame", "center", "text")
-    line = lambda c: F.struct(c["center"].alias("center"), c["text"].alias("text"))
-
-    def fresh(c, ident, kind="new"):
-        return F.struct(c["ord"].alias("ord"), F.lit(kind).alias("kind"), ident.cast("long").alias("id"), c["start_ns"].alias("start_ns"), c["end_ns"].alias("end_ns"), c["start_frame"].alias("start_frame"), F.array(line(c)).alias("lines"))
-
-    def add(state, c):
-        last = F.get(state, F.size(state) - 1)
-        known = F.exists(last["lines"], lambda x: x["text"] == c["text"])
-        joins = (c["start_ns"] <= last["end_ns"]) | ((c["start_ns"] - last["end_ns"] <= MERGE_GAP_NS) & known)
-        grown = F.struct(
-            c["ord"].alias("ord"), F.lit("updated").alias("kind"), last["id"].alias("id"), F.least(last["start_ns"], c["start_ns"]).alias("start_ns"), F.greatest(last["end_ns"], c["end_ns"]).alias("end_ns"),
-            F.least(last["start_frame"], c["start_frame"]).alias("start_frame"), F.when(known, last["lines"]).otherwise(F.concat(last["lines"], F.array(line(c)))).alias("lines"),
-        )
-        before = state if changelog else F.slice(state, F.lit(1), F.size(state) - 1)
-        kept = F.concat(before, F.array(grown))
-        return F.when(joins, kept).otherwise(F.concat(state, F.array(fresh(c, last["id"] + 1))))
-
-    lists = cues.groupBy(group).agg(F.array_sort(F.collect_list(cue)).alias("cues"))
-    start = F.array(fresh(F.get("cues", F.lit(0)), F.lit(0)))
-    folded = F.aggregate(F.slice("cues", F.lit(2), F.size("cues") - 1), start, add)
-    rows = lists.select(group, F.explode(folded).alias("s"))
-    out = rows.select(group, "s.*")
-    return out if changelog else out.drop("ord", "kind")
+
+    def shown(own, s: dict) -> tuple:
+        head = (own, s["ord"], s["kind"]) if changelog else (own,)
+        return (*head, s["id"], s["start"], s["end"], s["frame"], list(s["lines"]))
+
+    def step(state: dict, c) -> list[tuple]:
+        s = state.get("latest")
+        if c is None:
+            return [] if changelog else [shown(state["group"], s)]
+        out = []
+        if s and (c.start_ns <= s["end"] or (c.start_ns - s["end"] <= MERGE_GAP_NS and c.text in s["texts"])):
+            s.update(kind="updated", ord=c.ord, start=min(s["start"], c.start_ns), end=max(s["end"], c.end_ns), frame=min(s["frame"], c.start_frame))
+        else:
+            if s and not changelog:
+                out.append(shown(state["group"], s))
+            s = {"kind": "new", "ord": c.ord, "id": s["id"] + 1 if s else 0, "start": c.start_ns, "end": c.end_ns, "frame": c.start_frame, "lines": [], "texts": set()}
+            state.update(latest=s, group=c[0])
+        if c.text not in s["texts"]:
+            s["texts"].add(c.text)
+            s["lines"].append({"center": c.center, "text": c.text})
+        return [*out, shown(c[0], s)] if changelog else out
+
+    kind = cues.schema[group].dataType.simpleString()
+    schema = f"{group} {kind}, " + ("ord bigint, kind string, " if changelog else "") + "id bigint, start_ns bigint, end_ns bigint, start_frame bigint, lines array<struct<center:double,text:string>>"
+    rows = cues.select(group, "ord", "start_ns", "end_ns", "start_frame", F.col("center").cast("double").alias("center"), "text")
+    return fold_sorted(rows, [group], ["ord"], dict, step, schema)
 
 
 def overlap_islands(cues: DataFrame, group: str = "video_id") -> DataFrame:

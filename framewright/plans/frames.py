@@ -55,11 +55,7 @@ def _history(spark, d):
 
 
 def _history_join(spark, d):
-    frames = _frames(spark, d)
-    lengths = S.history_lengths(S.fps_estimates(frames)).select("video_id", "frame_index", "ord", "length")
-    sampled = S.with_sampled(frames).where("sampled").select("video_id", "frame_index")
-    pairs = S.history_pairs(lengths.join(sampled, ["video_id", "frame_index"]), lengths.join(frames.select("video_id", "frame_index", "pts_ns"), ["video_id", "frame_index"]))
-    return pairs.groupBy("video_id", "frame_index").agg(F.count(F.lit(1)).alias("n_history"), F.min("past_index").alias("first_index"), F.min("past_pts_ns").alias("first_pts_ns"))
+    return S.histories(S.with_sampled(_frames(spark, d)), only_sampled=True)
 
 
 QUERIES = {

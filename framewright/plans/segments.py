@@ -7,10 +7,12 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..operators import lifecycle as L
 from ..operators import metrics as M
 from ..operators import recognise as R
 from ..operators import sampling as S
 from ..operators import segments as C
+from ..operators.tracking import tracked
 from ..session import table
 from ..sources import frames as V
 from ..sources import srt
@@ -76,8 +78,9 @@ def _best(spark, d):
 
 
 def _clip(spark, d):
-    p = _pairs(spark, d).withColumn("r", G.clip_remainder(F.col("a"), F.col("b"))).where("r is not null")
-    return p.select("l_orderkey", "line_a", "line_b", F.round(G.area(F.col("r")), 9).alias("area"))
+    left = F.filter(F.array(G.clip_remainder(F.col("a"), F.col("b"))), lambda r: r.isNotNull())
+    p = _pairs(spark, d).select("l_orderkey", "line_a", "line_b", F.explode(left).alias("r"))
+    return p.select("l_orderkey", "line_a", "line_b", *_flat(p, "r"))
 
 
 def _samples(spark, d):
@@ -90,43 +93,74 @@ def _islands(spark, d):
     return C.presence_runs(_samples(spark, d), "video_id", "label", "ord")
 
 
-def _valid(spark, d):
-    return _islands(spark, d).where((F.col("end_ns") - F.col("start_ns")) >= 200_000_000)
+def _timeline(spark, d):
+    return S.with_sampled(V.event_frames(table(spark, d, "events")))
 
 
-def _histories(spark, d):
-    frames = V.event_frames(table(spark, d, "events"))
-    lengths = S.history_lengths(S.fps_estimates(frames)).select("video_id", "frame_index", "ord", "length")
-    full = lengths.join(frames.select("video_id", "frame_index", "pts_ns", "value"), ["video_id", "frame_index"])
-    return full, full.select("video_id", F.col("frame_index").alias("past_index"), F.col("value").alias("past_value"))
+#: A place for each label; the place of an error is too flat to be valid.
+LABELS = ("click", "error", "purchase", "signup", "view")
+
+
+def _place():
+    return F.array_position(F.array(*map(F.lit, LABELS)), F.col("label"))
+
+
+def _label_box():
+    height = F.when(F.col("label") == "error", 0.01).otherwise(0.05)
+    return [F.lit(0.1).alias("x"), (F.lit(0.05) + _place() * 0.15).alias("y"), F.lit(0.5).alias("width"), height.alias("height")]
+
+
+def _lifecycles(spark, d):
+    """Each sample shows one region, that of its label."""
+    one = F.array(F.struct(_place().alias("region_id"), F.col("label"), *_label_box()))
+    frames = _timeline(spark, d).withColumn("regions", F.when(F.col("sampled"), one))
+    return L.lifecycles(frames, L.value_comparator(SAME))
+
+
+def _lifecycle(spark, d):
+    s = _lifecycles(spark, d)
+    ok = G.valid_region(G.box(F.col("x"), F.col("y"), F.col("width"), F.col("height")), F.col("end_ns") - F.col("start_ns"), WIDTH, HEIGHT)
+    return s.select("video_id", "label", "opened_frame", "start_frame", "start_ns", "last_frame", "end_frame", "end_ns", "closed_at", ok.alias("valid"))
 
 
 def _refine_start(spark, d):
-    full, values = _histories(spark, d)
-    opens = _islands(spark, d).select("video_id", "label", F.col("start_frame").alias("frame_index"))
-    pairs = S.history_pairs(full.join(opens, ["video_id", "frame_index"]), full).where("past_index < frame_index").join(values, ["video_id", "past_index"])
-    pairs = pairs.withColumn("first_same", F.abs(F.col("past_value") - F.col("value")) <= SAME)
-    near = values.select("video_id", F.col("past_index").alias("near"), F.col("past_value").alias("near_value"))
-    keys = ["video_id", "label", "frame_index"]
-    nearest = pairs.where("first_same").groupBy(*keys).agg(F.max("past_index").alias("at")).join(near.withColumnRenamed("near", "at"), ["video_id", "at"]).drop("at")
-    return C.refined_start(pairs.join(nearest, keys), keys, F.abs(F.col("past_value") - F.col("near_value")) <= SAME).select(*keys, "start_frame", "start_ns")
+    return _lifecycles(spark, d).select("video_id", "label", F.col("opened_frame").alias("frame_index"), "start_frame", "start_ns")
 
 
 def _refine_end(spark, d):
-    full, values = _histories(spark, d)
-    ends = _islands(spark, d).select("video_id", "label", "end_frame")
-    samples = _samples(spark, d).select("video_id", "frame_index", F.lead("frame_index").over(Window.partitionBy("video_id").orderBy("frame_index")).alias("next_frame"))
-    closes = ends.join(samples, (samples["video_id"] == ends["video_id"]) & (samples["frame_index"] == ends["end_frame"])).select(ends["video_id"], "label", "end_frame", F.coalesce("next_frame", "end_frame").alias("frame_index"))
-    pairs = S.history_pairs(full.join(closes, ["video_id", "frame_index"]), full).where("past_index >= end_frame").join(values, ["video_id", "past_index"])
-    frame = F.struct(F.col("past_index"), F.col("past_value"), F.col("past_pts_ns"))
-    later = pairs.groupBy("video_id", "label", "end_frame").agg(F.array_sort(F.collect_list(frame)).alias("later"))
-    last = C.refined_end(F.col("later"), lambda a, x: F.abs(a["past_value"] - x["past_value"]) <= SAME)
-    return later.withColumn("last", last).select("video_id", "label", "end_frame", F.col("last.past_index").alias("refined_frame"), F.col("last.past_pts_ns").alias("refined_ns"))
+    return _lifecycles(spark, d).select("video_id", "label", "last_frame", F.col("end_frame").alias("refined_frame"), F.col("end_ns").alias("refined_ns"))
+
+
+def _valid(spark, d):
+    return L.valid(_lifecycles(spark, d), WIDTH, HEIGHT).select("video_id", "label", "start_frame", "end_frame", "start_ns", "end_ns")
+
+
+def _found_texts(spark, d):
+    """The whole way: sampled, detected, tracked, segmented, refined, recognised. A detection is the box of a frame's
+    label; the recogniser reads the label of the frame that represents a segment, and cannot read views."""
+    frames = _timeline(spark, d)
+    found = frames.where("sampled").select("video_id", "frame_index", F.lit(0).alias("ord"), *_label_box())
+    segments = L.valid(L.lifecycles(L.with_regions(frames, tracked(found)), L.value_comparator(SAME)), WIDTH, HEIGHT)
+    shown = L.presented(segments, frames.select("video_id", "frame_index", F.col("label").alias("content")), WIDTH, HEIGHT)
+    words = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_type").alias("content"), F.upper("event_type").alias("text")).distinct()
+    texts = R.with_lookup(shown, words, "content")
+    return texts.withColumn("text", T.normalised_text(T.joined_texts(F.transform("texts", lambda t: t["text"]))))
+
+
+def _found_cues(spark, d):
+    """In the order in which segments end; those without text are left out."""
+    order = Window.partitionBy("video_id").orderBy("place")
+    return _found_texts(spark, d).where("text <> ''").withColumn("ord", F.row_number().over(order).cast("long"))
+
+
+def _ocr_stats(spark, d):
+    t = _found_texts(spark, d)
+    return t.groupBy("video_id").agg(F.count(F.lit(1)).alias("ocr_calls"), F.count_if(F.col("text") == "").alias("ocr_empty"))
 
 
 def _cues(spark, d):
-    """Valid segments of three neighbouring users as cues of one video, in order of their ends."""
-    s = _valid(spark, d).withColumn("track", F.col("video_id")).withColumn("video_id", F.expr("track div 3"))
+    """Runs of presence of three neighbouring users, 200 ms long at least, as cues of one video in order of their ends."""
+    s = _islands(spark, d).where(F.col("end_ns") - F.col("start_ns") >= 200_000_000).withColumn("track", F.col("video_id")).withColumn("video_id", F.expr("track div 3"))
     texts = R.with_lookup(s, table(spark, d, "events").select(F.col("event_type").alias("label"), F.upper("event_type").alias("text")).distinct(), "label")
     text = T.normalised_text(T.joined_texts(F.transform("texts", lambda t: t["text"])))
     cues = texts.withColumn("text", text).where("text <> ''").withColumn("center", (F.col("track") % 5 * 10).cast("double"))
@@ -185,7 +219,7 @@ def _running(spark, d):
 
 
 def _end_to_end(spark, d):
-    rows = srt.numbered(_merged(spark, d)).where("block is not null")
+    rows = srt.numbered(C.merged_cues(_found_cues(spark, d))).where("block is not null")
     return _shown(rows).select("video_id", "number", "start_ns", "end_ns", "start_frame", "texts", "block")
 
 
@@ -198,6 +232,7 @@ QUERIES = {
     "iou_best_match": _best,
     "clip_remainder": _clip,
     "segment_islands": lambda s, d: _islands(s, d),
+    "lifecycle": _lifecycle,
     "refine_start": _refine_start,
     "refine_end": _refine_end,
     "valid_segments": lambda s, d: _valid(s, d),
@@ -208,6 +243,7 @@ QUERIES = {
     "merge_full": lambda s, d: _shown(_merged(s, d)).drop("lines"),
     "merge_changelog": lambda s, d: _shown(C.merged_cues(_cues(s, d), changelog=True)).drop("lines"),
     "merge_stats": _stats,
+    "ocr_stats": _ocr_stats,
     "srt_render": lambda s, d: srt.rendered(_merged(s, d)),
     "timestamp_format": _times,
     "upsert_latest": _upsert,
@@ -228,7 +264,31 @@ isl AS (SELECT *, n_sample - row_number() OVER (PARTITION BY video_id, label ORD
 seg AS (SELECT video_id, label, min(frame_index) AS start_frame, max(frame_index) AS end_frame, min(pts_ns) AS start_ns, max(pts_ns) AS end_ns, count(*) AS n FROM isl GROUP BY video_id, label, island)"""
 CUES = ISLANDS + """, cues AS (SELECT video_id // 3 AS video_id, row_number() OVER (PARTITION BY video_id // 3 ORDER BY end_ns, start_ns, video_id, label) AS ord,
   start_ns, end_ns, start_frame, (video_id % 5 * 10)::DOUBLE AS center, upper(label) AS text FROM seg WHERE end_ns - start_ns >= 200000000)"""
-MERGED = CUES + """, log AS (
+LIFE = ISLANDS + f""", {HISTORY}, hv AS (SELECT hist.*, fr.value FROM hist JOIN fr ON fr.video_id = hist.video_id AND fr.frame_index = hist.frame_index),
+rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, label, island ORDER BY n_sample) AS k, count(*) OVER (PARTITION BY video_id, label, island) AS n FROM isl),
+back AS (SELECT s.video_id, s.label, s.island, p.frame_index AS past_index, p.pts_ns AS past_ns, p.value AS past_value, abs(p.value - s.value) <= 20 AS first_same
+  FROM rk s JOIN hv a ON a.video_id = s.video_id AND a.frame_index = s.frame_index JOIN hv p ON p.video_id = a.video_id AND p.ord < a.ord AND p.ord > a.ord - a.length WHERE s.k = 1),
+near AS (SELECT video_id, label, island, max(past_index) AS near, arg_max(past_value, past_index) AS near_value FROM back WHERE first_same GROUP BY ALL),
+opens AS (SELECT video_id, label, island, min(past_index) AS start_frame, arg_min(past_ns, past_index) AS start_ns, any_value(near_value) AS near_value
+  FROM back JOIN near USING (video_id, label, island) WHERE past_index = near OR (past_index < near AND abs(past_value - near_value) <= 20) GROUP BY ALL),
+held AS (SELECT s.video_id, s.label, s.island, s.k, s.n, coalesce(near_value, s.value) AS ref, s.frame_index AS opened_frame, coalesce(start_frame, s.frame_index) AS start_frame,
+    coalesce(start_ns, s.pts_ns) AS start_ns, s.frame_index AS last_frame, s.pts_ns AS last_ns, s.frame_index AS sample FROM rk s LEFT JOIN opens USING (video_id, label, island) WHERE s.k = 1
+  UNION ALL SELECT h.video_id, h.label, h.island, s.k, h.n, CASE WHEN abs(s.value - ref) <= 20 THEN s.value ELSE ref END, opened_frame, start_frame, start_ns,
+    CASE WHEN abs(s.value - ref) <= 20 THEN s.frame_index ELSE last_frame END, CASE WHEN abs(s.value - ref) <= 20 THEN s.pts_ns ELSE last_ns END, s.frame_index
+  FROM held h JOIN rk s ON s.video_id = h.video_id AND s.label = h.label AND s.island = h.island AND s.k = h.k + 1),
+nx AS (SELECT video_id, frame_index, coalesce(lead(frame_index) OVER (PARTITION BY video_id ORDER BY frame_index), frame_index) AS closed_at FROM smp),
+shut AS (SELECT h.*, closed_at FROM held h JOIN nx ON nx.video_id = h.video_id AND nx.frame_index = h.sample WHERE k = n),
+ahead AS (SELECT s.video_id, s.label, s.island, p.frame_index AS fi, p.pts_ns AS ns, p.value AS v, row_number() OVER (PARTITION BY s.video_id, s.label, s.island ORDER BY p.frame_index) AS j
+  FROM shut s JOIN hv a ON a.video_id = s.video_id AND a.frame_index = s.closed_at JOIN hv p ON p.video_id = a.video_id AND p.ord <= a.ord AND p.ord > a.ord - a.length AND p.frame_index > s.last_frame),
+ends AS (SELECT video_id, label, island, 0::BIGINT AS j, ref, last_frame AS end_frame, last_ns AS end_ns FROM shut
+  UNION ALL SELECT e.video_id, e.label, e.island, a.j, CASE WHEN abs(a.v - ref) <= 20 THEN a.v ELSE ref END, CASE WHEN abs(a.v - ref) <= 20 THEN a.fi ELSE end_frame END, CASE WHEN abs(a.v - ref) <= 20 THEN a.ns ELSE end_ns END
+  FROM ends e JOIN ahead a ON a.video_id = e.video_id AND a.label = e.label AND a.island = e.island AND a.j = e.j + 1),
+life AS (SELECT s.video_id, s.label, opened_frame, start_frame, start_ns, last_frame, e.end_frame, e.end_ns, closed_at, e.end_ns - start_ns >= 200000000 AND s.label <> 'error' AS valid
+  FROM shut s JOIN (SELECT * FROM ends QUALIFY j = max(j) OVER (PARTITION BY video_id, label, island)) e USING (video_id, label, island)),
+read AS (SELECT life.*, (list_position({list(LABELS)}, life.label) * 0.15 + 0.05 + 0.025) * 1080 AS center, CASE WHEN fr.label <> 'view' THEN upper(fr.label) ELSE '' END AS text
+  FROM life JOIN fr ON fr.video_id = life.video_id AND fr.frame_index = life.end_frame WHERE valid)"""
+FOUND = LIFE + """, cues AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY closed_at, opened_frame) AS ord, start_ns, end_ns, start_frame, center, text FROM read WHERE text <> '')"""
+_LOG = """, log AS (
   SELECT video_id, ord, 'new' AS kind, 0::BIGINT AS id, start_ns, end_ns, start_frame, [{'center': center, 'text': text}] AS lines FROM cues WHERE ord = 1
   UNION ALL
   SELECT video_id, next_ord, CASE WHEN joins THEN 'updated' ELSE 'new' END, CASE WHEN joins THEN id ELSE id + 1 END,
@@ -239,14 +299,15 @@ MERGED = CUES + """, log AS (
       q.start_ns <= l.end_ns OR (q.start_ns - l.end_ns <= 120000000 AND list_contains(list_transform(lines, lambda x: x.text), q.text)) AS joins
     FROM log l JOIN cues q ON q.video_id = l.video_id AND q.ord = l.ord + 1)),
 sub AS (SELECT * FROM log QUALIFY ord = max(ord) OVER (PARTITION BY video_id, id))"""
+MERGED = CUES + _LOG
 TEXTS = "array_to_string(list_transform(lines, lambda x: x.text), '|') AS texts"
 SRT_TIME = "format('{:02d}:{:02d}:{:02d},{:03d}', X // 3600000000000, X // 60000000000 % 60, X // 1000000000 % 60, X // 1000000 % 1000)"
-RENDER = MERGED + f""", exploded AS (SELECT video_id, id, unnest(lines) AS l, generate_subscripts(lines, 1) AS nth FROM sub),
+_BLOCKS = f""", exploded AS (SELECT video_id, id, unnest(lines) AS l, generate_subscripts(lines, 1) AS nth FROM sub),
 ordered AS (SELECT video_id, id, l.text AS t, row_number() OVER w AS place, lag(l.text) OVER w AS was FROM exploded WINDOW w AS (PARTITION BY video_id, id ORDER BY l.center, nth)),
 shown AS (SELECT video_id, id, string_agg(t, chr(10) ORDER BY place) FILTER (WHERE was IS NULL OR was <> t) AS body FROM ordered GROUP BY ALL),
 num AS (SELECT sub.*, row_number() OVER (PARTITION BY sub.video_id ORDER BY start_ns, start_frame, sub.id) AS number, body FROM sub JOIN shown ON shown.video_id = sub.video_id AND shown.id = sub.id),
 blk AS (SELECT *, CASE WHEN number > 1 THEN chr(10) ELSE '' END || number || chr(10) || {SRT_TIME.replace('X', 'start_ns')} || ' --> ' || {SRT_TIME.replace('X', 'end_ns')} || chr(10) || body || chr(10) AS block FROM num)"""
-_R = "round({}, 6) AS {}"
+RENDER, FOUND_RENDER = MERGED + _BLOCKS, FOUND + _LOG + _BLOCKS
 _box = lambda x0, y0, x1, y1, p="": f"round({x0}, 6) AS {p}x, round({y0}, 6) AS {p}y, round({x1} - {x0}, 6) AS {p}width, round({y1} - {y0}, 6) AS {p}height"
 
 ORACLES = {
@@ -267,25 +328,17 @@ ORACLES = {
         SELECT l_orderkey, l_linenumber, round(x0, 6) AS x, round(y0, 6) AS y, round(greatest(x1 - x0, 0), 6) AS width, round(greatest(y1 - y0, 0), 6) AS height FROM e""",
     "iou_pairs": f"WITH {PAIRS} SELECT l_orderkey, line_a, line_b, iou FROM i WHERE line_a < line_b AND iou > 0",
     "iou_best_match": f"WITH {PAIRS} SELECT l_orderkey, line_a, line_b AS best_line, iou FROM i WHERE iou >= 0.05 QUALIFY row_number() OVER (PARTITION BY l_orderkey, line_a ORDER BY iou DESC, line_b) = 1",
-    "clip_remainder": f"""WITH {PAIRS}, s AS (SELECT *, [[aw, greatest(y0 - ay, 0)], [aw, greatest(ay + ah - (y0 + (y1 - y0)), 0)], [greatest(x0 - ax, 0), ah], [greatest(ax + aw - (x0 + (x1 - x0)), 0), ah]] AS strips FROM i WHERE x1 > x0 AND y1 > y0),
-        t AS (SELECT *, list_max(list_transform(list_filter(strips, lambda z: z[1] > 0 AND z[2] > 0), lambda z: z[1] * z[2])) AS area FROM s) SELECT l_orderkey, line_a, line_b, round(area, 9) AS area FROM t WHERE area IS NOT NULL""",
+    "clip_remainder": f"""WITH {PAIRS}, s AS (SELECT *, x0 + (x1 - x0) AS xr, y0 + (y1 - y0) AS yr, row_number() OVER () AS rid FROM i WHERE x1 > x0 AND y1 > y0),
+        u AS (SELECT l_orderkey, line_a, line_b, rid, unnest([1, 2, 3, 4]) AS n, unnest([ax, ax, ax, least(xr, ax + aw)]) AS x, unnest([ay, least(yr, ay + ah), ay, ay]) AS y,
+          unnest([aw, aw, greatest(x0 - ax, 0), greatest(ax + aw - xr, 0)]) AS w, unnest([greatest(y0 - ay, 0), greatest(ay + ah - yr, 0), ah, ah]) AS h FROM s)
+        SELECT l_orderkey, line_a, line_b, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS width, round(h, 6) AS height FROM u WHERE w > 0 AND h > 0
+        QUALIFY row_number() OVER (PARTITION BY rid ORDER BY w * h DESC, n DESC) = 1""",
     "segment_islands": f"WITH {ISLANDS} SELECT * FROM seg",
-    "valid_segments": f"WITH {ISLANDS} SELECT * FROM seg WHERE end_ns - start_ns >= 200000000",
-    "refine_start": f"""WITH {ISLANDS}, {HISTORY}, hv AS (SELECT hist.*, fr.value FROM hist JOIN fr ON fr.video_id = hist.video_id AND fr.frame_index = hist.frame_index),
-        c AS (SELECT s.video_id, s.label, s.start_frame AS frame_index, p.frame_index AS past_index, p.pts_ns AS past_ns, p.value AS past_value, abs(p.value - a.value) <= 20 AS first_same
-          FROM seg s JOIN hv a ON a.video_id = s.video_id AND a.frame_index = s.start_frame JOIN hv p ON p.video_id = a.video_id AND p.ord < a.ord AND p.ord > a.ord - a.length),
-        near AS (SELECT video_id, label, frame_index, max(past_index) AS near, arg_max(past_value, past_index) AS near_value FROM c WHERE first_same GROUP BY ALL),
-        hit AS (SELECT c.* FROM c JOIN near n ON n.video_id = c.video_id AND n.label = c.label AND n.frame_index = c.frame_index AND (past_index = near OR (past_index < near AND abs(past_value - near_value) <= 20)))
-        SELECT video_id, label, frame_index, min(past_index) AS start_frame, arg_min(past_ns, past_index) AS start_ns FROM hit GROUP BY ALL""",
-    "refine_end": f"""WITH RECURSIVE {ISLANDS}, {HISTORY}, hv AS (SELECT hist.*, fr.value FROM hist JOIN fr ON fr.video_id = hist.video_id AND fr.frame_index = hist.frame_index),
-        nx AS (SELECT video_id, frame_index, coalesce(lead(frame_index) OVER (PARTITION BY video_id ORDER BY frame_index), frame_index) AS close_frame FROM smp),
-        c AS (SELECT s.video_id, s.label, s.end_frame, p.frame_index AS fi, p.pts_ns AS ns, p.value AS v, row_number() OVER (PARTITION BY s.video_id, s.label, s.end_frame ORDER BY p.frame_index) AS k
-          FROM seg s JOIN nx ON nx.video_id = s.video_id AND nx.frame_index = s.end_frame JOIN hv a ON a.video_id = s.video_id AND a.frame_index = nx.close_frame
-          JOIN hv p ON p.video_id = a.video_id AND p.ord <= a.ord AND p.ord > a.ord - a.length AND p.frame_index >= s.end_frame),
-        f AS (SELECT video_id, label, end_frame, k, fi, ns, v FROM c WHERE k = 1 UNION ALL
-          SELECT f.video_id, f.label, f.end_frame, c.k, CASE WHEN abs(f.v - c.v) <= 20 THEN c.fi ELSE f.fi END, CASE WHEN abs(f.v - c.v) <= 20 THEN c.ns ELSE f.ns END, CASE WHEN abs(f.v - c.v) <= 20 THEN c.v ELSE f.v END
-          FROM f JOIN c ON c.video_id = f.video_id AND c.label = f.label AND c.end_frame = f.end_frame AND c.k = f.k + 1)
-        SELECT video_id, label, end_frame, fi AS refined_frame, ns AS refined_ns FROM f QUALIFY k = max(k) OVER (PARTITION BY video_id, label, end_frame)""",
+    "valid_segments": f"WITH RECURSIVE {LIFE} SELECT video_id, label, start_frame, end_frame, start_ns, end_ns FROM life WHERE valid",
+    "lifecycle": f"WITH RECURSIVE {LIFE} SELECT * FROM life",
+    "refine_start": f"WITH RECURSIVE {LIFE} SELECT video_id, label, opened_frame AS frame_index, start_frame, start_ns FROM life",
+    "refine_end": f"WITH RECURSIVE {LIFE} SELECT video_id, label, last_frame, end_frame AS refined_frame, end_ns AS refined_ns FROM life",
+    "ocr_stats": f"WITH RECURSIVE {LIFE} SELECT video_id, count(*) AS ocr_calls, count(*) FILTER (WHERE text = '') AS ocr_empty FROM read GROUP BY video_id",
     "normalise_text": r"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(replace(replace(text, ' ', '  '), chr(10), chr(9) || chr(10) || chr(10) || ' '), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM conversations""",
     "ordered_lines": """WITH o AS (SELECT conv_id, role, row_number() OVER w AS place, lag(role) OVER w AS was FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn * 7 % 5, turn, role))
         SELECT conv_id, string_agg(role, '|' ORDER BY place) FILTER (WHERE was IS NULL OR was <> role) AS lines FROM o GROUP BY conv_id""",
@@ -303,5 +356,5 @@ ORACLES = {
         SELECT s.video_id, frame_index, least(frame_index + 1, total) AS samples_seen, round(frame_index / total, 9) AS progress FROM sampled s JOIN m ON m.video_id = s.video_id WHERE sampled""",
     "running_metrics": f"""WITH {FRAMES}, {SCHEDULE}, l AS (SELECT video_id, frame_index, list(value) OVER (PARTITION BY video_id ORDER BY frame_index) AS vs FROM sampled WHERE sampled)
         SELECT video_id, frame_index, round(list_reduce(vs, lambda a, b: 0.9 * a + 0.1 * b), 4) AS det_ms FROM l""",
-    "subtitles_end_to_end": f"WITH RECURSIVE {RENDER} SELECT video_id, number, start_ns, end_ns, start_frame, {TEXTS}, block FROM blk",
+    "subtitles_end_to_end": f"WITH RECURSIVE {FOUND_RENDER} SELECT video_id, number, start_ns, end_ns, start_frame, {TEXTS}, block FROM blk",
 }
