@@ -59,6 +59,22 @@ def chamfer_points(images: DataFrame, target: int, delta: int) -> DataFrame:
     return images.mapInPandas(run, "image bigint, points bigint, stroke double")
 
 
+def spotted(frames: DataFrame, width: int, height: int, wide: int = 1, dark: int = 40, bright: int = 235) -> DataFrame:
+    """Frames of video 0 from frame_index and at, the places (row * width + column) of bright spots; a spot is wide
+    pixels wide."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            planes = []
+            for at in b["at"]:
+                y = np.full(width * height, dark, np.uint8)
+                y[np.asarray(at, int)] = bright
+                planes.append(np.repeat(y.reshape(height, width), wide, axis=1).tobytes())
+            yield pd.DataFrame({"video_id": 0, "frame_index": b["frame_index"], "width": width * wide, "height": height, "y_stride": width * wide, "y_plane": planes})
+
+    return frames.select("frame_index", "at").mapInPandas(run, "video_id bigint, frame_index bigint, width int, height int, y_stride int, y_plane binary")
+
+
 def drawn_frames(spark, frames: int = 60, width: int = 320, height: int = 180, boxes=((40, 120, 200, 30, 10, 39), (60, 20, 120, 28, 25, 54))) -> DataFrame:
     """Grey frames with white rectangles (x, y, width, height, first, last frame), 40 ms apart: a video whose
     answer is known."""

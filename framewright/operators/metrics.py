@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,8 @@ from .ordered import fold_sorted
 
 #: Fixed value: the share of a new detection time in the running average.
 EMA_ALPHA = 0.1
+#: Fixed value: the least change of progress that is told.
+PROGRESS_STEP = 0.001
 
 
 def progress(samples: DataFrame, totals: DataFrame | None = None) -> DataFrame:
@@ -38,6 +40,38 @@ def detection_average(samples: DataFrame, column: str = "det_ms") -> DataFrame:
     return fold_sorted(samples.select("video_id", "frame_index", column), ["video_id"], ["frame_index"], dict, step, "video_id bigint, frame_index bigint, det_ms double")
 
 
+def published(snapshots: DataFrame, step: float = PROGRESS_STEP) -> DataFrame:
+    """The snapshots (video_id, frame_index, progress, completed) that are worth telling: those whose progress differs by
+    step at least from the last one told, and the first completed one."""
+
+    def advance(state: dict, row) -> list[tuple]:
+        if row is None:
+            return []
+        done, state["done"] = bool(row.completed) and not state.get("done"), bool(row.completed)
+        if not done and abs(row.progress - state.get("told", 0.0)) < step:
+            return []
+        state["told"] = row.progress
+        return [(row.video_id, row.frame_index, row.progress)]
+
+    return fold_sorted(snapshots.select("video_id", "frame_index", "progress", "completed"), ["video_id"], ["frame_index"], dict, advance, "video_id bigint, frame_index bigint, progress double")
+
+
+def shown_ratio(progress: Column, completed: Column) -> Column:
+    """Between 0 and 1; a completed run without progress is whole."""
+    return F.least(F.greatest(F.when(completed & (progress <= 0), 1.0).otherwise(progress), F.lit(0.0)), F.lit(1.0))
+
+
+def shown_rate(value: Column, unit: str) -> Column:
+    return F.when(value <= 0, F.lit(f"-- {unit}")).otherwise(F.format_string(f"%.1f {unit}", value))
+
+
+def shown_progress(fps: Column, det_ms: Column, seg_ms: Column, ocr_ms: Column, cues: Column, merged: Column, empty: Column) -> Column:
+    """Two lines: averages and counts."""
+    ms = [shown_rate(c, "ms") for c in (det_ms, seg_ms, ocr_ms)]
+    averages = F.format_string("[   avg] fps %5.1f • det %s • seg %s • ocr %s", fps, *ms)
+    return F.concat(averages, F.format_string("\n[counts] cues %d • merged %d • ocr-empty %d", cues, merged, empty))
+
+
 def average_ms(total: str, units: str):
     """Milliseconds a unit; 0 without units."""
     return F.coalesce(F.sum(total) / F.nullif(F.sum(units), F.lit(0)), F.lit(0.0))

@@ -213,6 +213,17 @@ def _progress(spark, d):
     return p.withColumn("progress", F.round("progress", 9))
 
 
+def _published(spark, d):
+    p = _progress(spark, d).withColumn("completed", F.lit(False))
+    return M.published(p, 0.05)
+
+
+def _work(spark, d):
+    one = F.array(F.struct(_place().alias("region_id"), F.col("label"), *_label_box()))
+    frames = _timeline(spark, d).withColumn("regions", F.when(F.col("sampled"), one))
+    return L.work(frames, L.value_comparator(SAME))
+
+
 def _running(spark, d):
     s = _samples(spark, d).select("video_id", "frame_index", F.col("value").alias("det_ms"))
     return M.detection_average(s).withColumn("det_ms", F.round("det_ms", 4))
@@ -248,6 +259,8 @@ QUERIES = {
     "timestamp_format": _times,
     "upsert_latest": _upsert,
     "progress_counters": _progress,
+    "published_progress": _published,
+    "lifecycle_work": _work,
     "running_metrics": _running,
     "subtitles_end_to_end": _end_to_end,
 }
@@ -354,6 +367,14 @@ ORACLES = {
     "upsert_latest": f"WITH RECURSIVE {MERGED} SELECT video_id, id, kind, ord, start_ns, end_ns, {TEXTS} FROM sub",
     "progress_counters": f"""WITH {FRAMES}, {SCHEDULE}, m AS (SELECT video_id, count(*) AS total FROM fr GROUP BY video_id)
         SELECT s.video_id, frame_index, least(frame_index + 1, total) AS samples_seen, round(frame_index / total, 9) AS progress FROM sampled s JOIN m ON m.video_id = s.video_id WHERE sampled""",
+    "published_progress": f"""WITH RECURSIVE {FRAMES}, {SCHEDULE}, m AS (SELECT video_id, count(*) AS total FROM fr GROUP BY video_id),
+        p AS (SELECT s.video_id, frame_index, round(frame_index / total, 9) AS progress, row_number() OVER (PARTITION BY s.video_id ORDER BY frame_index) AS k FROM sampled s JOIN m ON m.video_id = s.video_id WHERE sampled),
+        r AS (SELECT video_id, k, frame_index, progress, abs(progress) >= 0.05 AS told, CASE WHEN abs(progress) >= 0.05 THEN progress ELSE 0 END AS last FROM p WHERE k = 1
+          UNION ALL SELECT p.video_id, p.k, p.frame_index, p.progress, abs(p.progress - last) >= 0.05, CASE WHEN abs(p.progress - last) >= 0.05 THEN p.progress ELSE last END FROM r JOIN p ON p.video_id = r.video_id AND p.k = r.k + 1)
+        SELECT video_id, frame_index, progress FROM r WHERE told""",
+    "lifecycle_work": f"""WITH RECURSIVE {LIFE}, b AS (SELECT video_id, count(*) AS n FROM back GROUP BY video_id), a AS (SELECT video_id, count(*) AS n FROM ahead GROUP BY video_id),
+        s AS (SELECT video_id, count(*) AS samples, count(*) FILTER (WHERE k > 1) AS later FROM rk GROUP BY video_id)
+        SELECT s.video_id, samples + coalesce(b.n, 0) + coalesce(a.n, 0) AS extracts, later + coalesce(b.n, 0) + coalesce(a.n, 0) AS compares FROM s LEFT JOIN b USING (video_id) LEFT JOIN a USING (video_id)""",
     "running_metrics": f"""WITH {FRAMES}, {SCHEDULE}, l AS (SELECT video_id, frame_index, list(value) OVER (PARTITION BY video_id ORDER BY frame_index) AS vs FROM sampled WHERE sampled)
         SELECT video_id, frame_index, round(list_reduce(vs, lambda a, b: 0.9 * a + 0.1 * b), 4) AS det_ms FROM l""",
     "subtitles_end_to_end": f"WITH RECURSIVE {FOUND_RENDER} SELECT video_id, number, start_ns, end_ns, start_frame, {TEXTS}, block FROM blk",

@@ -36,19 +36,24 @@ def parse_roi(text: str) -> tuple[float, float, float, float]:
 
 
 def valid_roi(roi) -> tuple[float, float, float, float]:
-    """Cut to the frame; a region without width or height is the whole frame."""
+    """Cut to the frame and rounded to a millionth; a region without width or height is the whole frame."""
     x, y, w, h = roi
     if min(x, y, w, h) < 0:
         raise ValueError("a region's numbers are not negative")
     if w == 0 or h == 0:
         return FULL
     x, y = min(x, 1.0), min(y, 1.0)
-    return (x, y, min(w, 1.0 - x), min(h, 1.0 - y))
+    w, h = min(w, 1.0 - x), min(h, 1.0 - y)
+    if w <= 0 or h <= 0:
+        return FULL
+    return tuple(round(v, 6) for v in (x, y, w, h))
 
 
 def load(flags: dict, config: str | None = None, places: tuple[str, ...] = ("config.toml",)) -> Settings:
     """The named file, or else the first of places that exists; exactly one file is read."""
     path = Path(config) if config else next((Path(p) for p in places if Path(p).exists()), None)
     values = tomllib.loads(path.read_text()) if path else {}
-    known = {k: v for k, v in {**values, **{k: v for k, v in flags.items() if v is not None}}.items() if k in Settings.__dataclass_fields__}
-    return replace(Settings(), **known)
+    given = {**values, **{k: v for k, v in flags.items() if v is not None}}
+    if unknown := sorted(given.keys() - Settings.__dataclass_fields__.keys()):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return replace(Settings(), **given)

@@ -59,3 +59,42 @@ def region_report_json(regions: DataFrame, detector: str, target: int, delta: in
         F.struct(F.lit(target).alias("target"), F.lit(delta).alias("delta")).alias("luma_band"), (F.size("r") > 0).alias("has_subtitle"), F.get("r", F.lit(0))["score"].alias("max_score"), items.alias("regions"),
     )
     return lists.select("video_id", "frame_index", F.to_json(body).alias("json"))
+
+
+def pair_report_json(pairs: DataFrame, comparator: str) -> DataFrame:
+    """json: one report over pairs of frames (prev_frame, curr_frame, skipped, description, similarity, same_segment), a
+    row for each region; a pair without regions tells why it was skipped."""
+    one = F.struct("description", F.col("similarity").cast("float").alias("similarity"), "same_segment")
+    found = F.filter(F.array_sort(F.collect_list(one)), lambda x: x["description"].isNotNull())
+    by_pair = pairs.groupBy("prev_frame", "curr_frame").agg(F.max("skipped").alias("skipped"), found.alias("roi_results"))
+    listed = F.array_sort(F.collect_list(F.struct("prev_frame", "curr_frame", "skipped", "roi_results")))
+    body = F.struct(F.lit(comparator).alias("comparator"), F.size("pairs").alias("frame_pairs"), "pairs")
+    return by_pair.agg(listed.alias("pairs")).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_raw_frames(frames: DataFrame, folder: str) -> DataFrame:
+    """Writes NNNNN.yuv files, Y then UV without their strides, to a folder that all executors reach; path and bytes of
+    each are returned when the result is read. frames: frame_index, width, height, y_stride, y_plane, uv_stride, uv_plane."""
+
+    def packed(data: bytes, width: int, rows: int, stride: int) -> bytes:
+        if stride < width or len(data) < stride * rows:
+            raise ValueError("a plane is smaller than its frame")
+        return b"".join(data[r * stride : r * stride + width] for r in range(rows))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            out = []
+            for f in b.itertuples(index=False):
+                data = packed(f.y_plane, f.width, f.height, f.y_stride) + packed(f.uv_plane, f.width, -(-f.height // 2), f.uv_stride)
+                path = f"{root}/{f.frame_index:05d}.yuv"
+                with system.open_output_stream(path) as to:
+                    to.write(data)
+                out.append((path, len(data)))
+            yield pd.DataFrame(out, columns=["path", "bytes"])
+
+    rows = frames.select("frame_index", "width", "height", "y_stride", "y_plane", "uv_stride", "uv_plane")
+    return rows.mapInPandas(run, "path string, bytes bigint")

@@ -63,6 +63,32 @@ def derived_index(pts_ns: Column, fps: Column, counter: Column) -> Column:
     return F.coalesce(F.when((pts_ns >= 0) & (fps > 0), F.floor(pts_ns / 1e9 * fps + 0.5)), counter).cast("long")
 
 
+def from_ticks(ticks: Column, numerator: int, denominator: int) -> Column:
+    """Nanoseconds of a time stamp in units of numerator / denominator seconds; none for negative or non-finite ones."""
+    ns = F.floor(ticks / float(denominator) * numerator * 1e9 + 0.5)
+    return F.when((ticks >= 0) & (ticks < float("inf")), ns).cast("long")
+
+
+def frame_time(pts_ns: Column, index: Column, fps: Column, otherwise: Column | None = None) -> Column:
+    """A frame's own time, else its index over the rate, else what is given (null; a sample's time is then 0)."""
+    guessed = F.when(fps > 0, F.floor(index / fps * 1e9).cast("long"))
+    return F.coalesce(pts_ns, guessed, *([] if otherwise is None else [otherwise]))
+
+
+def native_index(pts_ns: Column, fps: Column, counter: Column, start_frame: int = 0) -> Column:
+    """The index of a frame of a native source: from its time, else a running counter from the start frame."""
+    return derived_index(pts_ns, fps, counter + start_frame)
+
+
+def sorted_frames(frames: DataFrame, arrival: str) -> DataFrame:
+    """Frames by index, the first to arrive of equal ones; those without an index are numbered as they arrive. Order by
+    key to read them in order."""
+    blind = F.row_number().over(Window.partitionBy("video_id", F.col("frame_index").isNull()).orderBy(arrival)) - 1
+    rows = frames.withColumn("key", F.coalesce("frame_index", blind.cast("long")))
+    first = F.row_number().over(Window.partitionBy("video_id", "key").orderBy(arrival))
+    return rows.withColumn("nth", first).where("nth = 1").drop("nth")
+
+
 def metadata(frames: DataFrame) -> DataFrame:
     """video_id, duration_ns, fps, total_frames."""
     m = frames.groupBy("video_id").agg(F.max("pts_ns").alias("duration_ns"), F.count(F.lit(1)).alias("n"))

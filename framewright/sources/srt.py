@@ -25,6 +25,13 @@ def rendered(subtitles: DataFrame, group: str = "video_id") -> DataFrame:
     return blocks.groupBy(group).agg(ordered.alias("b")).select(group, F.array_join(F.transform("b", lambda x: x["block"]), "").alias("srt"))
 
 
+def default_path(source: str) -> str:
+    """The input's path with the extension of subtitles."""
+    folder, _, name = source.rpartition("/")
+    stem = name.rpartition(".")[0] or name
+    return f"{folder}/{stem}.srt" if folder else f"{stem}.srt"
+
+
 def write(subtitles: DataFrame, path: str, group: str = "video_id") -> None:
     """A folder for each video with one text file, whose last line end the writer adds."""
     text = rendered(subtitles, group).select(group, F.regexp_replace("srt", "\n$", "").alias("value"))

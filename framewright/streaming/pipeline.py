@@ -8,6 +8,7 @@ is sorted inside the handler and rows at or before the last one seen are dropped
 from __future__ import annotations
 
 import json
+from collections import deque, namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,27 +16,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
 
+from ..operators.lifecycle import SEGMENT, Active, Worker, value_comparator
+from ..operators.metrics import EMA_ALPHA
 from ..operators.sampling import EPSILON
 from ..operators.segments import MERGE_GAP_NS
 from ..operators.tracking import Tracker
 
 STATE = "state string"
+_Frame = namedtuple("_Frame", "frame_index pts_ns sampled regions value")
 
 
-def _keyed(df: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
-    """step(state dict, row) -> output tuples. The state is JSON, with the order of the last row under "at"."""
+def _keyed(df: DataFrame, key: str, order: list[str], step, schema: str, load=dict, dump=dict) -> DataFrame:
+    """step(state, row) -> output tuples. The state is JSON between batches, with the order of the last row under "at";
+    load and dump make the object that step works on from it and back, once a batch."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def handle(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
+        at, live = held.pop("at", None), load(held)
         rows = pd.concat(list(batches)).sort_values(order)
         out = []
         for row in rows.itertuples(index=False):
-            at = [int(getattr(row, c)) for c in order]
-            if held.get("at") is None or at > held["at"]:
-                held["at"] = at
-                out += step(held, row)
-        state.update((json.dumps(held),))
+            now = [int(getattr(row, c)) for c in order]
+            if at is None or now > at:
+                at = now
+                out += step(live, row)
+        state.update((json.dumps({**dump(live), "at": at}),))
         yield pd.DataFrame(out, columns=names)
 
     return df.groupBy(key).applyInPandasWithState(handle, schema, STATE, "append", "NoTimeout")
@@ -58,13 +64,56 @@ def sampled_stream(frames: DataFrame, per_second: int = 7) -> DataFrame:
 def tracked_stream(regions: DataFrame) -> DataFrame:
     """As operators.tracking.tracked, a video's regions kept in state."""
 
-    def step(s: dict, row) -> list[tuple]:
-        t = Tracker(s.get("regions", ()), s.get("used", ()), s.get("frame"))
+    def load(s: dict) -> Tracker:
+        return Tracker(s.get("regions", ()), s.get("used", ()), s.get("frame"))
+
+    def dump(t: Tracker) -> dict:
+        return {"regions": t.boxes[: t.n].tolist(), "used": np.flatnonzero(t.used[: t.n]).tolist(), "frame": t.frame}
+
+    def step(t: Tracker, row) -> list[tuple]:
         found = t.add(int(row.frame_index), tuple(np.float32(getattr(row, c)) for c in ("x", "y", "width", "height")))
-        s.update(regions=t.boxes[: t.n].tolist(), used=np.flatnonzero(t.used[: t.n]).tolist(), frame=t.frame)
         return [(row.video_id, row.frame_index, row.ord, i, *map(float, b)) for i, b in found]
 
-    return _keyed(regions, "video_id", ["frame_index", "ord"], step, "video_id bigint, frame_index bigint, ord int, region_id bigint, x float, y float, width float, height float")
+    return _keyed(regions, "video_id", ["frame_index", "ord"], step, "video_id bigint, frame_index bigint, ord int, region_id bigint, x float, y float, width float, height float", load, dump)
+
+
+def averaged_stream(samples: DataFrame) -> DataFrame:
+    """As operators.metrics.detection_average: video_id, frame_index, det_ms, and samples_seen so far."""
+
+    def step(s: dict, row) -> list[tuple]:
+        s["n"], x = s.get("n", 0) + 1, float(row.det_ms)
+        s["e"] = x if "e" not in s else (1 - EMA_ALPHA) * s["e"] + EMA_ALPHA * x
+        return [(row.video_id, row.frame_index, s["e"], s["n"])]
+
+    return _keyed(samples, "video_id", ["frame_index"], step, "video_id bigint, frame_index bigint, det_ms double, samples_seen bigint")
+
+
+def lifecycle_stream(frames: DataFrame, limit: float) -> DataFrame:
+    """As operators.lifecycle.lifecycles with a comparator of values: frames with value, sampled and regions; a row with
+    last set closes what is open. The state holds a history of numbers and the open regions."""
+    comparator = value_comparator(limit)
+
+    def load(s: dict) -> Worker:
+        w = Worker(comparator)
+        frame = lambda x: _Frame(*x)
+        w.history, w.closing = deque(map(frame, s.get("history", ()))), list(map(frame, s.get("closing", ())))
+        w.active = {a[0]: Active(a[0], a[1], tuple(a[2]), a[3], a[4], a[5], tuple(a[6]), tuple(a[7])) for a in s.get("active", ())}
+        w.at, w.fps, w.before, w.done = s.get("sample"), s.get("fps"), s.get("before") and tuple(s["before"]), s.get("done", 0)
+        return w
+
+    def dump(w: Worker) -> dict:
+        return {"history": list(w.history), "closing": w.closing, "active": [list(vars(a).values()) for a in w.active.values()], "sample": w.at, "fps": w.fps, "before": w.before, "done": w.done}
+
+    def step(w: Worker, row) -> list[tuple]:
+        regions = None if row.regions is None else [dict(r) for r in row.regions]
+        pts = None if row.pts_ns != row.pts_ns else int(row.pts_ns)
+        f = _Frame(int(row.frame_index), pts, bool(row.sampled), regions, float(row.value))
+        found = w.frame(f)
+        w.history[-1] = f._replace(regions=None)
+        w.closing = [x._replace(regions=None) for x in w.closing]
+        return [(row.video_id, *s) for s in (found + w.flush() if row.last else found)]
+
+    return _keyed(frames, "video_id", ["frame_index"], step, f"video_id bigint, {SEGMENT}", load, dump)
 
 
 def merged_stream(cues: DataFrame) -> DataFrame:
