@@ -1,24 +1,31 @@
 """N-gram Jaccard join by chosen paths.
 
-A text is its set of hashed five-word shingles. In each of ``RUNS`` repetitions a set goes down a tree: at each level
-it follows every token whose hash for that run and level is below 1 / (threshold * size), so that two sets at the
-threshold follow a common token with probability of about two thirds. Sets that meet in a bucket are compared by
-brute force if the bucket is small; larger buckets are split by the tokens of the next level, and those that are
-still large at the last level are dealt out in pairs of blocks, so that no bucket is dropped or capped. The number
-of runs makes the chance of missing a pair at the threshold less than 1 in 10^5 in buckets of the first level, and
-one in 70 in those of the last, where a set has many partners and one suffices.
-
-Buckets compare small sketches and only join sets into candidate groups. Each group is then compared exactly, in
-blocks, with its whole texts: that decides every link and counts it once. Equal sets are one class with a count, so
-copies cost nothing.
+A text is its set of hashed five-word shingles. In each run a set goes down a tree: at each level it follows every token
+whose hash for that run and level is below 1 / (threshold * size). Two sets at the threshold have threshold * size
+common tokens at least, size being that of the larger one, so that they follow a common one with a probability of at
+least 1 - 1/e, and meet at level k in a run with at least its k-th power. Sets that meet in a bucket are compared by
+brute force if the bucket is small; larger buckets are split by the tokens of the next level, and those that are still
+large at the last level are dealt out in pairs of blocks, so that no bucket is dropped or capped.
+
+Runs are repeated until the target ``recall`` of pairs at the threshold is met (``needed_runs``): ten for 0.9999 in
+buckets of the first level, and for sets that have met in a bucket which had to be split 32, those of the last level.
+
+Buckets compare small sketches and only join sets into candidate groups. Each group is then compared exactly with its
+whole texts: that decides every link and counts it once. Groups of up to ``BLOCK`` sets are compared in one task. In
+larger ones each set is first compared with the group's reference, the set with the most copies. As the Jaccard distance
+is a metric, two sets whose distances from it add up to no more than 1 - threshold are linked, and two whose distances
+differ by more are not: such pairs are counted by distance, in steps of ``STEP``, and only the others are compared, in
+pairs of blocks. Equal sets are one class with a count, so copies cost nothing.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of one to four words is one
-shingle; each row is a document, so a repeated row links with its copy; rows with a null doc_id link with nothing;
-an empty table gives an empty result; other columns are ignored by ``near_texts`` and kept by ``one_of_each``.
+shingle; each row is a document, so a repeated row links with its copy, and rows that share a doc_id are compared one by
+one; rows with a null doc_id link with nothing; an empty table gives an empty result; other columns are ignored by
+``near_texts`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +37,26 @@ from .batches import chunks, runs
 from .common import table, written
 from .components import components
 
-SHINGLE, THRESHOLD, RUNS, LEVELS = 5, 0.8, 12, 3
+SHINGLE, THRESHOLD, LEVELS, RECALL = 5, 0.8, 3, 0.9999
 #: Sets in a bucket that are compared by brute force, and in a block of the exact comparison.
 BUCKET, BLOCK = 4096, 512
 #: Bytes of a sketch, and how many must agree: at the threshold fewer do with probability 10^-5.
 SKETCH, AGREE = 48, 26
+#: Width of the classes of distance from a large group's reference.
+STEP = 0.02
 
 _U = np.uint64
 _PRIME = _U(0x9E3779B97F4A7C15)
-_seeds = np.random.default_rng(20240607).integers(1, 2**63, SKETCH + RUNS * LEVELS, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def needed_runs(recall: float, level: int) -> int:
+    """Runs after which a pair at the threshold has met at a level with this probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.exp(-1)) ** level))
+
+
+@np.errstate(over="ignore")
+def _seed(k: int) -> np.uint64:
+    return _mix(np.array([k + 1], np.uint64) * _PRIME)[0] | _U(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,17 +98,17 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(_mix(_mix(tokens).sum(keepdims=True)).view(np.int64)[0]) if len(tokens) else 0
 
 
-def _sketched(docs: DataFrame, threshold: float) -> DataFrame:
-    """A row for each text with shingles: s1, s2 tell its set; paths of the three levels with their parents."""
+def _sketched(docs: DataFrame, threshold: float, some: range) -> DataFrame:
+    """A row for each text with shingles: s1, s2 tell its set; paths of the three levels, of some runs, with their parents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for x, y in chunks(b["text"]):
                 part = b.iloc[x:y]
                 sets = shingle_sets(part["text"])
-                some = [i for i, s in enumerate(sets) if len(s)]
-                if some:
-                    yield _paths(part["doc_id"].to_numpy()[some], [sets[i] for i in some], threshold)
+                kept = [i for i, s in enumerate(sets) if len(s)]
+                if kept:
+                    yield _paths(part["doc_id"].to_numpy()[kept], [sets[i] for i in kept], threshold, some)
 
     longs = ", ".join(f"{c} array<bigint>" for c in ("l1", "p2", "l2", "p3", "l3"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -98,7 +116,7 @@ def _sketched(docs: DataFrame, threshold: float) -> DataFrame:
 
 
 @np.errstate(over="ignore")
-def _paths(ids, sets, threshold: float) -> pd.DataFrame:
+def _paths(ids, sets, threshold: float, some: range) -> pd.DataFrame:
     n = np.array([len(s) for s in sets])
     tok = np.concatenate(sets)
     starts = np.cumsum(n) - n
@@ -107,13 +125,13 @@ def _paths(ids, sets, threshold: float) -> pd.DataFrame:
     s1, s2 = _mix(total(_mix(tok))).view(np.int64), _mix(total(_mix(tok ^ _PRIME)) ^ n.astype(np.uint64)).view(np.int64)
     sketch = np.empty((len(n), SKETCH), np.uint8)
     for k in range(SKETCH):
-        sketch[:, k] = (_mix(np.minimum.reduceat(_mix(tok * _seeds[k]), starts)) >> _U(56)).astype(np.uint8)
+        sketch[:, k] = (_mix(np.minimum.reduceat(_mix(tok * _seed(k)), starts)) >> _U(56)).astype(np.uint8)
     bar = np.repeat(np.minimum(1.0, 1 / (threshold * n)), n) * 2.0**53
     out = [[[] for _ in n] for _ in range(5)]
-    for r in range(RUNS):
+    for r in some:
         picked = []
         for level in range(LEVELS):
-            h = _mix(tok * _seeds[SKETCH + r * LEVELS + level])
+            h = _mix(tok * _seed(SKETCH + r * LEVELS + level))
             at = np.nonzero((h >> _U(11)) < bar)[0]
             by: dict[int, list[int]] = {}
             for d, t in zip(doc[at], h[at]):
@@ -134,21 +152,37 @@ def _paths(ids, sets, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "s1": s1, "s2": s2, "n": n.astype(np.int32), "sketch": [s.tobytes() for s in sketch], **dict(zip(("l1", "p2", "l2", "p3", "l3"), out, strict=True))})
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """Rows (bucket, rep, n, sketch): level by level, the buckets that are small enough, then blocks of the rest."""
-    rows = reps.select("rep", "n", "sketch", F.explode("l1").alias("bucket"))
-    done, large = None, None
+def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, node, n, sketch): level by level, the buckets that are small enough, then blocks of the rest. Then
+    the buckets of the first level that were split."""
+    rows = reps.select("node", "n", "sketch", F.explode("l1").alias("bucket"))
+    done, large, split = None, None, None
     for level in range(1, LEVELS + 1):
         if level > 1:
             pairs = F.explode(F.arrays_zip(F.col(f"p{level}").alias("p"), F.col(f"l{level}").alias("l")))
-            rows = reps.select("rep", "n", "sketch", pairs.alias("x")).select("rep", "n", "sketch", F.col("x.p").alias("parent"), F.col("x.l").alias("bucket"))
+            rows = reps.select("node", "n", "sketch", pairs.alias("x")).select("node", "n", "sketch", F.col("x.p").alias("parent"), F.col("x.l").alias("bucket"))
             rows = rows.join(large.select(F.col("of").alias("parent")), "parent", "left_semi").drop("parent")
         sizes = rows.groupBy(F.col("bucket").alias("of")).agg(F.count(F.lit(1)).alias("size"))
         large = written(sizes.where(F.col("size") > BUCKET), "large")
+        split = large if split is None else split
         small = rows.join(large, F.col("bucket") == F.col("of"), "left_anti")
         done = small if done is None else done.unionByName(small)
+        if large.isEmpty():
+            return done, split
     rest = rows.join(large, F.col("bucket") == F.col("of"))
-    return done.unionByName(_in_blocks(rest, "bucket", "rep", BUCKET).select("rep", "n", "sketch", F.xxhash64("bucket", "lo", "hi").alias("bucket")))
+    return done.unionByName(_in_blocks(rest, "bucket", "node", BUCKET).select("node", "n", "sketch", F.xxhash64("bucket", "lo", "hi").alias("bucket"))), split
+
+
+def _met(docs: DataFrame, reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Buckets of all runs: sets that were in a bucket which was split have more runs."""
+    buckets, split = _buckets(reps)
+    if split.isEmpty():
+        return buckets
+    hot = reps.select("node", "rep", "s1", "s2", F.explode("l1").alias("bucket")).join(split, F.col("bucket") == F.col("of"), "left_semi").select("node", "rep", "s1", "s2").distinct()
+    texts = docs.select("doc_id", "text").join(hot.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    again = _sketched(texts, threshold, range(needed_runs(recall, 1), needed_runs(recall, LEVELS)))
+    more = written(again.join(hot.select("node", "s1", "s2"), ["s1", "s2"]).dropDuplicates(["node"]), "more")
+    return buckets.unionByName(_buckets(more)[0])
 
 
 def _in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
@@ -180,7 +214,7 @@ def _candidates(buckets: DataFrame, threshold: float) -> DataFrame:
             if len(g) < 2:
                 continue
             s = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), SKETCH)
-            n, rep = g["n"].to_numpy(), g["rep"].to_numpy()
+            n, rep = g["n"].to_numpy(), g["node"].to_numpy()
             near = np.empty((len(g), len(g)), bool)
             for i in range(0, len(g), 64):
                 near[i : i + 64] = (s[i : i + 64, None, :] == s[None, :, :]).sum(axis=2) >= AGREE
@@ -221,18 +255,18 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _compared(texts: DataFrame, threshold: float) -> DataFrame:
-    """texts: task, own, lo, hi, rep, s1, copies, text. Rows with n >= 0: rep a links with n documents of other
+    """texts: task, own, lo, hi, node, s1, copies, text. Rows with n >= 0: node a links with n documents of other
     sets; rows with n < 0: a and b are in one group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in runs(batches, "task"):
             sets = shingle_sets(g["text"])
             of = [set_hash(x) for x in sets]
-            keep = {r: i for i, (r, x, y) in enumerate(zip(g["rep"], of, g["s1"])) if x == y}  # doc_ids may repeat
+            keep = {r: i for i, (r, x, y) in enumerate(zip(g["node"], of, g["s1"])) if x == y}  # doc_ids may repeat
             g, sets = g.iloc[list(keep.values())], [sets[i] for i in keep.values()]
             if len(g) < 2:
                 continue
-            n, rep, copies, own = np.array([len(s) for s in sets]), g["rep"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
+            n, node, copies, own = np.array([len(s) for s in sets]), g["node"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
             both = _overlaps(sets)
             near = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
             if g["lo"].iloc[0] != g["hi"].iloc[0]:
@@ -240,29 +274,86 @@ def _compared(texts: DataFrame, threshold: float) -> DataFrame:
             np.fill_diagonal(near, False)
             links, label = near @ copies, _stars(near)
             found, moved = links > 0, label != np.arange(len(g))
-            yield pd.DataFrame({"a": np.concatenate([rep[found], rep[moved]]), "b": np.concatenate([rep[found], rep[label[moved]]]), "n": np.concatenate([links[found], np.full(moved.sum(), -1)])})
+            yield pd.DataFrame({"a": np.concatenate([node[found], node[moved]]), "b": np.concatenate([node[found], node[label[moved]]]), "n": np.concatenate([links[found], np.full(moved.sum(), -1)])})
 
     return texts.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a bigint, b bigint, n bigint")
 
 
-def near_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _from_reference(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """group, node, rep, s1, copies, ref, d for the members of large groups: the distance from the group's reference."""
+    best = F.max_by(F.struct("node", "rep", "s1"), F.struct("copies", -F.col("node")))
+    refs = members.groupBy("group").agg(best.alias("x")).select("group", F.col("x.node").alias("ref"), F.col("x.rep").alias("rep"), F.col("x.s1").alias("s1"))
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[set_hash(x) == y for x, y in zip(shingle_sets(b["text"]), b["s1"])]][["group", "ref", "text"]]
+
+    shown = texts.join(refs, "rep").select("group", "ref", "s1", "text").mapInPandas(told, "group bigint, ref bigint, text string")
+    shown = written(shown.dropDuplicates(["group"]), "references").withColumnRenamed("text", "against")
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, against = None, None
+        for b in batches:
+            for x, y in chunks(b["text"]):
+                part, d = b.iloc[x:y], []
+                for own, s1, ref, text in zip(shingle_sets(part["text"]), part["s1"], part["ref"], part["against"]):
+                    if ref != of:
+                        of, against = ref, shingle_sets([text])[0]
+                    common = len(np.intersect1d(own, against, assume_unique=True))
+                    d.append(1 - common / (len(own) + len(against) - common) if set_hash(own) == s1 else -1.0)
+                yield part.assign(d=d)[["group", "node", "rep", "s1", "copies", "ref", "d"]]
+
+    id_type = members.schema["rep"].dataType.simpleString()
+    rows = texts.join(members.select("group", "node", "rep", "s1", "copies"), "rep").join(shown, "group")
+    out = rows.select("group", "node", "rep", "s1", "copies", "ref", "text", "against").mapInPandas(measured, f"group bigint, node bigint, rep {id_type}, s1 bigint, copies bigint, ref bigint, d double")
+    return out.where("d >= 0").dropDuplicates(["node"])
+
+
+def _large(texts: DataFrame, members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of large groups: what the distances from the references tell, in the form of _compared, and the rows that it must
+    still compare."""
+    reach = 1 - threshold
+    placed = written(_from_reference(texts, members).withColumn("q", F.floor(F.col("d") / STEP).cast("long")), "distances")
+    cells = written(placed.groupBy("group", "q").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c")), "cells")
+    a, b = cells.select("group", "q"), cells.select("group", F.col("q").alias("p"), "n", "c")
+    pairs = a.join(b, "group")  # at most 51 x 51 a group
+    sure = (F.col("q") + F.col("p") + 2) * STEP <= reach - 1e-9
+    never = (F.abs(F.col("q") - F.col("p")) - 1) * STEP > reach + 1e-9
+    totals = pairs.where(sure).groupBy("group", "q").agg(F.sum("c").alias("total"))
+    own = F.when((2 * F.col("q") + 2) * STEP <= reach - 1e-9, F.col("copies")).otherwise(0)
+    counted = placed.join(totals, ["group", "q"]).select(F.col("node").alias("a"), F.col("node").alias("b"), (F.col("total") - own).alias("n")).where("n > 0")
+    joined = placed.where(F.col("d") <= reach + 1e-9).where("node <> ref").select(F.col("node").alias("a"), F.col("ref").alias("b"), F.lit(-1).cast("long").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    code = placed.join(cells, ["group", "q"]).withColumn("own", F.col("q") * (1 << 32) + F.pmod(F.xxhash64("node"), blocks)).select("group", "q", "node", "rep", "s1", "copies", "own")
+    with_ = pairs.where(~sure & ~never).select("group", "q", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("k"), "p").select("group", "q", (F.col("p") * (1 << 32) + F.col("k")).alias("other"))
+    dealt = code.join(with_, ["group", "q"]).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return counted.unionByName(joined), dealt.select("node", "rep", "s1", "copies", "own", "lo", "hi", F.xxhash64("group", "lo", "hi").alias("task"))
+
+
+def near_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (the least doc_id that links reach, itself included), n_links, for each row of docs."""
-    sketched = written(_sketched(docs, threshold), "sketches")
+    sketched = written(_sketched(docs, threshold, range(needed_runs(recall, 1))), "sketches")
     parts = ["n", "sketch", "l1", "p2", "l2", "p3", "l3"]
-    reps = written(
-        sketched.groupBy("s1", "s2").agg(F.min_by(F.struct(*parts), "doc_id").alias("x"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).select("s1", "s2", "rep", "copies", "x.*"),
-        "sets",
-    )
-    groups = components(_candidates(_buckets(reps), threshold)).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    sets = sketched.groupBy("s1", "s2").agg(F.min_by(F.struct(*parts), "doc_id").alias("x"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = written(sets.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "rep", "copies", "x.*"), "sets")
+    groups = components(_candidates(_met(docs, reps, threshold, recall), threshold)).select("node", F.col("component").alias("group"))
     groups = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group")
-    members = _in_blocks(groups.join(reps.select("rep", "s1", "copies"), "rep"), "group", "rep", BLOCK)
-    members = members.withColumn("task", F.xxhash64("group", "lo", "hi"))
+    members = written(groups.join(reps.select("node", "rep", "s1", "copies"), "node"), "members")
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    found = written(_compared(texts.join(members, "rep").select("task", "own", "lo", "hi", "rep", "s1", "copies", "text"), threshold), "links")
-    links = found.where("n >= 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    classes = components(found.where("n < 0").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    of_set = reps.select("s1", "s2", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    of_set = of_set.select("s1", "s2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    zero = F.lit(0).cast("long")
+    dealt = members.where(F.col("size") <= BLOCK).select("node", "rep", "s1", "copies", zero.alias("own"), zero.alias("lo"), zero.alias("hi"), F.col("group").alias("task"))
+    large, told = members.where(F.col("size") > BLOCK), None
+    if not large.isEmpty():
+        told, rest = _large(texts, large, threshold)
+        dealt = dealt.unionByName(rest)
+    found = _compared(texts.join(dealt, "rep").select("task", "own", "lo", "hi", "node", "s1", "copies", "text"), threshold)
+    found = written(found if told is None else found.unionByName(told), "links")
+    links = found.where("n >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    classes = components(found.where("n < 0").select("a", "b"))
+    names = classes.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    classes = classes.join(names, "component").select("node", "class_id")
+    of_set = reps.select("node", "s1", "s2", "rep", "copies").join(links, "node", "left").join(classes, "node", "left")
+    of_set = of_set.select("s1", "s2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = sketched.select("doc_id", "s1", "s2").join(of_set, ["s1", "s2"]).select("doc_id", "class_id", "n_links")
     return named.unionByName(_without_words(docs))
 

@@ -106,6 +106,42 @@ def test_texts_against_brute_force(spark, monkeypatch, bucket):
         assert J.near_texts(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark):
+    r = random.Random(11)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b = text(), text()
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (1, a)]
+    out = J.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(x) for x in out) == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("copies", [2, 60])
+def test_recall_where_all_buckets_are_split(spark, monkeypatch, copies):
+    """Texts made of passages that many share; also groups whose sets lie at any distance from their reference."""
+    monkeypatch.setattr(J, "BUCKET", 12)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    r = random.Random(copies)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    shared = [" ".join(word() for _ in range(30)) for _ in range(6)]
+    rows = []
+    for k in range(120 // copies):
+        base, chosen = [word() for _ in range(12)], r.sample(shared, 2 + k % 3)
+        for c in range(copies):
+            body = base[:]
+            for _ in range(r.randint(0, 1)):
+                body[r.randrange(12)] = word()
+            rows.append((len(rows), " ".join([*chosen, *body]) if copies == 2 else " ".join([*shared[:2], *body, *[word() for _ in range(c % 9)]])))
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    links = {i: sum(len(sets[i] & s) >= 0.8 * len(sets[i] | s) - 1e-9 for j, s in sets.items() if j != i) for i in sets}
+    out = {x.doc_id: x.n_links for x in J.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] <= links[i] for i in links)
+    assert sum(out.values()) >= 0.999 * sum(links.values()) and sum(links.values()) > 40
+
+
+def test_runs_follow_the_target():
+    assert [J.needed_runs(0.9999, k) for k in (1, 2, 3)] == [10, 19, 32] and J.needed_runs(0.9, 1) == 3
+
+
 def lost(rows, length=200):
     raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + length] for (d, _), b in zip(rows, raw) if d is not None for i in range(len(b) - length + 1))
