@@ -14,8 +14,8 @@ Buckets compare small sketches and only join sets into candidate groups. Each gr
 whole texts: that decides every link and counts it once. Groups of up to ``BLOCK`` sets are compared in one task. In
 larger ones each set is first compared with the group's reference, the set with the most copies. As the Jaccard distance
 is a metric, two sets whose distances from it add up to no more than 1 - threshold are linked, and two whose distances
-differ by more are not: such pairs are counted by distance, in steps of ``STEP``, and only the others are compared, in
-pairs of blocks. Equal sets are one class with a count, so copies cost nothing.
+differ by more are not. Steps of ``STEP`` in distance are put together to zones of about ``BLOCK`` sets; pairs of zones
+that are so told apart are counted, and only the others are compared, in pairs of blocks. Equal sets are one class with a count, so copies cost nothing.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of one to four words is one
 shingle; each row is a document, so a repeated row links with its copy, and rows that share a doc_id are compared one by
@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .batches import chunks, runs
 from .common import table, written
@@ -313,20 +314,27 @@ def _large(texts: DataFrame, members: DataFrame, threshold: float) -> tuple[Data
     """Of large groups: what the distances from the references tell, in the form of _compared, and the rows that it must
     still compare."""
     reach = 1 - threshold
-    placed = written(_from_reference(texts, members).withColumn("q", F.floor(F.col("d") / STEP).cast("long")), "distances")
-    cells = written(placed.groupBy("group", "q").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c")), "cells")
-    a, b = cells.select("group", "q"), cells.select("group", F.col("q").alias("p"), "n", "c")
-    pairs = a.join(b, "group")  # at most 51 x 51 a group
-    sure = (F.col("q") + F.col("p") + 2) * STEP <= reach - 1e-9
-    never = (F.abs(F.col("q") - F.col("p")) - 1) * STEP > reach + 1e-9
-    totals = pairs.where(sure).groupBy("group", "q").agg(F.sum("c").alias("total"))
-    own = F.when((2 * F.col("q") + 2) * STEP <= reach - 1e-9, F.col("copies")).otherwise(0)
-    counted = placed.join(totals, ["group", "q"]).select(F.col("node").alias("a"), F.col("node").alias("b"), (F.col("total") - own).alias("n")).where("n > 0")
+    told = _from_reference(texts, members).withColumn("q", F.floor(F.col("d") / STEP).cast("long"))
+    told = written(told, "distances")
+    cells = told.groupBy("group", "q").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("c"))  # at most 51 a group
+    before = F.sum("n").over(Window.partitionBy("group").orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
+    cells = written(cells.withColumn("zone", F.floor(F.coalesce(before, F.lit(0)) / BLOCK).cast("long")), "cells")
+    zones = cells.groupBy("group", "zone").agg(F.min("q").alias("low"), F.max("q").alias("high"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    zones = zones.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    placed = told.join(cells.select("group", "q", "zone"), ["group", "q"]).join(zones.select("group", "zone", "high", "blocks"), ["group", "zone"])
+    a = zones.select("group", "zone", "low", "high")
+    b = zones.select("group", F.col("zone").alias("to"), F.col("low").alias("to_low"), F.col("high").alias("to_high"), "c", F.col("blocks").alias("to_blocks"))
+    pairs = a.join(b, "group")
+    sure = (F.col("high") + F.col("to_high") + 2) * STEP <= reach - 1e-9
+    never = (F.greatest(F.col("low") - F.col("to_high"), F.col("to_low") - F.col("high")) - 1) * STEP > reach + 1e-9
+    totals = pairs.where(sure).groupBy("group", "zone").agg(F.sum("c").alias("total"))
+    own = F.when((2 * F.col("high") + 2) * STEP <= reach - 1e-9, F.col("copies")).otherwise(0)
+    counted = placed.join(totals, ["group", "zone"]).select(F.col("node").alias("a"), F.col("node").alias("b"), (F.col("total") - own).alias("n")).where("n > 0")
     joined = placed.where(F.col("d") <= reach + 1e-9).where("node <> ref").select(F.col("node").alias("a"), F.col("ref").alias("b"), F.lit(-1).cast("long").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    code = placed.join(cells, ["group", "q"]).withColumn("own", F.col("q") * (1 << 32) + F.pmod(F.xxhash64("node"), blocks)).select("group", "q", "node", "rep", "s1", "copies", "own")
-    with_ = pairs.where(~sure & ~never).select("group", "q", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("k"), "p").select("group", "q", (F.col("p") * (1 << 32) + F.col("k")).alias("other"))
-    dealt = code.join(with_, ["group", "q"]).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    code = placed.withColumn("own", F.col("zone") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))).select("group", "zone", "node", "rep", "s1", "copies", "own")
+    open_pairs = pairs.where(~sure & ~never).select("group", "zone", "to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("to_blocks") - 1)).alias("k"))
+    dealt = code.join(open_pairs.select("group", "zone", (F.col("to") * (1 << 32) + F.col("k")).alias("other")), ["group", "zone"])
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     return counted.unionByName(joined), dealt.select("node", "rep", "s1", "copies", "own", "lo", "hi", F.xxhash64("group", "lo", "hi").alias("task"))
 
 
