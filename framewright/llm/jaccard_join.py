@@ -350,11 +350,12 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
     zero = F.lit(0).cast("long")
     dealt = members.where(F.col("size") <= BLOCK).select("node", "rep", "s1", "copies", zero.alias("own"), zero.alias("lo"), zero.alias("hi"), F.col("group").alias("task"))
-    large, told = members.where(F.col("size") > BLOCK), None
+    large, told = written(members.where(F.col("size") > BLOCK), "crowds"), None
     if not large.isEmpty():
         told, rest = _large(texts, large, threshold)
         dealt = dealt.unionByName(rest)
-    found = _compared(texts.join(dealt, "rep").select("task", "own", "lo", "hi", "node", "s1", "copies", "text"), threshold)
+    # Texts and rows meet by a shuffle at every size, so that costs seen on small tables hold on large ones.
+    found = _compared(texts.join(dealt.hint("merge"), "rep").select("task", "own", "lo", "hi", "node", "s1", "copies", "text"), threshold)
     found = written(found if told is None else found.unionByName(told), "links")
     links = found.where("n >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     classes = components(found.where("n < 0").select("a", "b"))
