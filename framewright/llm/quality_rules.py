@@ -10,7 +10,8 @@ probability of so few false rejections or fewer, at a rate of ``risk``, is at mo
 strata (Bonferroni). They are tested in a fixed sequence from the laxest, which needs no further share, as a step
 rejects at least as many as all laxer ones. The strictest certified step applies; without one, the rules do not apply in
 that stratum. All rules together thus reject falsely at most ``risk`` of a stratum, in all strata at once with
-confidence 1 - delta. With four strata and risk and delta of 0.05, 86 good documents to certify on suffice, 125 in all.
+confidence 1 - delta. With four strata, a risk of 0.03 and a delta of 0.05, 144 good documents to certify on suffice,
+about 210 in all; with a risk of 0.05, 86 and 125.
 
 Everything is counted over all rows: aggregations by stratum with map-side partials over the labelled rows, then a join
 with a row for each stratum, which Spark broadcasts only where it has measured the size.
@@ -50,6 +51,8 @@ RULES = (
     Rule("digits_a_char", "n_digits / greatest(word_chars, 1)", (0.05, 0.1, 0.15, 0.2, 0.3, 0.5)),
     Rule("long_words", "word_chars / greatest(n_words, 1)", (8.0, 9.0, 10.0, 12.0, 15.0, 20.0)),
 )
+#: The share of good documents that the rules of a stratum may reject, and the chance that any stratum's reject more.
+RISK, DELTA = 0.03, 0.05
 #: The steps that are tested, in this order.
 STEPS = (3, 2, 1, 0, -1, -2, -3)
 
@@ -102,7 +105,7 @@ def _learning() -> Column:
     return F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "5"
 
 
-def certified_steps(stats: DataFrame, labels: DataFrame, stratum: str = "lang", rules=RULES, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+def certified_steps(stats: DataFrame, labels: DataFrame, stratum: str = "lang", rules=RULES, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """stratum, learned (the place of each rule's cutoff), step (the strictest certified one or null). stats: doc_id,
     the stratum, stats."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").alias("quality")).where("quality = 1").select("of")
@@ -149,7 +152,7 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 _COUNT = "length(text) - length(regexp_replace(text, '{}', '', 'g'))"
 _LEVELS = ", ".join(f"len(list_filter([{', '.join(f'{c}::DOUBLE' for c in r.cutoffs)}], lambda c: {r.over} > c))" for r in RULES)
 _PLACES = ", ".join(
-    f"coalesce(list_min(list_filter([{', '.join(f'CASE WHEN count(*) FILTER (WHERE learning AND found[{i + 1}] > {j}) <= count(*) FILTER (WHERE learning) * {0.05 / (2 * len(RULES))!r}::DOUBLE THEN {j} END' for j in range(len(r.cutoffs)))}], lambda x: x IS NOT NULL)), {len(r.cutoffs)})"
+    f"coalesce(list_min(list_filter([{', '.join(f'CASE WHEN count(*) FILTER (WHERE learning AND found[{i + 1}] > {j}) <= count(*) FILTER (WHERE learning) * {RISK / (2 * len(RULES))!r}::DOUBLE THEN {j} END' for j in range(len(r.cutoffs)))}], lambda x: x IS NOT NULL)), {len(r.cutoffs)})"
     for i, r in enumerate(RULES)
 )
 _SCORE = "list_max(list_filter(list_transform(list_zip(found, learned), lambda z: CASE WHEN z[1] > 0 THEN z[1] - z[2] END), lambda x: x IS NOT NULL))"
@@ -169,7 +172,7 @@ h AS (SELECT lang, md5(doc_id::VARCHAR)[1] < '5' AS learning, found FROM f JOIN
 e AS (SELECT lang, [{_PLACES}] AS learned FROM h GROUP BY lang),
 b AS (SELECT h.lang, learned, {_SCORE} AS score FROM h JOIN e ON e.lang IS NOT DISTINCT FROM h.lang WHERE NOT learning),
 n AS (SELECT b.lang, any_value(learned) AS learned, step, count(*) AS n, count(*) FILTER (WHERE score > step) AS k, count(*) OVER (PARTITION BY step) AS strata FROM b, (SELECT unnest({list(STEPS)}) AS step) GROUP BY b.lang, step),
-v AS (SELECT lang, any_value(learned) AS learned, min(step) FILTER (WHERE k / n <= 0.05::DOUBLE AND k < n AND
-  list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(0.95)))) <= 0.05::DOUBLE / strata) AS step FROM n GROUP BY lang)
+v AS (SELECT lang, any_value(learned) AS learned, min(step) FILTER (WHERE k / n <= {RISK}::DOUBLE AND k < n AND
+  list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}::DOUBLE) + (n - j) * ln({1 - RISK!r}::DOUBLE)))) <= {DELTA}::DOUBLE / strata) AS step FROM n GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({_SCORE} > step, false) AS kept FROM f LEFT JOIN v ON v.lang IS NOT DISTINCT FROM f.lang
 """
