@@ -25,7 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import merge
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -197,21 +197,27 @@ class Transducer:
         if self.chars.issuperset(unit):
             return self.arcs.iter(unit)
         odd = [(i, (c, None, 1, self.odd)) for i, c in enumerate(unit) if c not in self.chars]
-        return merge(self.arcs.iter(unit), odd, key=lambda arc: arc[0])
+        return iter(sorted([*self.arcs.iter(unit), *odd], key=itemgetter(0)))
 
     def _unit(self, unit: str) -> tuple[int, ...]:
         """The output of the shortest path: relaxed in (min, +) over the arcs, from left to right."""
-        n, pairs, link = len(unit), self.pairs, self._link
-        cost, back = [0.0] + [INFINITE] * n, [None] * (n + 1)
+        n, pairs, weights = len(unit), self.pairs, self.weights
+        cost, back, state = [0.0] + [INFINITE] * n, [None] * (n + 1), [""] * (n + 1)
         for end, arc in self._composed(unit):
             piece, ident, size, weight = arc
-            start = end + 1 - size
-            weight += cost[start]
-            if pairs and weight < cost[end + 1] and ident is not None:
-                was = back[start]
-                weight += link(was[0] if was is not None and was[1] is not None else "", piece)
-            if weight < cost[end + 1]:
-                cost[end + 1], back[end + 1] = weight, arc
+            end += 1
+            total = cost[end - size] + weight
+            if total >= cost[end]:
+                continue
+            if ident is None:
+                piece = ""
+            elif pairs:
+                before = state[end - size]
+                weight = weights.get((before, piece))
+                total += self._link(before, piece) if weight is None else weight
+                if total >= cost[end]:
+                    continue
+            cost[end], back[end], state[end] = total, arc, piece
         out: list[tuple] = []
         while n:
             arc = back[n]
