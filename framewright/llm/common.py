@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_CLASS = r"[ \t\n\x0B\f\r]"
 
+#: Bits of the filter of wanted() (8 MB, whatever the size of the tables), and of one of its pages.
+FILTER_BITS, PAGE_BITS = 1 << 26, 1 << 15
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def wanted(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose column ``name`` may be one of ``keys``, to be joined with them afterwards. Each key sets one of
+    FILTER_BITS bits by its hash: no wanted row is lost, and others pass with a chance of keys / FILTER_BITS at most. So
+    a join that needs a few rows of a wide table shuffles these few; with more keys than bits it shuffles nearly all."""
+    at = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+    page, bit = F.shiftright(at, PAGE_BITS.bit_length() - 1), at % PAGE_BITS
+    bits = keys.select(page.alias("_of"), bit.alias("_bit")).repartition("_of")
+    pages = bits.groupBy("_of").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    found = rows.withColumns({"_page": page, "_bit": bit.cast("int")}).join(F.broadcast(pages), F.col("_page") == F.col("_of"))
+    is_set = "getbit(cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as bigint), _bit % 8) = 1"
+    return found.where(F.expr(is_set)).select(*rows.columns)
+
+
 #: The folders that written() has made and scratch() may delete.
 _made: list[str] = []
 

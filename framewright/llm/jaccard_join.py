@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .batches import chunks, runs
-from .common import table, written
+from .common import table, wanted, written
 from .components import components
 
 SHINGLE, THRESHOLD, LEVELS, RECALL = 5, 0.8, 3, 0.9999
@@ -180,7 +180,8 @@ def _met(docs: DataFrame, reps: DataFrame, threshold: float, recall: float) -> D
     if split.isEmpty():
         return buckets
     hot = reps.select("node", "rep", "s1", "s2", F.explode("l1").alias("bucket")).join(split, F.col("bucket") == F.col("of"), "left_semi").select("node", "rep", "s1", "s2").distinct()
-    texts = docs.select("doc_id", "text").join(hot.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = written(hot.select(F.col("rep").alias("doc_id")).distinct(), "again")
+    texts = wanted(docs.select("doc_id", "text"), ids, "doc_id").join(ids, "doc_id", "left_semi")
     again = _sketched(texts, threshold, range(needed_runs(recall, 1), needed_runs(recall, LEVELS)))
     more = written(again.join(hot.select("node", "s1", "s2"), ["s1", "s2"]).dropDuplicates(["node"]), "more")
     return buckets.unionByName(_buckets(more)[0])
@@ -289,6 +290,7 @@ def _from_reference(texts: DataFrame, members: DataFrame) -> DataFrame:
         for b in batches:
             yield b[[set_hash(x) == y for x, y in zip(shingle_sets(b["text"]), b["s1"])]][["group", "ref", "text"]]
 
+    texts = wanted(texts, members, "rep")
     shown = texts.join(refs, "rep").select("group", "ref", "s1", "text").mapInPandas(told, "group bigint, ref bigint, text string")
     shown = written(shown.dropDuplicates(["group"]), "references").withColumnRenamed("text", "against")
 
@@ -354,7 +356,9 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     if not large.isEmpty():
         told, rest = _large(texts, large, threshold)
         dealt = dealt.unionByName(rest)
-    # Texts and rows meet by a shuffle at every size, so that costs seen on small tables hold on large ones.
+    # Texts and rows meet by a shuffle at every size, so that costs seen on small tables hold on large ones. Only texts
+    # that some row asks for take part.
+    texts = wanted(texts, members, "rep")
     found = _compared(texts.join(dealt.hint("merge"), "rep").select("task", "own", "lo", "hi", "node", "s1", "copies", "text"), threshold)
     found = written(found if told is None else found.unionByName(told), "links")
     links = found.where("n >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))

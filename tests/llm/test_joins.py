@@ -4,11 +4,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import components as C
 from framewright.llm import jaccard_join as J
 from framewright.llm import metric_join as M
 from framewright.llm import suffix_dedup as S
+from framewright.llm.common import wanted
 
 
 def groups(edges, nodes):
@@ -194,3 +196,13 @@ def test_bounds_prune_clusters_and_lose_nothing(spark):
     plan = M.layouts(reps, len(x), 16)
     dealt = M._dealt(reps, plan, float(np.arccos(0.9))).count()
     assert dealt < 0.75 * len(x) * (plan[16].total + 1) / 2  # less than all pairs of blocks
+
+
+def test_wanted_rows_all_pass(spark):
+    rows = spark.range(20000).selectExpr("if(id = 7, null, id) doc_id", "id page", "'x' bits")
+    keys = spark.range(20000).where("id % 17 = 3").select(F.col("id").alias("doc_id"))
+    got = wanted(rows, keys, "doc_id")
+    assert got.columns == rows.columns
+    assert got.join(keys, "doc_id").count() == keys.count() <= got.count() < keys.count() + 100
+    assert wanted(rows, keys.where("false"), "doc_id").count() == 0
+    assert wanted(rows.where("false"), keys, "doc_id").count() == 0
