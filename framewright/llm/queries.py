@@ -10,6 +10,7 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .metric_join import OP3_SQL, op3_embedding_near_dedup
 from .packing import op5_best_fit_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
+from .resampling import OP12_SQL, op12_importance_resampling
 from .secrets import op10_secret_scan
 from .sentence_pieces import op9_sentence_pieces
 from .suffix_dedup import op8_suffix_array_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_secret_scan": op10_secret_scan,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_byte_pair_encoding": op13_byte_pair_encoding,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op12_importance_resampling": OP12_SQL}

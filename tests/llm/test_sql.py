@@ -16,7 +16,7 @@ def rows(names, table):
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.01" if name.startswith("op4") else "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(Q.ORACLES[name])
     want = rows([c[0] for c in want.description], want.fetchall())
