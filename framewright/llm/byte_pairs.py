@@ -4,8 +4,9 @@ A text is cut into words by the split pattern. The bytes of a word are folded: t
 leftmost of equals, becomes one piece until no pair has a rank. Ids are ranks. Decoding joins the bytes of the pieces.
 
 Distinct words: all words are counted (each task sends each word once), and the ``KNOWN`` most frequent, of at most
-``KNOWN_BYTES`` bytes, are folded once and put into a literal. Other words are folded where they stand. So nothing but
-counts is shuffled, the literal has a fixed bound, and ids don't depend on which words it holds.
+``KNOWN_BYTES`` bytes, are folded once and put into a literal table, the most frequent first, each at one of two places that its
+hash names, if one is free. Other words are folded where they stand. So nothing but counts is shuffled, the literal has
+a fixed bound, and ids don't depend on which words it holds.
 
 The rank map is a literal that all lambdas share, made of flat arrays, since Spark searches a map literal entry by entry:
 
@@ -34,7 +35,6 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ from .common import table, text_or_empty
 
 #: Longest word, in bytes, that is folded at once.
 WINDOW = 512
-#: Most words that the literal holds, and their longest: 16 MB at any size of the corpus.
+#: Places of the literal table, a power of two, and the longest word in it: 16 MB at most at any size of the corpus.
 KNOWN, KNOWN_BYTES = 1 << 18, 64
 #: More than any rank: no pair.
 NONE = 1 << 20
@@ -75,21 +75,23 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def split_pattern() -> str:
-    """The public pattern for Java, whose \\s knows ASCII only and whose letters are those of an older Unicode."""
+def _ranges(of: str) -> str:
+    return "".join(rf"\x{{{x}}}-\x{{{y}}}" for x, y in (r.split("-") for r in of.split()))
+
+
+def split_pattern(new: bool = True) -> str:
+    """The public pattern for Java, whose \\s knows ASCII only and whose letters are those of an older Unicode: without
+    ``new`` the letters and digits added since are left out."""
     import public_tokenizers
 
-    classes = {"L": r"\p{L}", "N": r"\p{N}", "s": BLANKS}
-    for c, new in (("L", NEW_LETTERS), ("N", NEW_DIGITS)):
-        classes[c] += "".join(rf"\x{{{x}}}-\x{{{y}}}" for x, y in (r.split("-") for r in new.split()))
-    rest = r"[^\s\p{L}\p{N}]"
-    before, after = public_tokenizers.PATTERN.split(rest)
+    classes = {"L": r"\p{L}" + _ranges(NEW_LETTERS) * new, "N": r"\p{N}" + _ranges(NEW_DIGITS) * new}
+    before, after = public_tokenizers.PATTERN.split(r"[^\s\p{L}\p{N}]")
 
     def spelled(part: str) -> str:
         part = re.sub(r"\\p\{([LN])\}", lambda m: f"[{classes[m[1]]}]", part)
         return part.replace(r"\s", f"[{BLANKS}]").replace(r"\S", f"[^{BLANKS}]")
 
-    return spelled(before) + f"[^{''.join(classes.values())}]" + spelled(after)
+    return spelled(before) + f"[^{BLANKS}{classes['L']}{classes['N']}]" + spelled(after)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -117,33 +119,13 @@ def laid_over(rows: dict[int, list[tuple[int, int]]], width: int) -> tuple[np.nd
             clash |= taken >> b
         base[a] = (~clash & (clash + 1)).bit_length() - 1
         for b, rank in row:
-            owned[int(base[a]) + b] = (a << 20) + rank
+            owned[int(base[a]) + b] = (a << 40) + (rank << 20)
             taken |= 1 << (int(base[a]) + b)
-    cells = np.full(max(owned, default=0) + width, NONE << 20, np.int64)
+    cells = np.full(max(owned, default=0) + width, NONE << 40, np.int64)
     cells[list(owned)] = list(owned.values())
     return base, cells
 
 
-def hashed(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """shift, slots, bit: no two keys share the slot ((hash >> bit) xor shift[hash mod len(shift)]) mod len(slots)."""
-    n = 1 << max(4, len(keys).bit_length() + 1)
-    h = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64).view(np.int64)
-    groups: dict[int, list[int]] = {}
-    for i, g in enumerate(h & (n // 8 - 1)):
-        groups.setdefault(int(g), []).append(i)
-    largest_first = sorted(groups.items(), key=lambda x: -len(x[1]))
-    for bit in range(20, 44):
-        parts = [(g, own, (h[own] >> bit) & (n - 1)) for g, own in largest_first]
-        if any(len(set(high.tolist())) < len(own) for _, own, high in parts):
-            continue
-        shift, slots = np.zeros(n // 8, int), np.full(n, -1, int)
-        for g, own, high in parts:
-            shift[g] = next(s for s in range(n) if (slots[high ^ s] < 0).all())
-            slots[high ^ shift[g]] = [values[i] for i in own]
-        return shift, slots, bit
-    raise ValueError("two words have one hash")
-
-
 @lru_cache(maxsize=2)
 def _numbers(path: str) -> dict[str, tuple[str, str, str]]:
     """The rank map: name -> the values as one string, what separates them, their type."""
@@ -160,28 +142,35 @@ def _list(values) -> tuple[str, str, str]:
     return " ".join(map(str, values)), " ", "array<bigint>"
 
 
-def _with(lits: dict[str, tuple[str, str, str]], use: Callable[[Column], Column]) -> Column:
-    """use(maps), where maps is one literal struct for all of the expression: a literal named in many places would be
-    copied to each."""
-    maps = F.struct(*[F.split(F.lit(values), between).cast(kind).alias(n) for n, (values, between, kind) in lits.items()])
-    return _let(maps, use)
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value made once: a fold over nothing that ends in use."""
     return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
 
 
+def _with(lits: dict[str, tuple[str, str, str]], use: Callable[[dict[str, Column]], Column]) -> Column:
+    """use(maps), where each literal is bound once for all of the expression: one named in many places would be copied to
+    each."""
+
+    def bound(names: list[str], maps: dict[str, Column]) -> Column:
+        if not names:
+            return use(maps)
+        values, between, kind = lits[names[0]]
+        return _let(F.split(F.lit(values), between).cast(kind), lambda x: bound(names[1:], maps | {names[0]: x}))
+
+    return bound(list(lits), {})
+
+
 def _joined(*arrays: Column) -> Column:
     return F.flatten(F.array(*arrays))  # several times as fast as concat() inside a lambda
 
 
-def _rank(maps: Column, a: Column, b: Column) -> Column:
-    """The rank of two pieces together. Without one it is null or at least NONE, as the cell names another piece then."""
-    return F.get(maps["cells"], F.get(maps["base"], a) + b).bitwiseXOR(F.call_function("shiftleft", a, F.lit(20)))
+def _rank(maps: dict[str, Column], a: Column, b: Column) -> Column:
+    """The rank of two pieces together, 20 bits up. Without one it is null or at least NONE, 20 bits up, as the cell names
+    another piece then."""
+    return F.get(maps["cells"], F.get(maps["base"], a) + b).bitwiseXOR(F.call_function("shiftleft", a, F.lit(40)))
 
 
-def _fold(maps: Column, ids: Column) -> Column:
+def _fold(maps: dict[str, Column], ids: Column) -> Column:
     """ids with all ranked merges made. ranks[i] is the rank of the pieces i and i + 1 together."""
     ranks = F.transform(ids, lambda a, i: _rank(maps, a, F.get(ids, i + 1)))
 
@@ -196,14 +185,14 @@ def _fold(maps: Column, ids: Column) -> Column:
 
     def step(s: Column, _: Column) -> Column:
         # The place in the low bits makes the leftmost of equal ranks the least; array_position() is slow in a lambda.
-        placed = F.transform(s["ranks"], lambda r, i: F.call_function("shiftleft", r, F.lit(20)).bitwiseOR(i.cast("long")))
+        placed = F.transform(s["ranks"], lambda r, i: r.bitwiseOR(i.cast("long")))
         return _let(F.array_min(placed), lambda least: F.when(least < NONE << 20, merged(s, least)).otherwise(s))
 
     steps = F.slice(ids, F.lit(1), F.size(ids) - 1)  # as many as there can be merges
     return F.aggregate(steps, F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda s: s["ids"])
 
 
-def _by_windows(maps: Column, ids: Column, window: int) -> Column:
+def _by_windows(maps: dict[str, Column], ids: Column, window: int) -> Column:
     """As _fold, for long words. at: bytes before the window; first: the piece with which it must begin."""
     none = F.lit(None).cast("long")
     start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("first"), F.array().cast("array<array<bigint>>").alias("out"), F.lit(True).alias("fits"))
@@ -227,10 +216,13 @@ def _by_windows(maps: Column, ids: Column, window: int) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(split_pattern()), F.lit(0))
+    """The many ranges of new characters slow the pattern down; texts without such characters do without them."""
+    new = F.rlike(text, F.lit(rf"[\u0870-\x{{10FFFF}}&&[{_ranges(NEW_LETTERS)}{_ranges(NEW_DIGITS)}]]"))
+    plain, full = (F.regexp_extract_all(text, F.lit(split_pattern(x)), F.lit(0)) for x in (False, True))
+    return F.when(new, full).otherwise(plain)
 
 
-def _folded(maps: Column, word: Column, window: int) -> Column:
+def _folded(maps: dict[str, Column], word: Column, window: int) -> Column:
     """The ids of a word, joined by commas."""
     as_bytes = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
     ids = F.transform(as_bytes, lambda c: F.get(maps["single"], F.ascii(c)))
@@ -238,23 +230,35 @@ def _folded(maps: Column, word: Column, window: int) -> Column:
     return F.array_join(_let(ids, lambda x: F.when(short, _fold(maps, x)).otherwise(_by_windows(maps, x, window))).cast("array<string>"), ",")
 
 
-def known_words(words: DataFrame, path: str, known: int = KNOWN) -> dict[str, str]:
-    """The most frequent words of the column ``words``, an array, with their ids; at most ``known``."""
-    each = words.select(F.explode("words").alias("word")).groupBy("word").count().where((F.octet_length("word") <= KNOWN_BYTES) & ~F.contains("word", F.lit(ROWS)))
-    top = each.orderBy(F.desc("count"), "word").limit(known).repartition("word")
-    return {r.word: r.ids for r in top.select("word", _with(_numbers(path), lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids")).collect()}
+def _places(word: Column, n: int) -> list[Column]:
+    return [F.xxhash64(word).bitwiseAND(n - 1), F.shiftright(F.xxhash64(word), 32).bitwiseAND(n - 1)]
 
 
-def token_ids(words: Column, path: str, known: dict[str, str], window: int = WINDOW) -> Column:
+def known_words(words: DataFrame, path: str, known: int = KNOWN) -> tuple[list[str], list[str]]:
+    """A table of the most frequent words of the column ``words``, an array, and one of their ids. Empty places hold empty
+    strings."""
+    each = words.select(F.explode("words").alias("word")).groupBy("word").count().where((F.octet_length("word") <= KNOWN_BYTES) & ~F.contains("word", F.lit(ROWS)))
+    top = each.orderBy(F.desc("count"), "word").limit(known).repartition("word")
+    of_words, of_ids = [""] * max(known, 1), [""] * max(known, 1)
+    told = top.select("word", "count", _with(_numbers(path), lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids"), F.array(*_places(F.col("word"), len(of_words))).alias("at"))
+    found = told.toArrow().sort_by([("count", "descending"), ("word", "ascending")])
+    for word, ids, at in zip(*(found[c].to_pylist() for c in ("word", "ids", "at"))):
+        for k in at:
+            if not of_words[k]:
+                of_words[k], of_ids[k] = word, ids
+                break
+    return of_words, of_ids
+
+
+def token_ids(words: Column, path: str, known: tuple[list[str], list[str]], window: int = WINDOW) -> Column:
     """array<int>: the ids of the words of a text. ``known`` holds those of some words, joined by commas."""
-    shift, slots, bit = hashed([w.encode() for w in known], list(range(len(known))))
-    lits = _numbers(path) | {"shift": _list(shift), "slots": _list(slots)}
-    lits |= {"words": (ROWS.join(known), ROWS, "array<string>"), "ids": (" ".join(known.values()), " ", "array<string>")}
-
-    def told(maps: Column, word: Column) -> Column:
-        high, low = F.shiftright(F.xxhash64(word), bit), F.xxhash64(word).bitwiseAND(len(shift) - 1)
-        slot = F.get(maps["slots"], high.bitwiseXOR(F.get(maps["shift"], low)).bitwiseAND(len(slots) - 1))
-        return _let(slot, lambda k: F.when(F.get(maps["words"], k) == word, F.get(maps["ids"], k)).otherwise(_folded(maps, word, window)))
+    of_words, of_ids = known
+    lits = _numbers(path) | {"words": (ROWS.join(of_words), ROWS, "array<string>"), "ids": (" ".join(of_ids), " ", "array<string>")}
+
+    def told(maps: dict[str, Column], word: Column) -> Column:
+        first, second = _places(word, len(of_words))
+        at = lambda k: F.get(maps["words"], k) == word
+        return F.when(at(first), F.get(maps["ids"], first)).when(at(second), F.get(maps["ids"], second)).otherwise(_folded(maps, word, window))
 
     joined = _with(lits, lambda maps: F.array_join(F.transform(words, lambda w: told(maps, w)), ","))
     return F.when(F.size(words) > 0, F.split(joined, ",").cast("array<int>")).otherwise(F.array().cast("array<int>"))
