@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .boosting import op6_quality_classifier
 from .byte_pairs import op13_byte_pair_encoding
+from .centroids import OP11_SQL, op11_centroid_clustering
 from .chat import OP2_SQL, op2_chat_format
 from .jaccard_join import op7_ngram_jaccard_join
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -26,7 +27,15 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_byte_pair_encoding": op13_byte_pair_encoding,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_embedding_near_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op12_importance_resampling": OP12_SQL}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op2_chat_format": OP2_SQL,
+    "op3_embedding_near_dedup": OP3_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op11_centroid_clustering": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
+}
