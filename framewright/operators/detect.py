@@ -92,3 +92,34 @@ def drawn_frames(spark, frames: int = 60, width: int = 320, height: int = 180, b
 
     rows = spark.range(frames).selectExpr("0L AS video_id", "id AS frame_index", "id * 40000000L AS pts_ns")
     return rows.mapInPandas(run, "video_id bigint, frame_index bigint, pts_ns bigint, width int, height int, y_stride int, y_plane binary")
+
+
+#: Width and height of the planes of titled(), and frames for each vector.
+TITLE_SIZE, TITLE_FRAMES = (128, 64), 14
+
+
+def titled(vectors: DataFrame) -> DataFrame:
+    """Planes with titles, made from vectors (vec_id, embedding): twenty vectors make a video, and each gives TITLE_FRAMES
+    frames. From the third of them on its first 64 numbers are shown as 8 rows of 8 cells, bright where a number isn't low;
+    the first number tells for how long. Every third vector flickers: one of its frames shows the other cells."""
+    width, height = TITLE_SIZE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for vec, e in zip(b["vec_id"], b["embedding"]):
+                numbers = np.full(64, -1.0)
+                given = np.asarray([] if e is None else e, float)[:64]
+                numbers[: len(given)] = np.nan_to_num(given, nan=-1.0)
+                cells = (numbers > -0.03).reshape(8, 8)
+                long = 4 + int(min(max((numbers[0] + 0.6) / 1.2, 0.0), 0.999) * 9)
+                planes = []
+                for j in range(TITLE_FRAMES):
+                    y = np.full((height, width), 40, np.uint8)
+                    if len(given) and 2 <= j < 2 + long:
+                        shown = ~cells if vec % 3 == 0 and j == 2 + vec % 5 else cells
+                        y[30:54, 16:112] = np.where(np.kron(shown, np.ones((3, 12), bool)), 235, 40)
+                    planes.append(y.tobytes())
+                index = vec % 20 * TITLE_FRAMES + np.arange(TITLE_FRAMES)
+                yield pd.DataFrame({"video_id": vec // 20, "frame_index": index, "width": width, "height": height, "y_stride": width, "y_plane": planes})
+
+    return vectors.select("vec_id", "embedding").where("vec_id is not null").mapInPandas(run, "video_id bigint, frame_index bigint, width int, height int, y_stride int, y_plane binary")

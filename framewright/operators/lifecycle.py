@@ -1,26 +1,29 @@
-"""Life cycles of regions: opened by a sample, extended while their content stays the same, held while it doesn't, and
-closed by the first sample without them; both ends are then refined over the frames between samples.
+"""Life cycles of regions: a sample without a region's span opens one, samples with the same content carry it on, others leave
+it as it is, and the first sample without the region ends it. Both ends are then moved over the frames between samples.
 
-One ordered pass over a video's frames. The state is the frames of the last history (a second's worth, MAX_HISTORY at
-most) and the open regions, so a video of any length needs no more; what the comparator reads (a value or a luma plane)
-travels with the frames.
+Two forms give the same rows:
+
+* ``lifecycles``: one ordered pass over a video's frames, for content that is small enough to travel with them. It holds the
+  frames of a second (MAX_HISTORY at most) and the open spans, so a video of any length needs no more.
+* ``plane_lifecycles``: for planes in a store of their own. Metadata alone decides which frames may matter; only these are
+  fetched, each is reduced to features where it lies, and only features are sorted and folded.
 """
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..sources import planes as P
 from . import kernels as K
+from . import sampling as S
 from .ordered import fold_sorted
-from .sampling import capacity, new_estimate
 
 Roi = tuple[float, float, float, float]
 
@@ -50,119 +53,125 @@ def plane_comparator(kind: str = "bitset-cover", target: int = 230, delta: int =
     return Comparator(extract, lambda a, b: compare(a, b)[1], ("width", "height", "y_stride", "y_plane"))
 
 
-@dataclass
-class Active:
-    region_id: int
+def walk(found: Iterable[tuple], reference, same: Callable[[Any, Any], bool], follow: bool) -> Iterator[tuple]:
+    """The frames of (frame, features) that show what reference shows. The first match takes its place, and with follow each
+    later one as well."""
+    first = True
+    for frame, features in found:
+        if features is not None and same(reference, features):
+            if first or follow:
+                reference, first = features, False
+            yield frame, reference
+
+
+class Span(NamedTuple):
+    """An open region. content: what the next sample has to show; start, last: frame and time."""
+
     label: str
     roi: Roi
-    template: Any
-    anchor: Any
+    content: Any
     opened: int
     start: tuple[int, int]
     last: tuple[int, int]
 
-    @property
-    def reference(self):
-        return self.template if self.anchor is None else self.anchor
 
-
-class Worker:
-    """The state of one video. Regions that end together end in the order of their ids."""
+class Timeline:
+    """A video's frames, in order, with the spans open at the last of them."""
 
     def __init__(self, comparator: Comparator):
-        self.c = comparator
-        self.active: dict[int, Active] = {}
-        self.history: deque = deque()
-        self.closing: list = []
-        self.at = None
-        self.fps = self.before = None
-        self.extracts = self.compares = self.done = 0
-
-    def extract(self, row, roi: Roi):
-        self.extracts += 1
-        return self.c.extract(row, roi)
-
-    def same(self, a, b) -> bool:
+        self.extract, self.same, _ = comparator
+        self.spans: dict[int, Span] = {}
+        self.recent: deque = deque()
+        self.ahead: list = []  # what was recent at the last sample
+        self.at = self.fps = self.before = None
+        self.extracts = self.compares = self.ended = 0
+
+    def read(self, frames: Iterable, roi: Roi) -> Iterator[tuple]:
+        for f in frames:
+            self.extracts += 1
+            yield f, self.extract(f, roi)
+
+    def alike(self, a, b) -> bool:
         self.compares += 1
-        return self.c.same(a, b)
-
-    def time(self, row, otherwise: int) -> int:
-        """A frame's own time, or its index over the frame rate."""
-        if row.pts_ns is not None:
-            return row.pts_ns
-        return int(row.frame_index / self.fps * 1e9) if self.fps else otherwise
-
-    def frame(self, row) -> list[tuple]:
-        """The regions that this frame closes."""
-        self.fps, self.before = new_estimate(self.fps, self.before, row)
-        self.history.append(row)
-        while len(self.history) > capacity(self.fps):
-            self.history.popleft()
-        if not row.sampled:
+        return self.same(a, b)
+
+    def stamp(self, frame, otherwise: int = 0) -> tuple[int, int]:
+        """A frame's index and time; without a time, the index over the frame rate."""
+        if frame.pts_ns is None:
+            return frame.frame_index, int(frame.frame_index / self.fps * 1e9) if self.fps else otherwise
+        return frame.frame_index, frame.pts_ns
+
+    def add(self, frame) -> list[tuple]:
+        """The spans that this frame ends."""
+        self.fps, self.before = S.new_estimate(self.fps, self.before, frame)
+        self.recent.append(frame)
+        while len(self.recent) > S.capacity(self.fps):
+            self.recent.popleft()
+        if not frame.sampled:
             return []
-        self.closing, self.at = list(self.history), row.frame_index
-        seen = set()
-        for r in row.regions or ():
-            ident, roi = r["region_id"], (r["x"], r["y"], r["width"], r["height"])
-            features = self.extract(row, roi)
-            if features is None:
-                continue
-            seen.add(ident)
-            now = self.active.get(ident)
-            if now is None:
-                self.active[ident] = self.opened(row, ident, r["label"], roi, features)
-            elif self.same(now.reference, features):
-                now.roi, now.last, now.template, now.anchor = roi, (row.frame_index, self.time(row, 0)), features, features
-        return [self.closed(i) for i in sorted(self.active.keys() - seen)]
-
-    def opened(self, row, ident: int, label: str, roi: Roi, features) -> Active:
-        """Back through the history: the first match becomes the anchor of all frames before it, the earliest match the
-        start."""
-        last = (row.frame_index, self.time(row, 0))
-        new = Active(ident, label, roi, features, None, row.frame_index, last, last)
-        for past in reversed(self.history):
-            if past.frame_index >= row.frame_index:
-                continue
-            found = self.extract(past, roi)
-            if found is None or not self.same(features if new.anchor is None else new.anchor, found):
-                continue
-            new.start = (past.frame_index, self.time(past, new.start[1]))
-            new.anchor = found if new.anchor is None else new.anchor
-            new.template = found
-        return new
-
-    def closed(self, ident: int) -> tuple:
-        """On through the frames after the last match, each match being the anchor of the next."""
-        a = self.active.pop(ident)
-        anchor, end = a.anchor, a.last
-        for later in self.closing:
-            if later.frame_index <= a.last[0]:
-                continue
-            found = self.extract(later, a.roi)
-            if found is not None and self.same(a.template if anchor is None else anchor, found):
-                anchor, end = found, (later.frame_index, end[1] if later.pts_ns is None else later.pts_ns)
-        self.done += 1
-        return (ident, a.label, a.opened, *a.start, a.last[0], *end, *a.roi, self.at, self.done - 1)
-
-    def flush(self) -> list[tuple]:
-        return [self.closed(i) for i in sorted(self.active)]
+        self.ahead, self.at = list(self.recent), frame.frame_index
+        shown = {}
+        for r in frame.regions or ():
+            roi = (r["x"], r["y"], r["width"], r["height"])
+            ((_, content),) = self.read([frame], roi)
+            if content is not None:
+                shown[r["region_id"]] = self.carried(r["region_id"], frame, r["label"], roi, content)
+        gone = sorted(self.spans.keys() - shown.keys())
+        out = [self.end(i) for i in gone]
+        self.spans.update(shown)
+        return out
+
+    def carried(self, ident: int, frame, label: str, roi: Roi, content) -> Span:
+        here = self.stamp(frame)
+        if (span := self.spans.get(ident)) is not None:
+            return span._replace(roi=roi, content=content, last=here) if self.alike(span.content, content) else span
+        start, earlier = here, (f for f in reversed(self.recent) if f.frame_index < frame.frame_index)
+        for f, content in walk(self.read(earlier, roi), content, self.alike, follow=False):
+            start = self.stamp(f, start[1])
+        return Span(label, roi, content, frame.frame_index, start, here)
+
+    def end(self, ident: int) -> tuple:
+        span = self.spans.pop(ident)
+        frame, time = span.last
+        later = (f for f in self.ahead if f.frame_index > frame)
+        for f, _ in walk(self.read(later, span.roi), span.content, self.alike, follow=True):
+            frame, time = f.frame_index, time if f.pts_ns is None else f.pts_ns
+        self.ended += 1
+        return (ident, span.label, span.opened, *span.start, span.last[0], frame, time, *span.roi, self.at, self.ended - 1)
+
+    def finish(self) -> list[tuple]:
+        return [self.end(i) for i in sorted(self.spans)]
 
 
 SEGMENT = "region_id bigint, label string, opened_frame bigint, start_frame bigint, start_ns bigint, last_frame bigint, end_frame bigint, end_ns bigint, x double, y double, width double, height double, closed_at bigint, place bigint"
 
 
-def lifecycles(frames: DataFrame, comparator: Comparator) -> DataFrame:
-    """A row for each closed region of each video, with the sampled frame that closed it and its place among them. frames: video_id, frame_index,
-    pts_ns, sampled, regions (array<struct<region_id, label, x, y, width, height>>, parts of a frame) and what the
-    comparator reads. end_frame is also the frame that represents the segment."""
-
+def _through(frames: DataFrame, comparator: Comparator, give: Callable[[Timeline, Any], list[tuple]], schema: str) -> DataFrame:
     def step(state: list, row) -> list[tuple]:
         if not state:
-            state += [row.video_id, Worker(comparator)]
-        return [(state[0], *s) for s in (state[1].flush() if row is None else state[1].frame(row))]
+            state += [row.video_id, Timeline(comparator)]
+        return [(state[0], *x) for x in give(state[1], row)]
 
     rows = frames.select("video_id", "frame_index", "pts_ns", "sampled", "regions", *comparator.columns)
-    return fold_sorted(rows, ["video_id"], ["frame_index"], list, step, f"video_id bigint, {SEGMENT}")
+    return fold_sorted(rows, ["video_id"], ["frame_index"], list, step, f"video_id bigint, {schema}")
+
+
+def lifecycles(frames: DataFrame, comparator: Comparator) -> DataFrame:
+    """A row for each span of each video, with the sampled frame that ended it and its place among them; spans that end
+    together end in the order of their ids. frames: video_id, frame_index, pts_ns, sampled, regions
+    (array<struct<region_id, label, x, y, width, height>>, parts of a frame) and what the comparator reads. end_frame is also the
+    frame that represents the segment."""
+    return _through(frames, comparator, lambda t, row: t.finish() if row is None else t.add(row), SEGMENT)
+
+
+def work(frames: DataFrame, comparator: Comparator) -> DataFrame:
+    """video_id, extracts, compares: how often a video's regions were read and compared."""
+
+    def give(t: Timeline, row) -> list[tuple]:
+        t.finish() if row is None else t.add(row)
+        return [(t.extracts, t.compares)] if row is None else []
+
+    return _through(frames, comparator, give, "extracts bigint, compares bigint")
 
 
 def with_regions(frames: DataFrame, regions: DataFrame) -> DataFrame:
@@ -172,25 +181,108 @@ def with_regions(frames: DataFrame, regions: DataFrame) -> DataFrame:
     return frames.join(lists, ["video_id", "frame_index"], "left")
 
 
+ROI = ["x", "y", "width", "height"]
+SPAN = ["video_id", "region_id", "opened_frame"]
+
+
+def _spans(looks: DataFrame, samples: DataFrame) -> DataFrame:
+    """looks with the number of their sample and opened_frame, the first frame of a run of samples that show the region."""
+    numbered = looks.join(samples.select("video_id", "frame_index", "number", "pts_ns", "fps"), ["video_id", "frame_index"])
+    of_region = Window.partitionBy("video_id", "region_id")
+    run = F.col("number") - F.row_number().over(of_region.orderBy("number"))
+    return numbered.withColumn("run", run).withColumn("opened_frame", F.min("frame_index").over(Window.partitionBy("video_id", "region_id", "run"))).drop("run")
+
+
+def _started(spans: DataFrame, earlier: DataFrame, comparator: Comparator) -> DataFrame:
+    """A row for each span: where it starts, its last sample with the same content, and that content. A span's events are its
+    first sample, the frames before that, backwards, and the later samples."""
+    columns = [*SPAN, "label", *ROI, "frame_index", "pts_ns", "fps", "features"]
+    first = F.when(F.col("frame_index") == F.col("opened_frame"), 0).otherwise(2)
+    events = spans.select(*columns, first.alias("kind"), F.col("number").alias("turn"))
+    events = events.unionByName(earlier.select(*columns, F.lit(1).alias("kind"), (-F.col("frame_index")).alias("turn")))
+
+    def time(row, otherwise: int = 0) -> int:
+        return row.pts_ns if row.pts_ns is not None else int(row.frame_index / row.fps * 1e9) if row.fps else otherwise
+
+    def step(s: dict, row) -> list[tuple]:
+        if row is None:
+            return [(*s["key"], s["label"], *s["start"], *s["last"], *s["roi"], P.packed(s["content"]))]
+        content, here = P.unpacked(row.features), (row.frame_index, time(row))
+        if row.kind == 0:
+            s.update(key=(row.video_id, row.region_id, row.opened_frame), label=row.label, start=here, last=here, roi=[getattr(row, c) for c in ROI], content=content, moved=False)
+        elif content is not None and comparator.same(s["content"], content):
+            if row.kind == 2:
+                s.update(last=here, roi=[getattr(row, c) for c in ROI], content=content)
+            else:
+                s.update(start=(row.frame_index, time(row, s["start"][1])), content=s["content"] if s["moved"] else content, moved=True)
+        return []
+
+    schema = "video_id bigint, region_id bigint, opened_frame bigint, label string, start_frame bigint, start_ns bigint, last_frame bigint, last_ns bigint, x double, y double, width double, height double, content binary"
+    return fold_sorted(events, SPAN, ["kind", "turn"], dict, step, schema)
+
+
+def _ended(started: DataFrame, later: DataFrame, comparator: Comparator) -> DataFrame:
+    """started with end_frame and end_ns: on through the frames after the last sample, as long as each shows what the last
+    match showed."""
+    names = [c for c in started.columns if c != "content"]
+    nothing = [F.lit(None).cast(started.schema[c].dataType).alias(c) for c in names if c not in SPAN]
+    events = started.select(*names, F.lit(-1).cast("long").alias("frame_index"), F.lit(None).cast("long").alias("pts_ns"), F.col("content").alias("features"))
+    events = events.unionByName(later.select(*SPAN, *nothing, "frame_index", "pts_ns", "features"))
+
+    def step(s: dict, row) -> list[tuple]:
+        if row is None:
+            return [(*s["own"], s["frame"], s["time"])]
+        content = P.unpacked(row.features)
+        if not s:
+            s.update(own=[getattr(row, c) for c in names], frame=row.last_frame, time=row.last_ns, content=content)
+        elif content is not None and comparator.same(s["content"], content):
+            s.update(frame=row.frame_index, time=s["time"] if row.pts_ns is None else row.pts_ns, content=content)
+        return []
+
+    schema = ", ".join(f"{c} {started.schema[c].dataType.simpleString()}" for c in names)
+    return fold_sorted(events, SPAN, ["frame_index"], dict, step, f"{schema}, end_frame bigint, end_ns bigint")
+
+
+def plane_lifecycles(frames: DataFrame, regions: DataFrame, planes: DataFrame, comparator: Comparator) -> DataFrame:
+    """As lifecycles, for planes (video_id, frame_index and what the comparator reads) that stay where they are stored.
+    frames: video_id, frame_index, pts_ns, sampled. regions: those of sampled frames. Planes are read for the regions of samples, for the frames of the history
+    before a span's first sample, and for those after its last one up to the sample that ends it."""
+    lengths = S.history_lengths(S.fps_estimates(frames)).drop("pts_ns")
+    known = P.kept(frames.select("video_id", "frame_index", "pts_ns", "sampled").join(lengths, ["video_id", "frame_index"]), "frames")
+    in_order = Window.partitionBy("video_id").orderBy("frame_index")
+    samples = known.where("sampled").withColumn("number", F.row_number().over(in_order).cast("long"))
+    samples = samples.withColumn("closed_at", F.coalesce(F.lead("frame_index").over(in_order), F.col("frame_index")))
+
+    def looked(wanted: DataFrame) -> DataFrame:
+        return P.fetched(wanted, planes, comparator)
+
+    rois = [F.col(c).cast("double").alias(c) for c in ROI]
+    looks = looked(regions.select("video_id", "frame_index", "region_id", "label", *rois)).where("features is not null")
+    spans = P.kept(_spans(looks, samples), "spans")
+    first = spans.where("frame_index = opened_frame").select(*SPAN, "label", *ROI, "fps")
+    reach = samples.select("video_id", F.col("frame_index").alias("opened_frame"), "ord", "length")
+    past = S.history_pairs(first.join(reach, ["video_id", "opened_frame"]), known).where("past_index < opened_frame")
+    earlier = looked(past.select(*SPAN, "label", *ROI, "fps", F.col("past_index").alias("frame_index"), F.col("past_pts_ns").alias("pts_ns")))
+    started = P.kept(_started(spans, earlier, comparator), "started")
+
+    last = spans.groupBy(*SPAN).agg(F.max("frame_index").alias("last_sample"))
+    ends = last.join(samples.select("video_id", F.col("frame_index").alias("last_sample"), "closed_at"), ["video_id", "last_sample"]).drop("last_sample")
+    ends = ends.join(samples.select("video_id", F.col("frame_index").alias("closed_at"), "ord", "length"), ["video_id", "closed_at"])
+    after = S.history_pairs(started.select(*SPAN, *ROI, "last_frame").join(ends, SPAN), known).where("past_index > last_frame")
+    later = looked(after.select(*SPAN, *ROI, F.col("past_index").alias("frame_index"), F.col("past_pts_ns").alias("pts_ns")))
+    done = _ended(started, later, comparator).join(ends.select(*SPAN, "closed_at"), SPAN)
+    # Spans that the end of the video ends come after those that its last sample does.
+    done = done.join(last, SPAN).withColumn("flushed", F.col("closed_at") == F.col("last_sample"))
+    order = Window.partitionBy("video_id").orderBy("closed_at", "flushed", "region_id")
+    place = (F.row_number().over(order) - 1).cast("long")
+    return done.withColumn("place", place).select("video_id", *[c.split()[0] for c in SEGMENT.split(", ")])
+
+
 def valid(segments: DataFrame, width: int, height: int) -> DataFrame:
     roi = G.box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     return segments.where(G.valid_region(roi, F.col("end_ns") - F.col("start_ns"), width, height))
 
 
-def work(frames: DataFrame, comparator: Comparator) -> DataFrame:
-    """video_id, extracts, compares: how often a video's regions were read and compared."""
-
-    def step(state: list, row) -> list[tuple]:
-        if not state:
-            state += [row.video_id, Worker(comparator)]
-        w = state[1]
-        w.flush() if row is None else w.frame(row)
-        return [(state[0], w.extracts, w.compares)] if row is None else []
-
-    rows = frames.select("video_id", "frame_index", "pts_ns", "sampled", "regions", *comparator.columns)
-    return fold_sorted(rows, ["video_id"], ["frame_index"], list, step, "video_id bigint, extracts bigint, compares bigint")
-
-
 def presented(segments: DataFrame, frames: DataFrame, width: int, height: int) -> DataFrame:
     """Segments with the columns of the frame that represents them, the region in pixels, its middle line (center) and
     its whole-pixel bounds; those without any pixel are left out."""

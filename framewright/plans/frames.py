@@ -15,6 +15,8 @@ targets AS (SELECT *, len(list_filter(range(7), lambda i: frac + 1e-6 >= i / 7.0
   CASE WHEN second = lag(second) OVER (PARTITION BY video_id ORDER BY frame_index) THEN 0 ELSE 1 END AS change FROM part),
 seconds AS (SELECT *, sum(change) OVER (PARTITION BY video_id ORDER BY frame_index) AS run FROM targets),
 sampled AS (SELECT *, used > coalesce(max(used) OVER (PARTITION BY video_id, run ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sampled FROM seconds)"""
+#: As SCHEDULE, with each video's last frame among the samples.
+TAILED = SCHEDULE.removesuffix(" AS sampled FROM seconds)") + " OR row_number() OVER (PARTITION BY video_id ORDER BY frame_index DESC) = 1 AS sampled FROM seconds)"
 ESTIMATES = """steps AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS ord,
   CASE WHEN pts_ns > lag(pts_ns) OVER (PARTITION BY video_id ORDER BY frame_index) THEN 1 / ((pts_ns - lag(pts_ns) OVER (PARTITION BY video_id ORDER BY frame_index)) / 1e9) END AS x FROM fr),
 est AS (SELECT video_id, frame_index, pts_ns, ord, list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY video_id ORDER BY frame_index) AS xs FROM steps),

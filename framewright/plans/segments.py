@@ -16,7 +16,7 @@ from ..operators.tracking import tracked
 from ..session import table
 from ..sources import frames as V
 from ..sources import srt
-from .frames import FRAMES, HISTORY, SCHEDULE
+from .frames import FRAMES, HISTORY, SCHEDULE, TAILED
 
 WIDTH, HEIGHT = 1920, 1080
 #: Features of an event frame are its value; two are the same if they differ by no more than this.
@@ -94,7 +94,7 @@ def _islands(spark, d):
 
 
 def _timeline(spark, d):
-    return S.with_sampled(V.event_frames(table(spark, d, "events")))
+    return S.with_sampled(V.event_frames(table(spark, d, "events")), tail=True)
 
 
 #: A place for each label; the place of an error is too flat to be valid.
@@ -277,7 +277,7 @@ isl AS (SELECT *, n_sample - row_number() OVER (PARTITION BY video_id, label ORD
 seg AS (SELECT video_id, label, min(frame_index) AS start_frame, max(frame_index) AS end_frame, min(pts_ns) AS start_ns, max(pts_ns) AS end_ns, count(*) AS n FROM isl GROUP BY video_id, label, island)"""
 CUES = ISLANDS + """, cues AS (SELECT video_id // 3 AS video_id, row_number() OVER (PARTITION BY video_id // 3 ORDER BY end_ns, start_ns, video_id, label) AS ord,
   start_ns, end_ns, start_frame, (video_id % 5 * 10)::DOUBLE AS center, upper(label) AS text FROM seg WHERE end_ns - start_ns >= 200000000)"""
-LIFE = ISLANDS + f""", {HISTORY}, hv AS (SELECT hist.*, fr.value FROM hist JOIN fr ON fr.video_id = hist.video_id AND fr.frame_index = hist.frame_index),
+LIFE = ISLANDS.replace(SCHEDULE, TAILED) + f""", {HISTORY}, hv AS (SELECT hist.*, fr.value FROM hist JOIN fr ON fr.video_id = hist.video_id AND fr.frame_index = hist.frame_index),
 rk AS (SELECT *, row_number() OVER (PARTITION BY video_id, label, island ORDER BY n_sample) AS k, count(*) OVER (PARTITION BY video_id, label, island) AS n FROM isl),
 back AS (SELECT s.video_id, s.label, s.island, p.frame_index AS past_index, p.pts_ns AS past_ns, p.value AS past_value, abs(p.value - s.value) <= 20 AS first_same
   FROM rk s JOIN hv a ON a.video_id = s.video_id AND a.frame_index = s.frame_index JOIN hv p ON p.video_id = a.video_id AND p.ord < a.ord AND p.ord > a.ord - a.length WHERE s.k = 1),

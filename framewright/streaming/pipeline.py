@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.lifecycle import SEGMENT, Active, Worker, value_comparator
+from ..operators.lifecycle import SEGMENT, Span, Timeline, value_comparator
 from ..operators.metrics import EMA_ALPHA
 from ..operators.sampling import EPSILON
 from ..operators.segments import MERGE_GAP_NS
@@ -93,25 +93,25 @@ def lifecycle_stream(frames: DataFrame, limit: float) -> DataFrame:
     last set closes what is open. The state holds a history of numbers and the open regions."""
     comparator = value_comparator(limit)
 
-    def load(s: dict) -> Worker:
-        w = Worker(comparator)
+    def load(s: dict) -> Timeline:
+        t = Timeline(comparator)
         frame = lambda x: _Frame(*x)
-        w.history, w.closing = deque(map(frame, s.get("history", ()))), list(map(frame, s.get("closing", ())))
-        w.active = {a[0]: Active(a[0], a[1], tuple(a[2]), a[3], a[4], a[5], tuple(a[6]), tuple(a[7])) for a in s.get("active", ())}
-        w.at, w.fps, w.before, w.done = s.get("sample"), s.get("fps"), s.get("before") and tuple(s["before"]), s.get("done", 0)
-        return w
+        t.recent, t.ahead = deque(map(frame, s.get("recent", ()))), list(map(frame, s.get("ahead", ())))
+        t.spans = {i: Span(label, tuple(roi), content, opened, tuple(start), tuple(last)) for i, label, roi, content, opened, start, last in s.get("spans", ())}
+        t.at, t.fps, t.before, t.ended = s.get("sample"), s.get("fps"), s.get("before") and tuple(s["before"]), s.get("ended", 0)
+        return t
 
-    def dump(w: Worker) -> dict:
-        return {"history": list(w.history), "closing": w.closing, "active": [list(vars(a).values()) for a in w.active.values()], "sample": w.at, "fps": w.fps, "before": w.before, "done": w.done}
+    def dump(t: Timeline) -> dict:
+        return {"recent": list(t.recent), "ahead": t.ahead, "spans": [(i, *x) for i, x in t.spans.items()], "sample": t.at, "fps": t.fps, "before": t.before, "ended": t.ended}
 
-    def step(w: Worker, row) -> list[tuple]:
+    def step(t: Timeline, row) -> list[tuple]:
         regions = None if row.regions is None else [dict(r) for r in row.regions]
         pts = None if row.pts_ns != row.pts_ns else int(row.pts_ns)
         f = _Frame(int(row.frame_index), pts, bool(row.sampled), regions, float(row.value))
-        found = w.frame(f)
-        w.history[-1] = f._replace(regions=None)
-        w.closing = [x._replace(regions=None) for x in w.closing]
-        return [(row.video_id, *s) for s in (found + w.flush() if row.last else found)]
+        found = t.add(f)
+        t.recent[-1] = f._replace(regions=None)
+        t.ahead = [x._replace(regions=None) for x in t.ahead]
+        return [(row.video_id, *s) for s in (found + t.finish() if row.last else found)]
 
     return _keyed(frames, "video_id", ["frame_index"], step, f"video_id bigint, {SEGMENT}", load, dump)
 

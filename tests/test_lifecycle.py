@@ -34,7 +34,7 @@ def made_up(seed, videos=5, n=150):
     return rows
 
 
-def plain(rows, limit):
+def plain(rows, same, read=lambda frame, region: frame[3]):
     """A simulator that keeps everything: for each video all frames, and each region's whole story."""
     out = []
     for video in {r[0] for r in rows}:
@@ -53,27 +53,28 @@ def plain(rows, limit):
         time = lambda f, rate, other: f[2] if f[2] is not None else int(f[1] / rate * 1e9) if rate else other
         alive: dict = {}
         for nth, (f, history, rate) in enumerate([*samples, (None, *samples[-1][1:])]):
-            shown = {x[0] for x in f[5]} if f else set()
-            for k in sorted(set(alive) - shown):
-                ref, frame, ns, opened, start, begun = alive.pop(k)
+            shown = {x[0]: (x, read(f, x)) for x in f[5] or ()} if f else {}
+            shown = {k: (x, content) for k, (x, content) in shown.items() if content is not None}
+            for k in sorted(set(alive) - set(shown)):
+                ref, region, frame, ns, opened, start, begun = alive.pop(k)
                 end, stamp = frame, ns
                 for g in (g for g in history if g[1] > frame):
-                    if abs(g[3] - ref) <= limit:
-                        ref, end, stamp = g[3], g[1], stamp if g[2] is None else g[2]
+                    if same(ref, read(g, region)):
+                        ref, end, stamp = read(g, region), g[1], stamp if g[2] is None else g[2]
                 closing = f or samples[-1][0]
                 out.append((video, k, opened, start, begun, frame, end, stamp, closing[1]))
-            for k in sorted(shown):
+            for k, (region, content) in sorted(shown.items(), key=lambda x: x[0]):
                 if k not in alive:
-                    past = [g for g in reversed(history) if g[1] < f[1]]
-                    first = next((g[3] for g in past if abs(g[3] - f[3]) <= limit), None)
+                    past = [(g, read(g, region)) for g in reversed(history) if g[1] < f[1]]
+                    begin = next((i for i, (_, c) in enumerate(past) if same(content, c)), len(past))
+                    first = past[begin][1] if begin < len(past) else None
                     start, begun = f[1], time(f, rate, 0)
-                    begin = next((i for i, g in enumerate(past) if abs(g[3] - f[3]) <= limit), len(past))
-                    for g in past[begin:]:
-                        if abs(g[3] - first) <= limit:
+                    for g, c in past[begin:]:
+                        if same(first, c):
                             start, begun = g[1], time(g, rate, begun)
-                    alive[k] = (f[3] if first is None else first, f[1], time(f, rate, 0), f[1], start, begun)
-                elif abs(f[3] - alive[k][0]) <= limit:
-                    alive[k] = (f[3], f[1], time(f, rate, 0), *alive[k][3:])
+                    alive[k] = (content if first is None else first, region, f[1], time(f, rate, 0), f[1], start, begun)
+                elif same(alive[k][0], content):
+                    alive[k] = (content, region, f[1], time(f, rate, 0), *alive[k][4:])
     return sorted(out, key=repr)
 
 
@@ -84,7 +85,7 @@ def test_against_a_plain_simulator(spark):
     rows = made_up(4)
     out = L.lifecycles(spark.createDataFrame(rows, FRAME), L.value_comparator(10.0))
     got = sorted((tuple(r[c] for c in COLUMNS) for r in out.collect()), key=repr)
-    assert got == plain(rows, 10.0) and len(got) > 60
+    assert got == plain(rows, lambda a, b: abs(a - b) <= 10.0) and len(got) > 60
 
 
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
