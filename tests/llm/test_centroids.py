@@ -60,7 +60,7 @@ def test_few_vectors_and_none(monkeypatch, spark):
 
 def test_large_components(monkeypatch, spark):
     """What 64 bits can't hold is left out; what they can is exact."""
-    rows = [(k, [float((-1) ** (j * k) * (500_000 + 1000 * k)) for j in range(64)]) for k in range(50)]
+    rows = [(k, [float((-1) ** (j * k) * (500_000 + 100 * k)) for j in range(64)]) for k in range(50)]
     assert result(monkeypatch, spark, rows + [(99, [1e30] * 64)]) == plainly(rows)
 
 
