@@ -34,21 +34,20 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def buckets_of(words: Column) -> Column:
-    """array<int>: the bucket of each word and of each pair of neighbours; the last word has no pair and comes once."""
-    bucket = lambda feature: (F.crc32(feature) % BUCKETS).cast("int")
-    pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: bucket(F.concat(F.get(words, i), F.lit(" "), w)))
-    return F.concat(F.transform(words, bucket), pairs)
+def hashes_of(words: Column) -> Column:
+    """array<bigint>: the hash of each word and of each pair of neighbours."""
+    pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.crc32(F.concat(F.get(words, i), F.lit(" "), w)))
+    return F.flatten(F.array(F.transform(words, lambda w: F.crc32(w)), pairs))
 
 
-def with_buckets(docs: DataFrame) -> DataFrame:
-    rows = docs.withColumn("words", words_of(text_or_empty()))
-    return rows.withColumn("n_words", F.size("words")).withColumn("buckets", buckets_of(F.col("words")))
+def buckets_of(words: Column) -> Column:
+    """array<bigint>: the bucket of each feature."""
+    return F.transform(hashes_of(words), lambda h: h % BUCKETS)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    buckets = docs.select(words_of(text_or_empty()).alias("words")).select(F.explode(buckets_of(F.col("words"))).alias("bucket"))
-    return buckets.groupBy("bucket").count()
+    hashes = docs.select(words_of(text_or_empty()).alias("words")).select(F.explode(hashes_of(F.col("words"))).alias("hash"))
+    return hashes.groupBy((F.col("hash") % BUCKETS).alias("bucket")).count()
 
 
 def gains(docs: DataFrame, target: DataFrame) -> list[int]:
@@ -65,7 +64,7 @@ def gains(docs: DataFrame, target: DataFrame) -> list[int]:
 def weight(buckets: Column, of: list[int]) -> Column:
     """The floored mean gain, 0 without features."""
     gain = F.split(F.lit(" ".join(map(str, of))), " ").cast("array<bigint>")  # folded into one literal
-    total = F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.element_at(gain, b + 1))
+    total = F.aggregate(buckets, F.lit(0).cast("long"), lambda s, b: s + F.element_at(gain, (b + 1).cast("int")))
     n = F.size(buckets)
     return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", total - F.pmod(total, n), n))
 
@@ -80,7 +79,8 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 def scored(docs: DataFrame, target: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight, score."""
     of = gains(docs.select("text"), target.select("text"))
-    rows = with_buckets(docs.select("doc_id", "text"))
+    rows = docs.select("doc_id", words_of(text_or_empty()).alias("words"))
+    rows = rows.select("doc_id", F.size("words").alias("n_words"), buckets_of(F.col("words")).alias("buckets"))
     made = rows.select("doc_id", "n_words", F.size("buckets").cast("long").alias("n_features"), weight(F.col("buckets"), of).alias("weight"))
     return made.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
 
