@@ -42,8 +42,8 @@ from .common import table, text_or_empty
 
 #: Longest word, in bytes, that is folded at once.
 WINDOW = 512
-#: Places of the literal table, a power of two, and the longest word in it: 16 MB at most at any size of the corpus.
-KNOWN, KNOWN_BYTES = 1 << 18, 64
+#: Places of the literal table, a power of two, and the longest word in it: 8 MB at most at any size of the corpus.
+KNOWN, KNOWN_BYTES = 1 << 17, 64
 #: More than any rank: no pair.
 NONE = 1 << 20
 #: The letters and the digits that Unicode 14 to 16 added, which the libraries know and Java 17 doesn't.
