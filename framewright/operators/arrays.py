@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels as K
+
 #: What a finite maximum must pass, and the weights of the 3 x 3 kernel's middle and sides.
 EPSILON, MIDDLE = 1.1920929e-7, 2
 #: Fixed values of full-range colour conversion: weights of red, green and blue, and the offset.
@@ -84,12 +88,22 @@ def cosine_transform(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return once(rows, "u", "y", height, "c", "w").select("image", F.col("w").alias("v"), "u", F.col("c").alias("coefficient"))
 
 
-def distances(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Distance of each pixel to the nearest set one by straight and diagonal steps (1 and sqrt 2); null without any."""
-    marks = mask.select("image", F.col("y").alias("my"), F.col("x").alias("mx"))
-    dx, dy = F.abs(F.col("x") - F.col("mx")), F.abs(F.col("y") - F.col("my"))
-    steps = F.greatest(dx, dy) + (math.sqrt(2) - 1) * F.least(dx, dy)
-    return pixels.join(marks, "image", "left").groupBy("image", "y", "x").agg(F.min(steps).alias("distance"))
+def distances(lines: DataFrame) -> DataFrame:
+    """image, y, x, distance of each pixel to the nearest set one by straight and diagonal steps; null where an image has none.
+    lines: image, y, mask (array<boolean>). Two passes over the lines of an image, each linear in its pixels; a task holds
+    one image. Lines that are missing have no set pixel."""
+
+    def run(lines: pd.DataFrame) -> pd.DataFrame:
+        widths = lines["mask"].map(len)
+        mask = np.zeros((lines["y"].max() + 1, widths.max()), bool)
+        for y, line in zip(lines["y"], lines["mask"]):
+            mask[y, : len(line)] |= np.asarray(line, bool)
+        found = K.octile_distance(mask)
+        rows = [found[y, :n].tolist() if mask.any() else [None] * n for y, n in zip(lines["y"], widths)]
+        return pd.DataFrame({"image": lines["image"], "y": lines["y"], "row": rows})
+
+    rows = lines.select("image", "y", "mask").groupBy("image").applyInPandas(run, "image bigint, y int, row array<double>")
+    return rows.select("image", "y", F.posexplode("row").alias("x", "distance"))
 
 
 def highlighted(pixels: DataFrame, roi: tuple[int, int, int, int], width: int, height: int, low: int, high: int, to: int) -> DataFrame:

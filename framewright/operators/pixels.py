@@ -169,16 +169,3 @@ def dilated(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:
     near = lambda c, n: F.explode(F.sequence(F.greatest(F.col(c) - radius, F.lit(0)), F.least(F.col(c) + radius, F.lit(n - 1)))).alias(c)
     wide = mask.select("image", "y", near("x", width)).distinct()
     return wide.select("image", near("y", height), "x").distinct()
-
-
-def cover_compare(pairs: DataFrame, mask: DataFrame, wide: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """pairs (a, b) of images: set pixels of one outside the other's dilation, over the pixels set in either."""
-    bits = mask.withColumn("bit", F.lit(1)).unionByName(wide.withColumn("bit", F.lit(2))).groupBy("image", "y", "x").agg(F.sum("bit").alias("bits"))
-    side = lambda c: pairs.select("a", "b", F.col(c).alias("image"), F.lit(c).alias("side")).join(bits, "image")
-    both = side("a").unionByName(side("b")).groupBy("a", "b", "y", "x").agg(F.max(F.when(F.col("side") == "a", F.col("bits"))).alias("pa"), F.max(F.when(F.col("side") == "b", F.col("bits"))).alias("pb"))
-    pa, pb = F.coalesce("pa", F.lit(0)), F.coalesce("pb", F.lit(0))
-    on = lambda p, bit: p.bitwiseAND(bit) > 0
-    missed = (on(pa, 1) & ~on(pb, 2)).cast("long") + (on(pb, 1) & ~on(pa, 2)).cast("long")
-    sums = both.groupBy("a", "b").agg(F.sum(missed).alias("miss"), F.sum((on(pa, 1) | on(pb, 1)).cast("long")).alias("pixels"))
-    part = F.when(F.col("pixels") > 0, F.col("miss") / F.col("pixels")).otherwise(0.0)
-    return sums.select("a", "b", "miss", "pixels", F.greatest(F.lit(0.0), 1 - part).alias("similarity"), (part <= threshold).alias("same"))

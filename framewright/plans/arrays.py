@@ -54,8 +54,8 @@ def _colours(spark, d):
 
 
 def _distances(spark, d):
-    p = _pixels(spark, d)
-    return _rounded(A.distances(p.select("image", "y", "x"), P.luma_band(p, 200, 12)), "distance")
+    lines = V.pixel_lines(table(spark, d, "embeddings").select("vec_id", "embedding"), H)
+    return _rounded(A.distances(lines.select("image", "y", F.transform("line", lambda v: v.between(188, 212)).alias("mask"))), "distance")
 
 
 QUERIES = {

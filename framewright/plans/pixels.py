@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bitmasks as B
 from ..operators import detect as D
 from ..operators import pixels as P
 from ..operators.tracking import tracked
@@ -61,25 +62,34 @@ def _boxes(spark, d):
     return x
 
 
-def _lines(spark, d):
+def _groups(spark, d):
     return P.line_groups(_boxes(spark, d), "l_orderkey")
 
 
-def _pairs(mask):
-    ids = mask.select("image").distinct()
-    return ids.select(F.col("image").alias("a"), (F.col("image") + 1).alias("b")).join(ids.select(F.col("image").alias("b")), "b")
+def _lines(spark, d, per_image=H):
+    return V.pixel_lines(table(spark, d, "embeddings").select("vec_id", "embedding"), per_image)
 
 
 def _cover(spark, d):
-    m = _mask(spark, d)
-    out = P.cover_compare(_pairs(m), m, P.dilated(m, 2, W, H))
-    return out.withColumn("similarity", F.round("similarity", 6))
+    """Neighbouring images that both have a set pixel."""
+    lines = _lines(spark, d).select("image", "y", F.lit(0).alias("x0"), B.band_words(F.col("line"), W, 150, 190).alias("part"))
+    masks = B.images(lines, W, H).where(F.exists("bits", lambda line: F.exists(line, lambda w: w != 0)))
+    return B.cover_of_neighbours(masks, W).withColumn("similarity", F.round("similarity", 6))
+
+
+def _packed_cover(spark, d):
+    """Images of twice the width, two vectors a line, so that dilation passes from word to word; all neighbours, with or without a set pixel."""
+    rows = _lines(spark, d, 2 * H)
+    lines = rows.select("image", F.expr("y div 2").alias("y"), (F.col("y") % 2 * W).alias("x0"), B.band_words(F.col("line"), W, 150, 190).alias("part"))
+    return B.cover_of_neighbours(B.images(lines, 2 * W, H), 2 * W).withColumn("similarity", F.round("similarity", 6))
 
 
 def _planes(spark, d):
-    p = _pixels(spark, d)
-    rows = p.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("p")).where(F.size("p") == W * H)
-    text = F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x["v"].cast("long")), 2, "0")), "")
+    """Lines and pixels that are missing are 0."""
+    byte = lambda v: F.lpad(F.hex(F.coalesce(v, F.lit(0)).cast("long")), 2, "0")
+    lines = _lines(spark, d).select("image", "y", F.rpad(F.array_join(F.transform(F.slice("line", 1, W), byte), ""), 2 * W, "0").alias("line"))
+    rows = lines.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(H - 1)), lambda y: F.coalesce(F.element_at("lines", y), F.lit("00" * W))), "")
     return rows.select("image", F.unhex(text).alias("plane"), F.lit(W).alias("width"), F.lit(H).alias("height"))
 
 
@@ -129,12 +139,13 @@ QUERIES = {
     "connected_components": lambda s, d: P.connected(P.runs(_mask(s, d))),
     "integral_image": _integral,
     "integral_eval": _eval,
-    "line_grouping": lambda s, d: _lines(s, d).select("l_orderkey", "ord", "line"),
-    "line_merge": lambda s, d: _shown(P.merged_lines(_lines(s, d), "l_orderkey"), "l_orderkey", "line", "x", "y", "width", "height", "n"),
+    "line_grouping": lambda s, d: _groups(s, d).select("l_orderkey", "ord", "line"),
+    "line_merge": lambda s, d: _shown(P.merged_lines(_groups(s, d), "l_orderkey"), "l_orderkey", "line", "x", "y", "width", "height", "n"),
     "detect_projection": _detect("projection-band"),
     "detect_integral": _detect("integral-band"),
     "bitset_dilate": lambda s, d: P.dilated(_mask(s, d), 2, W, H),
     "bitset_compare": _cover,
+    "packed_cover": _packed_cover,
     "consecutive_compare": _consecutive,
     "chamfer_extract": lambda s, d: D.chamfer_points(_planes(s, d), 170, 20),
     "chamfer_compare": lambda s, d: D.compared(_plane_pairs(s, d), "sparse-chamfer", 170, 20),
@@ -205,6 +216,16 @@ ORACLES = {
         SELECT l_orderkey, line, x, y, width, height, n FROM s QUALIFY k = max(k) OVER (PARTITION BY l_orderkey, line, part)""",
     "bitset_dilate": f"WITH {COVER} SELECT * FROM dil",
     "bitset_compare": f"WITH {COMPARE} SELECT a, b, miss, pixels, round(greatest(0, 1 - miss / pixels), 6) AS similarity, miss / pixels <= 0.1 AS same FROM miss",
-    "consecutive_compare": f"""WITH {COMPARE}, whole AS (SELECT image FROM px GROUP BY image HAVING count(*) = 1024)
-        SELECT f.image AS a, g.image AS b, round(coalesce(greatest(0, 1 - miss / pixels), 1), 4) AS similarity, coalesce(miss / pixels, 0) <= 0.1 AS same FROM whole f JOIN whole g ON g.image = f.image + 1 LEFT JOIN miss ON miss.a = f.image AND miss.b = g.image""",
+    "consecutive_compare": f"""WITH {COMPARE.replace('image FROM m) ', 'image FROM px) ')}
+        SELECT a, b, round(coalesce(greatest(0, 1 - miss / pixels), 1), 4) AS similarity, coalesce(miss / pixels, 0) <= 0.1 AS same FROM miss""",
+    "packed_cover": f"""WITH e AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings),
+        px AS (SELECT vec_id // 32 AS image, (vec_id % 32 // 2)::INT AS y, (x + vec_id % 2 * 64)::INT AS x, least(greatest(floor((e::DOUBLE + 0.6) / 1.2 * 255), 0), 255)::INT AS v FROM e),
+        m AS (SELECT image, y, x FROM px WHERE v BETWEEN 150 AND 190),
+        dil AS (SELECT DISTINCT image, (y + dy)::INT AS y, (x + dx)::INT AS x FROM m, range(-2, 3) t(dx), range(-2, 3) u(dy) WHERE x + dx BETWEEN 0 AND 127 AND y + dy BETWEEN 0 AND 15),
+        i AS (SELECT DISTINCT image FROM px), pr AS (SELECT f.image AS a, g.image AS b FROM i f JOIN i g ON g.image = f.image + 1),
+        lost AS (SELECT a, b, y, x FROM pr JOIN m ON m.image = a ANTI JOIN dil ON dil.image = pr.b AND dil.y = m.y AND dil.x = m.x
+          UNION ALL SELECT a, b, y, x FROM pr JOIN m ON m.image = b ANTI JOIN dil ON dil.image = pr.a AND dil.y = m.y AND dil.x = m.x),
+        l AS (SELECT a, b, count(*) AS miss FROM lost GROUP BY a, b), u AS (SELECT a, b, count(DISTINCT y * 128 + x) AS pixels FROM pr JOIN m ON m.image IN (a, b) GROUP BY a, b),
+        z AS (SELECT a, b, coalesce(miss, 0) AS miss, coalesce(pixels, 0) AS pixels, CASE WHEN pixels > 0 THEN coalesce(miss, 0) / pixels ELSE 0 END AS part FROM pr LEFT JOIN l USING (a, b) LEFT JOIN u USING (a, b))
+        SELECT a, b, miss, pixels, round(greatest(0, 1 - part), 6) AS similarity, part <= 0.1 AS same FROM z""",
 }

@@ -36,10 +36,20 @@ def mock_luma(frames: DataFrame, height: int = MOCK_HEIGHT) -> DataFrame:
     return frames.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("v", ((F.col("y") + F.col("frame_index")) % 256).cast("int"))
 
 
+def luma(e):
+    """A number from about -0.6..0.6 as 0..255."""
+    return F.least(F.greatest(F.floor((e.cast("double") + 0.6) / 1.2 * 255), F.lit(0)), F.lit(255)).cast("int")
+
+
 def pixel_rows(vectors: DataFrame, rows: int = 16) -> DataFrame:
-    """image, y, x, v: each vector a row of pixels, ``rows`` of them an image; v from about -0.6..0.6 to 0..255."""
-    v = F.least(F.greatest(F.floor((F.col("e").cast("double") + 0.6) / 1.2 * 255), F.lit(0)), F.lit(255)).cast("int")
-    return vectors.select("vec_id", F.posexplode("embedding").alias("x", "e")).select(F.expr(f"vec_id div {rows}").alias("image"), (F.col("vec_id") % rows).cast("int").alias("y"), "x", v.alias("v"))
+    """image, y, x, v: each vector a row of pixels, ``rows`` of them an image."""
+    places = vectors.select("vec_id", F.posexplode("embedding").alias("x", "e"))
+    return places.select(F.expr(f"vec_id div {rows}").alias("image"), (F.col("vec_id") % rows).cast("int").alias("y"), "x", luma(F.col("e")).alias("v"))
+
+
+def pixel_lines(vectors: DataFrame, rows: int = 16) -> DataFrame:
+    """image, y, line: as pixel_rows, with the values of a row in one array."""
+    return vectors.select(F.expr(f"vec_id div {rows}").alias("image"), (F.col("vec_id") % rows).cast("int").alias("y"), F.transform("embedding", luma).alias("line"))
 
 
 def from_frame(frames: DataFrame, start_frame: int) -> DataFrame:
