@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import arrays, frames, pixels, planes, segments
+from . import arrays, frames, pixels, planes, segments, sources
 
-_PARTS = (frames, pixels, segments, arrays, planes)
+_PARTS = (frames, pixels, segments, arrays, planes, sources)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
