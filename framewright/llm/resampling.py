@@ -31,7 +31,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Only A-Z are lower-cased; where all characters are ASCII, lower() does that and is faster."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), F.lit(WORD), F.lit(0))
 
 
 def hashes_of(words: Column) -> Column:
@@ -46,7 +48,10 @@ def buckets_of(words: Column) -> Column:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    hashes = docs.select(words_of(text_or_empty()).alias("words")).select(F.explode(hashes_of(F.col("words"))).alias("hash"))
+    """bucket, count. Each word comes as a row with its successor, so that both hashes are made in generated code."""
+    words = docs.select(words_of(text_or_empty()).alias("words"))
+    pairs = words.select(F.inline(F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.size("words")).alias("v"))).alias("w", "v"))
+    hashes = pairs.select(F.explode(F.array(F.crc32("w"), F.crc32(F.concat("w", F.lit(" "), "v")))).alias("hash")).where("hash is not null")
     return hashes.groupBy((F.col("hash") % BUCKETS).alias("bucket")).count()
 
 
