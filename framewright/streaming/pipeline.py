@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.lifecycle import SEGMENT, Span, Timeline, value_comparator
@@ -48,17 +49,23 @@ def _keyed(df: DataFrame, key: str, order: list[str], step, schema: str, load=di
 
 
 def sampled_stream(frames: DataFrame, per_second: int = 7) -> DataFrame:
-    """video_id, frame_index, pts_ns of the sampled frames; a frame with last set is always one of them."""
+    """video_id, frame_index, pts_ns of the sampled frames; a frame with last set is always one of them. Frames without a
+    time are taken as per_second a second, as in the batch form."""
 
     def step(s: dict, row) -> list[tuple]:
-        second, part = divmod(int(row.pts_ns), 1_000_000_000)
+        n, pts = s.get("n", 0), None if row.pts is None else int(row.pts)
+        second, part = divmod(n, per_second) if pts is None else divmod(pts, 1_000_000_000)
+        part, s["n"] = part / per_second if pts is None else part / 1e9, n + 1
         if s.get("second") != second:
             s["second"], s["used"] = second, 0
-        used = sum(part / 1e9 + EPSILON >= i / per_second for i in range(per_second))
+        used = sum(part + EPSILON >= i / per_second for i in range(per_second))
         hit, s["used"] = used > s["used"], max(used, s["used"])
-        return [(row.video_id, row.frame_index, row.pts_ns)] if hit or bool(row.last) else []
+        return [(row.video_id, row.frame_index, row.pts)] if hit or bool(row.last) else []
 
-    return _keyed(frames, "video_id", ["frame_index"], step, "video_id bigint, frame_index bigint, pts_ns bigint")
+    # As text, times beside nulls don't become floats on their way through pandas.
+    rows = frames.withColumn("pts", F.col("pts_ns").cast("string"))
+    out = _keyed(rows, "video_id", ["frame_index"], step, "video_id bigint, frame_index bigint, pts string")
+    return out.select("video_id", "frame_index", F.col("pts").cast("bigint").alias("pts_ns"))
 
 
 def tracked_stream(regions: DataFrame) -> DataFrame:
