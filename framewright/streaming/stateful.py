@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.controls import CANCELLED, PAUSED, RUNNING
 from ..operators.lifecycle import SEGMENT, Comparator, Span, Timeline, value_comparator
 from ..operators.tracking import Tracker
 
@@ -168,3 +169,51 @@ def tracked(regions: DataFrame, idle_ms: int = 10_000) -> DataFrame:
     """As operators.tracking.tracked, on a stream of detections with at."""
     rows = regions.select("video_id", "at", "frame_index", "ord", "x", "y", "width", "height")
     return rows.groupBy("video_id").transformWithState(TrackingProcessor(idle_ms), TRACKED, "append", "EventTime")
+
+
+class GateProcessor(_Timed):
+    """Holds a paused video's frames and passes them on at its resume. Held frames are a list in the state store, each written
+    once; a batch of a running video reads and writes none."""
+
+    def __init__(self, columns: tuple[tuple[str, str], ...], idle_ms: int):
+        super().__init__(idle_ms)
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.meta = handle.getValueState("meta", "state string")
+        self.held = handle.getListState("held", ", ".join(f"{n} {t}" for n, t in self.columns))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        names = [n for n, _ in self.columns]
+        state = self.meta.get()[0] if self.meta.exists() else RUNNING
+        rank = {"cancel": 0, "resume": 1, "pause": 2}
+        fresh: list[tuple] = []  # frames to hold
+        for r in sorted(rows, key=lambda r: (r.order, rank.get(r.command, 3))):
+            if state == CANCELLED:
+                continue
+            if r.command is None:
+                values = tuple(getattr(r, n) for n in names)
+                if state == PAUSED:
+                    fresh.append(values)
+                else:
+                    yield Row(video_id=key[0], **dict(zip(names, values)))
+            elif r.command == "pause":
+                state = PAUSED
+            else:
+                if r.command == "resume":
+                    for values in [*self.held.get(), *fresh]:
+                        yield Row(video_id=key[0], **dict(zip(names, values)))
+                self.held.clear()
+                fresh, state = [], RUNNING if r.command == "resume" else CANCELLED
+        if fresh:
+            self.held.appendList(fresh)
+        self.meta.update((state,))
+
+
+def gated(events: DataFrame) -> DataFrame:
+    """The frames that operators.controls.gated would release, as soon as they are, on a stream of frames and controls (order, command and the
+    columns of frames; command is null for a frame). Rows of a video must come in order between batches."""
+    columns = tuple((f.name, f.dataType.simpleString()) for f in events.schema if f.name not in ("video_id", "command"))
+    schema = "video_id bigint, " + ", ".join(f"{n} {t}" for n, t in columns)
+    return events.groupBy("video_id").transformWithState(GateProcessor(columns, 0), schema, "append", "None")
