@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import bitmasks as B
 from ..operators import detect as D
@@ -104,8 +105,10 @@ def _consecutive(spark, d):
 
 
 def _track(spark, d):
+    """An order is a frame and its lines are detections, in one order even where lines share a number."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_discount", "l_tax", "l_quantity"))
     x = table(spark, d, "lineitem").select(
-        F.expr("l_orderkey div 64").alias("video_id"), (F.col("l_orderkey") % 64).alias("frame_index"), F.col("l_linenumber").cast("int").alias("ord"),
+        F.expr("l_orderkey div 64").alias("video_id"), (F.col("l_orderkey") % 64).alias("frame_index"), place.alias("ord"),
         F.col("l_discount").alias("x"), F.col("l_tax").alias("y"), (F.col("l_quantity") / 100).alias("width"), F.lit(0.1).alias("height"),
     )
     return tracked(x)
@@ -183,7 +186,49 @@ miss AS (SELECT pr.a, pr.b, (SELECT count(*) FROM m WHERE m.image = pr.a AND NOT
   + (SELECT count(*) FROM m WHERE m.image = pr.b AND NOT EXISTS (SELECT 1 FROM dil WHERE dil.image = pr.a AND dil.y = m.y AND dil.x = m.x)) AS miss,
   (SELECT count(*) FROM (SELECT DISTINCT y, x FROM m WHERE m.image IN (pr.a, pr.b))) AS pixels FROM pr)"""
 
+#: Sums and products of boxes in single precision, as the tracker takes them. State: a video's regions, each with the frame that used it last.
+_BOX = "struct_pack(x := ({0})::FLOAT, y := ({1})::FLOAT, w := ({2})::FLOAT, h := ({3})::FLOAT)"
+_AREA = "(greatest({0}.w, 0::FLOAT) * greatest({0}.h, 0::FLOAT))"
+_WIDE, _HIGH = "(least({0}.x + {0}.w, {1}.x + {1}.w) - greatest({0}.x, {1}.x))", "(least({0}.y + {0}.h, {1}.y + {1}.h) - greatest({0}.y, {1}.y))"
+_COMMON = f"(CASE WHEN {_WIDE} > 0 AND {_HIGH} > 0 THEN {_WIDE} * {_HIGH} ELSE 0::FLOAT END)"
+_UNION = f"({_AREA.format('r.b')} + {_AREA.format('b')} - {_COMMON.format('r.b', 'b')})"
+_IOU = f"CASE WHEN r.used = f THEN -1::FLOAT WHEN {_UNION} > 0 THEN {_COMMON.format('r.b', 'b')} / {_UNION} ELSE 0::FLOAT END"
+_STRIPS = f"""[{_BOX.format('o.x', 'o.y', 'o.w', 'greatest(c.y - o.y, 0::FLOAT)')}, {_BOX.format('o.x', 'least(c.y + c.h, o.y + o.h)', 'o.w', 'greatest(o.y + o.h - (c.y + c.h), 0::FLOAT)')},
+  {_BOX.format('o.x', 'o.y', 'greatest(c.x - o.x, 0::FLOAT)', 'o.h')}, {_BOX.format('least(c.x + c.w, o.x + o.w)', 'o.y', 'greatest(o.x + o.w - (c.x + c.w), 0::FLOAT)', 'o.h')}]"""
+TRACK = f"""lines AS (SELECT l_orderkey // 64 AS v, l_orderkey % 64 AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_tax, l_quantity) AS ord, {_BOX.format('l_discount', 'l_tax', 'l_quantity / 100', '0.1')} AS b FROM lineitem),
+det AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY f, ord) AS k FROM lines),
+st AS (SELECT v, k, f, ord, [struct_pack(b := b, used := f)] AS held, [struct_pack(i := 0::BIGINT, b := b)] AS out FROM det WHERE k = 1
+  UNION ALL SELECT v, k, f, ord, CASE WHEN best IS NULL THEN list_append(held, struct_pack(b := b, used := f)) ELSE changed || [struct_pack(b := x, used := f) FOR x IN remains] END,
+    CASE WHEN best IS NULL THEN [struct_pack(i := len(held)::BIGINT, b := b)] ELSE [struct_pack(i := len(held)::BIGINT, b := x) FOR x IN remains] || [struct_pack(i := best - 1, b := b)] END
+  FROM (SELECT *, [CASE WHEN j = best THEN struct_pack(b := b, used := f) ELSE r END FOR r, j IN held] AS changed,
+      CASE WHEN {_AREA.format('b')} > {_AREA.format('o')} AND c IS NOT NULL AND len(strips) > 0 THEN [list_reduce(strips, lambda p, q: CASE WHEN {_AREA.format('q')} >= {_AREA.format('p')} THEN q ELSE p END)] ELSE [] END AS remains
+    FROM (SELECT *, list_filter({_STRIPS}, lambda x: x.w > 0 AND x.h > 0) AS strips
+      FROM (SELECT *, CASE WHEN {_WIDE.format('o', 'b')} > 0 AND {_HIGH.format('o', 'b')} > 0 THEN {_BOX.format('greatest(o.x, b.x)', 'greatest(o.y, b.y)', _WIDE.format('o', 'b'), _HIGH.format('o', 'b'))} END AS c
+        FROM (SELECT *, held[best].b AS o
+          FROM (SELECT *, CASE WHEN list_max(ious) >= 0.05::FLOAT THEN list_position(ious, list_max(ious))::BIGINT END AS best
+            FROM (SELECT d.v, d.k, d.f, d.ord, d.b, held, [{_IOU.replace("= f ", "= d.f ")} FOR r IN held] AS ious FROM st JOIN det d ON d.v = st.v AND d.k = st.k + 1)))))))"""
+#: Bands and segments of the projection detector over the planes of _stacked; components of the mask, its way out where there are none, don't occur there.
+PROJECTION = """e AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings),
+m AS (SELECT vec_id // 256 AS f, vec_id // 2 % 128 AS y, (vec_id % 2 * 64 + x) * 4 + k AS x FROM e, range(4) t(k) WHERE vec_id // 2 % 128 // 32 % 3 = 0 AND e > -0.05 AND x < 64),
+hl AS (SELECT *, lag(x) OVER (PARTITION BY f, y ORDER BY x) AS was FROM m),
+hb AS (SELECT f, y, unnest(CASE WHEN x - was - 1 <= 80 THEN range(was + 1, x + 1) ELSE range(x, x + 1) END) AS x FROM hl),
+vl AS (SELECT *, lag(y) OVER (PARTITION BY f, x ORDER BY y) AS was FROM hb),
+vb AS (SELECT f, x, unnest(CASE WHEN y - was - 1 <= 12 THEN range(was + 1, y + 1) ELSE range(y, y + 1) END) AS y FROM vl),
+ones AS (SELECT f, y, count(*) / 512 AS density FROM vb GROUP BY f, y),
+bar AS (SELECT *, greatest(least(0.08::FLOAT, (sum(density) OVER (PARTITION BY f) / 128 * 0.7)::FLOAT), 0.02::FLOAT) AS bar FROM ones),
+dense AS (SELECT *, y - row_number() OVER (PARTITION BY f ORDER BY y) AS run FROM bar WHERE density::FLOAT >= bar),
+band AS (SELECT f, min(y) AS y0, max(y) + 1 AS y1 FROM dense GROUP BY f, run HAVING count(*) >= 24),
+col AS (SELECT vb.f, y0, y1, x, count(*) AS n FROM vb JOIN band b ON b.f = vb.f AND y >= y0 AND y < y1 GROUP BY ALL),
+gap AS (SELECT *, x - lag(x) OVER (PARTITION BY f, y0 ORDER BY x) - 1 AS gap, greatest(32, ceil((max(x) OVER (PARTITION BY f, y0) + 1 - min(x) OVER (PARTITION BY f, y0))::FLOAT * 0.2::FLOAT)) AS split FROM col),
+cut AS (SELECT *, sum(CASE WHEN gap < split THEN 0 ELSE 1 END) OVER (PARTITION BY f, y0 ORDER BY x) AS s FROM gap),
+seg AS (SELECT f, y0, y1, min(x) AS x0, max(x) + 1 AS x1, sum(n)::FLOAT AS n FROM cut GROUP BY f, y0, y1, s),
+good AS (SELECT *, ((x1 - x0) * (y1 - y0))::FLOAT AS area FROM seg WHERE x1 - x0 >= 24 AND (x1 - x0) * (y1 - y0) >= 576 AND n / ((x1 - x0) * (y1 - y0))::FLOAT >= 0.25::FLOAT),
+best AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n / area * area DESC, y0, x0) - 1 AS ord FROM good QUALIFY ord < 5)"""
+
 ORACLES = {
+    "track_regions": f"WITH RECURSIVE {TRACK} SELECT v AS video_id, f AS frame_index, ord::INT AS ord, o.i AS region_id, 'region-' || o.i AS label, o.b.x AS x, o.b.y AS y, o.b.w AS width, o.b.h AS height FROM (SELECT v, f, ord, unnest(out) AS o FROM st)",
+    "detect_projection": f"""WITH {PROJECTION} SELECT 0::BIGINT AS video_id, f AS frame_index, ord::INT AS ord, greatest(x0 - 5, 0)::FLOAT AS x, greatest(y0 - 5, 0)::FLOAT AS y,
+        (least(x1 + 5, 512) - greatest(x0 - 5, 0))::FLOAT AS width, (least(y1 + 5, 128) - greatest(y0 - 5, 0))::FLOAT AS height, n / area * area AS score FROM best""",
     "luma_band": f"WITH {MASK} SELECT * FROM m",
     "luma_band_comparator": f"WITH {PIXELS} SELECT image, y, x FROM px WHERE v BETWEEN 127 AND 129",
     "gap_bridge_h": f"WITH {BRIDGED} SELECT * FROM h",
