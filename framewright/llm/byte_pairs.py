@@ -4,9 +4,9 @@ A text is cut into words by the split pattern. The bytes of a word are folded: t
 leftmost of equals, becomes one piece until no pair has a rank. Ids are ranks. Decoding joins the bytes of the pieces.
 
 Distinct words: all words are counted (each task sends each word once), and the ``KNOWN`` most frequent, of at most
-``KNOWN_BYTES`` bytes, are folded once and put into a literal table, the most frequent first, each at one of two places that its
-hash names, if one is free. Other words are folded where they stand. So nothing but counts is shuffled, the literal has
-a fixed bound, and ids don't depend on which words it holds.
+``KNOWN_BYTES`` bytes, are folded once and put into a literal table of small maps, one for each hash. Other words are
+folded where they stand. So nothing but counts is shuffled, the literal has a fixed bound, and ids don't depend on which
+words it holds.
 
 The rank map is a literal that all lambdas share, made of flat arrays, since Spark searches a map literal entry by entry:
 
@@ -30,6 +30,7 @@ untouched; null ids decode to nothing, and an id outside the vocabulary has no b
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -42,8 +43,8 @@ from .common import table, text_or_empty
 
 #: Longest word, in bytes, that is folded at once.
 WINDOW = 512
-#: Places of the literal table, a power of two, and the longest word in it: 8 MB at most at any size of the corpus.
-KNOWN, KNOWN_BYTES = 1 << 17, 64
+#: Words of the literal table, a power of two, the longest of them, and words of one of its maps: 8 MB at most at any size of the corpus.
+KNOWN, KNOWN_BYTES, BUCKET = 1 << 17, 64, 4
 #: More than any rank: no pair.
 NONE = 1 << 20
 #: The letters and the digits that Unicode 14 to 16 added, which the libraries know and Java 17 doesn't.
@@ -65,8 +66,6 @@ NEW_DIGITS = """
 #: What \s means in the pattern, and separates the characters of the literals.
 BLANKS = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 BETWEEN = "\u0100"
-#: Separates the words of a literal; the pattern makes it a word of its own, which is left to the fold.
-ROWS = "\ue000"
 
 
 def vocabulary_path() -> str:
@@ -155,7 +154,8 @@ def _with(lits: dict[str, tuple[str, str, str]], use: Callable[[dict[str, Column
         if not names:
             return use(maps)
         values, between, kind = lits[names[0]]
-        return _let(F.split(F.lit(values), between).cast(kind), lambda x: bound(names[1:], maps | {names[0]: x}))
+        value = F.split(F.lit(values), between).cast(kind) if between else F.from_json(F.lit(values), kind)
+        return _let(value, lambda x: bound(names[1:], maps | {names[0]: x}))
 
     return bound(list(lits), {})
 
@@ -230,35 +230,28 @@ def _folded(maps: dict[str, Column], word: Column, window: int) -> Column:
     return F.array_join(_let(ids, lambda x: F.when(short, _fold(maps, x)).otherwise(_by_windows(maps, x, window))).cast("array<string>"), ",")
 
 
-def _places(word: Column, n: int) -> list[Column]:
-    return [F.xxhash64(word).bitwiseAND(n - 1), F.shiftright(F.xxhash64(word), 32).bitwiseAND(n - 1)]
+def _bucket(word: Column, known: int) -> Column:
+    return F.xxhash64(word).bitwiseAND(max(known // BUCKET, 1) - 1)
 
 
-def known_words(words: DataFrame, path: str, known: int = KNOWN) -> tuple[list[str], list[str]]:
-    """A table of the most frequent words of the column ``words``, an array, and one of their ids. Empty places hold empty
-    strings."""
-    each = words.select(F.explode("words").alias("word")).groupBy("word").count().where((F.octet_length("word") <= KNOWN_BYTES) & ~F.contains("word", F.lit(ROWS)))
+def known_words(words: DataFrame, path: str, known: int = KNOWN) -> str:
+    """The most frequent words of the column ``words``, an array, with their ids, as an array of small maps in JSON: a word is in the
+    map that its hash names."""
+    each = words.select(F.explode("words").alias("word")).groupBy("word").count().where(F.octet_length("word") <= KNOWN_BYTES)
     top = each.orderBy(F.desc("count"), "word").limit(known).repartition("word")
-    of_words, of_ids = [""] * max(known, 1), [""] * max(known, 1)
-    told = top.select("word", "count", _with(_numbers(path), lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids"), F.array(*_places(F.col("word"), len(of_words))).alias("at"))
-    found = told.toArrow().sort_by([("count", "descending"), ("word", "ascending")])
-    for word, ids, at in zip(*(found[c].to_pylist() for c in ("word", "ids", "at"))):
-        for k in at:
-            if not of_words[k]:
-                of_words[k], of_ids[k] = word, ids
-                break
-    return of_words, of_ids
-
-
-def token_ids(words: Column, path: str, known: tuple[list[str], list[str]], window: int = WINDOW) -> Column:
-    """array<int>: the ids of the words of a text. ``known`` holds those of some words, joined by commas."""
-    of_words, of_ids = known
-    lits = _numbers(path) | {"words": (ROWS.join(of_words), ROWS, "array<string>"), "ids": (" ".join(of_ids), " ", "array<string>")}
+    told = top.select("word", _with(_numbers(path), lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids"), _bucket(F.col("word"), known).alias("at")).toArrow()
+    buckets: list[dict[str, str]] = [{} for _ in range(max(known // BUCKET, 1))]
+    for word, ids, k in zip(*(told[c].to_pylist() for c in ("word", "ids", "at"))):
+        buckets[k][word] = ids
+    return json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
+
+
+def token_ids(words: Column, path: str, known: str, n: int = KNOWN, window: int = WINDOW) -> Column:
+    """array<int>: the ids of the words of a text. ``known`` holds those of n words at most."""
+    lits = _numbers(path) | {"known": (known, "", "array<map<string,string>>")}
 
     def told(maps: dict[str, Column], word: Column) -> Column:
-        first, second = _places(word, len(of_words))
-        at = lambda k: F.get(maps["words"], k) == word
-        return F.when(at(first), F.get(maps["ids"], first)).when(at(second), F.get(maps["ids"], second)).otherwise(_folded(maps, word, window))
+        return F.coalesce(F.try_element_at(F.get(maps["known"], _bucket(word, n)), word), _folded(maps, word, window))
 
     joined = _with(lits, lambda maps: F.array_join(F.transform(words, lambda w: told(maps, w)), ","))
     return F.when(F.size(words) > 0, F.split(joined, ",").cast("array<int>")).otherwise(F.array().cast("array<int>"))
@@ -277,7 +270,7 @@ def encoded(docs: DataFrame, path: str | None = None, known: int = KNOWN, window
     frequent = known_words(docs.select(words_of(text_or_empty()).alias("words")), path, known)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", words_of(text_or_empty("row.text")).alias("words"))
-    return rows.select("row", token_ids(F.col("words"), path, frequent, window).alias("ids"))
+    return rows.select("row", token_ids(F.col("words"), path, frequent, known, window).alias("ids"))
 
 
 def op13_byte_pair_encoding(spark, sf_dir: str) -> DataFrame:
