@@ -88,6 +88,73 @@ def test_trees_learn_and_traverse():
     assert B.fit(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
 
 
+def plain_fit(x, y, trees, depth, bins, rate, ridge, least):
+    """The same trees by loops over rows, cuts and nodes: each node takes the first best of all cuts between bins."""
+    share = min(max(float(np.mean(y)), 1e-3), 1 - 1e-3)
+    start = float(np.log(share / (1 - share)))
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    raw, made = [start] * len(y), []
+    for _ in range(trees):
+        p = [1 / (1 + np.exp(-r)) for r in raw]
+        g, h = [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p]
+        nodes, tree = {0: list(range(len(y)))}, {}
+        for level in range(depth):
+            for node in range(2**level - 1, 2 ** (level + 1) - 1):
+                rows, best = nodes.get(node, []), (1e-9, None)
+                gt, ht = sum(g[i] for i in rows), sum(h[i] for i in rows)
+                for f in range(x.shape[1]):
+                    for cut in edges[f]:
+                        left = [i for i in rows if x[i, f] <= cut]
+                        gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                        if hl < least or ht - hl < least:
+                            continue
+                        gain = gl**2 / (hl + ridge) + (gt - gl) ** 2 / (ht - hl + ridge) - gt**2 / (ht + ridge)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (f, cut))
+                tree[node] = best[1]
+                for side in (1, 2):
+                    nodes[2 * node + side] = [i for i in rows if ((best[1] is not None and x[i, best[1][0]] > best[1][1]) + 1) == side]
+        leaves = {n: -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge) for n, rows in nodes.items() if n >= 2**depth - 1}
+        for n, value in leaves.items():
+            for i in nodes[n]:
+                raw[i] += value
+        made.append((tree, leaves))
+    return start, made
+
+
+def plain_score(start, made, row, depth):
+    raw = start
+    for tree, leaves in made:
+        node = 0
+        for _ in range(depth):
+            cut = tree[node]
+            node = 2 * node + (2 if cut is not None and row[cut[0]] > cut[1] else 1)
+        raw += leaves.get(node, 0.0)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_trees_are_those_of_a_plain_fit():
+    r = np.random.default_rng(7)
+    x = np.round(r.normal(size=(160, 3)), 1)  # ties
+    y = ((x[:, 0] + r.normal(size=160) * 0.4 > 0) ^ (x[:, 1] > 0.8)).astype(float)
+    how = {"trees": 4, "depth": 3, "bins": 8, "rate": 0.3, "ridge": 1.0, "least": 2.0}
+    model, (start, made) = B.fit(x, y, **how), plain_fit(x, y, **how)
+    for feature, cut, (tree, _) in zip(model.feature, model.cut, made):
+        for node, split in tree.items():
+            assert (split is None and np.isinf(cut[node])) or (split is not None and (feature[node], cut[node]) == split)
+    more = np.concatenate([x, r.normal(size=(200, 3)) * 3])
+    want = [plain_score(start, made, row, 3) for row in more]
+    assert np.allclose(model.score(more), want, atol=1e-9)
+
+
+def test_classifier_takes_very_long_texts(spark):
+    docs, labels = planted(spark, 300)
+    long = spark.createDataFrame([(10**6, "word " * 400_000, "en", "x", 1, None), (10**6 + 1, "x" * 2_000_000, "en", "x", 1, None), (10**6 + 2, "same line here\n" * 100_000, "en", "x", 1, None)], docs.schema)
+    model = B.fit_quality(docs, labels)
+    out = B.score_documents(docs.unionByName(long), model, "doc_id").where("doc_id >= 1000000").collect()
+    assert len(out) == 3 and all(0 <= r.score <= 1 for r in out)
+
+
 def test_classifier_scores_every_document(spark):
     docs, labels = planted(spark, 1200)
     docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, 1, None), (7, "", "en", "x", 1, True)], docs.schema))
