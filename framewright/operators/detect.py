@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,20 +13,85 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 
 FULL = (0.0, 0.0, 1.0, 1.0)
+#: What "auto" tries, in this order.
+AUTO = ("projection-band", "integral-band")
+#: Detectors that a worker keeps, one for each size and setting.
+KEPT = 64
+
+
+class Unsupported(ValueError):
+    """A detector that cannot run here, or not on such frames."""
+
+
+@dataclass(frozen=True)
+class Setting:
+    """What a detector is made for."""
+
+    width: int
+    height: int
+    stride: int
+    target: int = 230
+    delta: int = 12
+    roi: tuple[float, float, float, float] = FULL
+
+    def checked(self) -> Setting:
+        if min(self.width, self.height) <= 0 or self.stride < self.width:
+            raise Unsupported(f"no frames of {self.width} x {self.height} with a stride of {self.stride}")
+        if not (0 <= self.target <= 255 and 0 <= self.delta <= 255):
+            raise Unsupported("target and delta are bytes")
+        try:
+            K.roi_pixels(self.width, self.height, self.roi)
+        except ValueError as e:
+            raise Unsupported(str(e)) from None
+        return self
+
+
+def _band_detector(kind: str) -> Callable[[Setting], Callable[[bytes], list[K.Region]]]:
+    def make(s: Setting) -> Callable[[bytes], list[K.Region]]:
+        kernel, (x0, y0, x1, y1) = K.DETECTORS[kind], K.roi_pixels(s.width, s.height, s.roi)
+        more = {"frame_area": s.width * s.height} if kind == "integral-band" else {}
+        return lambda data: kernel(K.plane(data, s.width, s.height, s.stride)[y0:y1, x0:x1], s.target, s.delta, origin=(x0, y0), **more)
+
+    return make
+
+
+#: name -> what makes a detector for a setting, or raises Unsupported.
+MAKERS: dict[str, Callable[[Setting], Callable[[bytes], list[K.Region]]]] = {kind: _band_detector(kind) for kind in AUTO}
+
+
+def preflight(kind: str, setting: Setting, makers: dict | None = None) -> str:
+    """The name of the detector that will run: kind, or for auto the first that can be made. Unsupported tells why none can."""
+    makers, reasons = MAKERS if makers is None else makers, []
+    setting.checked()
+    for name in AUTO if kind == "auto" else (kind,):
+        try:
+            if name not in makers:
+                raise Unsupported("unknown")
+            makers[name](setting)
+            return name
+        except Unsupported as e:
+            reasons.append(f"{name}: {e}")
+    raise Unsupported("; ".join(reasons))
+
+
+@lru_cache(maxsize=KEPT)
+def built(kind: str, setting: Setting) -> Callable[[bytes], list[K.Region]]:
+    """A detector; a worker makes one for each setting that it meets."""
+    return MAKERS[preflight(kind, setting)](setting)
 
 
 def detected(frames: DataFrame, detector: str = "projection-band", target: int = 230, delta: int = 12, roi: tuple = FULL, margin: int = 5) -> DataFrame:
     """video_id, frame_index, ord, x, y, width, height, score from frames (video_id, frame_index, width, height,
-    y_stride, y_plane); regions are inflated by the margin inside the frame. A frame without regions gives no row."""
-    kernel = K.DETECTORS[detector]
+    y_stride, y_plane); regions are inflated by the margin inside the frame. A frame without regions gives no row. detector: a name of
+    MAKERS, or auto."""
+    if detector != "auto" and detector not in MAKERS:
+        raise Unsupported(f"no detector {detector!r}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for f in b.itertuples(index=False):
-                x0, y0, x1, y1 = K.roi_pixels(f.width, f.height, roi)
-                more = {"frame_area": f.width * f.height} if kernel is K.detect_integral else {}
-                for i, (x, y, w, h, s) in enumerate(kernel(K.plane(f.y_plane, f.width, f.height, f.y_stride)[y0:y1, x0:x1], target, delta, origin=(x0, y0), **more)):
+                for i, (x, y, w, h, s) in enumerate(built(detector, Setting(f.width, f.height, f.y_stride, target, delta, roi))(f.y_plane)):
                     a, c = max(x - margin, 0), max(y - margin, 0)
                     out.append((f.video_id, f.frame_index, i, float(a), float(c), float(min(x + w + margin, f.width) - a), float(min(y + h + margin, f.height) - c), s))
             yield pd.DataFrame(out, columns=["video_id", "frame_index", "ord", "x", "y", "width", "height", "score"])

@@ -51,9 +51,10 @@ def from_environment(values: Mapping[str, str] = os.environ, prefix: str = "FRAM
     return SourceConfig(got.get("BACKEND"), got.get("INPUT"), number("CHANNEL_CAPACITY") if "CHANNEL_CAPACITY" in got else None, number("START_FRAME") if "START_FRAME" in got else 0)
 
 
-def opened(config: SourceConfig, readers: Mapping[str, Callable[[SourceConfig], DataFrame]]) -> tuple[str, DataFrame]:
+def opened(config: SourceConfig, readers: Mapping[str, Callable[[SourceConfig], DataFrame]], probe: bool = False) -> tuple[str, DataFrame]:
     """The name and the frames of the configured source, or else of the first in readers that is available. A named
-    source that is not available is an error: only an open choice falls through."""
+    source that is not available is an error: only an open choice falls through. With probe, a source whose first frame
+    can't be read counts as not available, as nothing of it has been processed yet; a source without frames is one that can."""
     if config.backend is not None:
         if config.backend not in readers:
             raise ValueError(f"no backend {config.backend!r}")
@@ -61,7 +62,14 @@ def opened(config: SourceConfig, readers: Mapping[str, Callable[[SourceConfig],
     reasons = []
     for name, reader in readers.items():
         try:
-            return name, reader(config)
+            frames = reader(config)
         except Unavailable as e:
             reasons.append(f"{name}: {e}")
+            continue
+        try:
+            if probe:
+                frames.take(1)
+            return name, frames
+        except Exception as e:  # whatever a reader may raise inside a task
+            reasons.append(f"{name}: {str(e).strip().partition(chr(10))[0]}")
     raise Unavailable("; ".join(reasons) or "no backend")

@@ -86,3 +86,56 @@ def test_detected_frames(spark):
     rows = out.orderBy("frame_index").collect()
     assert [r.frame_index for r in rows] == list(range(10, 20))
     assert {(r.x, r.y, r.width, r.height) for r in rows} == {(35.0, 95.0, 210.0, 40.0)}
+
+
+def test_auto_takes_the_first_detector_that_can_be_made():
+    setting = D.Setting(640, 360, 640)
+    assert D.preflight("auto", setting) == "projection-band" and D.preflight("integral-band", setting) == "integral-band"
+
+    def never(s):
+        raise D.Unsupported("not on this machine")
+
+    assert D.preflight("auto", setting, D.MAKERS | {"projection-band": never}) == "integral-band"
+    with pytest.raises(D.Unsupported, match="projection-band: not on.*integral-band: unknown"):
+        D.preflight("auto", setting, {"projection-band": never})
+    for bad in (D.Setting(0, 4, 4), D.Setting(8, 4, 4), D.Setting(8, 4, 8, 300), D.Setting(8, 4, 8, roi=(0.5, 0.5, 0.0, 0.0))):
+        with pytest.raises(D.Unsupported):
+            D.preflight("auto", bad)
+
+
+def test_detectors_are_kept_by_setting(spark):
+    D.built.cache_clear()
+    a = picture(360, 640, 40, (80, 240, 300, 40, 235))
+    for _ in range(3):
+        assert [r[:4] for r in D.built("auto", D.Setting(640, 360, 640))(a.tobytes())] == [(80, 240, 300, 40)]
+    D.built("auto", D.Setting(640, 360, 640, delta=5))
+    assert (D.built.cache_info().misses, D.built.cache_info().hits) == (2, 2)
+    with pytest.raises(D.Unsupported):
+        D.detected(spark.range(1), "macos")
+
+
+def test_source_falls_through_until_a_frame_is_read(spark):
+    from pyspark.sql import functions as F
+
+    from framewright.sources import backends as B
+
+    broken = lambda c: spark.range(3).select(F.raise_error(F.lit("cannot decode")).cast("long").alias("id"))
+    readers = {"first": broken, "second": lambda c: spark.range(3), "third": lambda c: spark.range(9)}
+    assert B.opened(B.SourceConfig(), readers)[0] == "first"
+    name, frames = B.opened(B.SourceConfig(), readers, probe=True)
+    assert name == "second" and frames.count() == 3
+    assert B.opened(B.SourceConfig(), {"empty": lambda c: spark.range(0)}, probe=True)[1].count() == 0
+    with pytest.raises(B.Unavailable, match="cannot decode"):
+        B.opened(B.SourceConfig(), {"first": broken}, probe=True)
+
+
+def test_averages_and_containers(spark):
+    from pyspark.sql import functions as F
+
+    from framewright.operators import metrics as M
+    from framewright.sources import frames as V
+
+    rows = spark.createDataFrame([(1, 10.0, 2), (1, 5.0, 3), (2, 0.0, 0), (3, None, None)], "video_id int, total double, units int")
+    assert {r.video_id: r.ms for r in rows.groupBy("video_id").agg(M.average_ms("total", "units").alias("ms")).collect()} == {1: 3.0, 2: 0.0, 3: 0.0}
+    paths = spark.createDataFrame([("a/b.mp4",), ("c.MKV",), ("d.txt",), ("mp4",), (None,)], "path string")
+    assert sorted(r.path for r in V.accepted_containers(paths).collect()) == ["a/b.mp4", "c.MKV"]
