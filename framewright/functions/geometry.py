@@ -130,3 +130,11 @@ def valid_region(roi: Column, duration_ns: Column, width: int, height: int) -> C
     """A thousandth of the frame, 15 pixels each way and 200 ms at least."""
     wide, high = F.floor(F.greatest(roi["width"], F.lit(0.0)) * width), F.floor(F.greatest(roi["height"], F.lit(0.0)) * height)
     return (area(roi) >= 0.001) & (wide >= 15) & (high >= 15) & (F.greatest(duration_ns, F.lit(0)) >= 200_000_000)
+
+
+#: Fixed value: the region that is shown until another is chosen, as x, y, width and height in parts of the frame.
+DEFAULT_REGION = (0.2, 0.8, 0.6, 0.2)
+
+
+def default_region() -> Column:
+    return box(*map(F.lit, DEFAULT_REGION))

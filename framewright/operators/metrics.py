@@ -61,6 +61,11 @@ def shown_ratio(progress: Column, completed: Column) -> Column:
     return F.least(F.greatest(F.when(completed & (progress <= 0), 1.0).otherwise(progress), F.lit(0.0)), F.lit(1.0))
 
 
+def status(state: Column, completed: Column) -> Column:
+    """What a run shows: Done once completed, else by its state; a run that is neither running nor paused is idle."""
+    return F.when(completed, "Done").when(state == "running", "Processing").when(state == "paused", "Paused").otherwise("Idle")
+
+
 def shown_rate(value: Column, unit: str) -> Column:
     return F.when(value <= 0, F.lit(f"-- {unit}")).otherwise(F.format_string(f"%.1f {unit}", value))
 

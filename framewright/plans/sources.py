@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import controls as G
 from ..operators import convert as X
+from ..operators import metrics as M
 from ..operators import seeks as K
 from ..session import table
 from ..sources import framefiles as FF
@@ -90,7 +92,16 @@ def _gated(spark, d):
     return G.gated(frames.select("video_id", "order", "frame_index", "pts_ns"), controls).drop("order")
 
 
+def _status(spark, d):
+    """What a run shows at each frame; it is done at the last frame of a video that runs."""
+    gated = _gated(spark, d)
+    last = F.max("frame_index").over(Window.partitionBy("video_id")) == F.col("frame_index")
+    rows = gated.withColumn("completed", last & (F.col("state") == G.RUNNING))
+    return rows.select("video_id", "frame_index", M.status(F.col("state"), F.col("completed")).alias("status"))
+
+
 QUERIES = {
+    "run_status": _status,
     "pixel_format": _converted(None, None),
     "pixel_format_bilinear": _converted(41, 11),
     "paused_frames": _gated,
@@ -140,6 +151,8 @@ _EPOCHS = f"""{FRAMES}, sk AS (SELECT video_id, frame_index AS ord, pts_ns + fra
 ep AS (SELECT fr.video_id, fr.frame_index, fr.pts_ns, coalesce(serial, 0) AS serial, target_ns, accurate, NOT coalesce(accurate AND fr.pts_ns < target_ns, false) AS shown
   FROM fr ASOF LEFT JOIN sk ON fr.video_id = sk.video_id AND fr.frame_index >= sk.ord)"""
 ORACLES = {
+    "run_status": f"""WITH {_GATED}, s AS (SELECT nxt.*, frame_index = max(frame_index) OVER (PARTITION BY video_id) AS at_end, CASE WHEN frame_index >= cancel_at THEN 'Idle' WHEN command = 'pause' THEN 'Paused' ELSE 'Processing' END AS status
+        FROM nxt LEFT JOIN ends USING (video_id)) SELECT video_id, frame_index, CASE WHEN at_end AND status = 'Processing' THEN 'Done' ELSE status END AS status FROM s""",
     "pixel_format": _nv12_sql(W, H),
     "pixel_format_bilinear": _nv12_sql(41, 11),
     "paused_frames": f"""WITH {_GATED}, s AS (SELECT nxt.*, cancel_at, CASE WHEN frame_index >= cancel_at THEN 'cancelled' WHEN command = 'pause' THEN 'paused' ELSE 'running' END AS state FROM nxt LEFT JOIN ends USING (video_id))

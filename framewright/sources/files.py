@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .framefiles import opened
+
 #: Sizes of frames that a file's length tells.
 SIZES = ((1920, 1080), (1920, 824))
 
@@ -61,40 +65,79 @@ def region_report_json(regions: DataFrame, detector: str, target: int, delta: in
     return lists.select("video_id", "frame_index", F.to_json(body).alias("json"))
 
 
-def pair_report_json(pairs: DataFrame, comparator: str) -> DataFrame:
-    """json: one report over pairs of frames (prev_frame, curr_frame, skipped, description, similarity, same_segment), a
-    row for each region; a pair without regions tells why it was skipped."""
+def pair_report_lines(pairs: DataFrame, comparator: str) -> DataFrame:
+    """prev_frame, curr_frame, json: a report for each pair of frames, from rows (prev_frame, curr_frame, skipped, description, similarity,
+    same_segment) of their regions; a pair without regions tells why it was skipped. Written as text, in any number of
+    files, it is JSON lines."""
     one = F.struct("description", F.col("similarity").cast("float").alias("similarity"), "same_segment")
     found = F.filter(F.array_sort(F.collect_list(one)), lambda x: x["description"].isNotNull())
     by_pair = pairs.groupBy("prev_frame", "curr_frame").agg(F.max("skipped").alias("skipped"), found.alias("roi_results"))
-    listed = F.array_sort(F.collect_list(F.struct("prev_frame", "curr_frame", "skipped", "roi_results")))
-    body = F.struct(F.lit(comparator).alias("comparator"), F.size("pairs").alias("frame_pairs"), "pairs")
-    return by_pair.agg(listed.alias("pairs")).select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    body = F.struct(F.lit(comparator).alias("comparator"), "prev_frame", "curr_frame", "skipped", "roi_results")
+    return by_pair.select("prev_frame", "curr_frame", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_raw_frames(frames: DataFrame, folder: str) -> DataFrame:
-    """Writes NNNNN.yuv files, Y then UV without their strides, to a folder that all executors reach; path and bytes of
-    each are returned when the result is read. frames: frame_index, width, height, y_stride, y_plane, uv_stride, uv_plane."""
+def png(luma: bytes, width: int, height: int, stride: int) -> bytes:
+    """A grey picture of eight bits a pixel."""
+    if stride < width or len(luma) < stride * (height - 1) + width or min(width, height) <= 0:
+        raise ValueError("a plane is smaller than its frame")
 
-    def packed(data: bytes, width: int, rows: int, stride: int) -> bytes:
-        if stride < width or len(data) < stride * rows:
-            raise ValueError("a plane is smaller than its frame")
-        return b"".join(data[r * stride : r * stride + width] for r in range(rows))
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = b"".join(b"\0" + luma[y * stride : y * stride + width] for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def dumped(rows: DataFrame, folder: str, extension: str, content: Callable[[object], bytes]) -> DataFrame:
+    """Writes a file NNNNN.<extension> for each row, by frame_index, to a folder that all executors reach; path and bytes of each
+    are returned when the result is read. A file is moved to its name when it is whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+        from uuid import uuid4
 
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, root = opened(folder)
         system.create_dir(root, recursive=True)
         for b in batches:
             out = []
             for f in b.itertuples(index=False):
-                data = packed(f.y_plane, f.width, f.height, f.y_stride) + packed(f.uv_plane, f.width, -(-f.height // 2), f.uv_stride)
-                path = f"{root}/{f.frame_index:05d}.yuv"
-                with system.open_output_stream(path) as to:
+                data, path, beside = content(f), f"{root}/{f.frame_index:05d}.{extension}", f"{root}/.{uuid4().hex}"
+                with system.open_output_stream(beside) as to:
                     to.write(data)
+                system.move(beside, path)
                 out.append((path, len(data)))
             yield pd.DataFrame(out, columns=["path", "bytes"])
 
-    rows = frames.select("frame_index", "width", "height", "y_stride", "y_plane", "uv_stride", "uv_plane")
     return rows.mapInPandas(run, "path string, bytes bigint")
+
+
+def write_pictures(frames: DataFrame, folder: str) -> DataFrame:
+    """The luma of frames (frame_index, width, height, y_stride, y_plane) as PNG files."""
+    return dumped(frames.select("frame_index", "width", "height", "y_stride", "y_plane"), folder, "png", lambda f: png(f.y_plane, f.width, f.height, f.y_stride))
+
+
+def write_metadata(folder: str, name: str = "dump.txt", **values) -> str:
+    """What a dump was made from, a line name=value each, in the order given, as a file beside the dump."""
+    for k, v in values.items():
+        if "\n" in f"{k}{v}" or "=" in k:
+            raise ValueError(f"{k} can't be told in a line")
+    system, root = opened(folder)
+    system.create_dir(root, recursive=True)
+    with system.open_output_stream(f"{root}/{name}") as to:
+        to.write("".join(f"{k}={v}\n" for k, v in values.items()).encode())
+    return f"{root}/{name}"
+
+
+def write_raw_frames(frames: DataFrame, folder: str) -> DataFrame:
+    """Writes NNNNN.yuv files, Y then UV without their strides, to a folder that all executors reach; path and bytes of
+    each are returned when the result is read. frames: frame_index, width, height, y_stride, y_plane, uv_stride, uv_plane."""
+
+    def packed(data: bytes, width: int, rows: int, stride: int) -> bytes:
+        if stride < width or len(data) < stride * rows:
+            raise ValueError("a plane is smaller than its frame")
+        return b"".join(data[r * stride : r * stride + width] for r in range(rows))
+
+    def content(f) -> bytes:
+        return packed(f.y_plane, f.width, f.height, f.y_stride) + packed(f.uv_plane, f.width, -(-f.height // 2), f.uv_stride)
+
+    rows = frames.select("frame_index", "width", "height", "y_stride", "y_plane", "uv_stride", "uv_plane")
+    return dumped(rows, folder, "yuv", content)

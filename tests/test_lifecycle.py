@@ -1,5 +1,6 @@
 import json
 import random
+import zlib
 from types import SimpleNamespace
 
 import numpy as np
@@ -113,6 +114,8 @@ def test_publishing(spark):
     rows = [(1, i, p, c) for i, (p, c) in enumerate(((0.0, False), (0.0004, False), (0.001, False), (0.0015, False), (0.5, False), (0.5, True), (0.5, True)))]
     out = M.published(spark.createDataFrame(rows, "video_id long, frame_index long, progress double, completed boolean"))
     assert [r.frame_index for r in out.orderBy("frame_index").collect()] == [2, 4, 5]
+    told = spark.createDataFrame([("running", True), ("running", False), ("paused", False), ("cancelled", False), (None, None)], "state string, completed boolean")
+    assert [r.s for r in told.select(M.status(F.col("state"), F.col("completed")).alias("s")).collect()] == ["Done", "Processing", "Paused", "Idle", "Idle"]
     one = spark.range(1)
     show = lambda c: one.select(c.alias("x")).first().x
     assert show(M.shown_rate(F.lit(0.0), "ms")) == "-- ms" and show(M.shown_rate(F.lit(12.34), "ms")) == "12.3 ms"
@@ -138,6 +141,21 @@ def test_sources_are_chosen(spark):
     assert B.SourceConfig("own", output=B.HANDLES).checked(("own",)).output == B.HANDLES
 
 
+def read_png(data):
+    """width, height and pixels of a grey picture without line filters."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, chunks = 8, {}
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        chunks[kind] = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + chunks[kind]) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        at += 12 + n
+    w, h = (int.from_bytes(chunks[b"IHDR"][k : k + 4], "big") for k in (0, 4))
+    lines = zlib.decompress(chunks[b"IDAT"])
+    assert chunks[b"IHDR"][8:] == bytes([8, 0, 0, 0, 0]) and len(lines) == h * (w + 1) and not any(lines[:: w + 1])
+    return w, h, b"".join(lines[y * (w + 1) + 1 : (y + 1) * (w + 1)] for y in range(h))
+
+
 def test_dumps_and_reports(spark, tmp_path):
     frame = (7, 4, 2, 6, bytes(range(12)), 4, bytes([9] * 4))
     rows = spark.createDataFrame([frame], "frame_index long, width int, height int, y_stride int, y_plane binary, uv_stride int, uv_plane binary")
@@ -145,8 +163,16 @@ def test_dumps_and_reports(spark, tmp_path):
     assert [(r.path.rpartition("/")[2], r.bytes) for r in out] == [("00007.yuv", 12)]
     assert (tmp_path / "out" / "00007.yuv").read_bytes() == bytes([0, 1, 2, 3, 6, 7, 8, 9, 9, 9, 9, 9])
     pairs = spark.createDataFrame([("a", "b", None, "roi 0", 0.5, True), ("b", "c", "no regions", None, None, None)], "prev_frame string, curr_frame string, skipped string, description string, similarity double, same_segment boolean")
-    told = json.loads(files.pair_report_json(pairs, "bitset-cover").first().json)
-    assert told["frame_pairs"] == 2 and [len(p["roi_results"]) for p in told["pairs"]] == [1, 0] and told["pairs"][1]["skipped"] == "no regions"
+    told = [json.loads(r.json) for r in files.pair_report_lines(pairs, "bitset-cover").orderBy("prev_frame").collect()]
+    assert [(p["comparator"], len(p["roi_results"]), p["skipped"]) for p in told] == [("bitset-cover", 1, None), ("bitset-cover", 0, "no regions")]
+    grey = files.write_pictures(rows, str(tmp_path / "grey")).collect()
+    data = (tmp_path / "grey" / "00007.png").read_bytes()
+    assert [r.bytes for r in grey] == [len(data)] and read_png(data) == (4, 2, bytes([0, 1, 2, 3, 6, 7, 8, 9]))
+    assert [p.name for p in (tmp_path / "grey").iterdir()] == ["00007.png"]
+    path = files.write_metadata(str(tmp_path / "grey"), input="a=b.mp4", backend="mock", sample_frequency_hz=7)
+    assert open(path).read() == "input=a=b.mp4\nbackend=mock\nsample_frequency_hz=7\n"
+    with pytest.raises(ValueError):
+        files.write_metadata(str(tmp_path), input="a\nb")
     assert [srt.default_path(p) for p in ("/a/b.mp4", "c.x.mkv", "/a/b")] == ["/a/b.srt", "c.x.srt", "/a/b.srt"]
     assert settings.valid_roi((0.12345678, 0, 0.5, 2)) == (0.123457, 0, 0.5, 1.0) and settings.valid_roi((1.0, 0, 0.5, 0.5)) == settings.FULL
     with pytest.raises(ValueError, match="unknown"):

@@ -204,3 +204,9 @@ def test_streams_match_batches(spark, tmp_path):
     got = stream(spark, tmp_path, [cues[:25], cues[25:]], schema, P.merged_stream)
     want = C.merged_cues(spark.createDataFrame(cues, schema), changelog=True).withColumn("texts", F.array_join(F.transform("lines", lambda x: x["text"]), "|")).drop("lines")
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_default_region(spark):
+    from framewright.functions import geometry as G
+
+    assert tuple(spark.range(1).select(G.default_region().alias("r")).first().r) == (0.2, 0.8, 0.6, 0.2)
