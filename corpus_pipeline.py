@@ -1,8 +1,8 @@
 """A corpus pipeline over documents, in five stages. Each works on all that its predecessor kept.
 
 Defined results: null and empty texts have no words, so the quality rules reject them; rows with a null doc_id pass all stages
-as documents of their own; of repeated rows, and of texts whose shingles are alike, one stays; texts of any length are taken
-whole; equal scores and lengths are ordered as the stages' own modules tell; an empty table gives an empty result. All stages but the
+as documents of their own; of texts whose shingles are alike the one with the least doc_id stays, and rows that share a doc_id stay or
+go together; texts of any length are taken whole; equal scores and lengths are ordered as the stages' own modules tell; an empty table gives an empty result. All stages but the
 last return the columns of documents, n_chars being that of the text as it is then, and leave other columns out, whatever their names.
 """
 
