@@ -4,11 +4,14 @@ A text is cut into words by the split pattern. The bytes of a word are folded: t
 leftmost of equals, becomes one piece until no pair has a rank. Ids are ranks. Decoding joins the bytes of the pieces.
 
 Distinct words: all words are counted (each task sends each word once), and the ``KNOWN`` most frequent, of at most
-``KNOWN_BYTES`` bytes, are folded once and put into a literal table of small maps, one for each hash. Other words are
-folded where they stand. So nothing but counts is shuffled, the literal has a fixed bound, and ids don't depend on which
+``KNOWN_BYTES`` bytes, are folded once and put into a table of small maps, one for each hash. Other words are
+folded where they stand. So nothing but counts is shuffled, the table has a fixed bound, and ids don't depend on which
 words it holds.
 
-The rank map is a literal that all lambdas share, made of flat arrays, since Spark searches a map literal entry by entry:
+The rank map is one constant that all lambdas share, made of flat arrays, since Spark searches a map literal entry by entry.
+It and the table of frequent words are written as tables of one row, which scalar subqueries put into the plan as literal
+values: so they aren't part of the plan's text, which Spark keeps and logs for each query.
+
 
 * ``base`` and ``cells`` hold the pairs that have a rank: the pair (a, b) owns the cell base[a] + b if that cell names a,
   and the cell's number is the rank. Rows are laid over each other so that no two pairs own one cell.
@@ -30,20 +33,20 @@ untouched; null ids decode to nothing, and an id outside the vocabulary has no b
 from __future__ import annotations
 
 import base64
-import json
 import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, written
 
 #: Longest word, in bytes, that is folded at once.
 WINDOW = 512
-#: Words of the literal table, a power of two, the longest of them, and words of one of its maps: 8 MB at most at any size of the corpus.
+#: Words of the table of frequent ones, a power of two, the longest of them, and words of one of its maps: 8 MB at most at any size of the corpus.
 KNOWN, KNOWN_BYTES, BUCKET = 1 << 17, 64, 4
 #: More than any rank: no pair.
 NONE = 1 << 20
@@ -63,9 +66,8 @@ NEW_DIGITS = """
 10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3
 1E4F0-1E4F9 1E5F1-1E5FA
 """
-#: What \s means in the pattern, and separates the characters of the literals.
+#: What \s means in the pattern.
 BLANKS = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-BETWEEN = "\u0100"
 
 
 def vocabulary_path() -> str:
@@ -126,19 +128,26 @@ def laid_over(rows: dict[int, list[tuple[int, int]]], width: int) -> tuple[np.nd
 
 
 @lru_cache(maxsize=2)
-def _numbers(path: str) -> dict[str, tuple[str, str, str]]:
-    """The rank map: name -> the values as one string, what separates them, their type."""
+def _arrays(path: str) -> dict[str, pa.Array]:
+    """The rank map, by name."""
     ranks = read_ranks(path)
     order: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         order[rank] = piece
     base, cells = laid_over(ranked_pairs(ranks), len(order))
     numbers = {"base": base, "cells": cells, "width": [len(p) for p in order], "single": [ranks[bytes([i])] for i in range(256)]}
-    return {k: _list(v) for k, v in numbers.items()} | {"pieces": (BETWEEN.join(p.decode("latin-1") for p in order), BETWEEN, "array<string>")}
+    return {k: pa.array(v, pa.int64()) for k, v in numbers.items()} | {"pieces": pa.array([p.decode("latin-1") for p in order])}
+
+
+def _row(spark: SparkSession, arrays: dict[str, pa.Array], label: str) -> DataFrame:
+    """A table of one row, with a column m that is a struct of arrays."""
+    row = pa.table({k: pa.array([v.to_pylist()], pa.list_(v.type)) for k, v in arrays.items()})
+    return written(spark.createDataFrame(row).coalesce(1), label).select(F.struct(*arrays).alias("m"))
 
 
-def _list(values) -> tuple[str, str, str]:
-    return " ".join(map(str, values)), " ", "array<bigint>"
+def rank_map(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The rank map as a table of one row."""
+    return _row(spark, _arrays(path or vocabulary_path()), "ranks")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -146,18 +155,19 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
 
 
-def _with(lits: dict[str, tuple[str, str, str]], use: Callable[[dict[str, Column]], Column]) -> Column:
-    """use(maps), where each literal is bound once for all of the expression: one named in many places would be copied to
-    each."""
+def _with(maps: Column, names: tuple[str, ...], use: Callable[[dict[str, Column]], Column]) -> Column:
+    """use(arrays), with each of these arrays of the struct maps read from it once for a row. maps is named once, so that the
+    optimizer puts the subquery behind it here, instead of a column that holds it."""
+
+    def bound(struct: Column, left: tuple[str, ...], arrays: dict[str, Column]) -> Column:
+        if not left:
+            return use(arrays)
+        return _let(struct[left[0]], lambda x: bound(struct, left[1:], arrays | {left[0]: x}))
+
+    return _let(maps, lambda struct: bound(struct, names, {}))
 
-    def bound(names: list[str], maps: dict[str, Column]) -> Column:
-        if not names:
-            return use(maps)
-        values, between, kind = lits[names[0]]
-        value = F.split(F.lit(values), between).cast(kind) if between else F.from_json(F.lit(values), kind)
-        return _let(value, lambda x: bound(names[1:], maps | {names[0]: x}))
 
-    return bound(list(lits), {})
+RANKS = ("base", "cells", "width", "single")
 
 
 def _joined(*arrays: Column) -> Column:
@@ -234,46 +244,59 @@ def _bucket(word: Column, known: int) -> Column:
     return F.xxhash64(word).bitwiseAND(max(known // BUCKET, 1) - 1)
 
 
-def known_words(words: DataFrame, path: str, known: int = KNOWN) -> str:
-    """The most frequent words of the column ``words``, an array, with their ids, as an array of small maps in JSON: a word is in the
-    map that its hash names."""
+def known_words(words: DataFrame, ranks: DataFrame, known: int = KNOWN) -> DataFrame:
+    """The most frequent words of the column ``words``, an array, with their ids, as an array of small maps in a table of one row:
+    a word is in the map that its hash names."""
     each = words.select(F.explode("words").alias("word")).groupBy("word").count().where(F.octet_length("word") <= KNOWN_BYTES)
-    top = each.orderBy(F.desc("count"), "word").limit(known).repartition("word")
-    told = top.select("word", _with(_numbers(path), lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids"), _bucket(F.col("word"), known).alias("at")).toArrow()
+    top = each.orderBy(F.desc("count"), "word").limit(known).repartition("word").withColumn("m", ranks.scalar())
+    told = top.select("word", _with(F.col("m"), RANKS, lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids"), _bucket(F.col("word"), known).alias("at")).toArrow()
     buckets: list[dict[str, str]] = [{} for _ in range(max(known // BUCKET, 1))]
     for word, ids, k in zip(*(told[c].to_pylist() for c in ("word", "ids", "at"))):
         buckets[k][word] = ids
-    return json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
+    return _row(words.sparkSession, {"known": pa.array(buckets, pa.map_(pa.string(), pa.string()))}, "known")
 
 
-def token_ids(words: Column, path: str, known: str, n: int = KNOWN, window: int = WINDOW) -> Column:
-    """array<int>: the ids of the words of a text. ``known`` holds those of n words at most."""
-    lits = _numbers(path) | {"known": (known, "", "array<map<string,string>>")}
+def token_ids(words: Column, ranks: Column, frequent: Column, known: int = KNOWN, window: int = WINDOW) -> Column:
+    """array<int>: the ids of the words of a text. ``frequent`` holds those of ``known`` words at most."""
 
     def told(maps: dict[str, Column], word: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(maps["known"], _bucket(word, n)), word), _folded(maps, word, window))
+        return F.coalesce(F.try_element_at(F.get(maps["known"], _bucket(word, known)), word), _folded(maps, word, window))
 
-    joined = _with(lits, lambda maps: F.array_join(F.transform(words, lambda w: told(maps, w)), ","))
-    return F.when(F.size(words) > 0, F.split(joined, ",").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    each = lambda maps: F.array_join(F.transform(words, lambda w: told(maps, w)), ",")
+    joined = _with(ranks, RANKS, lambda maps: _with(frequent, ("known",), lambda more: each(maps | more)))
+    none = F.array().cast("array<int>")
+    return _let(joined, lambda x: F.when(x == "", none).otherwise(F.split(x, ",").cast("array<int>")))
 
 
-def decoded_bytes(ids: Column, path: str | None = None) -> Column:
+def decoded_bytes(ids: Column, ranks: Column) -> Column:
     """binary: the bytes of the pieces, joined."""
-    lits = {"pieces": _numbers(path or vocabulary_path())["pieces"]}
     some = F.coalesce(ids, F.array().cast("array<int>"))
-    return F.encode(_with(lits, lambda maps: F.array_join(F.transform(some, lambda i: F.get(maps["pieces"], i)), "")), "ISO-8859-1")
+    return F.encode(_with(ranks, ("pieces",), lambda maps: F.array_join(F.transform(some, lambda i: F.get(maps["pieces"], i)), "")), "ISO-8859-1")
 
 
-def encoded(docs: DataFrame, path: str | None = None, known: int = KNOWN, window: int = WINDOW) -> DataFrame:
+def encoded(docs: DataFrame, ranks: DataFrame | None = None, known: int = KNOWN, window: int = WINDOW) -> DataFrame:
     """row: the columns of docs as a struct; ids: array<int>."""
-    path = path or vocabulary_path()
-    frequent = known_words(docs.select(words_of(text_or_empty()).alias("words")), path, known)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", words_of(text_or_empty("row.text")).alias("words"))
-    return rows.select("row", token_ids(F.col("words"), path, frequent, known, window).alias("ids"))
+    ranks = rank_map(docs.sparkSession) if ranks is None else ranks
+    frequent = known_words(docs.select(words_of(text_or_empty()).alias("words")), ranks, known)
+    # What is named more than once below is a column of the input, so that the optimizer makes one projection of both and no
+    # row carries m or k.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("t"), ranks.scalar().alias("m"), frequent.scalar().alias("k"))
+    return rows.select("row", token_ids(words_of(text_or_empty("t")), F.col("m"), F.col("k"), known, window).alias("ids"))
+
+
+def decoded(rows: DataFrame, ranks: DataFrame, use: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """rows with name, which use makes from the ids and the bytes that they decode to, in place of ids."""
+    others = [c for c in rows.columns if c != "ids"]
+    made = lambda m, ids: _let(ids, lambda x: use(x, decoded_bytes(x, m)))
+    return rows.withColumn("m", ranks.scalar()).select(*others, made(F.col("m"), F.col("ids")).alias(name))
 
 
 def op13_byte_pair_encoding(spark, sf_dir: str) -> DataFrame:
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    told = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return docs.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2(decoded_bytes(F.col("ids")), 256).alias("decoded_sha256"))
+    ranks = rank_map(spark)
+    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+
+    def digests(ids: Column, text: Column) -> Column:
+        told = F.array_join(ids.cast("array<string>"), ",")
+        return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+    return decoded(docs, ranks, digests, "d").select("row.doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

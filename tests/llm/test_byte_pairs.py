@@ -19,8 +19,9 @@ def library():
 
 def _encoded(spark, texts, **how):
     rows = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], SCHEMA)
-    out = B.encoded(rows, **how)
-    got = out.select("row.doc_id", "ids", B.decoded_bytes(F.col("ids")).alias("back")).collect()
+    ranks = B.rank_map(spark)
+    out = B.decoded(B.encoded(rows, ranks, **how), ranks, lambda ids, text: F.struct(ids.alias("ids"), text.alias("back")), "d")
+    got = out.select("row.doc_id", "d.ids", "d.back").collect()
     return {r.doc_id: (list(r.ids), bytes(r.back)) for r in got}
 
 
@@ -70,7 +71,7 @@ def test_very_long_texts(spark, library):
 def test_decoding_of_any_ids(spark):
     pieces = {r: p for p, r in B.read_ranks(B.vocabulary_path()).items()}
     rows = spark.createDataFrame([([255, 0, 40_000, 128],), (None,), ([],), ([50_256, -1, 7],)], "ids array<int>")
-    got = [bytes(r[0]) for r in rows.select(B.decoded_bytes(F.col("ids"))).collect()]
+    got = [bytes(r[0]) for r in B.decoded(rows, B.rank_map(spark), lambda ids, text: text, "text").collect()]
     assert got == [pieces[255] + pieces[0] + pieces[40_000] + pieces[128], b"", b"", pieces[7]]
 
 
@@ -92,10 +93,15 @@ def test_query_on_the_whole_table(spark, sf, library):
 
 
 def test_plan_is_one_scan(spark, sf):
-    node, names = B.op13_byte_pair_encoding(spark, sf)._jdf.queryExecution().sparkPlan(), []
+    """Projections over a scan, none of which carries the rank map or the table of words as a column, and a short text."""
+    df = B.op13_byte_pair_encoding(spark, sf)
+    node, names, columns = df._jdf.queryExecution().sparkPlan(), [], []
     while True:
         names.append(node.nodeName())
+        columns += [node.output().apply(i).name() for i in range(node.output().size())]
         if not node.children().size():
             break
         node = node.children().head()
     assert set(names[:-1]) == {"Project"} and names[-1].startswith("Scan parquet"), names
+    assert not {"m", "k"} & set(columns)
+    assert len(df._jdf.queryExecution().toString()) < 1_000_000
