@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,16 @@ def clamp(v: Column, low, high) -> Column:
     return F.least(F.greatest(v, as_column(low)), as_column(high))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """To that many decimal places, halves away from zero, as SQL does it on doubles: by arithmetic, where round() goes by way of
+    a decimal number's text. What is too large to have decimal places, infinite or no number stays."""
+    scale = 10.0**digits
+    grown = F.abs(v) * scale
+    whole = F.rint(grown)
+    half = (grown - whole == 0.5).cast("double")  # rint takes it to the even side
+    return F.when(grown < 2.0**52, F.signum(v) * (whole + half) / scale + 0.0).otherwise(v)
+
+
 def area(b: Column) -> Column:
     return F.greatest(b["width"], F.lit(0.0)) * F.greatest(b["height"], F.lit(0.0))
 
@@ -47,6 +57,17 @@ def iou(a: Column, b: Column, common: Column | None = None) -> Column:
     return F.when(union > 0, common / union).otherwise(0.0)
 
 
+def edges(b: Column) -> Column:
+    """struct<x0, y0, x1, y1, area>: what pairs need of a box, computed once a box."""
+    return F.struct(b["x"].alias("x0"), b["y"].alias("y0"), right(b).alias("x1"), bottom(b).alias("y1"), area(b).alias("area"))
+
+
+def common_area(a: Column, b: Column) -> Column:
+    """overlap_area of boxes given by their edges."""
+    width, height = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
+    return F.when((width > 0) & (height > 0), width * height).otherwise(0.0)
+
+
 def normalised(b: Column, width: float, height: float) -> Column:
     x0, y0 = clamp(b["x"] / width, 0.0, 1.0), clamp(b["y"] / height, 0.0, 1.0)
     x1, y1 = clamp(right(b) / width, x0, 1.0), clamp(bottom(b) / height, y0, 1.0)

@@ -63,18 +63,30 @@ def _pairs(spark, d):
     return a.join(b.select("l_orderkey", F.col("l_linenumber").alias("line_b"), "b"), "l_orderkey").where("line_a <> line_b")
 
 
-def _overlaps(pairs):
+def _overlaps(spark, d, which="line_a <> line_b"):
+    """Pairs of boxes of one order that overlap, with v, their overlap over their union. A box without a place overlaps nothing."""
+    b = _boxes(spark, d).where("b.x is not null and b.y is not null and b.width is not null").select("l_orderkey", "l_linenumber", G.edges(F.col("b")).alias("e"))
+    a = b.select("l_orderkey", F.col("l_linenumber").alias("line_a"), F.col("e").alias("a"))
+    p = a.join(b.select("l_orderkey", F.col("l_linenumber").alias("line_b"), F.col("e").alias("b")), "l_orderkey").where(which)
+    p = p.withColumn("common", G.common_area(F.col("a"), F.col("b"))).where("common > 0")
+    union = F.col("a.area") + F.col("b.area") - F.col("common")
+    return p.select("l_orderkey", "line_a", "line_b", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("v"))
+
+
+def _overlapping(pairs):
     return pairs.withColumn("common", G.overlap_area(F.col("a"), F.col("b")))
 
 
 def _iou(spark, d):
-    p = _overlaps(_pairs(spark, d).where("line_a < line_b")).where("common > 0")
+    p = _overlapping(_pairs(spark, d).where("line_a < line_b")).where("common > 0")
     return p.select("l_orderkey", "line_a", "line_b", F.round(G.iou(F.col("a"), F.col("b"), F.col("common")), 9).alias("iou")).where("iou > 0")
 
 
 def _best(spark, d):
-    p = _overlaps(_pairs(spark, d)).where("common > 0").withColumn("iou", F.round(G.iou(F.col("a"), F.col("b"), F.col("common")), 9)).where("iou >= 0.05")
-    return p.groupBy("l_orderkey", "line_a").agg(F.max(F.struct("iou", (-F.col("line_b")).alias("line"))).alias("m")).select("l_orderkey", "line_a", (-F.col("m.line")).alias("best_line"), F.col("m.iou").alias("iou"))
+    """Whether the best overlap is enough is asked after it is found, so that the join has only to tell what overlaps."""
+    p = _overlaps(spark, d).select("l_orderkey", "line_a", (-F.col("line_b")).alias("line"), G.rounded(F.col("v"), 9).alias("iou"))
+    best = p.groupBy("l_orderkey", "line_a").agg(F.max(F.struct("iou", "line")).alias("m")).where("m.iou >= 0.05")
+    return best.select("l_orderkey", "line_a", (-F.col("m.line")).alias("best_line"), F.col("m.iou").alias("iou"))
 
 
 def _clip(spark, d):
