@@ -73,13 +73,10 @@ def _overlaps(spark, d, which="line_a <> line_b"):
     return p.select("l_orderkey", "line_a", "line_b", F.when(union > 0, F.col("common") / union).otherwise(0.0).alias("v"))
 
 
-def _overlapping(pairs):
-    return pairs.withColumn("common", G.overlap_area(F.col("a"), F.col("b")))
-
-
 def _iou(spark, d):
-    p = _overlapping(_pairs(spark, d).where("line_a < line_b")).where("common > 0")
-    return p.select("l_orderkey", "line_a", "line_b", F.round(G.iou(F.col("a"), F.col("b"), F.col("common")), 9).alias("iou")).where("iou > 0")
+    p = _overlaps(spark, d, "line_a < line_b").withColumn("iou", G.rounded(F.col("v"), 9))
+    # A filter would go down to the join with all that its columns stand for, code too long to be compiled; an array of none or one stays here.
+    return p.select("l_orderkey", "line_a", "line_b", F.explode(F.when(F.col("iou") > 0, F.array("iou"))).alias("iou"))
 
 
 def _best(spark, d):

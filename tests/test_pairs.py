@@ -10,7 +10,7 @@ from framewright.functions import geometry as G
 LONGEST = 8000
 
 
-@pytest.mark.parametrize("name", ["iou_best_match"])
+@pytest.mark.parametrize("name", ["iou_pairs", "iou_best_match"])
 def test_code_of_pairs_is_short_enough_to_be_compiled(spark, sf, name):
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
