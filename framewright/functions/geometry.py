@@ -127,24 +127,29 @@ def inflated(b: Column, width: float, height: float, margin: float = 5.0) -> Col
     return box(x0, y0, F.greatest(x1 - x0, F.lit(0.0)), F.greatest(y1 - y0, F.lit(0.0)))
 
 
-def clip_remainder(old: Column, new: Column) -> Column:
-    """Of what is left of old beside its overlap with new, the largest of the strips above, below, left and right;
-    the last of equal ones. Null without overlap or remainder."""
-    zero = F.lit(0.0)
-
-    def largest(common: Column) -> Column:
-        below, beside = F.least(bottom(common), bottom(old)), F.least(right(common), right(old))
-        strips = F.array(
-            box(old["x"], old["y"], old["width"], F.greatest(common["y"] - old["y"], zero)),
-            box(old["x"], below, old["width"], F.greatest(bottom(old) - bottom(common), zero)),
-            box(old["x"], old["y"], F.greatest(common["x"] - old["x"], zero), old["height"]),
-            box(beside, old["y"], F.greatest(right(old) - right(common), zero), old["height"]),
-        )
-        ranked = F.transform(strips, lambda s, i: F.struct(area(s).alias("area"), i.alias("i"), s.alias("box")))
-        return F.when(common.isNotNull(), F.array_max(F.filter(ranked, lambda r: (r["box"]["width"] > 0) & (r["box"]["height"] > 0)))["box"])
-
-    # A variable for the overlap, which many places need.
-    return F.get(F.transform(F.array(intersection(old, new)), largest), F.lit(0))
+def with_clip_remainder(pairs: DataFrame, old: str, new: str, name: str) -> DataFrame:
+    """pairs with a box: of what is left of old beside its overlap with new, the largest of the strips above, below, left and
+    right; the last of equal ones. Pairs without overlap or remainder are left out. In steps of columns, so that each value
+    is computed once and the generated code stays small."""
+    zero, o, n = F.lit(0.0), F.col(old), F.col(new)
+    x0, y0, x1, y1 = F.greatest(o["x"], n["x"]), F.greatest(o["y"], n["y"]), F.least(right(o), right(n)), F.least(bottom(o), bottom(n))
+    rows = pairs.where((x1 > x0) & (y1 > y0)).withColumns({"_x0": x0, "_y0": y0}).withColumns({"_x1": F.col("_x0") + (x1 - F.col("_x0")), "_y1": F.col("_y0") + (y1 - F.col("_y0"))})
+    sizes = (F.col("_y0") - o["y"], bottom(o) - F.col("_y1"), F.col("_x0") - o["x"], right(o) - F.col("_x1"))
+    rows = rows.withColumns({f"_size{i}": F.greatest(s, zero) for i, s in enumerate(sizes)})
+    rows = rows.withColumns({f"_area{i}": F.col(f"_size{i}") * o["width" if i < 2 else "height"] for i in range(4)})
+    rows = rows.withColumn("_most", F.greatest(*[f"_area{i}" for i in range(4)]))
+    which = F.when((F.col("_area3") == F.col("_most")) & (F.col("_size3") > 0), 3)
+    for i in (2, 1, 0):
+        which = which.when((F.col(f"_area{i}") == F.col("_most")) & (F.col(f"_size{i}") > 0), i)
+    rows, at = rows.withColumn("_which", which), F.col("_which")
+    strip = box(
+        F.when(at == 3, F.least(F.col("_x1"), right(o))).otherwise(o["x"]),
+        F.when(at == 1, F.least(F.col("_y1"), bottom(o))).otherwise(o["y"]),
+        F.when(at == 3, F.col("_size3")).when(at == 2, F.col("_size2")).otherwise(o["width"]),
+        F.when(at == 1, F.col("_size1")).when(at == 0, F.col("_size0")).otherwise(o["height"]),
+    )
+    # A filter would go down to the join with all that its columns stand for; an array of none or one stays here.
+    return rows.select(*pairs.columns, F.explode(F.when(at.isNotNull(), F.array(strip))).alias(name))
 
 
 def valid_region(roi: Column, duration_ns: Column, width: int, height: int) -> Column:

@@ -29,7 +29,7 @@ def _boxes(spark, d):
 
 
 def _flat(df, column, prefix=""):
-    return [F.round(F.col(f"{column}.{c}").cast("double"), 6).alias(prefix + c) for c in ("x", "y", "width", "height")]
+    return [G.rounded(F.col(f"{column}.{c}").cast("double"), 6).alias(prefix + c) for c in ("x", "y", "width", "height")]
 
 
 def _normalise(spark, d):
@@ -87,8 +87,7 @@ def _best(spark, d):
 
 
 def _clip(spark, d):
-    left = F.filter(F.array(G.clip_remainder(F.col("a"), F.col("b"))), lambda r: r.isNotNull())
-    p = _pairs(spark, d).select("l_orderkey", "line_a", "line_b", F.explode(left).alias("r"))
+    p = G.with_clip_remainder(_pairs(spark, d), "a", "b", "r")
     return p.select("l_orderkey", "line_a", "line_b", *_flat(p, "r"))
 
 

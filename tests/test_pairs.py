@@ -1,16 +1,20 @@
 """Pairs of boxes and lines of boxes: rounding, remainders and joins by plain columns, tracking of many videos side by side."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from framewright.functions import geometry as G
+from framewright.operators import tracking as R
 
 #: The JVM does not compile longer methods.
 LONGEST = 8000
 
 
-@pytest.mark.parametrize("name", ["iou_pairs", "iou_best_match"])
+@pytest.mark.parametrize("name", ["iou_pairs", "iou_best_match", "clip_remainder"])
 def test_code_of_pairs_is_short_enough_to_be_compiled(spark, sf, name):
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
@@ -30,3 +34,14 @@ def test_rounding_is_that_of_sql_on_doubles(spark):
     got = [r.r for r in spark.createDataFrame([(v,) for v in values], "v double").select(G.rounded(F.col("v"), 2).alias("r")).collect()]
     want = [None if v is None else duckdb.execute("SELECT round(?::DOUBLE, 2)", [v]).fetchone()[0] for v in values]
     assert [repr(x + 0.0) if x is not None else None for x in got] == [repr(x + 0.0) if x is not None else None for x in want]
+
+
+def test_remainders_are_those_of_the_tracker(spark):
+    r = random.Random(4)
+    grid = lambda low: r.randrange(low, 6) / 8
+    rows = [(i, (grid(0), grid(0), grid(1), grid(1)), (grid(0), grid(0), grid(1), grid(1))) for i in range(500)]
+    one = "struct<x:double,y:double,width:double,height:double>"
+    pairs = spark.createDataFrame([*rows, (500, None, rows[0][1])], f"i int, a {one}, b {one}")
+    got = {x.i: tuple(x.r) for x in G.with_clip_remainder(pairs, "a", "b", "r").collect()}
+    plain = {i: R.remainder(tuple(map(np.float32, a)), tuple(map(np.float32, b))) for i, a, b in rows}
+    assert got == {i: tuple(map(float, v)) for i, v in plain.items() if v is not None} and 0 < len(got) < 500
