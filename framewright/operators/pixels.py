@@ -142,26 +142,18 @@ def line_groups(boxes: DataFrame, group: str, tolerance: int = 10) -> DataFrame:
 
 
 def merged_lines(boxes: DataFrame, group: str, near: int = 16, min_iou: float = 0.15) -> DataFrame:
-    """Boxes of a line from left to right, joined while they overlap enough or start no more than near beyond."""
-    one = F.struct("x", "ord", "y", "width", "height")
-    lists = boxes.groupBy(group, "line").agg(F.array_sort(F.collect_list(one)).alias("b"))
-    shape = lambda x, y, w, h, n: F.struct(x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"), n.alias("n"))
-    first = F.get("b", F.lit(0))
-    start = F.array(shape(first["x"], first["y"], first["width"], first["height"], F.lit(1)))
-
-    def add(state, b):
-        a = F.get(state, F.size(state) - 1)
-        x0, y0 = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
-        x1, y1 = F.greatest(a["x"] + a["width"], b["x"] + b["width"]), F.greatest(a["y"] + a["height"], b["y"] + b["height"])
-        w = F.greatest(F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"]), F.lit(0))
-        h = F.greatest(F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"]), F.lit(0))
-        iou = w * h / (a["width"] * a["height"] + b["width"] * b["height"] - w * h + 1e-6)
-        joins = (iou >= min_iou) | (b["x"] <= a["x"] + a["width"] + near)
-        grown = F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(shape(x0, y0, x1 - x0, y1 - y0, a["n"] + 1)))
-        return F.when(joins, grown).otherwise(F.concat(state, F.array(shape(b["x"], b["y"], b["width"], b["height"], F.lit(1)))))
-
-    folded = F.aggregate(F.slice("b", F.lit(2), F.size("b") - 1), start, add)
-    return lists.select(group, "line", F.inline(folded))
+    """Boxes of a line from left to right, joined while they overlap enough or start no more than near beyond. Boxes that
+    overlap start no further than the joined box reaches, so with near and min_iou from 0 on the latter alone tells, and a box that
+    starts a new one lies beyond all before it: how far the joined box reaches is a running maximum."""
+    if near < 0 or min_iou <= 0:
+        raise ValueError("near is not negative, min_iou is above 0")
+    order = Window.partitionBy(group, "line").orderBy("x", "ord", "y", "width", "height")
+    reach = F.max(F.col("x") + F.col("width")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = boxes.withColumn("fresh", F.when(F.col("x") <= reach + near, 0).otherwise(1))
+    rows = rows.withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("x1"), F.max(F.col("y") + F.col("height")).alias("y1"), F.count(F.lit(1)).cast("int").alias("n")]
+    joined = rows.groupBy(group, "line", "part").agg(*ends)
+    return joined.select(group, "line", "x", "y", (F.col("x1") - F.col("x")).alias("width"), (F.col("y1") - F.col("y")).alias("height"), "n")
 
 
 def dilated(mask: DataFrame, radius: int, width: int, height: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from framewright.functions import geometry as G
+from framewright.operators import pixels as P
 from framewright.operators import tracking as R
 
 #: The JVM does not compile longer methods.
@@ -45,3 +46,26 @@ def test_remainders_are_those_of_the_tracker(spark):
     got = {x.i: tuple(x.r) for x in G.with_clip_remainder(pairs, "a", "b", "r").collect()}
     plain = {i: R.remainder(tuple(map(np.float32, a)), tuple(map(np.float32, b))) for i, a, b in rows}
     assert got == {i: tuple(map(float, v)) for i, v in plain.items() if v is not None} and 0 < len(got) < 500
+
+
+def test_lines_are_merged_as_by_a_fold(spark):
+    r = random.Random(5)
+    rows = [(g, 0, k, r.randrange(400), r.randrange(5), r.randrange(30), 20) for g in range(40) for k in range(r.randrange(1, 25))]
+    df = spark.createDataFrame(rows, "g int, line int, ord int, x int, y int, width int, height int")
+    out = P.merged_lines(df, "g")
+    got = sorted((x.g, x.x, x.y, x.width, x.height, x.n) for x in out.collect())
+    want = []
+    for g in range(40):
+        now = None
+        for _, _, _, x, y, w, h in sorted((b for b in rows if b[0] == g), key=lambda b: (b[3], b[2])):
+            if now is not None:
+                cw, ch = max(min(now[0] + now[2], x + w) - max(now[0], x), 0), max(min(now[1] + now[3], y + h) - max(now[1], y), 0)
+            if now is not None and (x <= now[0] + now[2] + 16 or cw * ch / (now[2] * now[3] + w * h - cw * ch + 1e-6) >= 0.15):
+                x0, y0 = min(now[0], x), min(now[1], y)
+                now = (x0, y0, max(now[0] + now[2], x + w) - x0, max(now[1] + now[3], y + h) - y0, now[4] + 1)
+            else:
+                want += [(g, *now)] if now else []
+                now = (x, y, w, h, 1)
+        want.append((g, *now))
+    assert got == sorted(want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
