@@ -69,3 +69,29 @@ def test_lines_are_merged_as_by_a_fold(spark):
         want.append((g, *now))
     assert got == sorted(want)
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("alone", [512, 1])
+def test_videos_side_by_side_are_tracked_as_one_by_one(spark, monkeypatch, alone):
+    monkeypatch.setattr(R, "ALONE", alone)
+    r = np.random.default_rng(alone)
+    lengths = r.integers(1, 80, 12)
+    n = int(lengths.sum())
+    boxes = np.stack([r.random(n) * 0.5, r.random(n) * 0.5, r.random(n) * 0.4 - 0.02, r.random(n) * 0.3]).astype(np.float32)
+    frames = np.concatenate([np.sort(r.integers(0, 20, k)) for k in lengths])
+    video = np.repeat(np.arange(len(lengths)), lengths)
+    want, trackers = [], {}
+    for i in range(n):
+        t = trackers.setdefault(int(video[i]), R.Tracker())
+        want.append(t.add(int(frames[i]), tuple(boxes[:, i])))
+    got, state, before = [], None, None
+    for a, b in ((0, 100), (100, 101), (101, n)):
+        new = np.concatenate([[False], video[a + 1 : b] != video[a : b - 1]])
+        fresh = new | np.concatenate([[False], frames[a + 1 : b] != frames[a : b - 1]])
+        held = state if state is not None and video[a] == before else None
+        fresh[0] = held is None or frames[a] != held.frame
+        first = np.concatenate([[0], np.flatnonzero(new)])
+        ids, rest, left, state = R._through(held, np.diff(np.append(first, b - a)), boxes[:, a:b], fresh, [int(frames[b - 1])])
+        before = video[b - 1]
+        got += [[*([(int(rest[i]), tuple(left[:, i]))] if rest[i] >= 0 else []), (int(ids[i]), tuple(boxes[:, a + i]))] for i in range(b - a)]
+    assert got == want
