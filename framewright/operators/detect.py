@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
@@ -87,17 +88,21 @@ def detected(frames: DataFrame, detector: str = "projection-band", target: int =
     if detector != "auto" and detector not in MAKERS:
         raise Unsupported(f"no detector {detector!r}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    target_schema = pa.schema([("video_id", pa.int64()), ("frame_index", pa.int64()), ("ord", pa.int32()), *((c, pa.float32()) for c in ("x", "y", "width", "height", "score"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for f in b.itertuples(index=False):
-                for i, (x, y, w, h, s) in enumerate(built(detector, Setting(f.width, f.height, f.y_stride, target, delta, roi))(f.y_plane)):
-                    a, c = max(x - margin, 0), max(y - margin, 0)
-                    out.append((f.video_id, f.frame_index, i, float(a), float(c), float(min(x + w + margin, f.width) - a), float(min(y + h + margin, f.height) - c), s))
-            yield pd.DataFrame(out, columns=["video_id", "frame_index", "ord", "x", "y", "width", "height", "score"])
+            out, planes = [], b.column("y_plane")
+            # A plane is looked at where it lies in the batch.
+            for at, (video, frame, width, height, stride) in enumerate(zip(*(b.column(c).to_pylist() for c in ("video_id", "frame_index", "width", "height", "y_stride")))):
+                for i, (x, y, w, h, s) in enumerate(built(detector, Setting(width, height, stride, target, delta, roi))(planes[at].as_buffer())):
+                    left, top = max(x - margin, 0), max(y - margin, 0)
+                    out.append((video, frame, i, float(left), float(top), float(min(x + w + margin, width) - left), float(min(y + h + margin, height) - top), s))
+            columns = zip(*out) if out else [()] * len(target_schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target_schema)], schema=target_schema)
 
     rows = frames.select("video_id", "frame_index", "width", "height", "y_stride", "y_plane")
-    return rows.mapInPandas(run, "video_id bigint, frame_index bigint, ord int, x float, y float, width float, height float, score float")
+    return rows.mapInArrow(run, "video_id bigint, frame_index bigint, ord int, x float, y float, width float, height float, score float")
 
 
 def compared(pairs: DataFrame, comparator: str = "bitset-cover", target: int = 230, delta: int = 12) -> DataFrame:

@@ -18,7 +18,8 @@ def with_engine(segments: DataFrame, engine: Callable[[], Callable[[dict], list[
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recognise = engine()
         for b in batches:
-            texts = [[{"text": t, "confidence": c} for t, c in recognise(row)] for row in b.to_dict("records")]
+            # One segment's row at a time: its crop is not held twice for the whole batch.
+            texts = [[{"text": t, "confidence": c} for t, c in recognise(dict(zip(b.columns, row)))] for row in b.itertuples(index=False, name=None)]
             yield b.assign(texts=texts)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema)

@@ -11,17 +11,19 @@ import math
 import pickle
 import tempfile
 import uuid
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import fields, is_dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 KEYS = ["video_id", "frame_index"]
+#: Frames whose features a task holds before it gives them on.
+ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,15 +79,17 @@ def fetched(wanted: DataFrame, planes: DataFrame, comparator) -> DataFrame:
     rows = content.join(wanted.hint("shuffle_hash"), KEYS)
     target = to_arrow_schema(wanted.schema).append(pa.field("features", pa.binary()))
 
+    Frame = namedtuple("Frame", comparator.columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            frames = pd.DataFrame({c: b.column(o).to_pylist() for c, o in zip(comparator.columns, own)})
-            regions = zip(*(b.column(c).to_pylist() for c in ("x", "y", "width", "height")))
-            for frame, roi in zip(frames.itertuples(index=False), regions):
-                made.append(packed(comparator.extract(frame, roi)))
-            columns = [b.column(c) for c in names] + [pa.array(made, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=target)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                # A plane is looked at where it lies in the batch.
+                content = [[v.as_buffer() if v.is_valid else None for v in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in (part.column(o) for o in own)]
+                regions = zip(*(part.column(c).to_pylist() for c in ("x", "y", "width", "height")))
+                made = [packed(comparator.extract(Frame(*frame), roi)) for frame, roi in zip(zip(*content), regions)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(made, pa.binary())], schema=target)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
     return rows.mapInArrow(run, f"{schema}, features binary")
