@@ -19,6 +19,7 @@ with its doc_id as given, null or not; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import string
@@ -53,7 +54,10 @@ TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 PIECE = re.compile(r"[^\W_]+|[\W_]")
 HARD = re.compile("[b-df-hj-np-tv-xzß]+", re.IGNORECASE)
-REACH, MEMO, LONG = 40, 1 << 20, 80
+REACH, LONG = 40, 80
+#: What a worker remembers, whatever the size of the corpus: plain tokens, entries of each generation of the memo, kinds of pieces, and
+#: pieces of each other cache.
+PLAIN, MEMO, KINDS_HELD, PIECES = 1 << 18, 1 << 17, 1 << 17, 1 << 15
 DIGIT = re.compile("[0-9]")
 BEFORE = re.compile(r"[A-Za-z_]+|[^\sA-Za-z_]")
 WEIGHTS = 1 << 15
@@ -82,7 +86,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _LONG_HEX = re.compile("[a-f]{16}")
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=PIECES)
 def _shape(piece: str) -> str:
     return _AGAIN.sub(r"\1", piece.translate(_CLASS))[:10]
 
@@ -115,7 +119,7 @@ def _letters(p: str) -> np.ndarray:
     return np.array([ord(c) - 97 if "a" <= c <= "z" else 26 for c in p.lower()], int)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=PIECES)
 def _odd(p: str) -> int:
     """How unlike a word a stretch of letters is, from 0; -1 for those of fewer than four characters."""
     if len(p) < 4:
@@ -132,15 +136,19 @@ def _pair_rows() -> list[list[float]]:
     return _pairs().tolist()
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=PIECES)
 def _kinds(p: str) -> str:
     return f"{any(map(str.isdigit, p))}{any(map(str.islower, p))}{any(map(str.isupper, p))},{_bucket(len(p))},{_odd(p)}"
 
 
+@lru_cache(maxsize=256)
 def _stats(p: str) -> tuple:
     """All that the features of a piece are made from."""
-    digits, lower, upper = (sum(map(f, p)) for f in (str.isdigit, str.islower, str.isupper))
     n = len(p)
+    if p.isalpha() and p.islower():  # most pieces
+        digits, lower, upper = 0, n, 0
+    else:
+        digits, lower, upper = (sum(map(f, p)) for f in (str.isdigit, str.islower, str.isupper))
     changes = sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(p, p[1:])) if digits or upper else 0
     turns = changes - (n > 1 and p[0].isupper() and p[1].islower())
     hard = max(map(len, HARD.findall(p)), default=0)
@@ -151,7 +159,7 @@ def _stats(p: str) -> tuple:
     )
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=PIECES)
 def _piece(p: str) -> tuple[int, ...]:
     """The features of a piece by itself."""
     size, shape, kinds, digits, changes, hexed, distinct, vowels, head, turns, hard, odd, cue, sign = _stats(p)
@@ -164,13 +172,14 @@ def _piece(p: str) -> tuple[int, ...]:
     )
 
 
-_numbers: dict[tuple, int] = {}
+def _digest(x: bytes) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
 
 
-@lru_cache(maxsize=MEMO)
-def _kind(p: str) -> int:
-    """A number for all pieces that the field cannot tell apart; -1 for those that hold a cue."""
-    return -1 if _says(p) else _numbers.setdefault((p if len(p) == 1 else "", _stats(p)), len(_numbers))
+@lru_cache(maxsize=KINDS_HELD)
+def _kind(p: str) -> bytes:
+    """A digest for all pieces that the field cannot tell apart; empty for those that hold a cue."""
+    return b"" if _says(p) else _digest(repr((p if len(p) == 1 else "", _stats(p))).encode())
 
 
 def _whole(token: str, pieces: list[str]) -> tuple[int, ...]:
@@ -233,8 +242,9 @@ def file_features(text: str) -> tuple[str, ...]:
 
 #: For each field, by its key: plain tokens, the first that were seen.
 _plain: dict[int, set[str]] = {}
-#: The same: whether tokens are plain, by the kinds of their pieces. It outlives a task of a worker.
-_memo: dict[int, dict[tuple, bool]] = {}
+#: The same: whether tokens are plain, by a digest of the kinds of their pieces, in a younger and an older generation. It
+#: outlives a task of a worker.
+_memo: dict[int, list[dict[bytes, bool]]] = {}
 
 
 class Field:
@@ -276,18 +286,20 @@ class Field:
 
     def plain(self, token: str) -> bool:
         """Whether a token without a cue before it is outside in any text."""
-        if len(_numbers) >= MEMO:
-            _numbers.clear(), _memo.clear(), _kind.cache_clear()
-        held = _memo.setdefault(self.key, {})
-        kinds = tuple(map(_kind, PIECE.findall(token)))
-        if -1 in kinds:
-            return not any(self.decode(_token(token, PIECE.findall(token)), self.most))
-        kinds = kinds, _bucket(len(token))
-        known = held.get(kinds)
+        pieces = PIECE.findall(token)
+        kinds = list(map(_kind, pieces))
+        if b"" in kinds:
+            return not any(self.decode(_token(token, pieces), self.most))
+        held = _memo.setdefault(self.key, [{}, {}])
+        key = (kinds[0] if len(kinds) == 1 else _digest(b"".join(kinds))) + bytes([_bucket(len(token))])
+        known = held[0].get(key)
         if known is None:
-            if len(held) >= MEMO:
-                held.clear()
-            known = held[kinds] = not any(self.decode(_token(token, PIECE.findall(token)), self.most))
+            known = held[1].get(key)
+            if known is None:
+                known = not any(self.decode(_token(token, pieces), self.most))
+            if len(held[0]) >= MEMO:
+                held[:] = {}, held[0]
+            held[0][key] = known
         return known
 
 
@@ -558,7 +570,7 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
     for t in set(text.split()) - known:
         if len(t) > LONG or not field.plain(t):
             hot.add(t)
-        elif len(known) < MEMO:
+        elif len(known) < PLAIN:
             known.add(t)
     if hot:
         todo.update(m.span() for m in TOKEN.finditer(text) if m[0] in hot)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -111,3 +112,20 @@ def test_memo_gives_what_decoding_all_tokens_gives(field, spark, sf):
     for text in texts:
         file = S.file_features(text)
         assert S.field_spans(text, field) == [s for m in S.TOKEN.finditer(text) for s in S._tagged(text, *m.span(), file, field)]
+
+
+def test_what_a_worker_remembers_is_bounded(field, monkeypatch):
+    """Far more tokens than fit: the spans stay the same, and no table grows beyond its bound."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdeXY019-_. ") for _ in range(600)) for _ in range(150)] + [t for t, _ in S.training_tokens(seed=6, n=100)]
+    expected = [S.field_spans(t, field) for t in texts]
+    monkeypatch.setattr(S, "_plain", {})
+    monkeypatch.setattr(S, "_memo", {})
+    monkeypatch.setattr(S, "PLAIN", 300)
+    monkeypatch.setattr(S, "MEMO", 200)
+    assert [S.field_spans(t, field) for t in texts] == expected
+    assert max(map(len, S._plain.values())) <= 300
+    assert all(max(map(len, x)) <= 200 for x in S._memo.values())
+    caches = [x.cache_info().maxsize for x in (S._kind, S._stats, S._shape, S._odd, S._kinds, S._piece)]
+    assert sum(caches) + S.PLAIN + 2 * S.MEMO < 1 << 19  # a worker of the pipeline held over a million before
+    assert not hasattr(S, "_numbers")  # a table of its own for each kind of piece
