@@ -3,9 +3,8 @@
 A text is cut into words by the split pattern. The bytes of a word are folded: the adjacent pair of the least rank, the
 leftmost of equals, becomes one piece until no pair has a rank. Ids are ranks. Decoding joins the bytes of the pieces.
 
-Distinct words: all words are counted (each task sends each word once), and the ``KNOWN`` most frequent, of at most
-``KNOWN_BYTES`` bytes, are folded once and put into a table of small maps, one for each hash. Other words are
-folded where they stand. So nothing but counts is shuffled, the table has a fixed bound, and ids don't depend on which
+Distinct words: all words are counted (each task sends each word once). A table of ``KNOWN`` places keeps the ``WAYS`` most
+frequent of each hash, of at most ``KNOWN_BYTES`` bytes, which are folded once. Other words are folded where they stand. So nothing but counts is shuffled, the table has a fixed bound, and ids don't depend on which
 words it holds.
 
 The rank map is one constant that all lambdas share, made of flat arrays, since Spark searches a map literal entry by entry.
@@ -17,7 +16,8 @@ values: so they aren't part of the plan's text, which Spark keeps and logs for e
   and the cell's number is the rank. Rows are laid over each other so that no two pairs own one cell.
 * ``pieces`` holds the bytes of each piece as characters U+0000 to U+00FF, so that joining them and encoding the result as
   ISO-8859-1 gives the bytes; ``width`` their number; ``single`` the rank of each byte.
-* ``shift`` and ``slots`` find a frequent word by its hash; the word found is compared with the one sought.
+* ``known`` holds the frequent words, at places told by their hash, ``known_ids`` their ids; the word found is compared with the
+  one sought.
 
 The fold is quadratic in the length of a word, so a word above ``WINDOW`` bytes is taken window by window: each window
 begins where a piece of the last one begins, in its second half, and must begin with that same piece. Then every adjacent
@@ -46,10 +46,12 @@ from .common import table, text_or_empty, written
 
 #: Longest word, in bytes, that is folded at once.
 WINDOW = 512
-#: Words of the table of frequent ones, a power of two, the longest of them, and words of one of its maps: 8 MB at most at any size of the corpus.
-KNOWN, KNOWN_BYTES, BUCKET = 1 << 17, 64, 4
+#: Words of the table of frequent ones, a power of two, the longest of them, and words of one hash: about 25 MB at any size of the corpus.
+KNOWN, KNOWN_BYTES, WAYS = 1 << 19, 64, 2
 #: More than any rank: no pair.
 NONE = 1 << 20
+#: The same in the 19 bits that the fold has for a rank.
+UNRANKED = (1 << 19) - 1
 #: The letters and the digits that Unicode 14 to 16 added, which the libraries know and Java 17 doesn't.
 NEW_LETTERS = """
 0870-0887 0889-088E 08B5-08B5 08C8-08C9 0C5D-0C5D 0CDD-0CDD 170D-170D 171F-171F 1B4C-1B4C 1C89-1C8A 2C2F-2C2F
@@ -141,7 +143,7 @@ def _arrays(path: str) -> dict[str, pa.Array]:
 
 def _row(spark: SparkSession, arrays: dict[str, pa.Array], label: str) -> DataFrame:
     """A table of one row, with a column m that is a struct of arrays."""
-    row = pa.table({k: pa.array([v.to_pylist()], pa.list_(v.type)) for k, v in arrays.items()})
+    row = pa.table({k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in arrays.items()})
     return written(spark.createDataFrame(row).coalesce(1), label).select(F.struct(*arrays).alias("m"))
 
 
@@ -181,25 +183,28 @@ def _rank(maps: dict[str, Column], a: Column, b: Column) -> Column:
 
 
 def _fold(maps: dict[str, Column], ids: Column) -> Column:
-    """ids with all ranked merges made. ranks[i] is the rank of the pieces i and i + 1 together."""
-    ranks = F.transform(ids, lambda a, i: _rank(maps, a, F.get(ids, i + 1)))
-
-    def merged(s: Column, least: Column) -> Column:
-        ids, ranks = s["ids"], s["ranks"]
-        new, at = F.shiftright(least, 20), least.bitwiseAND(NONE - 1)  # pieces before the pair
-        rest = F.size(ids) - at - 2
-        after = _rank(maps, new, F.get(ids, at + 2))
-        later = F.slice(ranks, at + 3, F.greatest(rest, F.lit(0)))
-        told = F.when(at > 0, _joined(F.slice(ranks, F.lit(1), at - 1), F.array(_rank(maps, F.get(ids, at - 1), new), after), later)).otherwise(_joined(F.array(after), later))
-        return F.struct(_joined(F.slice(ids, F.lit(1), at), F.array(new), F.slice(ids, at + 3, rest)).alias("ids"), told.alias("ranks"))
+    """ids with all ranked merges made. A piece is one number: from bit 44 the rank of it and the next together (UNRANKED without
+    one), from bit 20 its first byte's place, then its id. So the least number is the leftmost of the least rank."""
+    low = lambda e, bits: e.bitwiseAND((1 << bits) - 1)
+    left = lambda e, bits: F.call_function("shiftleft", e, F.lit(bits))
+
+    def piece(a: Column, b: Column, rest: Column) -> Column:
+        return left(F.least(_rank(maps, a, b), F.lit(UNRANKED << 20)), 24).bitwiseOR(rest)  # least() skips nulls
+
+    def merged(s: Column, least: Column, at: Column) -> Column:
+        """at: the number of the pair's left piece, from 1."""
+        new, before = F.call_function("shiftright", least, F.lit(44)), F.get(s, at - 2)
+        own = piece(new, low(F.get(s, at + 1), 20), low(least, 44) - low(least, 20) + new)
+        told = F.when(at > 1, F.array(piece(low(before, 20), new, low(before, 44)), own)).otherwise(F.array(own))
+        return _joined(F.slice(s, F.lit(1), F.greatest(at - 2, F.lit(0))), told, F.slice(s, at + 2, F.size(s)))
 
     def step(s: Column, _: Column) -> Column:
-        # The place in the low bits makes the leftmost of equal ranks the least; array_position() is slow in a lambda.
-        placed = F.transform(s["ranks"], lambda r, i: r.bitwiseOR(i.cast("long")))
-        return _let(F.array_min(placed), lambda least: F.when(least < NONE << 20, merged(s, least)).otherwise(s))
+        found = lambda least: _let(F.array_position(s, least).cast("int"), lambda at: merged(s, least, at))
+        return _let(F.array_min(s), lambda least: F.when(least < UNRANKED << 44, found(least)).otherwise(s))
 
     steps = F.slice(ids, F.lit(1), F.size(ids) - 1)  # as many as there can be merges
-    return F.aggregate(steps, F.struct(ids.alias("ids"), ranks.alias("ranks")), step, lambda s: s["ids"])
+    pieces = F.transform(ids, lambda a, i: piece(a, F.get(ids, i + 1), left(i.cast("long"), 20) + a))
+    return F.transform(F.aggregate(steps, pieces, step), lambda e: low(e, 20))
 
 
 def _by_windows(maps: dict[str, Column], ids: Column, window: int) -> Column:
@@ -240,30 +245,45 @@ def _folded(maps: dict[str, Column], word: Column, window: int) -> Column:
     return F.array_join(_let(ids, lambda x: F.when(short, _fold(maps, x)).otherwise(_by_windows(maps, x, window))).cast("array<string>"), ",")
 
 
-def _bucket(word: Column, known: int) -> Column:
-    return F.xxhash64(word).bitwiseAND(max(known // BUCKET, 1) - 1)
+def _sets(known: int) -> int:
+    return max(known // WAYS, 1)
+
+
+def _first_place(word: Column, known: int) -> Column:
+    """The first of the WAYS places of a word in the table, told by its hash."""
+    return (F.xxhash64(word).bitwiseAND(_sets(known) - 1) * WAYS).cast("int")
 
 
 def known_words(words: DataFrame, ranks: DataFrame, known: int = KNOWN) -> DataFrame:
-    """The most frequent words of the column ``words``, an array, with their ids, as an array of small maps in a table of one row:
-    a word is in the map that its hash names."""
-    each = words.select(F.explode("words").alias("word")).groupBy("word").count().where(F.octet_length("word") <= KNOWN_BYTES)
-    top = each.orderBy(F.desc("count"), "word").limit(known).repartition("word").withColumn("m", ranks.scalar())
-    told = top.select("word", _with(F.col("m"), RANKS, lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids"), _bucket(F.col("word"), known).alias("at")).toArrow()
-    buckets: list[dict[str, str]] = [{} for _ in range(max(known // BUCKET, 1))]
-    for word, ids, k in zip(*(told[c].to_pylist() for c in ("word", "ids", "at"))):
-        buckets[k][word] = ids
-    return _row(words.sparkSession, {"known": pa.array(buckets, pa.map_(pa.string(), pa.string()))}, "known")
+    """The most frequent words of the column ``words``, an array, with their ids, as two arrays in a table of one row. Of the words
+    of one hash the WAYS most frequent have a place. Words found once would gain nothing."""
+    each = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.octet_length("word") <= KNOWN_BYTES) & (F.col("n") > 1))
+    each = each.select(_first_place(F.col("word"), known).alias("first"), F.struct((-F.col("n")).alias("n"), "word").alias("x"))
+    best = each.groupBy("first").agg(F.slice(F.sort_array(F.collect_list("x")), 1, WAYS if known else 0).alias("best"))
+    top = best.select("first", F.posexplode("best").alias("way", "x")).select((F.col("first") + F.col("way")).alias("at"), "x.word").withColumn("m", ranks.scalar())
+    told = top.select("word", _with(F.col("m"), RANKS, lambda maps: _folded(maps, F.col("word"), KNOWN_BYTES)).alias("ids"), "at").toArrow().combine_chunks()
+    rows = np.full(_sets(known) * WAYS, -1)
+    rows[told["at"].to_numpy()] = np.arange(len(told))
+    places = pa.array(rows, mask=rows < 0)
+    arrays = {c: pa.concat_arrays(told[c].chunks or [pa.array([], pa.string())]).cast(pa.string()).take(places) for c in ("word", "ids")}
+    return _row(words.sparkSession, {"known": arrays["word"], "known_ids": arrays["ids"]}, "known")
 
 
 def token_ids(words: Column, ranks: Column, frequent: Column, known: int = KNOWN, window: int = WINDOW) -> Column:
     """array<int>: the ids of the words of a text. ``frequent`` holds those of ``known`` words at most."""
 
-    def told(maps: dict[str, Column], word: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(maps["known"], _bucket(word, known)), word), _folded(maps, word, window))
+    def told(maps: dict[str, Column], word: Column, first: Column) -> Column:
+        found = F
+        for way in range(WAYS):
+            at = first + way if way else first
+            found = found.when(F.get(maps["known"], at) == word, F.get(maps["known_ids"], at))
+        return found.otherwise(_folded(maps, word, window))
+
+    def all_told(maps: dict[str, Column]) -> Column:
+        places = lambda w: F.transform(w, lambda x: _first_place(x, known))
+        return _let(words, lambda w: _let(places(w), lambda at: F.array_join(F.transform(w, lambda x, i: told(maps, x, F.get(at, i))), ",")))
 
-    each = lambda maps: F.array_join(F.transform(words, lambda w: told(maps, w)), ",")
-    joined = _with(ranks, RANKS, lambda maps: _with(frequent, ("known",), lambda more: each(maps | more)))
+    joined = _with(ranks, RANKS, lambda maps: _with(frequent, ("known", "known_ids"), lambda more: all_told(maps | more)))
     none = F.array().cast("array<int>")
     return _let(joined, lambda x: F.when(x == "", none).otherwise(F.split(x, ",").cast("array<int>")))
 

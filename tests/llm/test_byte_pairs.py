@@ -105,3 +105,21 @@ def test_plan_is_one_scan(spark, sf):
     assert set(names[:-1]) == {"Project"} and names[-1].startswith("Scan parquet"), names
     assert not {"m", "k"} & set(columns)
     assert len(df._jdf.queryExecution().toString()) < 1_000_000
+
+
+def test_table_of_known_words(spark, library):
+    """A place for the most frequent words of each hash, none for a word found once, and places enough for far more words than before."""
+    texts = [" ".join(f"w{k}x" for k in range(40) for _ in range(1 + k % 5))]
+    words = spark.createDataFrame([(t,) for t in texts], "text string").select(B.words_of(F.col("text")).alias("words"))
+    counts = {r.word: r.n for r in words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = B.known_words(words, B.rank_map(spark), 8).select("m.known", "m.known_ids", F.transform(F.array(*map(F.lit, counts)), lambda w: B._first_place(w, 8)).alias("first")).first()
+    by_set = {}
+    for word, first in zip(counts, held.first):
+        by_set.setdefault(first, []).append(word)
+    assert len(held.known) == len(held.known_ids) == 8
+    for first in range(0, 8, B.WAYS):
+        best = sorted((-counts[w], w) for w in by_set.get(first, ()) if counts[w] > 1)[: B.WAYS]
+        assert [w for w in held.known[first : first + B.WAYS] if w] == [w for _, w in best]
+    for word, ids in zip(held.known, held.known_ids):
+        assert word is None or ids == ",".join(map(str, library.encode_ordinary(word)))
+    assert B.KNOWN >= 1 << 19
