@@ -6,7 +6,9 @@ the whole text. No secret goes over white space, so each token is a chain of its
 digit or alphabet is asked for: the field alone decides.
 
 Most tokens are words without a cue before them. Those that stay outside under the most favourable features of a text
-are told by a memo (``Field.plain``), and only the others are decoded in their place; the result is the same.
+are told apart for many texts at once, in arrays (``PlainTokens``), and only the others are decoded in their place. The sums
+of the arrays may differ from those of ``Field.decode`` in the last digits, so what they leave within ``CLOSE`` of each other goes by
+``Field.plain``, as do tokens with a cue or a character outside ``SIGNS`` and Latin-1: the result is the same.
 
 The field is trained here, on the driver, by maximum likelihood on made-up texts (``training_runs`` and
 ``training_tokens``), which hold the common forms of keys and passwords and the usual look-alikes: words, identifiers,
@@ -24,7 +26,7 @@ import random
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import frames
+from .batches import chunks, frames
 from .common import table
 
 KINDS = ("assign", "access", "hex", "field")
@@ -50,11 +52,16 @@ CUES = frozenset(
 PARTS = (":", "=", "pass", "secret", "token", "key", "pwd", "kennwort", "pin", "psk", "bearer", "basic", "auth", "credential", "private", "access", "login", "clave")
 CUE = re.compile("[:=]|pass|secret|token|api_?key|key|pwd|kennwort|pin|psk|bearer|basic|auth|credential|private|access|login|clave", re.IGNORECASE | re.ASCII)
 _SAYS = re.compile("|".join(sorted(k for k in CUES if len(k) > 3 or k in ("key", "pwd"))))
+_SAYS_BYTES = re.compile(_SAYS.pattern.encode())
 TOKEN = re.compile(r"\S+")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 PIECE = re.compile(r"[^\W_]+|[\W_]")
 HARD = re.compile("[b-df-hj-np-tv-xzß]+", re.IGNORECASE)
 REACH, LONG = 40, 80
+#: Tokens and characters that are looked at together, and the least distance of two sums that are told apart.
+TOKENS_AT_ONCE, TEXT_AT_ONCE, CLOSE = 1 << 15, 1 << 20, 1e-6
+#: Signs beyond Latin-1 that have a code of one byte in PlainTokens, from 128.
+SIGNS = "‘’‚“”„–—…€•‹›†‡™"
 #: What a worker remembers, whatever the size of the corpus: plain tokens, entries of each generation of the memo, kinds of pieces, and
 #: pieces of each other cache.
 PLAIN, MEMO, KINDS_HELD, PIECES = 1 << 18, 1 << 17, 1 << 17, 1 << 15
@@ -254,6 +261,7 @@ class Field:
         self.w, self.t = w, t + MOVES
         self.rows, self.moves = [tuple(r) for r in w.tolist()], self.t.tolist()
         self.key = zlib.crc32(w.tobytes() + t.tobytes())
+        self.arrays: PlainTokens | None = None
         files = [w[[_hashed(f"keys:{k}"), _hashed(f"lines:{n}")]].sum(axis=0) for k in range(len(KEYWORDS) + 1) for n in range(13)]
         #: The most that features of the whole text can add to begin and inside over outside.
         self.most = [0.0, *np.max([f[1:] - f[0] for f in files], axis=0).tolist()]
@@ -303,6 +311,183 @@ class Field:
         return known
 
 
+    def plain_tokens(self, tokens: list[str]) -> list[bool]:
+        """As plain, for many tokens at once."""
+        if self.arrays is None:
+            self.arrays = PlainTokens(self)
+        out = []
+        for k in range(0, len(tokens), TOKENS_AT_ONCE):
+            part = tokens[k : k + TOKENS_AT_ONCE]
+            over = self.arrays.over(part)
+            told = (over > 0).tolist()
+            for i in np.flatnonzero(~(np.abs(over) > CLOSE)).tolist():
+                told[i] = self.plain(part[i])
+            out += told
+        return out
+
+
+class PlainTokens:
+    """By how much the path that stays outside beats all others, for many tokens. The characters of all tokens lie in one array of
+    codes, those of a piece beside each other, so that what _stats counts is a sum or a maximum over a stretch."""
+
+    def __init__(self, field: Field):
+        self.w, self.moves, self.most = field.w, field.moves, np.array(field.most)
+        codes = {chr(c): c for c in (*range(33, 127), *range(0xA1, 256)) if not (chr(c).isalnum() and c in range(0xA1, 0xC0))} | {c: 128 + k for k, c in enumerate(SIGNS)}
+        self.code = np.zeros(0x110000, np.uint8)  # 0: none; a line feed ends a token
+        self.char = ["\n"] * 256
+        for c, k in codes.items():
+            self.code[ord(c)], self.char[k] = k, c
+        self.code[10] = 10
+        of = lambda say: np.array([c != "\n" and say(c) for c in self.char])
+        self.alnum, self.digit, self.upper = of(str.isalnum), of(str.isdigit), of(str.isupper)
+        self.hard = of(lambda c: HARD.fullmatch(c) is not None)
+        #: Counts of digits, small letters, capitals, vowels and signs of hexadecimal numbers, 10 bits each: a piece has LONG characters at most.
+        says = (self.digit, of(str.islower), self.upper, of(lambda c: c.lower() in "aeiou"), of(lambda c: c in "0123456789abcdef"))
+        self.counts = sum(x.astype(np.int64) << (10 * k) for k, x in enumerate(says))
+        self.lower = np.array([codes.get(c.lower(), 0) for c in self.char], np.uint32)
+        self.letter = np.array([_LETTER.get(c.lower(), 26) for c in self.char])
+        self.shape = np.array([codes.get(c.translate(_CLASS), 0) for c in self.char], np.uint64)
+        bits = np.array([1 << k for k in range(64)], np.uint64)
+        self.low_bits, self.high_bits = np.zeros(256, np.uint64), np.zeros(256, np.uint64)
+        for k, c in enumerate(string.digits + string.ascii_letters):
+            self.low_bits[codes[c]] = bits[k]
+        self.high_bits[0xC0:] = bits
+        self.pairs = _pairs()
+        self.size = np.array([_bucket(n) for n in range(LONG + 1)])
+        sizes, bools, tens = range(13), (False, True), range(11)
+        self.odd = int(-3 * self.pairs.min()) + 2
+        kinds = [f"{a}{b}{c}" for a in bools for b in bools for c in bools]
+        each = self._each
+        self.by = {
+            "len": each(f"len:{k}" for k in sizes), "kinds": each(f"kinds:{k}" for k in kinds), "digits": each(f"digits:{k}" for k in tens), "changes": each(f"changes:{k}" for k in tens),
+            "hex": each(f"hex:{k}" for k in bools), "distinct": each(f"distinct:{k}" for k in tens), "vowels": each(f"vowels:{k}" for k in tens), "len,kinds": each(f"len,kinds:{n},{k}" for n in sizes for k in kinds),
+            "turns": each(f"turns:{k}" for k in tens), "hard": each(f"hard:{k}" for k in sizes), "len,hard": each(f"len,hard:{n},{k}" for n in sizes for k in sizes), "len,turns": each(f"len,turns:{n},{k}" for n in sizes for k in tens),
+            "odd": each(f"odd:{k}" for k in range(-1, self.odd)), "len,odd": each(f"len,odd:{n},{k}" for n in sizes for k in range(-1, self.odd)), "run": each(f"run:{k}" for k in sizes), "pieces": each(f"pieces:{k}" for k in range(9)),
+        }
+        self.always = each(("bias", "sign:"))  # of all pieces of letters and digits
+        self.no_cue, self.no_head = each(("cue:", "head:"))
+        self.cues = {sum(ord(c) << (8 * k) for k, c in enumerate(w)): each((f"cue:{w}",))[0] for w in CUES if w.isalnum() and not _says(w)}  # of three letters at most
+        self.signs = np.array([self.w[list(_piece(c))].sum(axis=0) if c != "\n" and not c.isalnum() else (0, 0, 0) for c in self.char])
+
+    def _each(self, features) -> np.ndarray:
+        return self.w[[_hashed(f) for f in features]]
+
+    def _told(self, keys: np.ndarray, name) -> np.ndarray:
+        """The weights of the features that name makes from keys, each made once."""
+        each, at = np.unique(keys, return_inverse=True)
+        return self._each(map(name, each.tolist()))[at]
+
+    def _word(self, key: int) -> str:
+        return "".join(self.char[b] for b in key.to_bytes(8, "little") if b)
+
+    def over(self, tokens: list[str]) -> np.ndarray:
+        """nan for tokens that are not told."""
+        code = self.code[np.frombuffer(("\n".join(tokens) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")]
+        ends = code == 10
+        token = np.cumsum(ends) - ends
+        untold = np.zeros(len(tokens), bool)
+        untold[token[code == 0]] = True
+        untold[token[[m.start() for m in _SAYS_BYTES.finditer(code.tobytes().lower())]]] = True
+
+        # Pieces: stretches of alnum, and single signs. A stretch ends where the next one or the end of the token stands.
+        alnum = self.alnum[code]
+        begins = ~ends & ~(alnum & np.r_[False, alnum[:-1]])
+        cuts = np.flatnonzero(begins | ends)
+        is_piece = begins[cuts]
+        over = lambda how, x: how.reduceat(x, cuts)[is_piece]
+        at = cuts[is_piece]
+        n = np.diff(np.r_[cuts, len(code)])[is_piece]
+        of, is_word = token[at], alnum[at]
+        first = np.searchsorted(of, np.arange(len(tokens)))
+        many = np.diff(np.r_[first, len(of)])
+        place = np.arange(len(of)) - first[of]
+        last = place + 1 == many[of]
+        size = self.size[n]
+
+        # Shapes: a character counts where its class is another than the one before.
+        shape = self.shape[code]
+        turn = begins | (shape != np.r_[shape[:1], shape[:-1]])
+        turn_no = np.cumsum(turn)
+        turn_no -= np.repeat(turn_no[cuts], np.diff(np.r_[cuts, len(code)]))
+        untold[token[turn & (turn_no > 7) & ~ends]] = True
+        shapes = over(np.add, np.where(turn & (turn_no < 8), shape << (8 * np.clip(turn_no, 0, 7)).astype(np.uint64), np.uint64(0)))
+        names, own = np.unique(shapes, return_inverse=True)
+        names = [*map(self._word, names.tolist()), "^", "$"]
+        prev = np.where(place == 0, len(names) - 2, np.r_[own[:1], own[:-1]])
+        after = np.where(last, len(names) - 1, np.r_[own[1:], own[-1:]])
+        e = self._each(f"prev:{x}" for x in names)[prev] + self._each(f"next:{x}" for x in names)[after]
+        e += self._told(prev * len(names) + own, lambda k: f"prev,shape:{names[k // len(names)]},{names[k % len(names)]}")
+        e += self.by["run"][self.size[np.bincount(token)[of] - 1]] + self.by["pieces"][np.minimum(many, 8)[of]] + self.most
+
+        sign = np.flatnonzero(~is_word)
+        c = code[at[sign]].astype(np.int64)
+        before = np.where(place[sign] == 0, 13, size[np.maximum(sign - 1, 0)])
+        start = np.where(n[first[of[sign]]] == 1, code[at[first[of[sign]]]], 0)
+        e[sign] += self.signs[c]
+        e[sign] += self._told(c * 16 + before, lambda k: f"sign,before:{self.char[k >> 4]},{k & 15 if k & 15 != 13 else '^'}")
+        e[sign] += self._told(c * len(names) + after[sign], lambda k: f"sign,next:{self.char[k // len(names)]},{names[k % len(names)]}")
+        e[sign] += self._told(c * 4 + 2 * (place[sign] == 0) + last[sign], lambda k: f"sign,place:{self.char[k >> 2]},{k & 2 > 0},{k & 1 > 0}")
+        e[sign] += self._told(c * 256 + start, lambda k: f"sign,first:{self.char[k >> 8]},{self.char[k & 255] if k & 255 else ''}")
+
+        # Words and numbers, as in _stats.
+        is_digit, is_upper = self.digit[code], self.upper[code]
+        changed = np.r_[False, (is_digit[1:] != is_digit[:-1]) | (is_upper[1:] != is_upper[:-1])] & ~begins
+        letter = self.letter[code]
+        pair = np.where(begins, 0.0, self.pairs[np.r_[26, letter[:-1]], letter])
+        soft = np.where(self.hard[code], 0, np.arange(1, len(code) + 1))
+        run = np.arange(1, len(code) + 1) - np.maximum.accumulate(soft)
+        word = np.flatnonzero(is_word)
+        over = lambda how, x: how.reduceat(x, cuts)[is_piece][word]
+        at, n, size, of = at[word], n[word], size[word], of[word]
+        counts = over(np.add, self.counts[code])
+        digits, lower, upper, vowels, hexes = (counts >> (10 * k) & 1023 for k in range(5))
+        changes, hard = over(np.add, changed.astype(np.int64)), np.minimum(over(np.maximum, run), 12)
+        turns = np.minimum(changes - ((n > 1) & is_upper[at] & (self.counts[code[at + 1]] >> 10 & 1 > 0)), 9)
+        distinct = (np.bitwise_count(over(np.bitwise_or, x[code])).astype(np.int64) for x in (self.low_bits, self.high_bits))
+        worth = -3 * over(np.add, pair) / np.maximum(n - 1, 1)
+        untold[of[(n > 3) & (np.abs(worth - np.round(worth)) < CLOSE)]] = True
+        odd = np.where(n < 4, 0, worth.astype(np.int64) + 1)
+        kinds = 4 * (digits > 0) + 2 * (lower > 0) + (upper > 0)
+        by = self.by
+        x = self.always.sum(axis=0) + self._told(shapes[word], lambda k: f"shape:{self._word(k)}")
+        x += by["len"][size] + by["kinds"][kinds] + by["digits"][10 * digits // n] + by["changes"][10 * changes // n] + by["hex"][((n >= 8) & (hexes == n)).astype(int)]
+        x += by["distinct"][10 * sum(distinct) // n] + by["vowels"][10 * vowels // n] + by["len,kinds"][8 * size + kinds] + by["turns"][turns] + by["hard"][hard]
+        x += by["len,hard"][13 * size + hard] + by["len,turns"][11 * size + turns] + by["odd"][odd] + by["len,odd"][(self.odd + 1) * size + odd]
+        head, low = np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32)
+        for k in range(4):
+            c = np.where(k < n, code[np.minimum(at + k, len(code) - 1)], 0)
+            head |= c.astype(np.uint32) << np.uint32(8 * k)
+            low |= self.lower[c] << np.uint32(8 * k)
+        short = n <= 6
+        x += np.where(short[:, None], 0, self.no_head) + self.no_cue
+        x[short] += self._told(head[short], lambda k: f"head:{self._word(k)}")
+        for key, worth in self.cues.items():
+            x[(low == key) & (n <= 3)] += worth - self.no_cue
+        e[word] += x
+        found = self._best(e, first, many)
+        found[untold] = np.nan
+        return found
+
+    def _best(self, e: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The path outside less the best of the others, by Viterbi over the pieces of all tokens."""
+        order = np.argsort(-many, kind="stable")
+        t = self.moves
+        out, b = e[first[order], 0], e[first[order], 1]
+        o, i = np.full(len(order), -np.inf), np.full(len(order), -np.inf)
+        for j in range(1, int(many.max())):
+            m = int((many > j).sum())
+            f = e[first[order[:m]] + j]
+            x, y, z = o[:m], b[:m], i[:m]
+            begin = np.maximum(np.maximum(np.maximum(out[:m], x) + t[0][1], y + t[1][1]), z + t[2][1]) + f[:, 1]
+            inside = np.maximum(y + t[1][2], z + t[2][2]) + f[:, 2]
+            o[:m] = np.maximum(np.maximum(x + t[0][0], y + t[1][0]), z + t[2][0]) + f[:, 0]
+            b[:m], i[:m] = begin, inside
+            out[:m] += t[0][0] + f[:, 0]
+        told = np.empty(len(order))
+        told[order] = out - np.maximum(np.maximum(o, b), i)
+        return told
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -561,28 +746,45 @@ def _in_reach(text: str) -> Iterator[tuple[int, int]]:
             at = t.end()
 
 
-def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
-    file = file_features(text)
-    low = text.lower()
-    todo = set(_in_reach(text)) if any(k in low for k in PARTS) else set()
+def _hot(texts: Iterable[str], field: Field) -> set[str]:
+    """The tokens of texts that may be secrets without a cue."""
     known = _plain.setdefault(field.key, set())
-    hot = set()
-    for t in set(text.split()) - known:
-        if len(t) > LONG or not field.plain(t):
+    new = set().union(*(t.split() for t in texts)) - known
+    hot = {t for t in new if len(t) > LONG}
+    tokens = list(new - hot)
+    for t, plain in zip(tokens, field.plain_tokens(tokens), strict=True):
+        if not plain:
             hot.add(t)
         elif len(known) < PLAIN:
             known.add(t)
+    return hot
+
+
+def field_spans(text: str, field: Field, hot: set[str] | None = None) -> list[tuple[int, int]]:
+    """hot: as by _hot, of this text or of more."""
+    file = file_features(text)
+    low = text.lower()
+    todo = set(_in_reach(text)) if any(k in low for k in PARTS) else set()
+    hot = (_hot((text,), field) if hot is None else hot).intersection(text.split())
     if hot:
         todo.update(m.span() for m in TOKEN.finditer(text) if m[0] in hot)
     return [s for a, b in sorted(todo) for s in _tagged(text, a, b, file, field)]
 
 
-def scan(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def scan(text: str | None, field: Field, hot: set[str] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans and all spans, as (start, kind, end). Spans of the field stand beside the base ones, which they may overlap."""
     if not isinstance(text, str) or not text:
         return [], []
     base = base_spans(text)
-    return base, sorted(base + [(a, 3, b) for a, b in field_spans(text, field)])
+    return base, sorted(base + [(a, 3, b) for a, b in field_spans(text, field, hot)])
+
+
+def scans(texts: list[str | None], field: Field) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """As scan, for the texts of a batch."""
+    for a, b in chunks(texts, TEXT_AT_ONCE):
+        part = texts[a:b]
+        hot = _hot([t for t in part if isinstance(t, str)], field)
+        yield from (scan(t, field, hot) for t in part)
 
 
 def _told(spans) -> str:
@@ -597,7 +799,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shown = lambda spans: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans]
         for b in batches:
-            found = [scan(t, field) for t in b["text"]]
+            found = list(scans(b["text"].tolist(), field))
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": [shown(x) for x, _ in found], "spans": [shown(y) for _, y in found]})
 
     return frames(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {kind}, spans {kind}")
@@ -609,8 +811,7 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def of(text):
-            _, spans = scan(text, field)
+        def of(text, spans):
             if not spans:
                 return text
             out, at = [], 0
@@ -621,7 +822,8 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             return "".join([*out, text[at:]])
 
         for texts in batches:
-            yield texts.map(of)
+            held = texts.tolist()
+            yield pd.Series([of(t, spans) for t, (_, spans) in zip(held, scans(held, field), strict=True)], texts.index, object)
 
     return docs.select(*[clean(F.col("`text`")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 

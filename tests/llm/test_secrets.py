@@ -129,3 +129,28 @@ def test_what_a_worker_remembers_is_bounded(field, monkeypatch):
     caches = [x.cache_info().maxsize for x in (S._kind, S._stats, S._shape, S._odd, S._kinds, S._piece)]
     assert sum(caches) + S.PLAIN + 2 * S.MEMO < 1 << 19  # a worker of the pipeline held over a million before
     assert not hasattr(S, "_numbers")  # a table of its own for each kind of piece
+
+
+def test_tokens_told_in_arrays_are_those_told_one_by_one(field):
+    rng = random.Random(12)
+    signs, latin, odd = "'\"=:;,.!?()[]{}<>#*$%&|_-/+@", "äöüßéèêçñíóúáàÄÖÜÉÑ«»¿¡°", "²ªµ¼İıſKẞŒœΩжя中文字٣" + S.SIGNS + "\U0001d4d0́"
+    alphabets = ("etaoinshrdlu", "etaoinTAOI", "abcdef0123456789", "aA1", signs, latin + "aeiourst", odd + "abc", mixed := "abcXYZ019" + signs + latin + odd, "ab" + signs, "aaab")
+    tokens = {"".join(rng.choices(rng.choice(alphabets), k=rng.choice((1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 20, 40, 64, S.LONG)))) for _ in range(6000)}
+    tokens |= {t for text, _ in S.training_tokens(seed=13, n=300) for t in text.split() if len(t) <= S.LONG} | set(mixed)
+    tokens |= {"of", "The", "PIN", "pin.", "is", "est", "(es)", "psk", "token", "Api_Key=", "mytokens", "auth", "x"}
+    tokens = sorted(tokens)
+    assert field.plain_tokens(tokens) == [field.plain(t) for t in tokens]
+    assert field.plain_tokens([]) == []
+
+
+def test_new_words_are_not_looked_at_one_by_one(field, monkeypatch):
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices(S.SYLLABLES, k=3)) + rng.choice(("", "", ",", ".")) for _ in range(400)) for _ in range(10)] + [None, "", TEXTS[1]]
+    expected = [S.scan(t, field) for t in texts]
+    asked = []
+    plain = S.Field.plain
+    monkeypatch.setattr(S, "_plain", {})
+    monkeypatch.setattr(S, "_memo", {})
+    monkeypatch.setattr(S.Field, "plain", lambda self, t: asked.append(t) or plain(self, t))
+    assert list(S.scans(texts, field)) == expected
+    assert len(asked) < 40  # each of 4,000 before
