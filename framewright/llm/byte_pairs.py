@@ -15,7 +15,9 @@ values: so they aren't part of the plan's text, which Spark keeps and logs for e
 * ``base`` and ``cells`` hold the pairs that have a rank: the pair (a, b) owns the cell base[a] + b if that cell names a,
   and the cell's number is the rank. Rows are laid over each other so that no two pairs own one cell.
 * ``pieces`` holds the bytes of each piece as characters U+0000 to U+00FF, so that joining them and encoding the result as
-  ISO-8859-1 gives the bytes; ``width`` their number; ``single`` the rank of each byte.
+  ISO-8859-1 gives the bytes; ``width`` their number; ``single`` the rank of each byte, then that of each piece, 256 places up.
+* ``early`` holds the merges of the lowest ranks. Rare words of a text take these together, as one string in which a byte is
+  a character up to U+00FF and a piece one 256 above its rank; the fold of each word goes on from there.
 * ``known`` holds the frequent words, at places told by their hash, ``known_ids`` their ids; the word found is compared with the
   one sought.
 
@@ -48,6 +50,10 @@ from .common import table, text_or_empty, written
 WINDOW = 512
 #: Words of the table of frequent ones, a power of two, the longest of them, and words of one hash: about 25 MB at any size of the corpus.
 KNOWN, KNOWN_BYTES, WAYS = 1 << 19, 64, 2
+#: Merges of the lowest ranks that the rare words of a text take together, at most.
+EARLY = 256
+#: Stands between the rare words of a text, and around one among ids. Bytes and pieces have lower code points.
+MARK = "\uE000"
 #: More than any rank: no pair.
 NONE = 1 << 20
 #: The same in the 19 bits that the fold has for a rank.
@@ -113,6 +119,32 @@ def ranked_pairs(ranks: dict[bytes, int]) -> dict[int, list[tuple[int, int]]]:
     return rows
 
 
+def _halves(whole: bytes, ranks: dict[bytes, int]) -> tuple[list[bytes], int]:
+    """The last two pieces that the ranked merges make of a piece, or more if none joins them, and the highest rank of these merges."""
+    parts, high = [whole[i : i + 1] for i in range(len(whole))], -1
+    while len(parts) > 2:
+        rank, i = min((ranks.get(a + b, NONE), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == NONE:
+            break
+        parts[i : i + 2], high = [parts[i] + parts[i + 1]], max(high, rank)
+    return parts, high
+
+
+def early_merges(ranks: dict[bytes, int], most: int = EARLY) -> list[tuple[str, str]]:
+    """Two pieces and the piece of both, as characters, for the lowest ranks. Two adjacent pieces within a word are what the merges make
+    of the bytes of both alone, so a piece comes from its halves only. If all merges inside pieces have lower ranks than these,
+    no merge makes a pair of a lower rank, and replacing one pair after the other is the fold. The list ends before the first other piece."""
+    told = lambda p: chr(p[0]) if len(p) == 1 else chr(256 + ranks[p])
+    out: list[tuple[str, str]] = []
+    for whole in sorted((p for p in ranks if len(p) > 1), key=ranks.get):
+        parts, high = _halves(whole, ranks)
+        if len(out) >= most or high >= ranks[whole]:
+            break
+        if len(parts) == 2:
+            out.append(("".join(map(told, parts)), told(whole)))
+    return out
+
+
 def laid_over(rows: dict[int, list[tuple[int, int]]], width: int) -> tuple[np.ndarray, np.ndarray]:
     """base and cells: the rows in one array, each at the first place where its columns are free, the longest first."""
     base, owned, taken = np.zeros(width, int), {}, 0  # bit i of taken: cell i has an owner
@@ -137,8 +169,9 @@ def _arrays(path: str) -> dict[str, pa.Array]:
     for piece, rank in ranks.items():
         order[rank] = piece
     base, cells = laid_over(ranked_pairs(ranks), len(order))
-    numbers = {"base": base, "cells": cells, "width": [len(p) for p in order], "single": [ranks[bytes([i])] for i in range(256)]}
-    return {k: pa.array(v, pa.int64()) for k, v in numbers.items()} | {"pieces": pa.array([p.decode("latin-1") for p in order])}
+    numbers = {"base": base, "cells": cells, "width": [len(p) for p in order], "single": [ranks[bytes([i])] for i in range(256)] + list(range(len(order)))}
+    early = pa.array([{"pair": a, "piece": b} for a, b in early_merges(ranks)], pa.struct({"pair": pa.string(), "piece": pa.string()}))
+    return {k: pa.array(v, pa.int64()) for k, v in numbers.items()} | {"pieces": pa.array([p.decode("latin-1") for p in order]), "early": early}
 
 
 def _row(spark: SparkSession, arrays: dict[str, pa.Array], label: str) -> DataFrame:
@@ -237,10 +270,31 @@ def words_of(text: Column) -> Column:
     return F.when(new, full).otherwise(plain)
 
 
+def _as_bytes(word: Column) -> Column:
+    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+
+def _characters(maps: dict[str, Column], word: Column) -> Column:
+    """The ids of the bytes and pieces that the characters of word stand for."""
+    return F.transform(F.split(word, ""), lambda c: F.get(maps["single"], F.ascii(c)))
+
+
+def _rare_told(maps: dict[str, Column], text: Column) -> Column:
+    """text: ids joined by commas, with the bytes of rare words between two marks each. Their ids take their places."""
+
+    def told(parts: Column) -> Column:
+        words = F.array_join(F.filter(parts, lambda p, i: i % 2 == 1), MARK)
+        merged = F.aggregate(maps["early"], words, lambda s, m: F.replace(s, m["pair"], m["piece"]))
+        ids = F.transform(F.split(merged, MARK), lambda w: F.array_join(_let(_characters(maps, w), lambda x: _fold(maps, x)).cast("array<string>"), ","))
+        joined = _let(ids, lambda x: F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(x, F.shiftright(i, 1))).otherwise(p)), ""))
+        return F.when(F.size(parts) > 1, joined).otherwise(F.get(parts, F.lit(0)))
+
+    return _let(F.split(text, MARK), told)
+
+
 def _folded(maps: dict[str, Column], word: Column, window: int) -> Column:
     """The ids of a word, joined by commas."""
-    as_bytes = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    ids = F.transform(as_bytes, lambda c: F.get(maps["single"], F.ascii(c)))
+    ids = _characters(maps, _as_bytes(word))
     short = F.octet_length(word) <= window
     return F.array_join(_let(ids, lambda x: F.when(short, _fold(maps, x)).otherwise(_by_windows(maps, x, window))).cast("array<string>"), ",")
 
@@ -277,13 +331,14 @@ def token_ids(words: Column, ranks: Column, frequent: Column, known: int = KNOWN
         for way in range(WAYS):
             at = first + way if way else first
             found = found.when(F.get(maps["known"], at) == word, F.get(maps["known_ids"], at))
-        return found.otherwise(_folded(maps, word, window))
+        rare = F.concat(F.lit(MARK), _as_bytes(word), F.lit(MARK))
+        return found.when(F.octet_length(word) <= window, rare).otherwise(_folded(maps, word, window))
 
     def all_told(maps: dict[str, Column]) -> Column:
         places = lambda w: F.transform(w, lambda x: _first_place(x, known))
         return _let(words, lambda w: _let(places(w), lambda at: F.array_join(F.transform(w, lambda x, i: told(maps, x, F.get(at, i))), ",")))
 
-    joined = _with(ranks, RANKS, lambda maps: _with(frequent, ("known", "known_ids"), lambda more: all_told(maps | more)))
+    joined = _with(ranks, (*RANKS, "early"), lambda maps: _rare_told(maps, _with(frequent, ("known", "known_ids"), lambda more: all_told(maps | more))))
     none = F.array().cast("array<int>")
     return _let(joined, lambda x: F.when(x == "", none).otherwise(F.split(x, ",").cast("array<int>")))
 

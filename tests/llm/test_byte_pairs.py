@@ -123,3 +123,31 @@ def test_table_of_known_words(spark, library):
     for word, ids in zip(held.known, held.known_ids):
         assert word is None or ids == ",".join(map(str, library.encode_ordinary(word)))
     assert B.KNOWN >= 1 << 19
+
+
+def test_early_merges_are_the_first_of_the_fold(library):
+    """All merges of the vocabulary, replaced one after the other, give the ids of the library."""
+    ranks = B.read_ranks(B.vocabulary_path())
+    every, rng = B.early_merges(ranks, len(ranks)), random.Random(8)
+    assert B.early_merges(ranks) == every[: B.EARLY] and len(every) > 49_000
+    words = [" thatreorhation", " Ciónostado", "ere", " but", "aaaaaaa", " verschäberein", "ababababab"] + ["".join(rng.choices("etaoinshr", k=rng.randint(2, 14))) for _ in range(60)]
+    for word in words:
+        s = word.encode().decode("latin-1")
+        for pair, piece in every:
+            s = s.replace(pair, piece)
+        assert [ord(c) - 256 if ord(c) > 255 else ranks[bytes([ord(c)])] for c in s] == library.encode_ordinary(word), word
+
+
+def test_early_merges_end_before_a_piece_that_comes_late():
+    """In abc the pair bc has a higher rank than abc itself: replacing by rank would miss that it comes at once."""
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"d": 3, b"cd": 4, b"abc": 5, b"bc": 6}
+    assert B.early_merges(ranks) == [("cd", chr(256 + 4))]
+
+
+def test_rare_words_stand_in_their_places(spark, library):
+    """Rare and frequent words in turn, long ones, the mark itself, and texts without rare words."""
+    frequent = " ".join(f"the w{k}" for k in range(4)) + " "
+    texts = [frequent * 5, f"{frequent}qzxthering {frequent}", "qzx1 erinon  the ", "the", "", "ererere" * 90 + " the inonther " + frequent, ""]
+    for known in (0, 8):
+        for k, (ids, back) in _encoded(spark, texts, known=known).items():
+            assert ids == library.encode_ordinary(texts[k]) and back == texts[k].encode()
