@@ -284,7 +284,8 @@ def _rare_told(maps: dict[str, Column], text: Column) -> Column:
 
     def told(parts: Column) -> Column:
         words = F.array_join(F.filter(parts, lambda p, i: i % 2 == 1), MARK)
-        merged = F.aggregate(maps["early"], words, lambda s, m: F.replace(s, m["pair"], m["piece"]))
+        # contains() finds nothing at less cost than replace() does
+        merged = F.aggregate(maps["early"], words, lambda s, m: F.when(F.contains(s, m["pair"]), F.replace(s, m["pair"], m["piece"])).otherwise(s))
         ids = F.transform(F.split(merged, MARK), lambda w: F.array_join(_let(_characters(maps, w), lambda x: _fold(maps, x)).cast("array<string>"), ","))
         joined = _let(ids, lambda x: F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.get(x, F.shiftright(i, 1))).otherwise(p)), ""))
         return F.when(F.size(parts) > 1, joined).otherwise(F.get(parts, F.lit(0)))
@@ -324,7 +325,7 @@ def known_words(words: DataFrame, ranks: DataFrame, known: int = KNOWN) -> DataF
 
 
 def token_ids(words: Column, ranks: Column, frequent: Column, known: int = KNOWN, window: int = WINDOW) -> Column:
-    """array<int>: the ids of the words of a text. ``frequent`` holds those of ``known`` words at most."""
+    """The ids of the words of a text, joined by commas. ``frequent`` holds those of ``known`` words at most."""
 
     def told(maps: dict[str, Column], word: Column, first: Column) -> Column:
         found = F
@@ -338,9 +339,7 @@ def token_ids(words: Column, ranks: Column, frequent: Column, known: int = KNOWN
         places = lambda w: F.transform(w, lambda x: _first_place(x, known))
         return _let(words, lambda w: _let(places(w), lambda at: F.array_join(F.transform(w, lambda x, i: told(maps, x, F.get(at, i))), ",")))
 
-    joined = _with(ranks, (*RANKS, "early"), lambda maps: _rare_told(maps, _with(frequent, ("known", "known_ids"), lambda more: all_told(maps | more))))
-    none = F.array().cast("array<int>")
-    return _let(joined, lambda x: F.when(x == "", none).otherwise(F.split(x, ",").cast("array<int>")))
+    return _with(ranks, (*RANKS, "early"), lambda maps: _rare_told(maps, _with(frequent, ("known", "known_ids"), lambda more: all_told(maps | more))))
 
 
 def decoded_bytes(ids: Column, ranks: Column) -> Column:
@@ -350,13 +349,14 @@ def decoded_bytes(ids: Column, ranks: Column) -> Column:
 
 
 def encoded(docs: DataFrame, ranks: DataFrame | None = None, known: int = KNOWN, window: int = WINDOW) -> DataFrame:
-    """row: the columns of docs as a struct; ids: array<int>."""
+    """row: the columns of docs as a struct; told: the ids joined by commas; ids: array<int>."""
     ranks = rank_map(docs.sparkSession) if ranks is None else ranks
     frequent = known_words(docs.select(words_of(text_or_empty()).alias("words")), ranks, known)
     # What is named more than once below is a column of the input, so that the optimizer makes one projection of both and no
     # row carries m or k.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("t"), ranks.scalar().alias("m"), frequent.scalar().alias("k"))
-    return rows.select("row", token_ids(words_of(text_or_empty("t")), F.col("m"), F.col("k"), known, window).alias("ids"))
+    told = rows.select("row", token_ids(words_of(text_or_empty("t")), F.col("m"), F.col("k"), known, window).alias("told"))
+    return told.withColumn("ids", F.when(F.col("told") == "", F.array().cast("array<int>")).otherwise(F.split("told", ",").cast("array<int>")))
 
 
 def decoded(rows: DataFrame, ranks: DataFrame, use: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -371,7 +371,6 @@ def op13_byte_pair_encoding(spark, sf_dir: str) -> DataFrame:
     docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
 
     def digests(ids: Column, text: Column) -> Column:
-        told = F.array_join(ids.cast("array<string>"), ",")
-        return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+        return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2("told", 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
 
     return decoded(docs, ranks, digests, "d").select("row.doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

@@ -151,3 +151,15 @@ def test_rare_words_stand_in_their_places(spark, library):
     for known in (0, 8):
         for k, (ids, back) in _encoded(spark, texts, known=known).items():
             assert ids == library.encode_ordinary(texts[k]) and back == texts[k].encode()
+
+
+def test_ids_are_joined_once_and_absent_merges_are_passed_over(spark, sf, library):
+    """The text of the ids comes with them, so that the digest needn't make it again; a merge is asked for before it is replaced."""
+    texts = [None, "", "the", "qzx1 erinon  the ererere", "\ue000 the"]
+    rows = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], SCHEMA)
+    for r in B.encoded(rows).collect():
+        ids = library.encode_ordinary(r.row.text or "")
+        assert list(r.ids) == ids and r.told == ",".join(map(str, ids))
+    plan = B.op13_byte_pair_encoding(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    replaced = plan.count("replace(")
+    assert replaced and replaced == plan.lower().count("case when contains(")
