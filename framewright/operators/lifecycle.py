@@ -30,11 +30,12 @@ Roi = tuple[float, float, float, float]
 
 class Comparator(NamedTuple):
     """extract(row, roi) gives features or None; same(a, b) tells whether two are of one segment. columns: what extract
-    reads of a frame's row."""
+    reads of a frame's row. together(rows, rois), where there is such, gives what extract gives for each."""
 
     extract: Callable[[Any, Roi], Any]
     same: Callable[[Any, Any], bool]
     columns: tuple[str, ...]
+    together: Callable[[Iterable, Iterable[Roi]], list] | None = None
 
 
 def value_comparator(limit: float, column: str = "value") -> Comparator:
@@ -44,13 +45,17 @@ def value_comparator(limit: float, column: str = "value") -> Comparator:
 
 def plane_comparator(kind: str = "bitset-cover", target: int = 230, delta: int = 12) -> Comparator:
     """Features are those of the region's part of the luma plane."""
-    features, compare = K.COMPARATORS[kind]
+    (features, compare), many = K.COMPARATORS[kind], K.TOGETHER.get(kind)
 
-    def extract(row, roi: Roi):
+    def cut(row, roi: Roi):
         x0, y0, x1, y1 = K.roi_pixels_never_empty(row.width, row.height, roi)
-        return features(K.plane(row.y_plane, row.width, row.height, row.y_stride)[y0:y1, x0:x1], target, delta)
+        return K.plane(row.y_plane, row.width, row.height, row.y_stride)[y0:y1, x0:x1]
 
-    return Comparator(extract, lambda a, b: compare(a, b)[1], ("width", "height", "y_stride", "y_plane"))
+    def together(rows: Iterable, rois: Iterable[Roi]) -> list:
+        return many(map(cut, rows, rois), target, delta)
+
+    extract = lambda row, roi: features(cut(row, roi), target, delta)
+    return Comparator(extract, lambda a, b: compare(a, b)[1], ("width", "height", "y_stride", "y_plane"), many and together)
 
 
 def walk(found: Iterable[tuple], reference, same: Callable[[Any, Any], bool], follow: bool) -> Iterator[tuple]:
@@ -79,7 +84,7 @@ class Timeline:
     """A video's frames, in order, with the spans open at the last of them."""
 
     def __init__(self, comparator: Comparator):
-        self.extract, self.same, _ = comparator
+        self.extract, self.same = comparator.extract, comparator.same
         self.spans: dict[int, Span] = {}
         self.recent: deque = deque()
         self.ahead: list = []  # what was recent at the last sample
@@ -193,6 +198,28 @@ def _spans(looks: DataFrame, samples: DataFrame) -> DataFrame:
     return numbered.withColumn("run", run).withColumn("opened_frame", F.min("frame_index").over(Window.partitionBy("video_id", "region_id", "run"))).drop("run")
 
 
+class Shown:
+    """What a span shows, as packed features. A frame with the features of the one before it gets the same answer, and
+    features are unpacked only when they are compared."""
+
+    def __init__(self, comparator: Comparator, data: bytes):
+        self.same, self.data, self.content = comparator.same, data, None
+        self.asked = self.answer = None
+
+    def alike(self, data: bytes | None) -> bool:
+        if data is None:
+            return False
+        if data != self.asked:
+            if self.content is None:
+                self.content = P.unpacked(self.data)
+            self.asked, self.answer = data, self.same(self.content, P.unpacked(data))
+        return self.answer
+
+    def take(self, data: bytes) -> None:
+        if data != self.data:
+            self.data, self.content, self.asked = data, None, None
+
+
 def _started(spans: DataFrame, earlier: DataFrame, comparator: Comparator) -> DataFrame:
     """A row for each span: where it starts, its last sample with the same content, and that content. A span's events are its
     first sample, the frames before that, backwards, and the later samples."""
@@ -206,15 +233,18 @@ def _started(spans: DataFrame, earlier: DataFrame, comparator: Comparator) -> Da
 
     def step(s: dict, row) -> list[tuple]:
         if row is None:
-            return [(*s["key"], s["label"], *s["start"], *s["last"], *s["roi"], P.packed(s["content"]))]
-        content, here = P.unpacked(row.features), (row.frame_index, time(row))
+            return [(*s["key"], s["label"], *s["start"], *s["last"], *s["roi"], s["shown"].data)]
+        here = (row.frame_index, time(row))
         if row.kind == 0:
-            s.update(key=(row.video_id, row.region_id, row.opened_frame), label=row.label, start=here, last=here, roi=[getattr(row, c) for c in ROI], content=content, moved=False)
-        elif content is not None and comparator.same(s["content"], content):
+            s.update(key=(row.video_id, row.region_id, row.opened_frame), label=row.label, start=here, last=here, roi=[getattr(row, c) for c in ROI], shown=Shown(comparator, row.features), moved=False)
+        elif s["shown"].alike(row.features):
             if row.kind == 2:
-                s.update(last=here, roi=[getattr(row, c) for c in ROI], content=content)
+                s.update(last=here, roi=[getattr(row, c) for c in ROI])
+                s["shown"].take(row.features)
             else:
-                s.update(start=(row.frame_index, time(row, s["start"][1])), content=s["content"] if s["moved"] else content, moved=True)
+                if not s["moved"]:
+                    s["shown"].take(row.features)
+                s.update(start=(row.frame_index, time(row, s["start"][1])), moved=True)
         return []
 
     schema = "video_id bigint, region_id bigint, opened_frame bigint, label string, start_frame bigint, start_ns bigint, last_frame bigint, last_ns bigint, x double, y double, width double, height double, content binary"
@@ -232,11 +262,11 @@ def _ended(started: DataFrame, later: DataFrame, comparator: Comparator) -> Data
     def step(s: dict, row) -> list[tuple]:
         if row is None:
             return [(*s["own"], s["frame"], s["time"])]
-        content = P.unpacked(row.features)
         if not s:
-            s.update(own=[getattr(row, c) for c in names], frame=row.last_frame, time=row.last_ns, content=content)
-        elif content is not None and comparator.same(s["content"], content):
-            s.update(frame=row.frame_index, time=s["time"] if row.pts_ns is None else row.pts_ns, content=content)
+            s.update(own=[getattr(row, c) for c in names], frame=row.last_frame, time=row.last_ns, shown=Shown(comparator, row.features))
+        elif s["shown"].alike(row.features):
+            s.update(frame=row.frame_index, time=s["time"] if row.pts_ns is None else row.pts_ns)
+            s["shown"].take(row.features)
         return []
 
     schema = ", ".join(f"{c} {started.schema[c].dataType.simpleString()}" for c in names)

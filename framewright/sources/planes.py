@@ -87,8 +87,13 @@ def fetched(wanted: DataFrame, planes: DataFrame, comparator) -> DataFrame:
                 part = b.slice(at, ROWS)
                 # A plane is looked at where it lies in the batch.
                 content = [[v.as_buffer() if v.is_valid else None for v in c] if pa.types.is_binary(c.type) else c.to_pylist() for c in (part.column(o) for o in own)]
-                regions = zip(*(part.column(c).to_pylist() for c in ("x", "y", "width", "height")))
-                made = [packed(comparator.extract(Frame(*frame), roi)) for frame, roi in zip(zip(*content), regions)]
+                frames, regions = (Frame(*f) for f in zip(*content)), zip(*(part.column(c).to_pylist() for c in ("x", "y", "width", "height")))
+                if comparator.together is None:
+                    made = [packed(comparator.extract(frame, roi)) for frame, roi in zip(frames, regions)]
+                else:
+                    found = comparator.together(frames, regions)
+                    once = {id(f): packed(f) for f in {id(f): f for f in found}.values()}
+                    made = [once[id(f)] for f in found]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(made, pa.binary())], schema=target)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema)
