@@ -166,8 +166,8 @@ def drawn_frames(spark, frames: int = 60, width: int = 320, height: int = 180, b
     return rows.mapInPandas(run, "video_id bigint, frame_index bigint, pts_ns bigint, width int, height int, y_stride int, y_plane binary")
 
 
-#: Width and height of the planes of titled(), and frames for each vector.
-TITLE_SIZE, TITLE_FRAMES = (128, 64), 14
+#: Width and height of the planes of titled(), frames for each vector, and vectors whose planes a task holds.
+TITLE_SIZE, TITLE_FRAMES, TITLED = (128, 64), 14, 16
 
 
 def titled(vectors: DataFrame) -> DataFrame:
@@ -175,23 +175,36 @@ def titled(vectors: DataFrame) -> DataFrame:
     frames. From the third of them on its first 64 numbers are shown as 8 rows of 8 cells, bright where a number isn't low;
     the first number tells for how long. Every third vector flickers: one of its frames shows the other cells."""
     width, height = TITLE_SIZE
+    blank = np.full((height, width), 40, np.uint8)
+    target = pa.schema([("video_id", pa.int64()), ("frame_index", pa.int64()), *((c, pa.int32()) for c in ("width", "height", "y_stride")), ("y_plane", pa.binary())])
+
+    def drawn(cells: np.ndarray) -> bytes:
+        y = blank.copy()
+        y[30:54, 16:112] = np.where(cells.repeat(3, 0).repeat(12, 1), 235, 40)
+        return y.tobytes()
+
+    def shown(vec: int, e: list | None) -> list[bytes]:
+        numbers = np.full(64, -1.0)
+        given = np.asarray([] if e is None else e, float)[:64]
+        numbers[: len(given)] = np.nan_to_num(given, nan=-1.0)
+        cells = (numbers > -0.03).reshape(8, 8)
+        long = 4 + int(min(max((numbers[0] + 0.6) / 1.2, 0.0), 0.999) * 9)
+        planes = [blank.tobytes()] * TITLE_FRAMES
+        if len(given):
+            planes[2 : 2 + long] = [drawn(cells)] * long
+            if vec % 3 == 0 and vec % 5 < long:
+                planes[2 + vec % 5] = drawn(~cells)
+        return planes
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for vec, e in zip(b["vec_id"], b["embedding"]):
-                numbers = np.full(64, -1.0)
-                given = np.asarray([] if e is None else e, float)[:64]
-                numbers[: len(given)] = np.nan_to_num(given, nan=-1.0)
-                cells = (numbers > -0.03).reshape(8, 8)
-                long = 4 + int(min(max((numbers[0] + 0.6) / 1.2, 0.0), 0.999) * 9)
-                planes = []
-                for j in range(TITLE_FRAMES):
-                    y = np.full((height, width), 40, np.uint8)
-                    if len(given) and 2 <= j < 2 + long:
-                        shown = ~cells if vec % 3 == 0 and j == 2 + vec % 5 else cells
-                        y[30:54, 16:112] = np.where(np.kron(shown, np.ones((3, 12), bool)), 235, 40)
-                    planes.append(y.tobytes())
-                index = vec % 20 * TITLE_FRAMES + np.arange(TITLE_FRAMES)
-                yield pd.DataFrame({"video_id": vec // 20, "frame_index": index, "width": width, "height": height, "y_stride": width, "y_plane": planes})
-
-    return vectors.select("vec_id", "embedding").where("vec_id is not null").mapInPandas(run, "video_id bigint, frame_index bigint, width int, height int, y_stride int, y_plane binary")
+            for at in range(0, b.num_rows, TITLED):
+                part = b.slice(at, TITLED)
+                vecs = part.column("vec_id").to_pylist()
+                planes = [p for vec, e in zip(vecs, part.column("embedding").to_pylist()) for p in shown(vec, e)]
+                videos = np.repeat([vec // 20 for vec in vecs], TITLE_FRAMES)
+                index = np.concatenate([vec % 20 * TITLE_FRAMES + np.arange(TITLE_FRAMES) for vec in vecs])
+                sizes = [np.full(len(planes), n, np.int32) for n in (width, height, width)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((videos, index, *sizes, planes), target)], schema=target)
+
+    return vectors.select("vec_id", "embedding").where("vec_id is not null").mapInArrow(run, "video_id bigint, frame_index bigint, width int, height int, y_stride int, y_plane binary")

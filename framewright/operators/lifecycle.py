@@ -46,6 +46,7 @@ def value_comparator(limit: float, column: str = "value") -> Comparator:
 def plane_comparator(kind: str = "bitset-cover", target: int = 230, delta: int = 12) -> Comparator:
     """Features are those of the region's part of the luma plane."""
     (features, compare), many = K.COMPARATORS[kind], K.TOGETHER.get(kind)
+    same = K.SAME.get(kind) or (lambda a, b: compare(a, b)[1])
 
     def cut(row, roi: Roi):
         x0, y0, x1, y1 = K.roi_pixels_never_empty(row.width, row.height, roi)
@@ -55,7 +56,7 @@ def plane_comparator(kind: str = "bitset-cover", target: int = 230, delta: int =
         return many(map(cut, rows, rois), target, delta)
 
     extract = lambda row, roi: features(cut(row, roi), target, delta)
-    return Comparator(extract, lambda a, b: compare(a, b)[1], ("width", "height", "y_stride", "y_plane"), many and together)
+    return Comparator(extract, same, ("width", "height", "y_stride", "y_plane"), many and together)
 
 
 def walk(found: Iterable[tuple], reference, same: Callable[[Any, Any], bool], follow: bool) -> Iterator[tuple]:
@@ -198,26 +199,32 @@ def _spans(looks: DataFrame, samples: DataFrame) -> DataFrame:
     return numbered.withColumn("run", run).withColumn("opened_frame", F.min("frame_index").over(Window.partitionBy("video_id", "region_id", "run"))).drop("run")
 
 
+#: Answers that a span keeps for what it shows.
+ANSWERS = 8
+
+
 class Shown:
-    """What a span shows, as packed features. A frame with the features of the one before it gets the same answer, and
-    features are unpacked only when they are compared."""
+    """What a span shows, as packed features. Frames with the same features get the same answer, and features are unpacked
+    only when they are compared."""
 
     def __init__(self, comparator: Comparator, data: bytes):
         self.same, self.data, self.content = comparator.same, data, None
-        self.asked = self.answer = None
+        self.answers: dict[bytes, bool] = {}
 
     def alike(self, data: bytes | None) -> bool:
         if data is None:
             return False
-        if data != self.asked:
+        if data not in self.answers:
             if self.content is None:
                 self.content = P.unpacked(self.data)
-            self.asked, self.answer = data, self.same(self.content, P.unpacked(data))
-        return self.answer
+            if len(self.answers) == ANSWERS:
+                self.answers.clear()
+            self.answers[data] = self.same(self.content, P.unpacked(data))
+        return self.answers[data]
 
     def take(self, data: bytes) -> None:
         if data != self.data:
-            self.data, self.content, self.asked = data, None, None
+            self.data, self.content, self.answers = data, None, {}
 
 
 def _started(spans: DataFrame, earlier: DataFrame, comparator: Comparator) -> DataFrame:

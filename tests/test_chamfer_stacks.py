@@ -129,3 +129,31 @@ def test_equal_parts_of_planes_are_looked_at_once(spark, monkeypatch):
     monkeypatch.setattr(K, "_stack_features", lambda v, *a, f=K._stack_features: (stacks.append(len(v)), f(v, *a))[1])
     K.chamfer_features_together([picture] * 7 + [picture + 1] * 2, 230, 12)
     assert stacks == [2]
+
+
+def test_strokes_too_unlike_need_no_search(monkeypatch):
+    thick, thin = np.full((30, 60), 40, np.uint8), np.full((30, 60), 40, np.uint8)
+    thick[5:25, 5:55] = 235
+    thin[14:16, 5:55] = 235
+    a, b = (K.chamfer_features(y, 230, 12) for y in (thick, thin))
+    r = np.random.default_rng(2)
+    some = [f for f in K.chamfer_features_together(pictures(40), 230, 12) if f is not None]
+    assert all(K.chamfer_same(x, y) == K.chamfer_compare(x, y)[1] for x in some[:12] for y in r.choice(some, 6))
+    assert not K.chamfer_compare(a, b)[1] and not K.chamfer_same(a, None) and K.chamfer_same(a, a)
+    monkeypatch.setattr(K, "_one_way", None)
+    assert not L.plane_comparator("sparse-chamfer").same(a, b)
+
+
+def test_gaps_are_bridged_and_dark_planes_passed_over(monkeypatch):
+    r = np.random.default_rng(6)
+    for i in range(120):
+        mask, limit = r.random(r.integers(1, 30, 2)) < (0, 0.1, 0.5, 1)[i % 4], (0, 1, 3, 12)[i // 4 % 4]
+        want = mask.copy()
+        for line in want:
+            set_ = np.flatnonzero(line)
+            for a, b in zip(set_, set_[1:]):
+                if b - a - 1 <= limit:
+                    line[a:b] = True
+        assert np.array_equal(K.bridge(mask, limit), want) and np.array_equal(K.bridge(mask.T.copy().T, limit), want)
+    monkeypatch.setattr(K, "bridge", None)
+    assert K.detect_projection(np.full((64, 128), 40, np.uint8)) == []
