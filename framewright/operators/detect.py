@@ -167,7 +167,7 @@ def drawn_frames(spark, frames: int = 60, width: int = 320, height: int = 180, b
 
 
 #: Width and height of the planes of titled(), frames for each vector, and vectors whose planes a task holds.
-TITLE_SIZE, TITLE_FRAMES, TITLED = (128, 64), 14, 16
+TITLE_SIZE, TITLE_FRAMES, TITLED = (128, 64), 14, 4
 
 
 def titled(vectors: DataFrame) -> DataFrame:

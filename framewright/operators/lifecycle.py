@@ -15,7 +15,7 @@ from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,12 +30,14 @@ Roi = tuple[float, float, float, float]
 
 class Comparator(NamedTuple):
     """extract(row, roi) gives features or None; same(a, b) tells whether two are of one segment. columns: what extract
-    reads of a frame's row. together(rows, rois), where there is such, gives what extract gives for each."""
+    reads of a frame's row. together(rows, rois), where there is such, gives what extract gives for each; narrow(frame, roi)
+    gives, from what makes columns of names, the columns that it reads instead: the frame without what lies off the region."""
 
     extract: Callable[[Any, Roi], Any]
     same: Callable[[Any, Any], bool]
     columns: tuple[str, ...]
     together: Callable[[Iterable, Iterable[Roi]], list] | None = None
+    narrow: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]] | None = None
 
 
 def value_comparator(limit: float, column: str = "value") -> Comparator:
@@ -52,11 +54,25 @@ def plane_comparator(kind: str = "bitset-cover", target: int = 230, delta: int =
         x0, y0, x1, y1 = K.roi_pixels_never_empty(row.width, row.height, roi)
         return K.plane(row.y_plane, row.width, row.height, row.y_stride)[y0:y1, x0:x1]
 
+    def cut_lines(row, roi: Roi):
+        x0, y0, x1, y1 = K.roi_pixels_never_empty(row.width, row.height, roi)
+        return K.plane(row.y_plane, row.width, row.lines, row.y_stride)[y0 - row.first : y1 - row.first, x0:x1]
+
     def together(rows: Iterable, rois: Iterable[Roi]) -> list:
-        return many(map(cut, rows, rois), target, delta)
+        return many(map(cut_lines, rows, rois), target, delta)
+
+    def narrow(frame: Callable[[str], Column], roi: Callable[[str], Column]) -> dict[str, Column]:
+        """The lines of the region and one more on each side, as its place is rounded otherwise here; a plane that is too short stays whole."""
+        width, height, stride, data = (frame(c) for c in ("width", "height", "y_stride", "y_plane"))
+        low, high = (F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * height for v in (roi("y"), roi("y") + roi("height")))
+        first = F.greatest(F.least(F.floor(low) - 1, height - 2), F.lit(0)).cast("int")
+        lines = (F.least(F.greatest(F.ceil(high) + 1, first + 3), height) - first).cast("int")
+        sound = (stride >= width) & (stride > 0) & (F.octet_length(data) >= stride * height)
+        part = F.when(sound, F.substring(data, first * stride + 1, lines * stride)).otherwise(data)
+        return {"width": width, "height": height, "y_stride": stride, "y_plane": part, "first": F.when(sound, first).otherwise(0), "lines": F.when(sound, lines).otherwise(height)}
 
     extract = lambda row, roi: features(cut(row, roi), target, delta)
-    return Comparator(extract, same, ("width", "height", "y_stride", "y_plane"), many and together)
+    return Comparator(extract, same, ("width", "height", "y_stride", "y_plane"), many and together, many and narrow)
 
 
 def walk(found: Iterable[tuple], reference, same: Callable[[Any, Any], bool], follow: bool) -> Iterator[tuple]:

@@ -77,9 +77,12 @@ def fetched(wanted: DataFrame, planes: DataFrame, comparator) -> DataFrame:
     own, names = [f"_{c}" for c in comparator.columns], wanted.columns
     content = planes.select(*KEYS, *[F.col(c).alias(o) for c, o in zip(comparator.columns, own)])
     rows = content.join(wanted.hint("shuffle_hash"), KEYS)
+    read = {c: F.col(o) for c, o in zip(comparator.columns, own)} if comparator.narrow is None else comparator.narrow(lambda c: F.col(f"_{c}"), F.col)
+    own = [f"_{c}" for c in read]
+    rows = rows.select(*names, *[e.alias(o) for e, o in zip(read.values(), own)])
     target = to_arrow_schema(wanted.schema).append(pa.field("features", pa.binary()))
 
-    Frame = namedtuple("Frame", comparator.columns)
+    Frame = namedtuple("Frame", list(read))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

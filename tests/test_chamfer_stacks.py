@@ -1,6 +1,8 @@
 """Chamfer features made in stacks, and comparisons, against plain loops; what equals the frame before it is asked once."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from framewright.operators import kernels as K
 from framewright.operators import lifecycle as L
@@ -157,3 +159,23 @@ def test_gaps_are_bridged_and_dark_planes_passed_over(monkeypatch):
         assert np.array_equal(K.bridge(mask, limit), want) and np.array_equal(K.bridge(mask.T.copy().T, limit), want)
     monkeypatch.setattr(K, "bridge", None)
     assert K.detect_projection(np.full((64, 128), 40, np.uint8)) == []
+
+
+def test_only_the_lines_of_a_region_are_handed_over(spark):
+    """Regions on, over and off the edges, of planes of several heights; a plane that is too short is told as before."""
+    r, rows, wanted = np.random.default_rng(9), [], []
+    for i in range(150):
+        h, w = (1, 2, 7, 24, 64)[i % 5], (16, 33)[i % 2]
+        rows.append((0, i, w, h, w + 3, bytearray(np.where(r.random((h, w + 3)) < 0.4, 235, 40).astype(np.uint8).tobytes())))
+        y0, y1 = r.integers(-1, h + 2, 2) / h if i % 3 else r.random(2) * 1.4 - 0.2
+        wanted.append((0, i, float(r.random() * 0.3), float(y0), 0.7, float(y1 - y0)))
+    planes = spark.createDataFrame(rows, "video_id long, frame_index long, width int, height int, y_stride int, y_plane binary")
+    wanted = spark.createDataFrame(wanted, "video_id long, frame_index long, x double, y double, width double, height double")
+    look = L.plane_comparator("sparse-chamfer")
+    got, want = ({x.frame_index: x.features for x in P.fetched(wanted, planes, c).collect()} for c in (look, look._replace(together=None, narrow=None)))
+    assert got == want and len(got) == 150 and sum(v is not None for v in got.values()) > 40
+    sent = planes.select(look.narrow(F.col, lambda c: F.lit({"y": 0.4, "height": 0.1}[c]))["y_plane"].alias("part"), "y_stride")
+    assert sent.select(F.max(F.octet_length("part") / F.col("y_stride")).alias("n")).first().n < 12
+    short = planes.withColumn("y_plane", F.expr("substring(y_plane, 1, 10)"))
+    with pytest.raises(Exception, match="10 bytes for"):
+        P.fetched(wanted, short, look).collect()
